@@ -65,5 +65,5 @@ def load_all() -> None:
 
 
 AREAS = [
-    "ratedist",
+    "ratedist", "sources", "reshape", "quantise",
 ]
