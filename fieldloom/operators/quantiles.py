@@ -34,6 +34,8 @@ def exact_quantiles(
     wanted = sorted(set(probs))
     lo = [max(p - SLACK, 0.0) for p in wanted]
     hi = [min(p + SLACK, 1.0) for p in wanted]
+    # below this size neighbouring ranks are further apart than the slack
+    small = F.col("_n") <= 2 * ACCURACY
 
     brackets = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -46,8 +48,8 @@ def exact_quantiles(
         F.array(*[
             F.struct(
                 F.lit(p).alias("p"),
-                (F.col("_min") if l == 0.0 else F.col("_lo")[i]).alias("lo"),
-                (F.col("_max") if h == 1.0 else F.col("_hi")[i]).alias("hi"),
+                F.when(small | F.lit(l == 0.0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+                F.when(small | F.lit(h == 1.0), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
             )
             for i, (p, l, h) in enumerate(zip(wanted, lo, hi))
         ]).alias("_b"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators.lorenzo import with_lorenzo
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.plans.registry import more, query
+from fieldloom.session import cut_lineage
 from fieldloom.sources.grid import grid_shape, residual_field
 
 BOUNDS = [25.0, 50.0, 100.0, 200.0, 400.0, 800.0, 1600.0, 3200.0]
@@ -132,6 +133,11 @@ r AS (SELECT method, k, abs_bound, n, n_unique, entropy, rmse, psnr, ssim,
 )
 
 
+def stored_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The result table written once, for analytics that read it several times."""
+    return cut_lineage(results(spark, sf))
+
+
 @query(
     "rd_sweep",
     RESULTS_SQL + """

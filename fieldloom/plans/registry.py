@@ -65,5 +65,5 @@ def load_all() -> None:
 
 
 AREAS = [
-    "ratedist", "sources", "reshape", "quantise",
+    "ratedist", "sources", "reshape", "quantise", "metrics", "analytics",
 ]
