@@ -59,23 +59,28 @@ class RadialKernel:
 class CholeskyScore:
     """Residual variance of a point given the points picked so far."""
 
-    def __init__(self, kernel: Callable):
-        self.kernel, self.picked, self.inv = kernel, None, np.zeros((0, 0))
+    def __init__(self, kernel: Callable, noise: float = 0.0, scale: float = 1.0):
+        self.kernel, self.noise, self.scale = kernel, noise, scale
+        self.picked, self.inv = None, np.zeros((0, 0))
+
+    def prior(self, x: np.ndarray) -> np.ndarray:
+        if self.kernel is linear_kernel:
+            return self.scale * (x * x).sum(1)
+        return np.full(len(x), self.scale * self.kernel(x[:1], x[:1])[0, 0])
 
     def features(self, x: np.ndarray) -> np.ndarray:
         if self.picked is None:
             return np.zeros((len(x), 0))
-        return self.kernel(x, self.picked) @ self.inv.T
+        return self.scale * (self.kernel(x, self.picked) @ self.inv.T)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        diag = np.array([self.kernel(r[None], r[None])[0, 0] for r in x]) if self.kernel is not linear_kernel else (x * x).sum(1)
         f = self.features(x)
-        return np.maximum(diag - (f * f).sum(1), 0.0)
+        return np.maximum(self.prior(x) - (f * f).sum(1), 0.0)
 
     def add(self, row: np.ndarray) -> None:
         x = row[None]
         f = self.features(x)[0]
-        pivot = np.sqrt(max(self.kernel(x, x)[0, 0] - f @ f, 1e-300))
+        pivot = np.sqrt(max(self.prior(x)[0] + self.noise - f @ f, 1e-300))
         k = len(f)
         grown = np.zeros((k + 1, k + 1))
         grown[:k, :k] = self.inv
@@ -85,6 +90,21 @@ class CholeskyScore:
         self.picked = x if self.picked is None else np.vstack([self.picked, x])
 
 
+class CoregionalScore:
+    """Variance summed over the latent fields of a coregionalisation, each weighted by
+    its eigenvalue and observed with noise."""
+
+    def __init__(self, eigenvalues: np.ndarray, kernel: Callable, noise: float):
+        self.parts = [(lam, CholeskyScore(kernel, noise, lam)) for lam in eigenvalues]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return sum(lam * part.score(x) for lam, part in self.parts)
+
+    def add(self, row: np.ndarray) -> None:
+        for _, part in self.parts:
+            part.add(row)
+
+
 class DistanceScore:
     """Distance to the nearest point picked so far (farthest-point ordering)."""
 

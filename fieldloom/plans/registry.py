@@ -65,5 +65,6 @@ def load_all() -> None:
 
 
 AREAS = [
-    "ratedist", "sources", "reshape", "quantise", "metrics", "analytics",
+    "ratedist", "sources", "reshape", "quantise", "metrics", "analytics", "kernels", "fitting",
+    "selection",
 ]
