@@ -137,11 +137,13 @@ def gp_nll(cov: np.ndarray, y: np.ndarray) -> float:
 
 
 def lmc_nll(lam_b: np.ndarray, q_b: np.ndarray, cov: np.ndarray, y: np.ndarray, noise: float) -> float:
-    """Coregionalised likelihood on the product of both eigenbases."""
+    """Coregionalised likelihood on the product of both eigenbases, averaged over the
+    leading axis of ``y`` (snapshots x points x fields)."""
     lam, q = np.linalg.eigh(cov)
     white = q.T @ y @ q_b
     d = np.maximum(lam, 0)[:, None] * np.maximum(lam_b, 0)[None, :] + noise
-    return float(0.5 * ((white**2 / d).sum() + np.log(d).sum() + d.size * np.log(2 * np.pi)))
+    quad = (white**2 / d).sum() / len(white)
+    return float(0.5 * (quad + np.log(d).sum() + d.size * np.log(2 * np.pi)))
 
 
 def fit_by_zoom(

@@ -16,7 +16,7 @@ import heapq
 from typing import Callable, NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.sources.profiles import block, collect_matrix, list_column, map_blocks, scalar, sum_blocks
@@ -141,21 +141,70 @@ def greedy_select(points: DataFrame, scorer, k: int, pool: int = POOL) -> Picks:
             break
         cand, x = got["id"].to_numpy(), np.stack(got["x"].to_numpy())
         outside = got["score"].iloc[-1] if len(got) == pool else -np.inf
-        free = np.ones(len(cand), bool)
-        first = True
-        while len(ids) < k and free.any():
-            s = np.where(free, np.round(scorer.score(x), ROUND), -np.inf)
-            j = int(np.lexsort((cand, -s))[0])
-            if not first and s[j] <= outside:
-                break
-            if s[j] <= 0:
-                return Picks(np.array(ids, "i8"), np.array(rows), np.array(scores))
-            scorer.add(x[j])
-            ids.append(int(cand[j])), rows.append(x[j]), scores.append(s[j])
-            free[j], first = False, False
+        if not _pick_from(cand, x, outside, scorer, k, ids, rows, scores):
+            break
     return Picks(np.array(ids, "i8"), np.array(rows), np.array(scores))
 
 
+def greedy_select_by(points: DataFrame, group: str, scorers: dict, k: int, pool: int = 64) -> dict[int, Picks]:
+    """:func:`greedy_select` for every group at once: ``points(<group>, id, x)``.
+
+    A pass keeps ``pool`` candidates per group; the rank filter also runs before the
+    shuffle, so a hot group costs no more than any other.  Groups are bounded (levels).
+    """
+    out = {g: ([], [], []) for g in scorers}
+    open_groups = set(scorers)
+    order = Window.partitionBy(group).orderBy(F.desc("score"), "id")
+
+    def scored(b):
+        g, x = scalar(b, group), block(b, "x")
+        s = np.empty(len(g))
+        for name in np.unique(g):
+            hit = g == name
+            s[hit] = live[name].score(x[hit]) if name in live else -1.0
+        return [b.column(group), b.column("id"), b.column("x"), np.round(s, ROUND)]
+
+    while open_groups:
+        live = {g: scorers[g] for g in open_groups}
+        got = (
+            map_blocks(points, [group, "id", "x"], f"{group} bigint, id bigint, x array<double>, score double", scored)
+            .where("score > 0")
+            .withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= pool)
+            .toPandas()
+        )
+        frames = dict(list(got.groupby(group)))
+        for g in list(open_groups):
+            cand = frames.get(g)
+            if cand is None:
+                open_groups.discard(g)
+                continue
+            cand = cand.sort_values("_rn")
+            ids, rows, scores = out[g]
+            _pick_from(cand["id"].to_numpy(), np.stack(cand["x"].to_numpy()),
+                       cand["score"].iloc[-1] if len(cand) == pool else -np.inf, scorers[g], k, ids, rows, scores)
+            if len(ids) >= k or len(cand) < pool:
+                open_groups.discard(g)
+    return {g: Picks(np.array(i, "i8"), np.array(r), np.array(s)) for g, (i, r, s) in out.items()}
+
+
+def _pick_from(cand, x, outside, scorer, k, ids, rows, scores) -> bool:
+    """Greedy picks from one pool, as far as it is conclusive; False when nothing with a
+    positive score is left."""
+    free = ~np.isin(cand, ids)
+    first = True
+    while len(ids) < k and free.any():
+        s = np.where(free, np.round(scorer.score(x), ROUND), -np.inf)
+        j = int(np.lexsort((cand, -s))[0])
+        if not first and s[j] <= outside:
+            break
+        if s[j] <= 0:
+            return False
+        scorer.add(x[j])
+        ids.append(int(cand[j])), rows.append(x[j]), scores.append(s[j])
+        free[j], first = False, False
+    return True
+
+
 def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, pool: int = POOL) -> Picks:
     """Randomly pivoted Cholesky: each pick has probability proportional to its residual
     variance.

@@ -216,19 +216,24 @@ def f11_fit_pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _lmc_objective(theta, xy, y, lam_b, q_b):
     cov = kn.matern(sl.distance_matrix(xy, xy), 1.5, float(np.exp(theta[0])), m=np)
-    return dc.lmc_nll(lam_b, q_b, cov, y, 1e-2)
+    return dc.lmc_nll(lam_b, q_b, cov, y, 1e-2)  # y: levels x points x fields
 
 
 @query("f13_fit_coregional")
 def f13_fit_coregional(spark: SparkSession, sf: str) -> DataFrame:
-    """Length scale of the shared spatial factor of a three-field model at one level."""
+    """Length scale of the shared spatial factor of a three-field model over all levels."""
     z = rs.zscore_by_location(grid_field(spark, sf), FIELDS)
     b = np.zeros((3, 3))
     for r in dc.cross_field(z, FIELDS).collect():
         b[r["i"], r["j"]] = r["b_ij"]
     lam_b, q_b = np.linalg.eigh(b)
-    pdf = rs.sample_without_replacement(z.where("level = 40"), "loc", SAMPLE, 42).toPandas()
-    xy, y = pdf[["y", "x"]].to_numpy(float), pdf[[f"z_{f}" for f in FIELDS]].to_numpy()
+    locs = rs.sample_without_replacement(z.select("loc").distinct(), "loc", 100, 42)
+    # a bounded sample: 100 locations on every level
+    pdf = z.join(F.broadcast(locs), "loc").toPandas()
+    where = pdf[["loc", "y", "x"]].drop_duplicates("loc").sort_values("loc")
+    xy = where[["y", "x"]].to_numpy(float)
+    y = np.zeros((int(pdf["level"].max()) + 1, len(xy), len(FIELDS)))
+    y[pdf["level"], np.searchsorted(where["loc"], pdf["loc"])] = pdf[[f"z_{f}" for f in FIELDS]].to_numpy()
     top = float(np.log(3 * max(np.ptp(xy[:, 0]), np.ptp(xy[:, 1]), 1.0)))
     fit = dc.fit_by_zoom(spark, partial(_lmc_objective, xy=xy, y=y, lam_b=lam_b, q_b=q_b), [(BOX_LS_LMC_LOW, top)], 9)
     return _fit_row(spark, ["ls"], fit)

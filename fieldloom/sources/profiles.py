@@ -74,6 +74,23 @@ def map_blocks(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def add_block_column(
+    df: DataFrame, name: str, fn: Callable[[pa.RecordBatch], np.ndarray]
+) -> DataFrame:
+    """``df`` with one more DOUBLE column computed per Arrow batch."""
+    keep = df.columns
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(c) for c in keep), pa.array(fn(b))], names=[*keep, name]
+                )
+
+    return df.mapInArrow(run, schema)
+
+
 def sum_blocks(
     df: DataFrame, columns: Sequence[str], shape: tuple[int, int],
     fn: Callable[[pa.RecordBatch], np.ndarray],
