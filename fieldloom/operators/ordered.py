@@ -1,8 +1,10 @@
 """Order-dependent operators over one very long sequence.
 
-A global ``lag`` or running sum would order everything in a single task.  The order key
-is cut into ranges instead: each range is handled on its own and only one summary row
-per range is ordered globally.
+A global ``lag`` would order everything in a single task.  The order key is cut into
+ranges instead: each range is handled on its own and hands the last value to the next
+non-empty one.  The hand-over is itself such a sequence, one row per range, and is
+treated the same way, so what is finally ordered globally is smaller by the square of
+the range width.
 """
 
 from __future__ import annotations
@@ -14,36 +16,21 @@ RANGE = 100_000
 
 
 def previous_in_order(
-    df: DataFrame, order: str, value: str, out: str, width: int = RANGE
+    df: DataFrame, order: str, value: str, out: str, width: int = RANGE, levels: int = 2
 ) -> DataFrame:
-    """Add the value preceding each row in ``order`` (integer key, gaps allowed)."""
-    cut = df.withColumn("_r", F.floor(F.col(order) / width))
-    within = Window.partitionBy("_r").orderBy(order)
-    tails = cut.groupBy("_r").agg(F.max_by(value, order).alias("_tail"))
-    carry = tails.select("_r", F.lag("_tail").over(Window.orderBy("_r")).alias("_carry"))
+    """Add the value preceding each row in ``order`` (unique integer key, gaps allowed)."""
+    if levels == 0:
+        return df.withColumn(out, F.lag(value).over(Window.orderBy(order)))
+    r, first = f"_r{levels}", f"_first{levels}"
+    cut = df.withColumn(r, F.floor(F.col(order) / width))
+    within = Window.partitionBy(r).orderBy(order)
+    tails = cut.groupBy(r).agg(F.max_by(value, order).alias("_tail"))
+    # already partitioned by the range, so the join adds no shuffle of the long side
+    carry = previous_in_order(tails, r, "_tail", f"_carry{levels}", width, levels - 1).drop("_tail")
     return (
-        cut.withColumn("_rn", F.row_number().over(within))
-        .withColumn("_lag", F.lag(value).over(within))
-        .join(carry, "_r")
-        .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_r", "_rn", "_lag", "_carry")
-    )
-
-
-def running_total(
-    df: DataFrame, order: str, value: str, out: str, width: int = RANGE
-) -> DataFrame:
-    """Add the inclusive running sum of ``value`` in ``order`` (integer key)."""
-    cut = df.withColumn("_r", F.floor(F.col(order) / width))
-    within = Window.partitionBy("_r").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    totals = cut.groupBy("_r").agg(F.sum(value).alias("_t"))
-    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_r", F.coalesce(F.sum("_t").over(earlier), F.lit(0.0)).alias("_carry"))
-    return (
-        cut.withColumn("_s", F.sum(value).over(within))
-        .join(carry, "_r")
-        .withColumn(out, F.col("_s") + F.col("_carry"))
-        .drop("_r", "_s", "_carry")
+        cut.withColumn(first, F.row_number().over(within) == 1)
+        .withColumn(out, F.lag(value).over(within))
+        .join(carry, r)
+        .withColumn(out, F.when(F.col(first), F.col(f"_carry{levels}")).otherwise(F.col(out)))
+        .drop(r, first, f"_carry{levels}")
     )

@@ -113,7 +113,7 @@ class DistanceScore:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.picked is None:
-            return np.full(len(x), np.finfo(float).max)
+            return np.full(len(x), 1e18)
         return distance_matrix(x, self.picked).min(1)
 
     def add(self, row: np.ndarray) -> None:

@@ -52,7 +52,8 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return pg.union_history(two_rounds(spark, sf).history)
 
 
-_ROLE = F.when(F.col("sensed").isNotNull(), "sensor").when(F.col("settled").isNotNull(), "settled").otherwise("open")
+def _role():
+    return F.when(F.col("sensed").isNotNull(), "sensor").when(F.col("settled").isNotNull(), "settled").otherwise("open")
 
 
 @query("g02_level_rounds", ROUNDS_SQL + """SELECT 1::BIGINT AS round, count(*) AS n, count(*) FILTER (sen1) AS n_sensed, count(*) FILTER (acc1) AS n_settled, count(*) FILTER (NOT sen1 AND NOT acc1) AS n_left FROM t2
@@ -71,7 +72,7 @@ def g05_accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g06_candidate_state", ROUNDS_SQL + "SELECT round::BIGINT AS round, level, loc, role FROM h")
 def g06_candidate_state(spark: SparkSession, sf: str) -> DataFrame:
-    return history(spark, sf).select("round", "level", "loc", _ROLE.alias("role"))
+    return history(spark, sf).select("round", "level", "loc", _role().alias("role"))
 
 
 @query("g07_error_array", ROUNDS_SQL + "SELECT round::BIGINT AS round, level, loc, round(e, 5) + 0.0 AS err FROM h")
@@ -82,7 +83,7 @@ def g07_error_array(spark: SparkSession, sf: str) -> DataFrame:
 @query("g08_replay", ROUNDS_SQL + "SELECT round::BIGINT AS round, level, loc, role, round(e, 5) + 0.0 AS err FROM h WHERE round = 2")
 def g08_replay(spark: SparkSession, sf: str) -> DataFrame:
     """State rebuilt from the round tables."""
-    points = history(spark, sf).select("round", "level", "loc", _ROLE.alias("role"), F.col("full_err").alias("err"))
+    points = history(spark, sf).select("round", "level", "loc", _role().alias("role"), F.col("full_err").alias("err"))
     return pg.replay(points).select("round", "level", "loc", "role", (F.round("err", 5) + 0.0).alias("err"))
 
 

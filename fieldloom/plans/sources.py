@@ -17,9 +17,9 @@ R6 = 6
 
 @query("s01_raw_volume", ctes("g") + "SELECT level, loc, value::FLOAT::DOUBLE AS value FROM g")
 def s01_raw_volume(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells packed as raw float32 rows of one grid line, then scanned back."""
-    lines = grid_field(spark, sf).groupBy("level", "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", "loc", "value"))).alias("cells")
+    """Cells packed as raw float32 runs of up to 1000 locations, then scanned back."""
+    lines = grid_field(spark, sf).groupBy("level", F.expr("loc div 1000").alias("run")).agg(
+        F.array_sort(F.collect_list(F.struct("loc", "value"))).alias("cells")
     )
     packed = lines.select("level", "cells.loc", pack_f32(F.col("cells.value")).alias("blob"))
     back = packed.select("level", "loc", unpack_f32(F.col("blob"), 0)["payload"].alias("v"))
