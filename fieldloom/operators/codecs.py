@@ -18,6 +18,7 @@ from fieldloom.functions import kernels as kn
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import selection as sl
 from fieldloom.operators.predict import check_model, readings_at, solve_spd
+from fieldloom.session import sized_broadcast
 from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 from fieldloom.sources.rawf32 import pack_f32, unpack_f32
 
@@ -65,10 +66,13 @@ def fit_deim(profiles: DataFrame, n_levels: int, n_locs: int, k: int, train: np.
     basis = dc.svd_basis(rows, n_levels if train is None else len(train), k)
     turn = basis.v / np.maximum(basis.s, 1e-300)
     check_model(turn)
-    names = "loc bigint, mode array<double>"
-    modes = map_blocks(rows, ["loc", "vec"], names, lambda b: [b.column("loc"), list_column(block(b, "vec") @ turn)])
-    table = profiles.join(modes, "loc")
-    picks = sl.qdeim(modes.select(F.col("loc").alias("id"), F.col("mode").alias("x")), k)
+    levels = slice(None) if train is None else np.asarray(train)
+    keep = ["loc", "y", "x", "mu", "sd", "vec"]
+    table = map_blocks(
+        profiles, keep, "loc bigint, y bigint, x bigint, mu double, sd double, vec array<double>, mode array<double>",
+        lambda b: [*(b.column(c) for c in keep), list_column(block(b, "vec")[:, levels] @ turn)],
+    )
+    picks = sl.qdeim(table.select(F.col("loc").alias("id"), F.col("mode").alias("x")), k)
     return Model("deim", table, picks.ids, np.zeros((k, 2)), picks.rows, n_levels, n_locs)
 
 
@@ -84,19 +88,37 @@ def fit_kriging(
     return Model(kind, profiles, picks.ids, picks.rows, None, n_levels, n_locs, kernel, noise)
 
 
+def _rank_of(model: Model):
+    pairs = [F.lit(v) for i, s in enumerate(model.sensors) for v in (int(s), i)]
+    return F.create_map(*pairs)[F.col("loc")]
+
+
+def _packed(model: Model, readings: DataFrame) -> DataFrame:
+    """level, blob from (level, rank, v): k readings per level, k being the model's."""
+    r = readings.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("rank", "v")))["v"].alias("r"))
+    blob = pack_f32(F.col("r"), F.size("r"), F.lit(model.n_locs))
+    return r.select(F.col("level").cast("bigint").alias("level"), blob.alias("blob"))
+
+
 def encode(model: Model, profiles: DataFrame) -> DataFrame:
     """level, blob: header (k, n) and the readings of one level in sensor order; centred
     for the basis codec, standardised for Kriging."""
-    rank = {int(s): i for i, s in enumerate(model.sensors)}
-    at = F.create_map(*[F.lit(v) for pair in rank.items() for v in pair])
     value = F.col("v") / F.col("sd") if model.kind == "kriging" else F.col("v")
-    readings = (
-        profiles.where(F.col("loc").isin(list(rank)))
-        .select(at[F.col("loc")].alias("rank"), "sd", F.posexplode("vec").alias("level", "v"))
-        .groupBy("level").agg(F.array_sort(F.collect_list(F.struct("rank", value.alias("v"))))["v"].alias("r"))
+    at = profiles.where(F.col("loc").isin(model.sensors.tolist())).select(
+        _rank_of(model).alias("rank"), "sd", F.posexplode("vec").alias("level", "v")
     )
-    blob = pack_f32(F.col("r"), F.size("r"), F.lit(model.n_locs))
-    return readings.select(F.col("level").cast("bigint").alias("level"), blob.alias("blob"))
+    return _packed(model, at.select("level", "rank", value.alias("v")))
+
+
+def encode_cells(model: Model, cells: DataFrame) -> DataFrame:
+    """As :func:`encode` for new snapshots in long form (level, loc, value): readings are
+    centred with the model's means."""
+    at_sensor = F.col("loc").isin(model.sensors.tolist())
+    means = model.table.where(at_sensor).select("loc", "mu", "sd")
+    v = F.col("value") - F.col("mu")
+    value = v / F.col("sd") if model.kind == "kriging" else v
+    rows = cells.where(at_sensor).join(sized_broadcast(means, model.k), "loc")
+    return _packed(model, rows.select("level", _rank_of(model).alias("rank"), value.alias("v")))
 
 
 def _decoded_readings(encoded: DataFrame, n_levels: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators.neighbours import inside, point, row_run, with_stencil
 from fieldloom.operators.ratedist import psnr
+from fieldloom.session import sized_broadcast
 from fieldloom.sources.grid import NX
 
 WINDOW = 7
@@ -79,14 +80,13 @@ def ssim_windowed(df: DataFrame, truth: str, pred: str, ny: int, value_range: Co
     return m.groupBy("level").agg(F.avg(s).alias("ssim"), F.count(F.lit(1)).alias("n_windows"))
 
 
-def autocorrelation(df: DataFrame, value: str, max_lag: int) -> DataFrame:
+def autocorrelation(df: DataFrame, value: str, max_lag: int, n_levels: int | None = None) -> DataFrame:
     """level, dy, dx, ac: spatial autocorrelation of the level-demeaned field, lag 0 = 1.
 
     Only half of the lags are computed; the other half mirrors them.
     """
     means = df.groupBy("level").agg(F.avg(value).alias("_m"))
-    # one row per level
-    f = df.join(F.broadcast(means), "level").withColumn("_f", F.col(value) - F.col("_m"))
+    f = df.join(sized_broadcast(means, n_levels), "level").withColumn("_f", F.col(value) - F.col("_m"))
     lags = [(dy, dx) for dy in range(0, max_lag + 1) for dx in range(-max_lag, max_lag + 1)
             if dy > 0 or dx >= 0]
     names = {f"_l{i}": lag for i, lag in enumerate(lags)}

@@ -22,9 +22,10 @@ from fieldloom.operators.predict import check_model, solve_spd
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import psnr
 from fieldloom.operators.sizing import sensor_bits
-from fieldloom.session import cut_lineage
+from fieldloom.session import cut_lineage, sized_broadcast
 from fieldloom.sources.profiles import add_block_column, scalar
 
+MAX_BUDGET = 4_000_000
 AXES = {"level": ("y", "x"), "volume": ("level", "y", "x")}
 
 
@@ -100,7 +101,7 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.col("loc") * 1_000_000 + F.col("level"))
 
 
-def choose(state: DataFrame, config: RoundConfig, r: int) -> DataFrame:
+def choose(state: DataFrame, config: RoundConfig, r: int, n_levels: int | None = None) -> DataFrame:
     """Sensors of round ``r``: level, loc (at most k per level, or k in all)."""
     pool = state.where(in_pool())
     strategy = config.strategy
@@ -117,11 +118,11 @@ def choose(state: DataFrame, config: RoundConfig, r: int) -> DataFrame:
     if strategy == "worst_fraction":
         p = 1.0 - config.worst_share
         keys = ["level"] if by_level else []
-        cut = exact_quantiles(pool, F.abs("err"), [p], keys)
+        cut = exact_quantiles(pool, F.abs("err"), [p], keys, n_levels)
         counts = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         if by_level:
-            lim = F.broadcast(cut.join(counts, "level").select("level", "q", "_n"))
-            tagged = pool.join(lim, "level")
+            lim = cut.join(counts, "level").select("level", "q", "_n")
+            tagged = pool.join(sized_broadcast(lim, n_levels), "level")
         else:
             tagged = pool.withColumn("q", cut.select("q").scalar()).withColumn("_n", counts.select("_n").scalar())
         # groups too small for the share keep all their candidates
@@ -214,8 +215,12 @@ def run_rounds(
     """
     state = cut_lineage(start if start is not None else initial_state(cells, value))
     history, records, reason = [], [], "max_rounds"
+    n_levels = state.agg(F.max("level") + 1).first()[0]
+    per_round = config.k_per_round * (n_levels if config.scope == "level" else 1)
+    if per_round * config.max_rounds > MAX_BUDGET:
+        raise ValueError("sensor budget too large to hold as a model")
     for r in range(first_round, first_round + config.max_rounds):
-        new = F.broadcast(choose(state, config, r).withColumn("_new", F.lit(True)))
+        new = sized_broadcast(choose(state, config, r, n_levels).withColumn("_new", F.lit(True)), per_round, 64)
         state = state.join(new, ["level", "loc"], "left").withColumn(
             "sensed", F.coalesce("sensed", F.when(F.col("_new"), F.lit(r).cast("bigint")))
         ).drop("_new")

@@ -13,17 +13,20 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.session import sized_broadcast
+
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (),
+    groups: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles: ``*by, p, q``.
 
-    ``by`` must name a bounded set of groups (levels, methods, rounds): their brackets
-    are joined back by broadcast.
+    ``groups`` is the caller's bound on the number of groups; where it keeps the brackets
+    small they are joined back by broadcast, otherwise by a shuffle.
     """
     by = list(by)
     v = F.col(value) if isinstance(value, str) else value
@@ -55,7 +58,8 @@ def exact_quantiles(
         ]).alias("_b"),
     )
 
-    joined = base.join(F.broadcast(brackets), keys)
+    bound = groups if by else 1
+    joined = base.join(sized_broadcast(brackets, bound, 64 * (len(wanted) + 1)), keys)
     # Per row only the brackets it lies in survive; rows below one are counted.
     tagged = joined.select(
         *keys, "_n", "_v", F.explode("_b").alias("_t")

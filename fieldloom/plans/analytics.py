@@ -271,7 +271,7 @@ SELECT method, round(median(e), 6) AS med, round(quantile_cont(e, 0.95), 6) AS p
 def a25_error_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     e = _abs_errors(spark, sf)
     top = quantile_row(e, "e", top=0.95).select("top").scalar()
-    q = exact_quantiles(e, "e", [0.5, 0.95], ["method"]).groupBy("method").agg(
+    q = exact_quantiles(e, "e", [0.5, 0.95], ["method"], 2).groupBy("method").agg(
         F.round(F.max(F.when(F.col("p") == 0.5, F.col("q"))), 6).alias("med"),
         F.round(F.max(F.when(F.col("p") == 0.95, F.col("q"))), 6).alias("p95"),
     )

@@ -14,7 +14,7 @@ from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
 from fieldloom.plans.registry import more, query
 from fieldloom.plans.reshape import Z_SQL
-from fieldloom.session import cut_lineage
+from fieldloom.session import cut_lineage, sized_broadcast
 from fieldloom.sources.grid import FIELDS, NX, grid_field, grid_shape, residual_field
 from fieldloom.sources.profiles import block, collect_matrix, profiles, sum_blocks
 
@@ -108,9 +108,8 @@ def f06_volume_modes(spark: SparkSession, sf: str) -> DataFrame:
     f = residual_field(spark, sf)
     u = f.groupBy("level").agg(F.avg("resid").alias("u1"), F.avg("f_quantity").alias("u2"))
     v = f.groupBy("loc").agg(F.avg("value").alias("v1"), F.avg("f_discount").alias("v2"))
-    full = rs.full_grid(f, grid_shape(spark, sf))
-    # one row per level
-    m = full.join(v, "loc").join(F.broadcast(u), "level")
+    shape = grid_shape(spark, sf)
+    m = rs.full_grid(f, shape).join(v, "loc").join(sized_broadcast(u, shape.n_levels), "level")
     return m.select(
         "level", "loc", (F.round(F.col("u1") * F.col("v1") / 1e6, 4) + 0.0).alias("m1"),
         F.round(F.col("u2") * F.col("v2"), 6).alias("m2"),
@@ -229,7 +228,7 @@ def f13_fit_coregional(spark: SparkSession, sf: str) -> DataFrame:
     lam_b, q_b = np.linalg.eigh(b)
     locs = rs.sample_without_replacement(z.select("loc").distinct(), "loc", 100, 42)
     # a bounded sample: 100 locations on every level
-    pdf = z.join(F.broadcast(locs), "loc").toPandas()
+    pdf = z.join(sized_broadcast(locs, 100), "loc").toPandas()
     where = pdf[["loc", "y", "x"]].drop_duplicates("loc").sort_values("loc")
     xy = where[["y", "x"]].to_numpy(float)
     y = np.zeros((int(pdf["level"].max()) + 1, len(xy), len(FIELDS)))

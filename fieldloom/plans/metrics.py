@@ -137,7 +137,7 @@ ac AS (SELECT level, dy, dx, s/z AS ac FROM pr JOIN z USING (level))"""
 
 @query("m13_autocorrelation", _AC + "SELECT level, dy, dx, round(ac, 6) + 0.0 AS ac FROM ac")
 def m13_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.autocorrelation(residual_field(spark, sf), "resid", 3).select(
+    return mt.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels).select(
         "level", "dy", "dx", (F.round("ac", 6) + 0.0).alias("ac")
     )
 
@@ -146,7 +146,7 @@ def m13_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT level, min(r) AS efold FROM r WHERE m < exp(-1) GROUP BY level)
 SELECT level, r, round(m, 6) + 0.0 AS mean_ac, efold FROM r LEFT JOIN e USING (level)""")
 def m14_radial_profile(spark: SparkSession, sf: str) -> DataFrame:
-    prof = mt.radial_profile(mt.autocorrelation(residual_field(spark, sf), "resid", 3))
+    prof = mt.radial_profile(mt.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels))
     below = F.min(F.when(F.col("mean_ac") < F.exp(F.lit(-1.0)), F.col("r"))).over(Window.partitionBy("level"))
     return prof.select("level", "r", (F.round("mean_ac", 6) + 0.0).alias("mean_ac"), below.alias("efold"))
 
@@ -154,6 +154,10 @@ def m14_radial_profile(spark: SparkSession, sf: str) -> DataFrame:
 _TIME = more("s") + "t AS (SELECT kind AS method, loc % 4 AS k, value/1000 AS sec FROM s)"
 
 
+# kinds of record times the four values of k; far below what a broadcast may hold
+TIMED = 1000
+
+
 def _timing(spark: SparkSession, sf: str) -> DataFrame:
     return event_series(spark, sf).select(
         F.col("kind").alias("method"), (F.col("loc") % 4).alias("k"), (F.col("value") / 1000).alias("sec")
@@ -167,7 +171,7 @@ SELECT method, k, round(med, 6) AS med, round(CASE WHEN med < base THEN train/(b
 def m15_break_even(spark: SparkSession, sf: str) -> DataFrame:
     """Uses needed before training pays off against the slowest method of the same k."""
     t = _timing(spark, sf)
-    med = exact_quantiles(t, "sec", [0.5], ["method", "k"]).select("method", "k", F.col("q").alias("med"))
+    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], TIMED).select("method", "k", F.col("q").alias("med"))
     train = t.groupBy("method", "k").agg((F.max("sec") * 10).alias("train"))
     m = med.join(train, ["method", "k"]).withColumn("base", F.max("med").over(Window.partitionBy("k")))
     gain = F.col("base") - F.col("med")
@@ -182,7 +186,7 @@ def m15_break_even(spark: SparkSession, sf: str) -> DataFrame:
  round(sum(sec)*1000/count(*), 4) AS ms_per_item, round(4e-6::DOUBLE*count(*)/sum(sec), 9) AS mb_per_s FROM t GROUP BY method, k""")
 def m16_timing_stats(spark: SparkSession, sf: str) -> DataFrame:
     t = _timing(spark, sf)
-    med = exact_quantiles(t, "sec", [0.5], ["method", "k"]).select("method", "k", F.round("q", 6).alias("med"))
+    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], TIMED).select("method", "k", F.round("q", 6).alias("med"))
     n, total = F.count(F.lit(1)), F.sum("sec")
     return t.groupBy("method", "k").agg(
         n.alias("n"), F.round(F.stddev_pop("sec"), 6).alias("sd"),
@@ -204,5 +208,6 @@ def m17_field_statistics(spark: SparkSession, sf: str) -> DataFrame:
 FROM p, (VALUES (0.005::DOUBLE, 1), (0.25, 2), (0.5, 3), (0.75, 4), (0.98, 5), (0.995, 6)) t(pr, i) GROUP BY level, pr, i""")
 def mq_exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles of every level by sketch bracketing."""
-    q = exact_quantiles(residual_field(spark, sf), "resid", [0.005, 0.25, 0.5, 0.75, 0.98, 0.995], ["level"])
+    probs = [0.005, 0.25, 0.5, 0.75, 0.98, 0.995]
+    q = exact_quantiles(residual_field(spark, sf), "resid", probs, ["level"], grid_shape(spark, sf).n_levels)
     return q.select("level", "p", F.round("q", 6).alias("q"))

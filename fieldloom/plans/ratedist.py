@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators.lorenzo import with_lorenzo
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.plans.registry import more, query
-from fieldloom.session import cut_lineage
+from fieldloom.session import cut_lineage, sized_broadcast
 from fieldloom.sources.grid import grid_shape, residual_field
 
 BOUNDS = [25.0, 50.0, 100.0, 200.0, 400.0, 800.0, 1600.0, 3200.0]
@@ -44,14 +44,14 @@ def sensor_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Residual field plus, per sensor count k, the centred reading at the sensor of the
     location's block: a low-rank predictor with piecewise-constant modes, whose k
     sensors are spread evenly."""
-    n = grid_shape(spark, sf).n_locs
+    n_levels, n = grid_shape(spark, sf)
     field = residual_field(spark, sf)
     sensors = sorted({-(-b * n // k) for k in SENSOR_COUNTS for b in range(k)})
-    # at most levels x sum(k) rows, whatever the size of the field
     readings = field.where(F.col("loc").isin(sensors)).groupBy("level").agg(
         F.map_from_entries(F.collect_list(F.struct("loc", "resid"))).alias("readings")
     )
-    df = field.join(F.broadcast(readings), "level", "left")
+    # levels x sum(k) readings, whatever the number of locations
+    df = field.join(sized_broadcast(readings, n_levels, 24 * len(sensors) + 64), "level", "left")
     for k in SENSOR_COUNTS:
         # smallest loc of the block, in integers
         sensor = F.expr(f"((loc * {k} div {n}) * {n} + {k - 1}) div {k}")

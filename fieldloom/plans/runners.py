@@ -10,6 +10,7 @@ from fieldloom.functions import kernels as kn
 from fieldloom.operators import codecs as cd
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import predict as pr
+from fieldloom.operators.predict import check_model
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
 from fieldloom.operators.lorenzo import with_lorenzo
@@ -24,7 +25,7 @@ from fieldloom.plans.ratedist import RESULTS_SQL, results
 from fieldloom.plans.registry import more, query
 from fieldloom.session import cut_lineage
 from fieldloom.sources.grid import FIELDS, NX, grid_shape, residual_field
-from fieldloom.sources.profiles import block, map_blocks
+from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 
 BOUNDS = [100.0, 400.0, 1600.0, 6400.0]
 
@@ -54,12 +55,34 @@ def _cells(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _merge(frames: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for name, f in frames.items():
-        part = f.withColumnRenamed("pred", name)
-        out = part if out is None else out.join(part.drop("vec"), "loc")
-    return cut_lineage(out)
+def _all_ranks(prof: DataFrame, columns: list[str], parts: dict) -> DataFrame:
+    """loc, vec and one prediction array per rank, all in one pass: ``parts[name](batch)``."""
+    schema = "loc bigint, vec array<double>, " + ", ".join(f"{n} array<double>" for n in parts)
+    return cut_lineage(map_blocks(
+        prof, ["loc", "vec", *columns], schema,
+        lambda b: [b.column("loc"), b.column("vec"), *(list_column(f(b)) for f in parts.values())],
+    ))
+
+
+class _Rotate:
+    """Profile rows times a levels x levels matrix: projection, solve and rebuild in one."""
+
+    def __init__(self, matrix: np.ndarray):
+        check_model(matrix)
+        self.matrix = matrix
+
+    def __call__(self, b) -> np.ndarray:
+        return block(b, "vec") @ self.matrix
+
+
+class _Krige:
+    def __init__(self, kernel, sensors: np.ndarray, alpha: np.ndarray):
+        check_model(sensors, alpha)
+        self.kernel, self.sensors, self.alpha = kernel, sensors, alpha
+
+    def __call__(self, b) -> np.ndarray:
+        x = np.column_stack([scalar(b, "y"), scalar(b, "x")]).astype(float)
+        return self.kernel(x, self.sensors) @ self.alpha
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -77,10 +100,11 @@ def deim_predictions(spark: SparkSession, sf: str, prof: DataFrame):
         modes = dc.spatial_modes(prof, basis, k)
         picks = sl.qdeim(modes, k)
         y = pr.readings_at(prof, picks.ids)
-        frames[f"k{k}"] = pr.deim_reconstruct_basis(prof, basis.v[:, :k], basis.s[:k], picks.rows, y)
+        turn = basis.v[:, :k] / np.maximum(basis.s[:k], 1e-300)
+        frames[f"k{k}"] = _Rotate(turn @ np.linalg.lstsq(picks.rows, y, rcond=None)[0])
         model = compressed_size(modes, "x", "f2") + mean + compress_bytes(picks.ids.astype("i4").tobytes())
         cost[k] = (model, compress_bytes(y.astype("f2").tobytes()))
-    return _merge(frames), cost
+    return _all_ranks(prof, [], frames), cost
 
 
 def kriging_predictions(spark: SparkSession, sf: str, prof: DataFrame, ls: float = 3.0):
@@ -93,9 +117,10 @@ def kriging_predictions(spark: SparkSession, sf: str, prof: DataFrame, ls: float
     mean = compressed_scalar(prof, "mu") + compressed_scalar(prof, "sd")
     frames, cost = {}, {}
     for k in ranks:
-        frames[f"k{k}"] = pr.kriging(prof, picks.rows[:k], y[:k], kernel, NOISE).drop("var")
+        s = picks.rows[:k]
+        frames[f"k{k}"] = _Krige(kernel, s, pr.solve_spd(kernel(s, s) + NOISE * np.eye(k), y[:k]))
         cost[k] = (mean + compress_bytes(picks.ids[:k].astype("i4").tobytes()) + 24, compress_bytes(y[:k].astype("f2").tobytes()))
-    return _merge(frames), cost
+    return _all_ranks(prof, ["y", "x"], frames), cost
 
 
 def _plain(merged, cost, method: str) -> DataFrame:

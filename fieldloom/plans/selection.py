@@ -17,7 +17,7 @@ from fieldloom.plans.fitting import field_profiles, location_points, stored_prof
 from fieldloom.plans.kernels import _m
 from fieldloom.plans.quantise import _TOPK, level_sensors
 from fieldloom.plans.registry import ctes, more, query
-from fieldloom.session import cut_lineage
+from fieldloom.session import cut_lineage, sized_broadcast
 from fieldloom.sources.grid import FIELDS, grid_field, grid_shape, residual_field
 
 MATERN = sl.RadialKernel(kn.matern, nu=2.5, ls=3.0)
@@ -144,9 +144,9 @@ SELECT level, loc, round(resid, 6) AS resid FROM p JOIN q USING (level) WHERE ab
 def n13_worst_quartile(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates at or above the 75th percentile of |error| on their level."""
     f = residual_field(spark, sf)
-    q = exact_quantiles(f, F.abs("resid"), [0.75], ["level"]).select("level", "q")
-    # one row per level
-    return f.join(F.broadcast(q), "level").where(F.abs("resid") >= F.col("q")).select(
+    nl = grid_shape(spark, sf).n_levels
+    q = exact_quantiles(f, F.abs("resid"), [0.75], ["level"], nl).select("level", "q")
+    return f.join(sized_broadcast(q, nl), "level").where(F.abs("resid") >= F.col("q")).select(
         "level", "loc", F.round("resid", 6).alias("resid")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import reshape as rs
 from fieldloom.plans.registry import ctes, more, query
+from fieldloom.session import sized_broadcast
 from fieldloom.sources.grid import FIELDS, event_series, grid_field, grid_shape, residual_field
 from fieldloom.sources.profiles import profiles
 from fieldloom.sources.rawf32 import pack_f32, unpack_f32
@@ -179,11 +180,11 @@ FROM x, (SELECT max(loc)+1 AS n FROM g) sh GROUP BY level, sh.n""",
 )
 def s13_packed_sensors(spark: SparkSession, sf: str) -> DataFrame:
     """Per level: header (k, n) and float32 readings packed, then parsed again."""
-    from fieldloom.plans.common import energetic_locations
+    from fieldloom.plans.common import SENSORS, energetic_locations
 
     n = grid_shape(spark, sf).n_locs
     sensors = energetic_locations(spark, sf)
-    rows = residual_field(spark, sf).join(F.broadcast(sensors.select("loc", "rank")), "loc")
+    rows = residual_field(spark, sf).join(sized_broadcast(sensors.select("loc", "rank"), SENSORS), "loc")
     per_level = rows.groupBy("level").agg(
         F.array_sort(F.collect_list(F.struct("rank", "resid")))["resid"].alias("v")
     )

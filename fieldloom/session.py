@@ -6,6 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "fieldloom", cpus: int | None = None) -> SparkSession:
@@ -42,3 +45,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and return it."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized_broadcast(df: DataFrame, rows: int | None, row_bytes: int = 256) -> DataFrame:
+    """Hint a broadcast only where a known row bound keeps the table small; without a
+    bound, or beyond it, the join stays a shuffle join that adaptive execution may tune."""
+    if rows is not None and rows * row_bytes <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    return df

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.sources.grid import NX
+
 
 def profiles(cells: DataFrame, n_levels: int, value: str = "value") -> DataFrame:
     """loc, y, x, n_obs_levels, mu, sd, vec.
@@ -21,21 +23,23 @@ def profiles(cells: DataFrame, n_levels: int, value: str = "value") -> DataFrame
     mean.  ``sd`` is the population deviation with the 1e-10 guard set to 1.
     A location has at most one entry per level, so the gathered group is bounded.
     """
-    g = cells.groupBy("loc", "y", "x").agg(
+    g = cells.groupBy("loc").agg(
         F.count(value).alias("n_obs_levels"),
         F.avg(value).alias("mu"),
         F.stddev_pop(value).alias("_sd"),
-        F.map_from_entries(F.collect_list(F.struct("level", value))).alias("_m"),
+        F.array_sort(F.collect_list(F.struct("level", F.col(value).alias("v")))).alias("_e"),
+    )
+    # complete profiles are read off in order; only gappy ones look levels up
+    dense = F.transform("_e", lambda e: e["v"] - F.col("mu"))
+    gappy = F.transform(
+        F.sequence(F.lit(0), F.lit(n_levels - 1)),
+        lambda l: F.coalesce(F.try_element_at("_m", l.cast("bigint")) - F.col("mu"), F.lit(0.0)),
     )
+    g = g.withColumn("_m", F.when(F.size("_e") < n_levels, F.map_from_entries("_e")))
     return g.select(
-        "loc", "y", "x", "n_obs_levels", "mu",
+        "loc", F.expr(f"loc div {NX}").alias("y"), (F.col("loc") % NX).alias("x"), "n_obs_levels", "mu",
         F.when(F.col("_sd") < 1e-10, 1.0).otherwise(F.col("_sd")).alias("sd"),
-        F.transform(
-            F.sequence(F.lit(0), F.lit(n_levels - 1)),
-            lambda l: F.coalesce(
-                F.try_element_at("_m", l.cast("bigint")) - F.col("mu"), F.lit(0.0)
-            ),
-        ).alias("vec"),
+        F.when(F.size("_e") == n_levels, dense).otherwise(gappy).alias("vec"),
     )
 
 

@@ -93,3 +93,33 @@ def test_domain_partition_is_exact():
     for extent, parts in ((7, 2), (10, 3), (5, 5)):
         spans = [range(r * extent // parts, (r + 1) * extent // parts) for r in range(parts)]
         assert sorted(i for s in spans for i in s) == list(range(extent))
+
+
+def test_streamed_snapshots_match_batch_encoding(spark, tmp_path):
+    from fieldloom.operators import codecs as cd
+    from fieldloom.sources.profiles import profiles
+    from fieldloom.streaming.encode import encode_stream
+
+    rng = np.random.default_rng(0)
+    rows = [(l, i, float(rng.normal())) for l in range(5) for i in range(40)]
+    cells = spark.createDataFrame(rows, "level long, loc long, value double")
+    prof = profiles(cells, 5).cache()
+    model = cd.fit_deim(prof, 5, 40, 3)
+    for l in range(5):
+        cells.where(F.col("level") == l).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = encode_stream(spark, str(tmp_path / "in"), model, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert q.awaitTermination(120)
+    got = {r["level"]: bytes(r["blob"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["level"]: bytes(r["blob"]) for r in cd.encode(model, prof).collect()}
+    assert got.keys() == want.keys()
+    for l in want:
+        assert np.allclose(np.frombuffer(got[l][8:], "<f4"), np.frombuffer(want[l][8:], "<f4"), atol=1e-5)
+
+
+def test_gappy_profiles(spark):
+    from fieldloom.sources.profiles import profiles
+
+    cells = spark.createDataFrame([(0, 7, 1.0), (2, 7, 3.0), (0, 8, 5.0), (1, 8, 5.0), (2, 8, 5.0)], "level long, loc long, value double")
+    got = {r["loc"]: r for r in profiles(cells, 3).collect()}
+    assert got[7]["vec"] == [-1.0, 0.0, 1.0] and got[7]["n_obs_levels"] == 2
+    assert got[8]["vec"] == [0.0, 0.0, 0.0] and got[8]["sd"] == 1.0
