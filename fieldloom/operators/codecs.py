@@ -241,3 +241,50 @@ def load_model(spark: SparkSession, path: str, kernel: Callable | None = DEFAULT
     rows = None if p["rows"] is None else np.array(p["rows"])
     return Model(p["kind"], spark.read.parquet(f"{path}/table"), np.array(p["sensors"]), np.array(p["coords"]),
                  rows, p["n_levels"], p["n_locs"], kernel, p["noise"])
+
+
+# --- snapshots by level number -----------------------------------------------------------
+
+def _row_map(model: Model) -> Callable:
+    """Basis row or covariance row of a batch of locations, in the unit of the field."""
+    if model.kind == "deim":
+        inv = np.linalg.pinv(model.rows)
+        return lambda b: block(b, "mode") @ inv
+    kernel, coords = model.kernel, model.coords
+    inv = solve_spd(kernel(coords, coords) + model.noise * np.eye(model.k), np.eye(model.k))
+
+    def rows(b):
+        x = np.column_stack([scalar(b, "y"), scalar(b, "x")]).astype(float)
+        return (kernel(x, coords) @ inv) * scalar(b, "sd")[:, None]
+
+    return rows
+
+
+def decode_snapshots(model: Model, encoded: DataFrame, levels_per_pass: int = 2000) -> DataFrame:
+    """level, loc, value of every encoded snapshot, whatever its level number.
+
+    Readings are taken in passes of bounded size; each pass is narrow over the model's
+    location table.
+    """
+    rows = _row_map(model)
+    extra = ["mode"] if model.kind == "deim" else ["sd", "y", "x"]
+    numbers = sorted(r["level"] for r in encoded.select("level").distinct().collect())
+    out = None
+    for a in range(0, len(numbers), levels_per_pass):
+        part = numbers[a : a + levels_per_pass]
+        got = encoded.where(F.col("level").between(part[0], part[-1])).select(
+            "level", unpack_f32(F.col("blob"), 2)["payload"].alias("p")
+        ).toPandas().set_index("level")["p"]
+        y = np.stack([got[lv] for lv in part]).astype(float).T
+        check_model(y)
+
+        def run(b, y=y):
+            return [b.column("loc"), list_column(rows(b) @ y + scalar(b, "mu")[:, None])]
+
+        wide = map_blocks(model.table, ["loc", "mu", *extra], "loc bigint, v array<double>", run)
+        number = F.array(*[F.lit(int(lv)).cast("bigint") for lv in part])
+        long = wide.select("loc", F.posexplode("v").alias("i", "value")).select(
+            number[F.col("i")].alias("level"), "loc", "value"
+        )
+        out = long if out is None else out.unionAll(long)
+    return out

@@ -24,6 +24,7 @@ def build_session(app: str = "fieldloom", cpus: int | None = None) -> SparkSessi
         .config("spark.driver.memory", os.environ.get("FIELDLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
