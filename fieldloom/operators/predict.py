@@ -18,6 +18,7 @@ from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 
 MAX_MODEL_BYTES = 256 << 20
 MAX_SENSORS = 5000
+BRUTE_FORCE = 2048
 
 
 def check_model(*arrays: np.ndarray) -> None:
@@ -112,39 +113,69 @@ def kriging(
     )
 
 
-def local_kriging(
-    cells: DataFrame, coords: list[str], value: str, sensors: np.ndarray, readings: np.ndarray,
-    kernel: Callable, noise: float, n_local: int, batch: int = 2000,
-) -> DataFrame:
-    """Every cell from its ``n_local`` nearest sensors: input columns plus pred, var.
+def nearest(x: np.ndarray, sensors: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and distances of the ``n`` nearest sensors of every row, exactly.
 
-    Neighbours and the small solves are batched inside the block, so memory is bounded by
-    ``batch`` whatever Arrow delivers.
+    Many sensors are first cut to the rows' bounding box grown by a radius; sensors outside
+    are further than the radius from every row, so the answer stands once the furthest
+    neighbour found is within it.  Otherwise the radius doubles.
     """
+    n = min(n, len(sensors))
+    lo, hi = x.min(0), x.max(0)
+    span = np.maximum(np.ptp(sensors, axis=0), 1e-12)
+    r = float((np.prod(span) * n / len(sensors)) ** (1.0 / x.shape[1]))
+    everything = len(sensors) <= BRUTE_FORCE
+    while True:
+        near_box = np.arange(len(sensors)) if everything else np.flatnonzero(
+            ((sensors >= lo - r) & (sensors <= hi + r)).all(1)
+        )
+        everything = everything or len(near_box) == len(sensors)
+        if len(near_box) >= n:
+            d = distance_matrix(x, sensors[near_box])
+            pos = np.argpartition(d, n - 1, axis=1)[:, :n]
+            dist = np.take_along_axis(d, pos, 1)
+            if everything or dist.max() <= r:
+                return near_box[pos], dist
+        r *= 2.0
+
+
+def local_solve(
+    x: np.ndarray, sensors: np.ndarray, readings: np.ndarray, kernel, noise: float, n_local: int, batch: int = 500
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of every row from its nearest sensors, as batched small systems.
+    Rows are taken in spatial order, so a batch covers a small box."""
     n_local = min(n_local, len(sensors))
-    check_model(sensors, readings)
+    fn, p = kernel.fn, kernel.params
     ridge = (noise + 1e-6) * np.eye(n_local)
+    prior = fn(np.zeros(1), m=np, **p)[0]
+    mean, var = np.empty(len(x)), np.empty(len(x))
+    order = np.lexsort(x.T[::-1])
+    for a in range(0, len(x), batch):
+        rows = order[a : a + batch]
+        near, dist = nearest(x[rows], sensors, n_local)
+        s = sensors[near]
+        gap = np.sqrt(((s[:, :, None] - s[:, None]) ** 2).sum(-1))
+        k = fn(dist, m=np, **p)
+        w = np.linalg.solve(fn(gap, m=np, **p) + ridge, k[:, :, None])[:, :, 0]
+        mean[rows] = (w * readings[near]).sum(1)
+        var[rows] = prior - (w * k).sum(1)
+    return mean, np.maximum(var, 0.0)
+
+
+def local_kriging(
+    cells: DataFrame, coords: list[str], value: str, sensors: np.ndarray, readings: np.ndarray,
+    kernel: Callable, noise: float, n_local: int,
+) -> DataFrame:
+    """level, loc, coordinates, value, pred, var: every cell from its nearest sensors."""
+    check_model(sensors, readings)
+    columns = ["level", "loc", *[c for c in coords if c not in ("level", "loc")], value]
 
     def predict(b):
         x = np.column_stack([scalar(b, c) for c in coords]).astype(float)
-        mean, var = np.empty(len(x)), np.empty(len(x))
-        for a in range(0, len(x), batch):
-            part = x[a : a + batch]
-            d = distance_matrix(part, sensors)
-            near = np.argpartition(d, n_local - 1, axis=1)[:, :n_local]
-            s = sensors[near]
-            gap = np.sqrt(((s[:, :, None] - s[:, None]) ** 2).sum(-1))
-            cov = kernel.fn(gap, m=np, **kernel.params) + ridge
-            k = kernel.fn(np.take_along_axis(d, near, 1), m=np, **kernel.params)
-            w = np.linalg.solve(cov, k[:, :, None])[:, :, 0]
-            mean[a : a + batch] = (w * readings[near]).sum(1)
-            var[a : a + batch] = kernel.fn(np.zeros(1), m=np, **kernel.params)[0] - (w * k).sum(1)
-        return [*(b.column(c) for c in columns), mean, np.maximum(var, 0.0)]
+        return [*(b.column(c) for c in columns), *local_solve(x, sensors, readings, kernel, noise, n_local)]
 
-    columns = ["level", "loc", *[c for c in coords if c not in ("level", "loc")], value]
-    schema = "level bigint, loc bigint, " + ", ".join(
-        f"{c} {dict(cells.dtypes)[c]}" for c in columns[2:]
-    ) + ", pred double, var double"
+    types = dict(cells.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", pred double, var double"
     return map_blocks(cells, columns, schema, predict)
 
 

@@ -18,7 +18,7 @@ from fieldloom.functions import kernels as kn
 from fieldloom.functions.quantisers import error_bin
 from fieldloom.operators import selection as sl
 from fieldloom.operators.entropy import entropy_of
-from fieldloom.operators.predict import check_model, solve_spd
+from fieldloom.operators.predict import check_model, local_solve, solve_spd
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import psnr
 from fieldloom.operators.sizing import sensor_bits
@@ -177,20 +177,7 @@ class _Process:
             hit = slice(None) if g is None else np.flatnonzero(level == g)
             part = x[hit]
             if len(part):
-                out[hit] = self._nearest(part, s, alpha) if local else self.kernel(part, s) @ alpha
-        return out
-
-    def _nearest(self, x: np.ndarray, s: np.ndarray, y: np.ndarray, batch: int = 2000) -> np.ndarray:
-        n, out = self.local, np.empty(len(x))
-        ridge = (self.noise + 1e-6) * np.eye(n)
-        for a in range(0, len(x), batch):
-            d = sl.distance_matrix(x[a : a + batch], s)
-            near = np.argpartition(d, n - 1, axis=1)[:, :n]
-            gap = np.sqrt(((s[near][:, :, None] - s[near][:, None]) ** 2).sum(-1))
-            fn, p = self.kernel.fn, self.kernel.params
-            k = fn(np.take_along_axis(d, near, 1), m=np, **p)
-            w = np.linalg.solve(fn(gap, m=np, **p) + ridge, k[:, :, None])[:, :, 0]
-            out[a : a + batch] = (w * y[near]).sum(1)
+                out[hit] = local_solve(part, s, alpha, self.kernel, self.noise, self.local)[0] if local else self.kernel(part, s) @ alpha
         return out
 
 

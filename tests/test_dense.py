@@ -139,7 +139,7 @@ def test_kriging_variants_match_dense(field):
     assert np.allclose(np.stack(out["pred"]), beta + K(xy, s) @ inv @ (vec[ids] - beta))
     full = pr.local_kriging(
         df.select(F.lit(0).cast("bigint").alias("level"), "loc", "y", "x", F.col("vec")[0].alias("v")),
-        ["y", "x"], "v", s, vec[ids][:, 0], K, 1e-3, 4, batch=7,
+        ["y", "x"], "v", s, vec[ids][:, 0], K, 1e-3, 4,
     ).toPandas().sort_values("loc")
     inv2 = np.linalg.inv(K(s, s) + (1e-3 + 1e-6) * np.eye(4))
     assert np.allclose(full["pred"], K(xy, s) @ inv2 @ vec[ids][:, 0])
@@ -221,3 +221,17 @@ def test_progressive_stops_at_target(field):
     _, _, df = field
     cfg = pg.RoundConfig(accept=0.5, eb=0.2, k_per_round=2, max_rounds=5, target_psnr=5.0)
     assert pg.run_rounds(cells(df), "v", cfg).stopped == "quality reached"
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_is_exact(clustered, monkeypatch):
+    rng = np.random.default_rng(1)
+    sensors = rng.uniform(0, 100, (900, 3))
+    if clustered:
+        sensors[:850] = sensors[:850] * 1e-3
+    x = rng.uniform(0, 100, (60, 3))
+    monkeypatch.setattr(pr, "BRUTE_FORCE", 10)
+    near, dist = pr.nearest(x, sensors, 7)
+    full = np.sort(sl.distance_matrix(x, sensors), 1)[:, :7]
+    assert np.allclose(np.sort(dist, 1), full)
+    assert np.allclose(np.take_along_axis(sl.distance_matrix(x, sensors), near, 1), dist)

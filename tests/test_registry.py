@@ -40,3 +40,19 @@ def test_oracles_belong_to_queries():
 
 def test_entry_runs(spark):
     assert entry_mod.entry(spark).count() == 3
+
+
+@pytest.mark.parametrize("name", ["rd_sweep", "mq_exact_quantiles", "m13_autocorrelation", "g02_level_rounds", "f01_gram"])
+def test_hot_keys(spark, con, sf, tmp_path, name):
+    """One supplier holds a third of all rows and one month another third."""
+    src = f"read_parquet('{sf}/lineitem.parquet')"
+    con.execute(f"""COPY (SELECT * REPLACE (
+        CASE WHEN rowid % 3 = 0 THEN 4 ELSE l_suppkey END AS l_suppkey,
+        CASE WHEN rowid % 3 = 1 THEN TIMESTAMP '1997-05-03' ELSE l_shipdate END AS l_shipdate)
+        FROM (SELECT *, row_number() OVER () AS rowid FROM {src})) TO '{tmp_path}/lineitem.parquet'""")
+    fresh = duckdb.connect()
+    fresh.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    df = entry_mod.queries()[name](spark, str(tmp_path))
+    cur = fresh.execute(entry_mod.oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    assert _rows(df.columns, df.collect()) == _rows(cols, cur.fetchall())
