@@ -54,9 +54,10 @@ def full_grid(cells: DataFrame, shape: GridShape) -> DataFrame:
     )
 
 
-def scatter(cells: DataFrame, shape: GridShape, fill: float | None) -> DataFrame:
-    """Place values back on the full grid; absent cells get ``fill``."""
-    out = full_grid(cells, shape).join(cells.select("level", "loc", "value"), ["level", "loc"], "left")
+def scatter(grid: DataFrame, cells: DataFrame, shape: GridShape, fill: float | None) -> DataFrame:
+    """Place the values of ``cells`` on the full grid of ``grid``'s locations; absent
+    cells get ``fill``."""
+    out = full_grid(grid, shape).join(cells.select("level", "loc", "value"), ["level", "loc"], "left")
     return out if fill is None else out.fillna({"value": fill})
 
 

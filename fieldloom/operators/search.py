@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from fieldloom.operators.ratedist import Predictor, sweep
 
 
-def zfp_rate(target: float) -> float:
+def fixed_rate_bits(target: float) -> float:
     """Fixed-rate codec: bits per value that give the ratio exactly."""
     return 32.0 / target
 

@@ -68,8 +68,8 @@ def p06_mask_scatter(spark: SparkSession, sf: str) -> DataFrame:
     """Active cells gathered, then scattered on the full grid with NULL elsewhere."""
     shape = grid_shape(spark, sf)
     g = grid_field(spark, sf)
-    active = rs.gather_active(g, rs.active_mask(g, shape.n_levels)).select("level", "loc", "value")
-    return rs.full_grid(g, shape).join(active, ["level", "loc"], "left").select("level", "loc", "value")
+    active = rs.gather_active(g, rs.active_mask(g, shape.n_levels))
+    return rs.scatter(g, active, shape, None).select("level", "loc", "value")
 
 
 @query("p07_zero_fill", more("g", "sh") + _MASK + """
