@@ -94,8 +94,12 @@ class Block:
         self.first = np.searchsorted(self.starts, self.bounds)
         return self
 
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hashes of byte spans."""
+        return span_hashes(_BYTES[seed][self.data], starts, ends, seed)
+
     def word_hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hashes(_BYTES[seed][self.data], self.starts, self.ends, seed)
+        return self.hashes(self.starts, self.ends, seed)
 
     def windows(self, width: int) -> np.ndarray:
         """Indices of the words that start a window of ``width`` words inside their text."""
@@ -126,6 +130,14 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Ite
         i = j
 
 
+def gather_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, bytes) of the spans, one after another."""
+    lengths = ends - starts
+    shift = starts - (np.cumsum(lengths) - lengths)
+    at = np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
+    return lengths, data[at]
+
+
 def shingle_sets(block: Block, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed ``width``-word shingles of every text, ascending, as (hashes, bounds).
 
