@@ -4,8 +4,9 @@ Two documents whose shingle sets x and y have Jaccard similarity of at least t s
 within the first ``|x| - ceil(t|x|) + 1`` (and ``|y| - ...``) tokens under *every* global token
 order.  The join therefore intersects filters, cheapest first, before it compares sets:
 
-1. order by ascending token digest, over all documents: a document survives when a token of its
-   prefix occurs in the prefix of a different set.  Tokens met more than once within a block are
+1. order by ascending token digest, over all documents, with prefixes a little longer than
+   needed: a document survives when as many of its prefix tokens occur in prefixes of other sets
+   as a partner implies.  Tokens met more than once within a block are
    reduced to one row before the shuffle, so a frequent token costs a row per block.
 2. order by document frequency (rarest first) among the survivors: prefix tokens make candidate
    pairs, with length and position bounds.  Tokens of one document only come first, so members
@@ -30,13 +31,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import arrow_map, components, signed, stored
 from fieldloom.llm.text import ROW_BITS, blocks, mix, shingle_sets
+from fieldloom.session import sized_broadcast
 
 WIDTH = 5
 PERCENT = 80
+SLACK = 5  # percent of a set that the digest prefixes have beyond the least length
 
 
 def _prefix(n, percent: int):
@@ -69,71 +73,87 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _digest_prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, node, sure) under the digest order; ``sure`` nodes met a partner in their block."""
+    """Prefix tokens under the digest order, longer by ``SLACK`` percent than the least prefix.
+
+    Rows with ``need = 0`` are tokens, one per block and token, with ``k = -1`` where several
+    sets of the block have the token.  A row with ``need > 0`` stands for a set: ``k`` of its
+    prefix tokens were met within the block, ``need`` is the least number a partner implies.
+    """
 
     def run(batch):
         for _, h, bounds, size, node in _sets(batch.column("text"), width):
             keep = np.zeros(size.size, bool)
             keep[np.unique(node, return_index=True)[1]] = True
-            take = np.where(keep & (size > 0), _prefix(size, percent), 0)
+            keep &= size > 0
+            least = _prefix(size, percent)
+            take = np.where(keep, np.minimum(least + (SLACK * size + 99) // 100, size), 0)
             of = np.repeat(np.arange(size.size), take)
-            at = bounds[of] + np.arange(of.size) - np.repeat(np.cumsum(take) - take, take)
-            token = h[at]
+            token = h[bounds[of] + np.arange(of.size) - np.repeat(np.cumsum(take) - take, take)]
             order = np.argsort(token, kind="stable")
-            token, of = token[order], of[order]
-            same = token[1:] == token[:-1]
+            same = token[order][1:] == token[order][:-1]
             met = np.zeros(token.size, bool)
-            met[1:] |= same
-            met[:-1] |= same
-            sure = np.zeros(size.size, bool)
-            sure[of[met]] = True
-            first = np.append(True, ~same)[: token.size]
-            token, of = token[first], of[first]
-            extra = np.flatnonzero(sure)
-            yield {"token": signed(np.concatenate([token, mix(node[extra]) >> np.uint64(ROW_BITS)])),
-                   "node": signed(node[np.concatenate([of, extra])]),
-                   "sure": np.append(np.zeros(of.size, bool), np.ones(extra.size, bool))}
+            met[order[1:]] |= same
+            met[order[:-1]] |= same
+            first = np.ones(token.size, bool)
+            first[order[1:]] = ~same
+            one = np.flatnonzero(keep)
+            k = np.bincount(of[met], minlength=size.size)[one]
+            yield {"token": signed(np.concatenate([token[first], mix(node[one]) >> np.uint64(ROW_BITS)])),
+                   "node": signed(node[np.concatenate([of[first], one])]),
+                   "k": np.concatenate([-met[first].astype(np.int32), k.astype(np.int32)]),
+                   "need": np.append(np.zeros(first.sum(), np.int32), (take - least + 1)[one].astype(np.int32))}
 
-    return arrow_map(texts.select("text"), run, "token long, node long, sure boolean")
+    return arrow_map(texts.select("text"), run, "token long, node long, k int, need int")
 
 
 def _survivors(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Nodes whose prefix under the digest order meets the prefix of another node."""
-    rows = _digest_prefixes(texts, width, percent)
-    rows.createOrReplaceTempView("digest_prefixes")
-    met = "lag(node) OVER w <> node OR lead(node) OVER w <> node"
-    out = texts.sparkSession.sql(
-        f"SELECT node FROM (SELECT node, sure, {met} AS met FROM digest_prefixes "
-        "WINDOW w AS (PARTITION BY token ORDER BY node)) WHERE sure OR met"
-    )
-    return out.distinct()
+    """Nodes that share enough prefix tokens under the digest order with other nodes.
 
+    A partner of similarity t lacks at most ``|x| - ceil(t|x|)`` tokens of x, so among any q
+    tokens of x at least ``q - (|x| - ceil(t|x|))`` are met elsewhere.
+    """
+    ring = Window.partitionBy("token").orderBy("node")
+    met = (F.lag("node").over(ring) != F.col("node")) | (F.lead("node").over(ring) != F.col("node"))
+    rows = _digest_prefixes(texts, width, percent).withColumn("met", F.coalesce(met, F.lit(False)))
+    credit = F.when(F.col("need") > 0, F.col("k")).when(F.col("met") & (F.col("k") == 0), 1).otherwise(0)
+    counted = rows.select("node", credit.alias("credit"), "need").where("credit > 0 OR need > 0")
+    total = counted.groupBy("node").agg(F.sum("credit").alias("credit"), F.max("need").alias("need"))
+    return total.where("credit >= need").select("node")
 
-def _tokens(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, token): all tokens of one text per node."""
+
+def _own_texts(texts: DataFrame, width: int) -> DataFrame:
+    """One text per node: rows whose text is of another node (under a repeated id) or repeats go."""
 
     def run(batch):
-        at = 0
-        wanted = batch.column("node").to_numpy()
-        for _, h, bounds, size, node in _sets(batch.column("text"), width):
+        wanted, at = batch.column("node").to_numpy(), 0
+        for _, _, _, size, node in _sets(batch.column("text"), width):
             mine = signed(node) == wanted[at : at + size.size]
+            part = batch.slice(at, size.size).filter(_pa(mine))
+            yield {"node": part.column("node"), "text": part.column("text")}
             at += size.size
-            of = np.repeat(np.arange(size.size), size)
-            keep = mine[of]
-            yield {"node": signed(node[of[keep]]), "n": size[of[keep]].astype(np.int64), "token": signed(h[keep])}
 
-    return arrow_map(texts.select("node", "text"), run, "node long, n long, token long")
+    return arrow_map(texts, run, "node long, text string").dropDuplicates(["node"])
 
 
-def _frequency_prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+def _tokens(texts: DataFrame, width: int) -> DataFrame:
+    """(node, token): all tokens of every text."""
+
+    def run(batch):
+        for _, h, _, size, node in _sets(batch.column("text"), width):
+            yield {"node": signed(np.repeat(node, size)), "token": signed(h)}
+
+    return arrow_map(texts.select("text"), run, "node long, token long")
+
+
+def _frequency_prefixes(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(token, node, pos, n, own) under the order by document frequency, unshared tokens left out.
 
     ``own`` counts the tokens no other survivor has; they hold the first positions.
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    listed = tokens.join(shared, "token").groupBy("node", "n").agg(
+    listed = tokens.join(shared, "token").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("list")
-    )
+    ).join(sizes, "node")
     own = F.col("n") - F.size("list")
     take = F.expr(f"n - (({percent} * n + 99) DIV 100) + 1") - own
     cut = listed.select("node", "n", own.alias("own"), take.cast("int").alias("take"), "list").where("take > 0")
@@ -190,11 +210,12 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
-    keepers = classes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keepers = keepers.join(_survivors(texts, width, percent), "node")
-    sets = stored(texts.join(keepers, "doc_id").select("node", "text"))
-    rows = stored(_frequency_prefixes(_tokens(sets, width), percent))
-    sets = sets.dropDuplicates(["node"]) if _repeats(sets) else sets
+    keepers = classes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    keepers = stored(keepers.join(_survivors(texts, width, percent), "node"))
+    few = sized_broadcast(keepers.select("doc_id", "node"), keepers.count(), 16)
+    sets = stored(_own_texts(texts.join(few, "doc_id").select("node", "text"), width))
+    rows = stored(_frequency_prefixes(_tokens(sets, width), keepers.select("node", "n"), percent))
 
     pivot = rows.groupBy("token").agg(F.min(F.struct("own", "node", "pos", "n")).alias("p"), F.count("*").alias("m"))
     pivot = pivot.where("m > 1").select("token", "p.node", "p.pos", "p.n")
@@ -214,11 +235,6 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return found.union(stored(_verified(rest, sets, width, percent)))
 
 
-def _repeats(sets: DataFrame) -> bool:
-    """True when some node has more than one text, which only repeated ids can cause."""
-    return not sets.groupBy("node").count().where("count > 1").isEmpty()
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
