@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.dictionary import chunks, pack_codes, token_rows, unpack_codes
-from fieldloom.llm.shared import Batches, stored
+from fieldloom.llm.shared import Batches
 from fieldloom.llm.text import Block, gather_spans
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chunked = stored(chunks(rows, pretokens))
+    chunked = chunks(rows, pretokens)
 
     def encode_distinct(batches: Batches) -> Batches:
         import tiktoken
@@ -146,21 +146,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
         """All documents of one chunk; both sides are bounded by the chunk's size."""
         parts = [tuple(unpack_codes(x.as_py()) for x in row) for row in zip(*(right[c] for c in ("code", "n", "ids")))]
-        ids, lists = [], []
-        for row in left.select(["rows", "counts", "codes"]).to_pylist():
-            counts, codes = np.array(row["counts"], np.int64), unpack_codes(row["codes"])
-            size = sum(p[0].size for p in parts)
-            length, start = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            at = 0
-            for code, n, flat in parts:
-                length[code], start[code] = n, at + np.cumsum(n) - n
-                at += flat.size
-            flat = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)]).astype("<u4")
-            stop = np.cumsum(counts)
-            for i, b in enumerate(stop):
-                use = codes[b - counts[i] : b]
-                lists.append(gather_spans(flat, start[use], start[use] + length[use])[1].tobytes())
-            ids += row["rows"]
+        codes = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
+        n = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)]).astype("<u4")
+        length, start = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
+        length[codes], start[codes] = n, np.cumsum(n) - n
+        row = left.select(["rows", "counts", "codes"]).to_pylist()
+        used = unpack_codes(row[0]["codes"]) if len(row) == 1 else np.zeros(0, np.int64)
+        if len(row) != 1 or used.max(initial=-1) + 1 != codes.size:
+            raise RuntimeError("the rows of the input changed their order between two reads")
+        stop = np.cumsum(row[0]["counts"])
+        lists = []
+        for a, b in zip(np.append(0, stop), stop):
+            use = used[a:b]
+            lists.append(gather_spans(flat, start[use], start[use] + length[use])[1].tobytes())
+        ids = row[0]["rows"]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(lists, pa.binary())})
 
     left = chunked.select("chunk", "rows", "counts", "codes").groupBy("chunk")

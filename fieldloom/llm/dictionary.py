@@ -5,6 +5,9 @@ A chunk holds consecutive documents of one partition up to a byte budget.  It is
 token (compressed byte planes, frequent tokens first) and the distinct tokens themselves.
 Only distinct tokens leave a chunk for a global shuffle; what they are given there comes back
 to the chunk once and is spread over the documents by code.
+
+Chunks are numbered by partition and place, so the rows of the input must come in the same order
+whenever a task is repeated, as rows of files do; users check that codes and tokens agree.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.shared import Batches
 from fieldloom.llm.text import Block, blocks, gather_spans
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 32 << 20
+FREQUENT = 1 << 16
 SCHEMA = "chunk long, rows array<long>, counts array<int>, codes binary, tokens array<binary>"
 _TYPE = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
                    ("codes", pa.binary()), ("tokens", pa.list_(pa.binary()))])
@@ -54,24 +59,32 @@ class _Chunk:
         u = np.concatenate([p[0] for p in self.parts])
         _, first, back = np.unique(u, return_index=True, return_inverse=True)
         at = np.cumsum([0] + [p[0].size for p in self.parts])
-        local = [back[at[i] : at[i + 1]][p[3]] for i, p in enumerate(self.parts)]
-        tally = sum((np.bincount(x, minlength=first.size) for x in local), np.zeros(first.size, np.int64))
-        order = np.argsort(-tally, kind="stable")
-        rank = np.empty(first.size, np.int64)
-        rank[order] = np.arange(first.size)
-        codes = rank[np.concatenate(local)] if local else np.zeros(0, np.int64)
+        local = [back[at[i] : at[i + 1]] for i in range(len(self.parts))]
+        tally = sum((np.bincount(b[p[3]], minlength=first.size) for b, p in zip(local, self.parts)),
+                    np.zeros(first.size, np.int64))
         lengths = np.concatenate([p[1] for p in self.parts])
         data = np.concatenate([p[2] for p in self.parts])
         ends = np.cumsum(lengths)
-        lengths, data = gather_spans(data, (ends - lengths)[first[order]], ends[first[order]])
-        bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
-        tokens = pa.Array.from_buffers(pa.binary(), lengths.size, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        tokens = binary_array(*gather_spans(data, (ends - lengths)[first], ends[first]))
+        # Frequent tokens get the small codes; the others follow in byte order, which compresses.
+        order = np.argsort(-tally, kind="stable")
+        rest = order[FREQUENT:]
+        if rest.size:
+            order[FREQUENT:] = rest[pc.sort_indices(tokens.take(pa.array(rest))).to_numpy()]
+        rank = np.empty(first.size, np.uint32)
+        rank[order] = np.arange(first.size, dtype=np.uint32)
+        codes = np.concatenate([rank[b][p[3]] for b, p in zip(local, self.parts)])
         counts = np.concatenate([p[4] for p in self.parts]).astype(np.int32)
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         chunk = (TaskContext.get().partitionId() << 32) + number
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk]), one(pa.concat_arrays(self.rows)), one(pa.array(counts)),
-             pa.array([pack_codes(codes)], pa.binary()), one(tokens)], schema=_TYPE)
+             pa.array([pack_codes(codes)], pa.binary()), one(tokens.take(pa.array(order)))], schema=_TYPE)
+
+
+def binary_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    bounds = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), lengths.size, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
 
 
 def chunks(docs: DataFrame, tokenize: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]],
