@@ -146,14 +146,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def lay_out(left: pa.Table, right: pa.Table) -> pa.Table:
         """All documents of one chunk; both sides are bounded by the chunk's size."""
         parts = [tuple(unpack_codes(x.as_py()) for x in row) for row in zip(*(right[c] for c in ("code", "n", "ids")))]
-        codes = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
-        n = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-        flat = np.concatenate([p[2] for p in parts] or [np.zeros(0, np.int64)]).astype("<u4")
+        codes, n, flat = (np.concatenate([p[k] for p in parts] or [np.zeros(0, "<u4")]) for k in range(3))
+        del parts
         length, start = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
-        length[codes], start[codes] = n, np.cumsum(n) - n
+        length[codes], start[codes] = n, np.cumsum(n, dtype=np.int64) - n
         row = left.select(["rows", "counts", "codes"]).to_pylist()
-        used = unpack_codes(row[0]["codes"]) if len(row) == 1 else np.zeros(0, np.int64)
-        if len(row) != 1 or used.max(initial=-1) + 1 != codes.size:
+        used = unpack_codes(row[0]["codes"]) if len(row) == 1 else np.zeros(0, "<u4")
+        if len(row) != 1 or (int(used.max()) + 1 if used.size else 0) != codes.size:
             raise RuntimeError("the rows of the input changed their order between two reads")
         stop = np.cumsum(row[0]["counts"])
         lists = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.shared import Batches
 from fieldloom.llm.text import Block, blocks, gather_spans
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 FREQUENT = 1 << 16
 SCHEMA = "chunk long, rows array<long>, counts array<int>, codes binary, tokens array<binary>"
 _TYPE = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
@@ -39,7 +39,7 @@ def pack_codes(codes: np.ndarray) -> bytes:
 
 def unpack_codes(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.int64)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
 class _Chunk:

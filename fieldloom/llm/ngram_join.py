@@ -69,7 +69,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at += size.size
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, "doc_id long, n_shingles long, node long")
+    return arrow_map(rows, run, {"doc_id": "long", "n_shingles": "long", "node": "long"})
 
 
 def _digest_prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _digest_prefixes(texts: DataFrame, width: int, percent: int) -> DataFrame:
                    "k": np.concatenate([-met[first].astype(np.int32), k.astype(np.int32)]),
                    "need": np.append(np.zeros(first.sum(), np.int32), (take - least + 1)[one].astype(np.int32))}
 
-    return arrow_map(texts.select("text"), run, "token long, node long, k int, need int")
+    return arrow_map(texts.select("text"), run, {"token": "long", "node": "long", "k": "int", "need": "int"})
 
 
 def _survivors(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _own_texts(texts: DataFrame, width: int) -> DataFrame:
             yield {"node": part.column("node"), "text": part.column("text")}
             at += size.size
 
-    return arrow_map(texts, run, "node long, text string").dropDuplicates(["node"])
+    return arrow_map(texts, run, {"node": "long", "text": "string"}).dropDuplicates(["node"])
 
 
 def _tokens(texts: DataFrame, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _tokens(texts: DataFrame, width: int) -> DataFrame:
         for _, h, _, size, node in _sets(batch.column("text"), width):
             yield {"node": signed(np.repeat(node, size)), "token": signed(h)}
 
-    return arrow_map(texts.select("text"), run, "node long, token long")
+    return arrow_map(texts.select("text"), run, {"node": "long", "token": "long"})
 
 
 def _frequency_prefixes(tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return arrow_map(pairs.select("a", "b").join(b, "b").join(a, "a"), run, "a long, b long")
+    return arrow_map(pairs.select("a", "b").join(b, "b").join(a, "a"), run, {"a": "long", "b": "long"})
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> bool:

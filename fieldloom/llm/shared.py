@@ -28,16 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: dict[str, str]) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns one batch into dicts of column arrays."""
-    names = [part.split()[0] for part in schema.split(",")]
+    names = list(schema)
+    ddl = ", ".join(f"`{name}` {kind}" for name, kind in schema.items())
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, ddl)
 
 
 def _array(values) -> pa.Array:
