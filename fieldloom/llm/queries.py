@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, ngram_join
+from fieldloom.llm import byte_bpe, decontaminate, ngram_join, quality_rules, sanitise
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaked_items(leaks)
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find_personal_data(table(spark, sf_dir, "documents"))
+    told = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in sanitise.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.expr(told.format("spans")), 256).alias("base_sha256"),
+        F.expr(told.format("concat(spans, terms)")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+
+
+@query
+def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return rules.drop("host", "digest")
+
+
 @query
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
