@@ -45,3 +45,18 @@ def jaccard_components(rows: list[tuple[int, str | None]], percent: int = 80) ->
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def kept_words(rows: list[tuple[int, str | None]], width: int = 35) -> dict[int, tuple[int, int, str]]:
+    lists = {i: words(t) for i, t in rows}
+    seen: Counter = Counter()
+    for w in lists.values():
+        seen.update(tuple(w[k : k + width]) for k in range(len(w) - width + 1))
+    out = {}
+    for i, w in lists.items():
+        gone = set()
+        for k in range(len(w) - width + 1):
+            if seen[tuple(w[k : k + width])] > 1:
+                gone.update(range(k, k + width))
+        out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    return out
