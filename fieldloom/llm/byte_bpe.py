@@ -107,10 +107,16 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.frombuffer(b"".join(by_id), np.uint8)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers.
+
+    With ``decoded`` also what ``decode`` makes of the ids, in the same tasks.
+    """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(path))
+    loaded = load_ranks(path)
+    ranks = spark.sparkContext.broadcast(loaded)
+    table = spark.sparkContext.broadcast(token_bytes(loaded)) if decoded else None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunked = chunks(rows, pretokens)
 
@@ -160,10 +166,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             use = used[a:b]
             lists.append(gather_spans(flat, start[use], start[use] + length[use])[1].tobytes())
         ids = row[0]["rows"]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(lists, pa.binary())})
+        out = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(lists, pa.binary())}
+        if table is not None:
+            out["decoded"] = pa.array([_decoded(x, *table.value) for x in lists], pa.binary())
+        return pa.table(out)
 
     left = chunked.select("chunk", "rows", "counts", "codes").groupBy("chunk")
-    return left.cogroup(coded.groupBy("chunk")).applyInArrow(lay_out, "doc_id long, ids binary")
+    return left.cogroup(coded.groupBy("chunk")).applyInArrow(
+        lay_out, "doc_id long, ids binary" + ", decoded binary" * decoded)
+
+
+def _decoded(raw: bytes, bounds: np.ndarray, data: np.ndarray) -> bytes:
+    ids = np.frombuffer(raw, "<u4").astype(np.int64)
+    return gather_spans(data, bounds[ids], bounds[ids + 1])[1].tobytes()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -173,10 +188,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Batches) -> Batches:
         bounds, data = table.value
         for batch in batches:
-            texts = []
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_buffer(), "<u4").astype(np.int64) if raw.is_valid else np.zeros(0, np.int64)
-                texts.append(gather_spans(data, bounds[ids], bounds[ids + 1])[1].tobytes())
+            texts = [_decoded(raw or b"", bounds, data) for raw in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, decontaminate, ngram_join, quality_rules, sanitise, substring_dedup
+from fieldloom.llm import byte_bpe, decontaminate, licences, ngram_join, quality_rules, sanitise, sharding, substring_dedup
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(told.format("concat(spans, terms)")).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
+@query
+def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+ORACLES["op4_shard_placement"] = sharding.placement_sql()
+
+
 @query
 def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
@@ -50,14 +58,82 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.decode(coded, path).select(
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return coded.select(
         "doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+@query
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+ORACLES["op7_licence_scan"] = licences.scan_sql()
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_line_frequency_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(source, '') host, coalesce(text, '') t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^ \t\n\x0B\f\r]+') w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) l FROM d),
+wins AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] k
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) i FROM w)),
+rep AS (
+  SELECT r, count(DISTINCT i + o) n
+  FROM (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, k) > 1), (SELECT unnest([0, 1, 2]) o) GROUP BY r),
+lines AS (
+  SELECT r, host, t, array_to_string(regexp_extract_all(lower(l), '[^ \t\n\x0B\f\r]+'), ' ') line,
+         len(regexp_extract_all(l, '[^ \t\n\x0B\f\r]+')) n
+  FROM (SELECT r, host, t, unnest(l) l FROM w)),
+over AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) n FROM lines GROUP BY host, line)
+  JOIN (SELECT host, count(DISTINCT t) a FROM d GROUP BY host) USING (host)
+  WHERE n >= {quality_rules.MIN_DOCUMENTS} AND 100 * n > {quality_rules.MAX_SHARE} * a),
+lost AS (SELECT r, sum(n)::BIGINT n FROM lines JOIN over USING (host, line) GROUP BY r),
+c AS (
+  SELECT doc_id, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT n_repeat_words, coalesce(lost.n, 0)::BIGINT n_removed
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
+SELECT *, (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words) AS base_failed,
+       NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words)
+       AND 100 * (n_words - n_removed) >= {quality_rules.MIN_KEPT} * n_words AS kept
+FROM c"""
+
+# Exact similarity of all placed windows; the fingerprints only propose candidates.
+ORACLES["op1_benchmark_leaks"] = rf"""
+WITH words AS (
+  SELECT 'd' kind, doc_id id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}} \t\n\x0B\f\r]+', '', 'g'), '[^ \t\n\x0B\f\r]+') w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}} \t\n\x0B\f\r]+', '', 'g'), '[^ \t\n\x0B\f\r]+') FROM benchmark),
+s AS (
+  SELECT kind, id, i, array_to_string(w[i + 1:i + 5], ' ') s
+  FROM (SELECT kind, id, w, unnest(range(0, len(w) - 4)) i FROM words WHERE len(w) >= 5)),
+item AS (SELECT id, i, s FROM s WHERE kind = 'i'), doc AS (SELECT id, i, s FROM s WHERE kind = 'd'),
+n_items AS (SELECT count(*) n FROM words WHERE kind = 'i' AND len(w) >= 5),
+weight AS (SELECT s, round(1000 * ln(1 + n / count(DISTINCT id)))::BIGINT weight FROM item, n_items GROUP BY s, n),
+size AS (SELECT kind, id, len(w) n FROM words),
+win AS (
+  SELECT DISTINCT doc.id doc_id, item.id item_id, greatest(doc.i - item.i, 0) a, least(doc.i - item.i + si.n, sd.n) b
+  FROM doc JOIN item USING (s) JOIN size sd ON sd.kind = 'd' AND sd.id = doc.id JOIN size si ON si.kind = 'i' AND si.id = item.id),
+has AS (
+  SELECT DISTINCT doc_id, item_id, a, b, s FROM win JOIN doc ON doc.id = doc_id AND doc.i >= a AND doc.i + 5 <= b),
+of_item AS (SELECT id item_id, sum(weight) w FROM (SELECT DISTINCT id, s FROM item) JOIN weight USING (s) GROUP BY id),
+score AS (
+  SELECT has.doc_id, has.item_id, a, b, sum(coalesce(weight, round(1000 * ln(1 + n))::BIGINT)) of_window,
+         sum(CASE WHEN mine.s IS NOT NULL THEN weight ELSE 0 END) common
+  FROM has CROSS JOIN n_items LEFT JOIN weight USING (s)
+  LEFT JOIN (SELECT DISTINCT id, s FROM item) mine ON mine.id = has.item_id AND mine.s = has.s GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS n_windows, min(a)::BIGINT AS first_word, round(max(common / (of_window + w - common)), 6) AS similarity
+FROM score JOIN of_item USING (item_id)
+WHERE 100 * common >= {decontaminate.PERCENT} * (of_window + w - common) GROUP BY doc_id, item_id"""
