@@ -24,22 +24,19 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import Batches, arrow_map, signed, stored
+from fieldloom.llm import sketch
+from fieldloom.llm.shared import arrow_map, signed, stored
 from fieldloom.llm.text import Block, blocks, gather_spans, mix, span_hashes
 from fieldloom.session import BROADCAST_BYTES, sized_broadcast
 
 WIDTH = 35
 ANCHOR = 18
-SEGMENT_BITS = 16  # counters of a segment, as a power of two
-MAX_COUNTERS = 1 << 30
-BYTES_PER_COUNTER = 12
+BYTES_PER_ANCHOR = 60  # of text, about; sets the size of the sketch
 
 
 def _least(values: np.ndarray, reach: int) -> np.ndarray:
@@ -66,55 +63,17 @@ def _anchors(block: Block, width: int, anchor: int) -> tuple[np.ndarray, np.ndar
     return starts, _least(runs, width - anchor + 1)[starts], runs
 
 
-def _cells(digest: np.ndarray, counters: int) -> list[np.ndarray]:
-    mask = np.uint64(counters - 1)
-    return [digest & mask, mix(digest) & mask]
-
-
-def _repeated_anchors(texts: DataFrame, width: int, anchor: int, counters: int) -> DataFrame:
-    """(row, segment, bits): which counters of the merged sketch reach two."""
-    size = min(counters, 1 << SEGMENT_BITS)
+def _repeated_anchors(texts: DataFrame, width: int, anchor: int, counters: int):
+    """Broadcast bitmaps of the anchors that may have two places."""
 
     def count(batch):
         parts = []
         for block in blocks(batch.column("text")):
             _, place, runs = _anchors(block, width, anchor)
             parts.append(runs[np.unique(place)] if place.size else runs[:0])
-        digest = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        out = {"row": [], "segment": [], "cells": []}
-        for row, cell in enumerate(_cells(digest, counters)):
-            cell, n = np.unique(cell, return_counts=True)
-            segment = (cell // np.uint64(size)).astype(np.int64)
-            value = ((cell % np.uint64(size)).astype("<u4") << 1) | (n > 1)
-            border = np.append(np.flatnonzero(np.diff(segment, prepend=-1)), segment.size)
-            out["row"] += [row] * (border.size - 1)
-            out["segment"] += segment[border[:-1]].tolist()
-            out["cells"] += [value[a:b].tobytes() for a, b in zip(border, border[1:])]
-        yield {"row": pa.array(out["row"], pa.int32()), "segment": pa.array(out["segment"], pa.int64()),
-               "cells": pa.array(out["cells"], pa.binary())}
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Batches) -> Batches:
-        tally = np.zeros(size, np.uint8)
-        for batch in batches:
-            for raw in batch.column("cells"):
-                value = np.frombuffer(raw.as_buffer(), "<u4")
-                cell = value >> 1
-                tally[cell] = np.minimum(tally[cell] + 1 + (value & 1).astype(np.uint8), 2)
-        bits = np.packbits(tally > 1).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()),
-                                          pa.array([bits], pa.binary())], names=["row", "segment", "bits"])
-
-    cells = arrow_map(texts.select("text"), count, {"row": "int", "segment": "long", "cells": "binary"})
-    return cells.groupBy("row", "segment").applyInArrow(merge, "row int, segment long, bits binary")
-
-
-def _bitmaps(merged: DataFrame, counters: int) -> np.ndarray:
-    """Both rows' bitmaps; their size is bounded by ``MAX_COUNTERS`` bits each."""
-    size = min(counters, 1 << SEGMENT_BITS) // 8
-    maps = np.zeros((2, counters // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        maps[r["row"], r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return maps
+        yield sketch.counted(np.concatenate(parts) if parts else np.zeros(0, np.uint64), counters)
+
+    return sketch.merged(arrow_map(texts.select("text"), count, sketch.CELLS), counters)
 
 
 def _runs(places: np.ndarray) -> np.ndarray:
@@ -123,7 +82,7 @@ def _runs(places: np.ndarray) -> np.ndarray:
     return np.stack([places[new], places[np.append(new[1:], places.size) - 1]], 1).astype("<i4")
 
 
-def _window_rows(texts: DataFrame, width: int, anchor: int, counters: int, maps) -> DataFrame:
+def _window_rows(texts: DataFrame, width: int, anchor: int, maps) -> DataFrame:
     """One row per block and window estimated repeated, and one per text with windows met within
     its block (``runs`` set, under a key of its own)."""
 
@@ -133,11 +92,7 @@ def _window_rows(texts: DataFrame, width: int, anchor: int, counters: int, maps)
             text_digest = batch.column("digest").slice(at, block.n).to_numpy()
             at += block.n
             starts, place, runs = _anchors(block, width, anchor)
-            hit = np.ones(place.size, bool)
-            for row, cell in enumerate(_cells(runs[place], counters)):
-                cell = cell.astype(np.int64)
-                hit &= (maps.value[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            starts = starts[hit]
+            starts = starts[sketch.maybe_twice(maps.value, runs[place])]
             h0 = span_hashes(block.word_hashes(), starts, starts + width)
             h1 = span_hashes(block.word_hashes(1), starts, starts + width, 1)
             text = np.searchsorted(block.first, starts, side="right") - 1
@@ -168,12 +123,11 @@ def repeated_windows(rows: DataFrame, width: int = WIDTH, anchor: int = ANCHOR)
     ``rows`` are (digest, text), equal texts once.
     """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = min(MAX_COUNTERS, 1 << max(10, math.ceil(math.log2(max(1, size / BYTES_PER_COUNTER)))))
-    maps = rows.sparkSession.sparkContext.broadcast(_bitmaps(_repeated_anchors(rows, width, anchor, counters), counters))
+    maps = _repeated_anchors(rows, width, anchor, sketch.counters_for(size / BYTES_PER_ANCHOR))
     ring = Window.partitionBy("h0", "h1").orderBy("digest", "pos")
     place = F.struct("digest", "pos")
     met = (F.lag(place).over(ring) != place) | (F.lead(place).over(ring) != place)
-    found = _window_rows(rows, width, anchor, counters, maps).withColumn("met", F.coalesce(met, F.lit(False)))
+    found = _window_rows(rows, width, anchor, maps).withColumn("met", F.coalesce(met, F.lit(False)))
     found = found.where("met OR runs IS NOT NULL").select(
         "digest", F.when(F.col("runs").isNull(), F.col("pos")).alias("pos"), "runs")
     lists = found.groupBy("digest").agg(F.collect_list("pos").alias("pos"), F.collect_list("runs").alias("runs"))
