@@ -244,12 +244,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(shingle_classes(docs, id_col, text_col, width))
     joined = links(classes, docs, id_col, text_col, width, percent)
     label = components(joined, "a", "b")
-    full = classes.where("node IS NOT NULL").join(label, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "node").alias("root")
-    )
-    smallest = full.groupBy("root").agg(F.min("doc_id").alias("least_id"))
-    linked = full.join(smallest, "root").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least_id")).alias("component_id")
-    )
-    alone = classes.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    per = classes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    per = per.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = per.groupBy("root").agg(F.min("least").alias("least_id"), F.sum("m").alias("m")).where("m > 1")
+    groups = stored(per.select("node", "root").join(groups.select("root", "least_id"), "root").select("node", "least_id"))
+    out = classes.join(sized_broadcast(groups, groups.count(), 16), "node", "left")
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("least_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", least.alias("component_id"))

@@ -60,3 +60,20 @@ def kept_words(rows: list[tuple[int, str | None]], width: int = 35) -> dict[int,
                 gone.update(range(k, k + width))
         out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
     return out
+
+
+def kept_bytes(rows: list[tuple[int, str | None]], window: int = 50) -> dict[int, tuple[int, int, int, bytes]]:
+    texts = {i: (t or "").encode() for i, t in rows}
+    least: dict[bytes, int] = {}
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - window + 1):
+            least.setdefault(texts[i][k : k + window], i)
+    out = {}
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - window + 1):
+            if least[t[k : k + window]] < i:
+                gone[k : k + window] = b"\x01" * window
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g))
+    return out
