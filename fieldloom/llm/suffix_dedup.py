@@ -274,7 +274,7 @@ def _removed(gram: np.ndarray, doc: np.ndarray, digest: np.ndarray, start: np.nd
             if has.size < 2:
                 continue
             before = span_hashes(data.astype(np.uint64) + np.uint64(1), anchor[has] - o, anchor[has], 1)
-            key = mix(before + mix(run[has].astype(np.uint64)))
+            key = mix(before ^ mix(run[has].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
             by = np.argsort(key, kind="stable")
             edge = np.append(True, key[by][1:] != key[by][:-1])
             smallest = np.minimum.reduceat(low[has][by], np.flatnonzero(edge))[np.cumsum(edge) - 1]
