@@ -27,9 +27,11 @@ from fieldloom.llm.text import Block, blocks, gather_spans
 
 CHUNK_BYTES = 16 << 20
 FREQUENT = 1 << 16
-SCHEMA = "chunk long, rows array<long>, counts array<int>, codes binary, tokens array<binary>"
+SCHEMA = ("chunk long, rows array<long>, counts array<int>, codes binary, tokens array<binary>, marked array<long>, "
+          "figures array<double>")
 _TYPE = pa.schema([("chunk", pa.int64()), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
-                   ("codes", pa.binary()), ("tokens", pa.list_(pa.binary()))])
+                   ("codes", pa.binary()), ("tokens", pa.list_(pa.binary())), ("marked", pa.list_(pa.int64())),
+                   ("figures", pa.list_(pa.float64()))])
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
@@ -44,15 +46,17 @@ def unpack_codes(raw: bytes) -> np.ndarray:
 
 class _Chunk:
     def __init__(self) -> None:
-        self.size, self.rows, self.parts = 0, [], []
+        self.size, self.rows, self.parts, self.figures = 0, [], [], []
 
-    def add(self, block: Block, ids: pa.Array, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, block: Block, ids: pa.Array, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray,
+            mark: np.ndarray, figures: np.ndarray) -> None:
         """Counts the block's tokens; ``hashes`` stand for tokens, whose bytes are kept once."""
         h = block.hashes(starts, ends)
         u, first, back = np.unique(h, return_index=True, return_inverse=True)
         lengths, data = gather_spans(block.data, starts[first], ends[first])
-        self.parts.append((u, lengths, data, back.astype(np.int32), counts))
+        self.parts.append((u, lengths, data, back.astype(np.int32), counts, np.bincount(back[np.repeat(mark, counts)], minlength=u.size)))
         self.rows.append(ids)
+        self.figures.append(figures)
         self.size += block.data.size
 
     def emit(self, number: int) -> pa.RecordBatch:
@@ -62,6 +66,8 @@ class _Chunk:
         local = [back[at[i] : at[i + 1]] for i in range(len(self.parts))]
         tally = sum((np.bincount(b[p[3]], minlength=first.size) for b, p in zip(local, self.parts)),
                     np.zeros(first.size, np.int64))
+        marked = sum((np.bincount(b, weights=p[5], minlength=first.size) for b, p in zip(local, self.parts)),
+                     np.zeros(first.size)).astype(np.int64)
         lengths = np.concatenate([p[1] for p in self.parts])
         data = np.concatenate([p[2] for p in self.parts])
         ends = np.cumsum(lengths)
@@ -79,7 +85,8 @@ class _Chunk:
         chunk = (TaskContext.get().partitionId() << 32) + number
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk]), one(pa.concat_arrays(self.rows)), one(pa.array(counts)),
-             pa.array([pack_codes(codes)], pa.binary()), one(tokens.take(pa.array(order)))], schema=_TYPE)
+             pa.array([pack_codes(codes)], pa.binary()), one(tokens.take(pa.array(order))),
+             one(pa.array(marked[order])), one(pa.array(np.concatenate(self.figures)))], schema=_TYPE)
 
 
 def binary_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -88,18 +95,26 @@ def binary_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 def chunks(docs: DataFrame, tokenize: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]],
-           lower: bool = False, size: int = CHUNK_BYTES) -> DataFrame:
+           lower: bool = False, size: int = CHUNK_BYTES, mark_col: str | None = None,
+           figure: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
     """Chunk rows of ``docs`` (doc_id, text).
 
     ``tokenize`` gives byte starts and ends of all tokens of a block, and tokens per text.
+    ``marked`` counts each token in the texts where the boolean ``mark_col`` is true, and
+    ``figures`` has what ``figure`` gives for every text.
     """
     def run(batches: Batches) -> Batches:
         number, chunk = 0, _Chunk()
         for batch in batches:
             at, ids = 0, batch.column("doc_id")
+            marks = np.zeros(batch.num_rows, bool)
+            if mark_col:
+                marks = batch.column(mark_col).to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text"), lower):
                 starts, ends, counts = tokenize(block)
-                chunk.add(block, ids.slice(at, block.n), starts, ends, counts)
+                mark = marks[at : at + block.n]
+                figures = figure(block) if figure else np.zeros(0)
+                chunk.add(block, ids.slice(at, block.n), starts, ends, counts, mark, figures)
                 at += block.n
                 if chunk.size >= size:
                     yield chunk.emit(number)
@@ -107,7 +122,7 @@ def chunks(docs: DataFrame, tokenize: Callable[[Block], tuple[np.ndarray, np.nda
         if chunk.rows:
             yield chunk.emit(number)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *[mark_col][: bool(mark_col)]).mapInArrow(run, SCHEMA)
 
 
 def token_rows(chunked: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, decontaminate, licences, ngram_join, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
+from fieldloom.llm import byte_bpe, decontaminate, licences, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_items(leaks)
 
 
+@query
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.find_personal_data(table(spark, sf_dir, "documents"))

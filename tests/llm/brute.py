@@ -77,3 +77,48 @@ def kept_bytes(rows: list[tuple[int, str | None]], window: int = 50) -> dict[int
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out[i] = (len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g))
     return out
+
+
+class Ppm:
+    """Prediction by partial matching with dictionaries, one symbol at a time."""
+
+    END, BLANK = 10, 32
+
+    def __init__(self, texts: list[str | None], order: int, share: int):
+        self.order, self.counts = order, defaultdict(Counter)
+        total = 0
+        for t in texts:
+            stream = self.stream(t)
+            for i in range(1, len(stream)):
+                total += 1
+                for context in self.contexts(stream, i):
+                    self.counts[context][stream[i]] += 1
+        self.counts = {c: t for c, t in self.counts.items() if sum(t.values()) * share >= total}
+
+    def stream(self, text: str | None) -> list[int]:
+        body = " ".join(words(lower(text or ""))).encode()
+        return [self.END, *body, self.END]
+
+    def contexts(self, stream: list[int], i: int):
+        for k in range(min(self.order, i) + 1):
+            yield tuple(stream[i - k : i])
+
+    def log10(self, text: str | None) -> float:
+        from math import log10
+
+        stream, out = self.stream(text), 0.0
+        for i in range(1, len(stream)):
+            left = set(range(256))
+            nodes = [c for c in self.contexts(stream, i) if c in self.counts]
+            for context in reversed(nodes):
+                seen = {s: n for s, n in self.counts[context].items() if s in left}
+                n, d = sum(seen.values()), len(seen)
+                if stream[i] in seen:
+                    out += log10((2 * seen[stream[i]] - 1) / (2 * n))
+                    break
+                if d:
+                    out += log10(d / (2 * n))
+                left -= seen.keys()
+            else:
+                out += log10(1 / len(left))
+        return out
