@@ -1,0 +1,305 @@
+"""Every operator against a plain Python version, on awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+from math import log10
+
+import brute
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from fieldloom.llm import (byte_bpe, decontaminate, licences, ngram_join, ppm, quality_rules, sanitise, sharding,
+                           substring_dedup, suffix_dedup)
+
+rng = random.Random(7)
+VOCAB = [f"w{k}" for k in range(300)] + ["the", "of", "É", "ß", "中文", "x y"]
+
+
+def prose(n: int) -> str:
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+def edited(text: str, places: int) -> str:
+    w = text.split(" ")
+    for _ in range(places):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+BASE = prose(200)
+LONG = "\n".join(prose(40) for _ in range(120))
+ROWS = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (6, "one two"), (7, BASE), (8, BASE), (9, BASE.upper()),
+    (10, edited(BASE, 1)), (11, edited(BASE, 2)), (12, edited(BASE, 3)), (13, edited(BASE, 12)), (14, LONG),
+    (15, edited(LONG, 20)), (16, prose(30) + " " + BASE[:400] + " " + prose(30)), (17, prose(60)), (18, prose(4)),
+    (19, "a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a a"), (20, "a" * 300),
+    (21, "a" * 120), (22, "line\nline\n\nline\r\n#$ %&|<>*"), (23, prose(35)), (24, "don't  we'll\n\n x  9९ é"),
+]
+ROWS += [(100 + k, edited(BASE, k % 5)) for k in range(30)]
+
+
+def collected(df):
+    return {r[0]: tuple(r)[1:] for r in df.collect()}
+
+
+def test_jaccard_components(make):
+    got = collected(ngram_join.jaccard_components(make(ROWS)))
+    assert got == brute.jaccard_components(ROWS)
+
+
+def test_jaccard_null_and_repeated_ids(make):
+    rows = [(None, BASE), (7, BASE), (7, BASE), (7, "other words in this row"), (3, "other words in this row"), (9, edited(BASE, 1))]
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.jaccard_components(make(rows)).collect())
+    assert got == [(-1, -1), (3, 3), (7, 3), (7, 7), (7, 7), (9, 7)]
+
+
+def test_components_of_a_chain(spark):
+    from fieldloom.llm.shared import components
+
+    edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(edges, "a", "b").select("root").distinct().count() == 1
+
+
+def test_substring_dedup(make):
+    cut = substring_dedup.remove_repeats(make(ROWS))
+    got = collected(cut.select("doc_id", "n_words", "n_removed", "kept"))
+    assert got == brute.kept_words(ROWS)
+
+
+def test_suffix_dedup(make):
+    cut = suffix_dedup.remove_repeats(make(ROWS)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    got = {k: (*v[:3], bytes(v[3])) for k, v in collected(cut).items()}
+    assert got == brute.kept_bytes(ROWS)
+
+
+def test_blind_trie_order():
+    for _ in range(300):
+        strings = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(rng.randint(1, 9))]
+        order, lcp = suffix_dedup.blind_trie(strings)
+        got = [strings[i] for i in order]
+        assert got == sorted(strings)
+        for k in range(1, len(got)):
+            a, b = got[k - 1], got[k]
+            same = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+            assert lcp[k] == same
+
+
+def test_byte_bpe(make):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = byte_bpe.load_ranks(path)
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = "'’ab strevldm  \n\t\r\x0b\x1c\x85 éß中0९½!?#_-​\U0001F600́S"
+    rows = ROWS + [(1000 + k, "".join(rng.choice(letters) for _ in range(40))) for k in range(200)] + [(None, "null id")]
+    coded = byte_bpe.encode(make(rows), path, public_tokenizers.PATTERN)
+    for doc_id, ids, decoded in byte_bpe.decode(coded, path).collect():
+        text = dict(rows)[doc_id] or ""
+        want = coder.encode_ordinary(text)
+        assert [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)] == want
+        assert bytes(decoded).decode() == text
+
+
+def test_ppm(make):
+    df = make(ROWS)
+    got = collected(ppm.score(df, order=3, share=400))
+    train = [(i, t) for i, t in ROWS if zlib.crc32(str(i).encode()) % 10]
+    model = brute.Ppm([t for _, t in train], 3, 400)
+    c: Counter = Counter()
+    for _, t in train:
+        c.update(brute.words(brute.lower(t or "")))
+        c[None] += 1
+    n = sum(c.values())
+    for i, t in ROWS:
+        w = [*brute.words(brute.lower(t or "")), None]
+        held, tokens, known, total, base, score = got[i]
+        assert (held, tokens, known, total) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n)
+        assert base == pytest.approx(sum(log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w))
+        assert score == pytest.approx(model.log10(t), rel=1e-5)
+
+
+def test_ppm_is_a_distribution():
+    import numpy as np
+
+    counts = {"k": [0, 0, 0, 1, 1], "context": [0, 0, 0, 97, 97], "symbol": [97, 98, 10, 98, 10], "n": [5, 3, 2, 3, 1]}
+    model = ppm.Model({k: np.array(v, np.int64) for k, v in counts.items()}, 1)
+    others = 256 - (model.width - 1)
+    mass = 10.0 ** model.logp[: model.dead].astype(float)
+    assert mass[:, :-1].sum(1) + others * mass[:, -1] == pytest.approx([1.0, 1.0], rel=1e-6)
+
+
+MAIL, IP, CARD, PHONE = "ann.b@mail.example.com", "10.20.255.1", "4111 1111 1111 1111", "+44 (20) 7946-0958"
+
+
+def personal_rows():
+    rows = [
+        (1, None), (2, ""), (3, f"write {MAIL}, or {IP} now"), (4, f"card {CARD} and 4111111111111112 not"),
+        (5, f"call {PHONE}."), (6, "256.1.1.1 and 1.2.3.4.5.6.7.8 and @x.y a@b a@b.c@d.e +1 23"), (7, "é" * 5 + f" {MAIL}"),
+        (8, "1" * 5000 + ".1.1.1"), (9, "x@" * 200 + "y.z"), (None, MAIL), (3, f"again {MAIL}"),
+    ]
+    rows += [(20 + k, f"{prose(30)} agent zorblax met {MAIL} with nadirium today {prose(20)}") for k in range(6)]
+    return rows + [(40 + k, prose(60)) for k in range(40)]
+
+
+def test_personal_data_spans(make):
+    import re
+
+    def base(text):
+        out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                out.append(("ip", *m.span()))
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            digits = [int(x) for x in re.sub("[^0-9]", "", m[0])][::-1]
+            if 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0:
+                out.append(("card", *m.span()))
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+            if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+                out.append(("phone", *m.span()))
+        return out
+
+    rows = personal_rows()
+    found = sanitise.find_personal_data(make(rows)).collect()
+    assert len(found) == len(rows)
+    got = sorted((r.doc_id or -1, [tuple(s) for s in r.spans]) for r in found)
+    assert got == sorted((i or -1, base(t or "")) for i, t in rows)
+
+
+def test_disclosing_terms(make):
+    rows = personal_rows()
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms]
+             for r in sanitise.find_personal_data(make(rows)).collect()}
+    assert {w for k in range(6) for w in found[20 + k]} == {"zorblax", "nadirium", "agent", "with", "today"}
+    assert all(not found[40 + k] for k in range(40))
+
+
+def test_sanitise(make):
+    df = make(personal_rows())
+    out = sanitise.sanitise(df)
+    assert out.columns == df.columns
+    text = {r.doc_id: r.text for r in out.where("doc_id IN (4, 5, 20)").collect()}
+    assert text[4] == "card [CARD] and 4111111111111112 not" and text[5] == "call [PHONE]."
+    assert MAIL not in text[20] and "zorblax" not in text[20] and "[TERM]" in text[20]
+
+
+def rule_rows():
+    hot = "Buy now at this shop and save twenty percent of it all today"
+    rows = [(k, f"{hot}\n{prose(60)}", "h") for k in range(12)]
+    rows += [(20 + k, f"{prose(10)}\n{hot}\n{hot}\n{hot}\n{hot}\n{prose(10)}", "h") for k in range(3)]
+    rows += [(30, BASE, "h"), (31, BASE, "h"), (32, "cut " * 80, None), (33, None, "h"), (34, "", None), (35, LONG, "g")]
+    rows += [(36, f"  BUY now  at this shop and save twenty percent of it all TODAY \n{prose(70)}", "h")]
+    return rows + [(37, ROWS[21][1] * 3, "g"), (None, prose(55), None), (30, BASE, "h")]
+
+
+def plain_rules(rows):
+    lines = {}
+    for _, t, h in rows:
+        for x in {" ".join(brute.words(x.lower())) for x in (t or "").split("\n")} - {""}:
+            lines.setdefault((h or "", x), set()).add(t)
+    hosts = {h or "": {t or "" for _, t, g in rows if (g or "") == (h or "")} for _, _, h in rows}
+    over = {k for k, v in lines.items() if len(v) >= 10 and 100 * len(v) > 5 * len(hosts[k[0]])}
+    out = []
+    for i, t, h in rows:
+        w, full = brute.words(t), [x for x in (t or "").split("\n") if brute.words(x)]
+        tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        rep = {k + o for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for o in range(3)}
+        lost = sum(len(brute.words(x)) for x in full if (h or "", " ".join(brute.words(x.lower()))) in over)
+        failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(rep),
+                    failed, lost, not failed and 2 * (len(w) - lost) >= len(w)))
+    return out
+
+
+def test_quality_rules(make):
+    rows = rule_rows()
+    got = [tuple(r) for r in quality_rules.apply_rules(make(rows)).drop("host", "digest").collect()]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(got, key=key) == sorted(plain_rules(rows), key=key)
+    assert any(r[7] and not r[8] for r in got) and any(r[7] and r[8] for r in got)
+
+
+def test_cleaned_text(make):
+    rows = rule_rows()
+    df = make(rows)
+    out = quality_rules.clean(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[30] == BASE and got[3] == rows[3][1].split("\n")[1] and 20 not in got and 33 not in got
+    assert out.count() == sum(r[-1] for r in plain_rules(rows))
+
+
+ITEMS = [(k, prose(20 + k)) for k in range(12)] + [(50, None), (51, "too short item"), (52, "")]
+
+
+def test_leaks(spark, make):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    items = dict(ITEMS)
+    rows = [(1, f"{prose(50)} {items[3]} {prose(9)}"), (2, items[4].upper() + "!"), (3, prose(400)), (4, None), (5, ""),
+            (6, f"{prose(9)} {' '.join(items[7].split(' ')[:-1])} {prose(9)}"), (7, " ".join(items[5].split(" ")[:12])),
+            (None, items[2]), (8, f"{items[0]}\n{items[0]}"), (8, f"{items[0]}\n{items[0]}"), (9, items[9].replace(" ", "  ,"))]
+    found = decontaminate.leaked_items(decontaminate.find_leaks(make(rows), bench)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 3), (2, 4), (6, 7), (None, 2), (8, 0), (9, 9)}
+    assert {r.doc_id: r.n_windows for r in found}[8] == 2
+    assert all(r.similarity == 1 for r in found if r.doc_id in (1, 2, 8, 9))
+
+
+def test_hamming_blocks_find_all_within_radius(spark):
+    from pyspark.sql import functions as F
+
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << bit
+        pairs.append((a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)))
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("id", F.monotonically_increasing_id())
+    left = df.select("id", decontaminate._blocks("a"))
+    right = df.select("id", decontaminate._blocks("b"))
+    assert left.join(right, ["id", "block", "value"]).select("id").distinct().count() == 200
+
+
+def test_sharding(make):
+    table = sharding.lookup_table(["a", "b", "c"], 101)
+    assert sorted(Counter(table).values()) == [33, 34, 34]
+    fewer = sharding.lookup_table(["a", "c"], 101)
+    assert sum(x != y for x, y in zip(table, fewer) if x != "b") <= 20
+    placed = sharding.place(make([*ROWS, (None, "x"), (7, "again")]), ["a", "b", "c"], 101)
+    assert placed.count() == len(ROWS) + 2
+    for r in placed.collect():
+        text = "" if r.doc_id is None else str(r.doc_id)
+        slot = int(hashlib.md5(text.encode()).hexdigest()[:15], 16) % 101
+        assert (r.slot, r.shard) == (slot, table[slot])
+    for shards, slots in (([], 101), (["a", "a"], 101), (["a"], 100)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(shards, slots)
+
+
+def test_licences(spark, make):
+    mit = licences.KNOWN["MIT"][2]
+    rows = [(1, f"Copyright (c) 2001 A. Nobody\n{mit.lower()}"), (2, f"{prose(9)}\nReleased under the mit licence\n{prose(9)}"),
+            (3, "Licenced under the Apache License - Version 2.0"), (4, None), (5, ""), (6, "Copyright 2000"), (None, mit),
+            (7, prose(80)), (2, "Released under the MIT License."), (8, mit + " and more")]
+    got = licences.scan(make(rows), licences.known_licences(spark)).collect()
+    assert {(r.doc_id, r.license_id, r.whole_text) for r in got} == {
+        (1, "MIT", True), (2, "MIT", True), (3, "Apache-2.0", True), (None, "MIT", True)}
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    full = spark.createDataFrame(ITEMS, "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    results = [
+        ngram_join.jaccard_components(empty), substring_dedup.remove_repeats(empty), suffix_dedup.remove_repeats(empty),
+        byte_bpe.encode(empty, path, public_tokenizers.PATTERN), ppm.score(empty), sanitise.find_personal_data(empty),
+        sanitise.sanitise(empty), quality_rules.apply_rules(empty), quality_rules.clean(empty), sharding.place(empty),
+        licences.scan(empty, licences.known_licences(spark)), decontaminate.find_leaks(empty, full),
+        decontaminate.find_leaks(empty, bench),
+    ]
+    assert [r.count() for r in results] == [0] * len(results)
+    assert decontaminate.find_leaks(spark.createDataFrame([(1, BASE)], "doc_id long, text string"), bench).count() == 0
