@@ -49,18 +49,20 @@ def ssim_single_window(df: DataFrame, truth: str, pred: str, by: Sequence[str])
     return m.select(*by, s.alias("ssim"))
 
 
-def ssim_windowed(df: DataFrame, truth: str, pred: str, ny: int, value_range: Column) -> DataFrame:
+def ssim_windowed(
+    df: DataFrame, truth: str, pred: str, ny: int, value_range: Column, nx: int = NX
+) -> DataFrame:
     """Mean SSIM per level over 7x7 uniform windows with sample covariance; windows that
     would cross the border are cropped, absent cells count as 0."""
     h = WINDOW // 2
     x, y = F.col(truth), F.col(pred)
     sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
     entries = {
-        f"{name}_{dy + h}": row_run(expr, dy, -h, h)
+        f"{name}_{dy + h}": row_run(expr, dy, -h, h, nx=nx)
         for name, expr in sums.items() for dy in range(-h, h + 1)
     }
     w = with_stencil(df, entries).where(
-        F.col("x").between(h, NX - 1 - h) & F.col("y").between(h, ny - 1 - h)
+        F.col("x").between(h, nx - 1 - h) & F.col("y").between(h, ny - 1 - h)
     )
     n = WINDOW * WINDOW
 
@@ -80,7 +82,9 @@ def ssim_windowed(df: DataFrame, truth: str, pred: str, ny: int, value_range: Co
     return m.groupBy("level").agg(F.avg(s).alias("ssim"), F.count(F.lit(1)).alias("n_windows"))
 
 
-def autocorrelation(df: DataFrame, value: str, max_lag: int, n_levels: int | None = None) -> DataFrame:
+def autocorrelation(
+    df: DataFrame, value: str, max_lag: int, n_levels: int | None = None, nx: int = NX
+) -> DataFrame:
     """level, dy, dx, ac: spatial autocorrelation of the level-demeaned field, lag 0 = 1.
 
     Only half of the lags are computed; the other half mirrors them.
@@ -91,9 +95,9 @@ def autocorrelation(df: DataFrame, value: str, max_lag: int, n_levels: int | Non
             if dy > 0 or dx >= 0]
     names = {f"_l{i}": lag for i, lag in enumerate(lags)}
     s = with_stencil(f.select("level", "loc", "x", "_f"),
-                     {n: point(F.col("_f"), 0, *lag) for n, lag in names.items()})
+                     {n: point(F.col("_f"), 0, *lag, nx) for n, lag in names.items()})
     prods = s.groupBy("level").agg(*[
-        F.coalesce(F.sum(F.when(inside(lag[1]), F.col("_f") * F.col(n))), F.lit(0.0)).alias(n)
+        F.coalesce(F.sum(F.when(inside(lag[1], nx), F.col("_f") * F.col(n))), F.lit(0.0)).alias(n)
         for n, lag in names.items()
     ])
     zero = next(n for n, lag in names.items() if lag == (0, 0))

@@ -44,8 +44,7 @@ def with_stencil(
     """
     before = max(0, -min(c[3] for c in columns.values()))
     after = max(0, max(c[4] for c in columns.values()))
-    if max(before, after) > tile:
-        raise ValueError("tile must be wider than the stencil")
+    tile = max(tile, 2 * before, 2 * after)  # wider than the stencil on a grid of any width
     t = _tiled(df, before, after, tile)
     span = tile + before + after
     if any(c[2] for c in columns.values()):
@@ -65,18 +64,18 @@ def with_stencil(
     return out.where(F.col("_home") == F.col("_tile")).drop("_home", "_tile", "_local")
 
 
-def point(expr: Column, dlevel: int = 0, dy: int = 0, dx: int = 0):
+def point(expr: Column, dlevel: int = 0, dy: int = 0, dx: int = 0, nx: int = NX):
     """Stencil entry reading exactly one neighbour (mask x-borders yourself)."""
-    off = dy * NX + dx
+    off = dy * nx + dx
     return (expr, "max", dlevel, off, off)
 
 
-def row_run(expr: Column, dy: int, x_lo: int, x_hi: int, how: str = "sum"):
+def row_run(expr: Column, dy: int, x_lo: int, x_hi: int, how: str = "sum", nx: int = NX):
     """Stencil entry aggregating a run of x positions on row ``y + dy``."""
-    return (expr, how, 0, dy * NX + x_lo, dy * NX + x_hi)
+    return (expr, how, 0, dy * nx + x_lo, dy * nx + x_hi)
 
 
-def inside(dx: Column | int) -> Column:
-    """True where ``x + dx`` stays on the row."""
+def inside(dx: Column | int, nx: int = NX) -> Column:
+    """True where ``x + dx`` stays on the row of ``nx`` cells."""
     target = F.col("x") + dx
-    return (target >= 0) & (target < NX)
+    return (target >= 0) & (target < nx)

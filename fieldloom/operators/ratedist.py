@@ -21,6 +21,8 @@ class Predictor(NamedTuple):
     prediction: Column
     model_bytes: Column | int = 0
     sensor_bytes: Column | int = 0
+    # signs and neighbours' residuals of an integer Lorenzo code on top of the prediction
+    near: Sequence[tuple[int, Column]] = ()
 
 
 def residual_bins(
@@ -28,9 +30,17 @@ def residual_bins(
 ) -> DataFrame:
     """One row per (method, k, abs_bound, bin) with the sums every metric needs.
 
+    The residual is quantised against the prediction; a Lorenzo code then subtracts the quantised
+    residuals of neighbours, so the bins decode losslessly to the quantised residuals.
     Prediction happens once per cell, never per bound; the explode feeds map-side
     partial aggregation, so the shuffle carries distinct bins rather than cells.
     """
+    width = max(len(p.near) for p in predictors)
+
+    def near(p: Predictor) -> list[Column]:
+        pairs = [*p.near, *[(0, F.lit(0.0))] * (width - len(p.near))]
+        return [c for i, (sign, v) in enumerate(pairs) for c in (F.lit(sign).alias(f"sign_{i}"), v.alias(f"near_{i}"))]
+
     tagged = cells.select(
         F.col(value).alias("v"),
         F.explode(F.array(*[
@@ -42,16 +52,21 @@ def residual_bins(
                 if not isinstance(p.model_bytes, Column) else p.model_bytes.cast("double").alias("model_bytes"),
                 F.lit(p.sensor_bytes).cast("double").alias("sensor_bytes")
                 if not isinstance(p.sensor_bytes, Column) else p.sensor_bytes.cast("double").alias("sensor_bytes"),
+                *near(p),
             )
             for p in predictors
         ])).alias("p"),
     ).select("v", "p.*")
     quantised = (
         tagged.withColumn("abs_bound", F.explode(F.array(*[F.lit(float(b)) for b in bounds])))
-        .withColumn("bin", error_bin(F.col("v") - F.col("pred"), F.col("abs_bound")))
-        .withColumn("recon", F.col("pred") + F.col("bin") * (F.col("abs_bound") * 2.0))
+        .withColumn("q", error_bin(F.col("v") - F.col("pred"), F.col("abs_bound")))
+        .withColumn("recon", F.col("pred") + F.col("q") * (F.col("abs_bound") * 2.0))
         .withColumn("err", F.col("v") - F.col("recon"))
     )
+    coded = F.col("q")
+    for i in range(width):
+        coded = coded - error_bin(F.col(f"near_{i}"), F.col("abs_bound")) * F.col(f"sign_{i}")
+    quantised = quantised.withColumn("bin", coded)
     v, r = F.col("v"), F.col("recon")
     return quantised.groupBy("method", "k", "abs_bound", "bin").agg(
         F.count(F.lit(1)).alias("c"),

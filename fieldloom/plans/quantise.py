@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from fieldloom.functions import quantisers as qz
 from fieldloom.operators import entropy as en
 from fieldloom.operators import sizing as sz
-from fieldloom.operators.lorenzo import lorenzo_series, plane_residual, with_lorenzo
+from fieldloom.operators.lorenzo import (
+    code_near, decode_volume_bins, encode_volume, lorenzo_bin, lorenzo_series, plane_residual, with_lorenzo, with_neighbours,
+)
 from fieldloom.operators.quantiles import quantile_row
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.operators.search import search_bound
 from fieldloom.plans.common import r6
-from fieldloom.plans.ratedist import BOUNDS, LORENZO_SQL, RESULTS_SQL, results
+from fieldloom.plans.ratedist import BOUNDS, LORENZO_SQL, RESULTS_SQL, lorenzo_code_sql, results
 from fieldloom.plans.registry import ctes, more, query
-from fieldloom.sources.grid import event_series, grid_field, grid_shape, residual_field
+from fieldloom.session import cut_lineage
+from fieldloom.sources.grid import NX, event_series, grid_field, grid_shape, residual_field
 
 AB, NB = 20000.0, 256
 EB = 200.0
@@ -321,8 +324,8 @@ def q22_aligned_histogram(spark: SparkSession, sf: str) -> DataFrame:
   round(4*n/(floor((ceil(round(entropy*n, 6))+7)/8) + 3*n_unique + 10), 6) AS cr, round(psnr, 6) AS psnr FROM r WHERE method LIKE 'LORENZO%'""")
 def q24_lorenzo_codec(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in for the external codecs: Lorenzo prediction, error quantiser, entropy coder."""
-    cells = with_lorenzo(grid_field(spark, sf))
-    preds = [Predictor(f"LORENZO-{d}D", 0, F.col(f"lorenzo_{d}d")) for d in (1, 2, 3)]
+    cells = with_neighbours(grid_field(spark, sf))
+    preds = [Predictor(f"LORENZO-{d}D", 0, F.lit(0.0), near=code_near(d)) for d in (1, 2, 3)]
     r = sweep(cells, "value", preds, BOUNDS)
     size = en.huffman_bytes_codebook(F.col("n"), F.col("entropy"), F.col("n_unique"))
     return r.select(
@@ -331,18 +334,44 @@ def q24_lorenzo_codec(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("q25_codec_sweep", more("g", "p") + LORENZO_SQL + """, q AS (SELECT level, b.ab, value - lorenzo_2d AS e, round_even((value-lorenzo_2d)/(2*b.ab), 0)::BIGINT AS bin
+@query("q24_codec_round_trip", more("g", "p") + """q AS (SELECT m.method, b.ab, value, round_even(value/(2*b.ab), 0)::BIGINT*2*b.ab AS rec
+  FROM g, (VALUES ('LORENZO-1D'), ('LORENZO-2D'), ('LORENZO-3D')) m(method), (VALUES (100.0::DOUBLE), (3200.0)) b(ab))
+SELECT method, ab AS abs_bound, count(*) AS n, round(max(abs(value-rec)), 6) AS max_err, max(abs(value-rec)) <= ab*1.000000001 AS within_bound,
+  round(20*log10((max(value)-min(value))/sqrt(avg((value-rec)**2))), 6) AS psnr FROM q GROUP BY method, ab""")
+def q24_codec_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins written, then decoded from the bins alone and compared with the field."""
+    shape = grid_shape(spark, sf)
+    cells = grid_field(spark, sf).select("level", "loc", "value")
+    out = None
+    for dims in (1, 2, 3):
+        for ab in (100.0, 3200.0):
+            bins = cut_lineage(encode_volume(cells, shape.n_levels, shape.n_locs, NX, dims, ab))
+            both = cells.join(decode_volume_bins(bins, dims, ab), ["level", "loc"])
+            err = F.col("value") - F.col("decoded")
+            worst, spread = F.max(F.abs(err)), F.max("value") - F.min("value")
+            row = both.agg(
+                F.lit(f"LORENZO-{dims}D").alias("method"), F.lit(ab).alias("abs_bound"), F.count(F.lit(1)).alias("n"),
+                F.round(worst, 6).alias("max_err"), (worst <= ab * 1.000000001).alias("within_bound"),
+                F.round(20 * F.log10(spread / F.sqrt(F.avg(err * err))), 6).alias("psnr"),
+            )
+            out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("q25_codec_sweep", more("g", "p") + LORENZO_SQL + """, q AS (SELECT level, b.ab, value - round_even(value/(2*b.ab), 0)::BIGINT*2*b.ab AS err,
+  round_even(value/(2*b.ab), 0)::BIGINT - """ + lorenzo_code_sql(2, "b.ab") + """ AS bin
   FROM lz, (VALUES (25.0::DOUBLE), (100.0), (400.0), (1600.0)) b(ab)),
-c AS (SELECT level, ab, bin, count(*) AS c, sum((e-bin*2*ab)**2) AS se FROM q GROUP BY ALL)
+c AS (SELECT level, ab, bin, count(*) AS c, sum(err**2) AS se FROM q GROUP BY ALL)
 SELECT level, ab AS abs_bound, sum(c)::BIGINT AS n, round(log2(sum(c)) - sum(c*log2(c))/sum(c), 6) AS entropy, round(sqrt(sum(se)/sum(c)), 5) AS rmse FROM c GROUP BY level, ab""")
 def q25_codec_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Per-slice codec runs over a bound list."""
-    cells = with_lorenzo(grid_field(spark, sf)).withColumn(
+    cells = with_neighbours(grid_field(spark, sf)).withColumn(
         "ab", F.explode(F.array(*[F.lit(b) for b in (25.0, 100.0, 400.0, 1600.0)]))
     )
-    e = F.col("value") - F.col("lorenzo_2d")
-    q = cells.select("level", "ab", e.alias("e"), qz.error_bin(e, F.col("ab")).alias("bin"))
-    err = F.col("e") - F.col("bin") * (F.col("ab") * 2)
+    v, ab = F.col("value"), F.col("ab")
+    q = cells.select("level", "ab", lorenzo_bin(v, code_near(2), ab).alias("bin"),
+                     (v - qz.error_dequantise(qz.error_bin(v, ab), ab)).alias("err"))
+    err = F.col("err")
     counts = q.groupBy("level", "ab", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum(err * err).alias("se"))
     return counts.groupBy("level", F.col("ab").alias("abs_bound")).agg(
         F.sum("c").alias("n"), F.round(en.entropy_of(F.col("c")), 6).alias("entropy"),
@@ -351,18 +380,18 @@ def q25_codec_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("q26_residual_codec", more("g", "p", "sh") + """r2 AS (SELECT p.*, value - resid AS base FROM p),
-d AS (SELECT a.level, a.loc, a.value, a.mu, a.resid - coalesce(w.resid, 0) - coalesce(n.resid, 0) + coalesce(nw.resid, 0) AS e, a.resid FROM p a
+d AS (SELECT a.value, a.resid AS e, coalesce(w.resid, 0) AS at_w, coalesce(n.resid, 0) AS at_n, coalesce(nw.resid, 0) AS at_nw FROM p a
   LEFT JOIN p w ON w.level=a.level AND w.y=a.y AND w.x=a.x-1 LEFT JOIN p n ON n.level=a.level AND n.y=a.y-1 AND n.x=a.x
   LEFT JOIN p nw ON nw.level=a.level AND nw.y=a.y-1 AND nw.x=a.x-1),
-q AS (SELECT ab, value, e, round_even(e/(2*ab), 0)::BIGINT AS bin FROM d, (VALUES (25.0::DOUBLE),(50.0),(100.0),(200.0),(400.0),(800.0),(1600.0),(3200.0)) b(ab)),
-c AS (SELECT ab, bin, count(*) AS c, sum((e-bin*2*ab)**2) AS se, max(value) AS hi, min(value) AS lo FROM q GROUP BY ALL),
+q AS (SELECT ab, value, e - round_even(e/(2*ab), 0)::BIGINT*2*ab AS err, round_even(e/(2*ab), 0)::BIGINT - """ + lorenzo_code_sql(2, "ab") + """ AS bin FROM d, (VALUES (25.0::DOUBLE),(50.0),(100.0),(200.0),(400.0),(800.0),(1600.0),(3200.0)) b(ab)),
+c AS (SELECT ab, bin, count(*) AS c, sum(err**2) AS se, max(value) AS hi, min(value) AS lo FROM q GROUP BY ALL),
 h AS (SELECT ab, sum(c) AS n, log2(sum(c)) - sum(c*log2(c))/sum(c) AS h, sqrt(sum(se)/sum(c)) AS rmse, max(hi)-min(lo) AS vr FROM c GROUP BY ab)
 SELECT ab AS abs_bound, h.n::BIGINT AS n, round(h, 6) AS entropy, round(h.n*4/(ceil(round(h.n*h/8, 6)) + 64 + 4*sh.n), 6) AS cr, round(20*log10(vr/rmse), 6) AS psnr FROM h, sh""")
 def q26_residual_codec(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid: mean model, its residual coded by the planar Lorenzo codec."""
     shape = grid_shape(spark, sf)
-    cells = with_lorenzo(residual_field(spark, sf), "resid")
-    p = Predictor("MEAN+LORENZO", 0, F.col("mu") + F.col("lorenzo_2d"), 4 * shape.n_locs)
+    cells = with_neighbours(residual_field(spark, sf), "resid")
+    p = Predictor("MEAN+LORENZO", 0, F.col("mu"), 4 * shape.n_locs, near=code_near(2))
     return sweep(cells, "value", [p], BOUNDS).select("abs_bound", "n", *r6("entropy", "cr", "psnr"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators.lorenzo import with_lorenzo
+from fieldloom.operators.lorenzo import CORNERS, SIGNS, code_near, with_neighbours
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.plans.registry import more, query
 from fieldloom.session import cut_lineage, sized_broadcast
@@ -64,11 +64,9 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep every analytics query reads: three Lorenzo baselines, the mean model
     and the sensor model for several k, over eight bounds."""
     shape = grid_shape(spark, sf)
-    cells = with_lorenzo(sensor_blocks(spark, sf))
+    cells = with_neighbours(sensor_blocks(spark, sf))
     predictors = [
-        Predictor("LORENZO-1D", 0, F.col("lorenzo_1d")),
-        Predictor("LORENZO-2D", 0, F.col("lorenzo_2d")),
-        Predictor("LORENZO-3D", 0, F.col("lorenzo_3d")),
+        *[Predictor(f"LORENZO-{d}D", 0, F.lit(0.0), near=code_near(d)) for d in (1, 2, 3)],
         Predictor("MEAN", 0, F.col("mu"), 4 * shape.n_locs, 0),
         *[
             Predictor("SENSOR", k, F.col(f"sensor_{k}"),
@@ -90,13 +88,24 @@ def _lorenzo_sql() -> str:
     ])
     c = lambda a: f"coalesce({a}.value, 0)"
     plane = f"({c('w')} + {c('n')} - {c('nw')})"
-    return f"""lz AS (SELECT p.*, {c('u')} AS lorenzo_1d, {plane} AS lorenzo_2d,
+    at_columns = ", ".join(f"{c(a)} AS at_{a}" for a in CORNERS)
+    return f"""lz AS (SELECT p.*, {at_columns}, {c('u')} AS lorenzo_1d, {plane} AS lorenzo_2d,
   ({plane} + {c('u')}) - ({c('uw')} + {c('un')}) + {c('unw')} AS lorenzo_3d
 FROM p {joins})"""
 
 
 LORENZO_SQL = _lorenzo_sql()
 
+
+def lorenzo_code_sql(dims: int, ab: str) -> str:
+    """Signed sum of the neighbours' quantised values."""
+    terms = [f"{'+' if sign > 0 else '-'} round_even(at_{a}/(2*{ab}), 0)::BIGINT" for a, sign in SIGNS[dims].items()]
+    return "(0 " + " ".join(terms) + ")"
+
+
+_NO_NEAR = ", ".join(f"0.0::DOUBLE AS at_{a}" for a in CORNERS)
+_NEAR = ", ".join(f"at_{a}" for a in CORNERS)
+
 # ``r``: the result table; opens with WITH and can be continued by ", ..." or SELECT.
 RESULTS_SQL = (
     more("g", "p", "sh") + LORENZO_SQL + """,
@@ -107,14 +116,16 @@ sr AS (SELECT p.level, p.loc, k.k, p.value,
        LEFT JOIN p q ON q.level = p.level
         AND q.loc = ((p.loc*k.k // sh.n)*sh.n + k.k - 1) // k.k),
 preds AS (
-  SELECT 'LORENZO-1D' AS method, 0 AS k, value AS v, lorenzo_1d AS pred FROM lz
-  UNION ALL SELECT 'LORENZO-2D', 0, value, lorenzo_2d FROM lz
-  UNION ALL SELECT 'LORENZO-3D', 0, value, lorenzo_3d FROM lz
-  UNION ALL SELECT 'MEAN', 0, value, mu FROM lz
-  UNION ALL SELECT 'SENSOR', k, value, pred FROM sr),
+  SELECT 'LORENZO-1D' AS method, 0 AS k, value AS v, 0.0::DOUBLE AS pred, 1 AS dims, """ + _NEAR + """ FROM lz
+  UNION ALL SELECT 'LORENZO-2D', 0, value, 0.0::DOUBLE, 2, """ + _NEAR + """ FROM lz
+  UNION ALL SELECT 'LORENZO-3D', 0, value, 0.0::DOUBLE, 3, """ + _NEAR + """ FROM lz
+  UNION ALL SELECT 'MEAN', 0, value, mu, 0, """ + _NO_NEAR + """ FROM lz
+  UNION ALL SELECT 'SENSOR', k, value, pred, 0, """ + _NO_NEAR + """ FROM sr),
 bounds(ab) AS (VALUES (25.0::DOUBLE),(50.0),(100.0),(200.0),(400.0),(800.0),(1600.0),(3200.0)),
-qq AS (SELECT method, k::BIGINT AS k, ab, v, pred, round_even((v-pred)/(2*ab),0)::BIGINT AS bin FROM preds, bounds),
-q2 AS (SELECT *, pred + bin*2*ab AS rec FROM qq),
+qq AS (SELECT method, k::BIGINT AS k, ab, v, pred, round_even((v-pred)/(2*ab),0)::BIGINT AS q,
+        CASE dims WHEN 1 THEN """ + lorenzo_code_sql(1, "ab") + " WHEN 2 THEN " + lorenzo_code_sql(2, "ab")
+        + " WHEN 3 THEN " + lorenzo_code_sql(3, "ab") + """ ELSE 0 END AS near FROM preds, bounds),
+q2 AS (SELECT *, q - near AS bin, pred + q*2*ab AS rec FROM qq),
 cc AS (SELECT method, k, ab, bin, count(*) AS c FROM q2 GROUP BY ALL),
 hh AS (SELECT method, k, ab, count(*) AS n_unique, log2(sum(c)) - sum(c*log2(c))/sum(c) AS entropy FROM cc GROUP BY ALL),
 mm AS (SELECT method, k, ab, count(*) AS n, sqrt(avg((v-rec)*(v-rec))) AS rmse, max(v)-min(v) AS vr,

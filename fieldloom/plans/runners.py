@@ -13,7 +13,7 @@ from fieldloom.operators import predict as pr
 from fieldloom.operators.predict import check_model
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
-from fieldloom.operators.lorenzo import with_lorenzo
+from fieldloom.operators.lorenzo import code_near, with_neighbours
 from fieldloom.operators.metrics import quality
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.operators.sizing import compress_bytes
@@ -137,8 +137,8 @@ def _hybrid(merged, cost, method: str, active: DataFrame | None = None) -> DataF
         cells = _cells(merged, [f"k{k}"]).withColumn("d", F.col("resid") - F.col(f"k{k}"))
         if active is not None:
             cells = rs.gather_active(cells, active)
-        coded = with_lorenzo(cells, "d")
-        p = Predictor(method, k, F.col(f"k{k}") + F.col("lorenzo_2d"), m, s)
+        coded = with_neighbours(cells, "d")
+        p = Predictor(method, k, F.col(f"k{k}"), m, s, code_near(2))
         r = sweep(coded, "resid", [p], BOUNDS)
         out = r if out is None else out.unionAll(r)
     return _rows(out)
@@ -226,9 +226,9 @@ def e09_kronecker_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     k_z, k_xy = 8, max(ks(n))
     out, levels, picks = kronecker(spark, sf, k_z, k_xy)
     cells = _cells(out, ["pred"]).withColumn("d", F.col("resid") - F.col("pred"))
-    coded = with_lorenzo(cells, "d")
+    coded = with_neighbours(cells, "d")
     k = len(levels) * len(picks.ids)
-    p = Predictor("KRIGING-3D+LORENZO", k, F.col("pred") + F.col("lorenzo_3d"), 4.0 * n, 2.0 * k + 4.0 * (len(levels) + len(picks.ids)))
+    p = Predictor("KRIGING-3D+LORENZO", k, F.col("pred"), 4.0 * n, 2.0 * k + 4.0 * (len(levels) + len(picks.ids)), code_near(3))
     return _rows(sweep(coded, "resid", [p], BOUNDS))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "level bigint, y bigint, x bigint, value float"
+SCHEMA = "level bigint, y bigint, x bigint, value float, loc bigint"
 
 
 class _Rows(InputPartition):
@@ -52,8 +52,9 @@ class _Reader(DataSourceReader):
                 n = len(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, part.level, "i8")), pa.array(np.full(n, y // self.stride, "i8")),
-                     pa.array(np.arange(n, dtype="i8")), pa.array(row.astype("f4"))],
-                    names=["level", "y", "x", "value"],
+                     pa.array(np.arange(n, dtype="i8")), pa.array(row.astype("f4")),
+                     pa.array(np.arange(n, dtype="i8") + (y // self.stride) * n)],
+                    names=["level", "y", "x", "value", "loc"],
                 )
 
 
