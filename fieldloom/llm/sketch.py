@@ -21,13 +21,13 @@ from fieldloom.llm.shared import Batches
 from fieldloom.llm.text import mix
 
 SEGMENT_BITS = 16  # counters of a segment, as a power of two
-MAX_COUNTERS = 1 << 30
+MAX_COUNTERS = 1 << 29  # 128 MB for both rows in every task; raise it with the executors' memory
 CELLS = {"row": "int", "segment": "long", "cells": "binary"}
 
 
 def counters_for(expected: float) -> int:
-    """Number of counters, a power of two, for so many digests."""
-    return min(MAX_COUNTERS, 1 << max(10, math.ceil(math.log2(max(1.0, 5 * expected)))))
+    """Number of counters, the power of two next to five for each of so many digests."""
+    return min(MAX_COUNTERS, 1 << max(10, round(math.log2(max(1.0, 5 * expected)))))
 
 
 def _cells(digest: np.ndarray, counters: int) -> list[np.ndarray]:

@@ -36,14 +36,15 @@ from pyspark.sql import functions as F
 from fieldloom.llm import sketch
 from fieldloom.llm.dictionary import binary_array
 from fieldloom.llm.shared import Batches, arrow_map, signed, stored
-from fieldloom.llm.text import Block, blocks, gather_spans, mix, span_hashes
+from fieldloom.llm.text import Block, blocks, gather_spans, mix, span_hasher
 from fieldloom.session import BROADCAST_BYTES, sized_broadcast
 
 WINDOW = 50
 GRAM = 20
 SHALLOW = 8  # bytes behind the gram that the shallow sort compares
-PIECE = 8 << 20  # windows of one pass over a long text
-ROWS = 1 << 17  # rows that a task sorts together, more only for one gram
+BLOCK = 1 << 20  # bytes of text that a task looks at together, more only for one text
+PIECE = 4 << 20  # windows of one pass over a long text
+ROWS = 1 << 15  # rows that a task sorts together, more only for one gram
 BYTES_PER_ANCHOR = 15  # of text, about; sets the size of the sketch
 LAST_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
@@ -78,7 +79,7 @@ def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def _repeated_grams(texts: DataFrame, counters: int):
     def count(batch):
         parts = [np.zeros(0, np.uint64)]
-        for block in blocks(batch.column("text")):
+        for block in blocks(batch.column("text"), size=BLOCK):
             _, _, place, gram = _anchors(block)
             parts.append(gram[np.append(True, place[1:] != place[:-1])] if place.size else gram)
         yield sketch.counted(np.concatenate(parts), counters)
@@ -92,7 +93,7 @@ def _context_rows(texts: DataFrame, maps) -> DataFrame:
 
     def probe(batch):
         at = 0
-        for block in blocks(batch.column("text")):
+        for block in blocks(batch.column("text"), size=BLOCK):
             doc = batch.column("doc").slice(at, block.n).to_numpy()
             digest = batch.column("digest").slice(at, block.n).to_numpy()
             at += block.n
@@ -268,12 +269,13 @@ def _removed(gram: np.ndarray, doc: np.ndarray, digest: np.ndarray, start: np.nd
         offset = left[um][order].astype(np.int64)
         anchor, low = anchor[order], least[m][order]
         flag = np.zeros((order.size, WINDOW - GRAM + 1), bool)
+        left_digest = span_hasher(data.astype(np.uint64) + np.uint64(1), 1)
         for o in range(WINDOW - GRAM + 1):
             run = np.cumsum(lcp < WINDOW - o)
             has = np.flatnonzero((offset >= o) & (right >= WINDOW - o))
             if has.size < 2:
                 continue
-            before = span_hashes(data.astype(np.uint64) + np.uint64(1), anchor[has] - o, anchor[has], 1)
+            before = left_digest(anchor[has] - o, anchor[has])
             key = mix(before ^ mix(run[has].astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
             by = np.argsort(key, kind="stable")
             edge = np.append(True, key[by][1:] != key[by][:-1])

@@ -12,7 +12,7 @@ mix; two of them (different seeds) make the 128-bit keys that stand for exact eq
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +54,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of ``values[start:end]`` for every span, equal for equal contents at any place."""
+def span_hasher(values: np.ndarray, seed: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Function (starts, ends) that hashes spans of ``values``."""
     power, inverse = _power(seed, values.size + 1)
     run = np.empty(values.size + 1, np.uint64)
     run[0] = 0
     np.cumsum(values * power[: values.size], out=run[1:])
-    h = run[ends] - run[starts]
-    h *= inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = run[ends] - run[starts]
+        h *= inverse[starts]
+        return mix(h + (ends - starts).astype(np.uint64))
+
+    return hashes
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of ``values[start:end]`` for every span, equal for equal contents at any place."""
+    return span_hasher(values, seed)(starts, ends)
 
 
 class Block:
