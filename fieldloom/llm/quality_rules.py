@@ -112,7 +112,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of kept documents with boilerplate lines taken out of ``text_col``; same columns."""
     rows = _prepared(docs, id_col, text_col, host_col)
-    verdict = apply_rules(docs, id_col, text_col, host_col).where("kept").select("host", "digest", "n_removed").distinct()
+    # Stored, so that the filter is not pushed below the counts and their expressions copied.
+    verdict = stored(apply_rules(docs, id_col, text_col, host_col).select("host", "digest", "kept"))
+    verdict = verdict.where("kept").select("host", "digest").distinct()
     gone = removed_lines(rows).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "at")
     verdict = verdict.select(F.col("host").alias("_host"), F.col("digest").alias("_digest")).join(gone, ["_host", "_digest"], "left")
     keyed = docs.withColumn("_host", F.coalesce(F.col(host_col), F.lit(""))).withColumn(
