@@ -9,7 +9,11 @@ python -m fieldloom decompress MODEL BLOBS OUT
 from __future__ import annotations
 
 import argparse
+import sys
 
+from numpy.linalg import LinAlgError
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +28,18 @@ RUNNERS = [
 
 
 def sweep(spark: SparkSession, sf: str, out: str, names: list[str]) -> dict[str, str]:
-    """Run what has no rows yet, appending after each runner; a failing runner is
-    reported and the sweep goes on."""
+    """Run what has no rows yet, appending after each runner; a runner that fails in Spark or in
+    its algebra is reported and the sweep goes on.  A store that cannot be read ends it."""
     from fieldloom.plans import registry
 
     registry.load_all()
     store, outcome = f"{out}/rows", {}
     try:
         done = {r[0] for r in spark.read.parquet(store).select("runner").distinct().collect()}
-    except Exception:  # nothing stored so far
-        done = set()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = set()  # nothing stored so far
     for name in names:
         if name in done:
             outcome[name] = "kept"
@@ -42,7 +48,7 @@ def sweep(spark: SparkSession, sf: str, out: str, names: list[str]) -> dict[str,
             rows = registry.QUERIES[name](spark, sf).withColumn("runner", F.lit(name))
             rt.append_results(rows, store)
             outcome[name] = "ran"
-        except Exception as e:  # noqa: BLE001
+        except (PySparkException, Py4JJavaError, ArithmeticError, LookupError, ValueError, LinAlgError) as e:
             outcome[name] = f"failed: {type(e).__name__}"
     if not done and "ran" not in outcome.values():
         return outcome
@@ -78,8 +84,11 @@ def main() -> None:
     a = ap.parse_args()
     spark = SparkSession.getActiveSession() or build_session()
     if a.what == "sweep":
-        for name, how in sweep(spark, a.sf, a.out, a.runner or RUNNERS).items():
+        outcome = sweep(spark, a.sf, a.out, a.runner or RUNNERS)
+        for name, how in outcome.items():
             print(name, how)
+        if any(how.startswith("failed") for how in outcome.values()):
+            sys.exit(1)
     elif a.what == "train":
         train(spark, a.kind, a.sf, a.model, a.k)
     else:

@@ -164,7 +164,7 @@ def volume_modes(profiles: DataFrame, basis: dc.Basis, k: int) -> DataFrame:
         loc = np.repeat(scalar(b, "loc"), nl)
         level = np.tile(np.arange(nl, dtype="i8"), m)
         feats = (planar[:, None, :] * levels[None]).reshape(m * nl, -1)
-        return [loc * 1_000_000 + level, level, loc, block(b, "vec").ravel(), list_column(feats)]
+        return [loc * sl.LEVEL_SPAN + level, level, loc, block(b, "vec").ravel(), list_column(feats)]
 
     return map_blocks(
         profiles, ["loc", "vec"], "id bigint, level bigint, loc bigint, v double, x array<double>", rows
@@ -224,20 +224,25 @@ def stacked_readings(stack: DataFrame, fields: list[str], sensors: np.ndarray) -
 
 
 def save_model(model: Model, path: str) -> None:
-    """Location table and a one-row parameter table."""
+    """Location table and a one-row parameter table, the covariance by name and parameters."""
     spark = model.table.sparkSession
+    kernel, numbers = (None, {}) if model.kind == "deim" else sl.described(model.kernel)
     model.table.write.mode("overwrite").parquet(f"{path}/table")
     rows = None if model.rows is None else [r.tolist() for r in model.rows]
     spark.createDataFrame(
         [(model.kind, model.sensors.tolist(), [c.tolist() for c in model.coords], rows,
-          model.n_levels, model.n_locs, model.noise)],
+          model.n_levels, model.n_locs, model.noise, kernel, numbers)],
         "kind string, sensors array<bigint>, coords array<array<double>>, rows array<array<double>>, "
-        "n_levels bigint, n_locs bigint, noise double",
+        "n_levels bigint, n_locs bigint, noise double, kernel string, kernel_parameters map<string,double>",
     ).write.mode("overwrite").parquet(f"{path}/params")
 
 
-def load_model(spark: SparkSession, path: str, kernel: Callable | None = DEFAULT_KERNEL) -> Model:
+def load_model(spark: SparkSession, path: str) -> Model:
+    """The stored model with the covariance it was fitted with."""
     p = spark.read.parquet(f"{path}/params").first()
+    kernel = None if p["kernel"] is None else sl.restored(p["kernel"], p["kernel_parameters"])
+    if kernel is None and p["kind"] != "deim":
+        raise ValueError(f"{path}: the model has no covariance stored")
     rows = None if p["rows"] is None else np.array(p["rows"])
     return Model(p["kind"], spark.read.parquet(f"{path}/table"), np.array(p["sensors"]), np.array(p["coords"]),
                  rows, p["n_levels"], p["n_locs"], kernel, p["noise"])

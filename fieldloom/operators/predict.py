@@ -19,6 +19,7 @@ from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 MAX_MODEL_BYTES = 256 << 20
 MAX_SENSORS = 5000
 BRUTE_FORCE = 2048
+FLAT = 1e-10  # deviation under which a location counts as constant
 
 
 def check_model(*arrays: np.ndarray) -> None:
@@ -101,11 +102,13 @@ def kriging(
         mean = k @ alpha
         prior = kernel(x[:1], x[:1])[0, 0]
         var = prior - ((k @ inv) * k).sum(1)
+        flat = block(b, "vec").std(1) < FLAT  # no variance in training: the mean stands
         if g is not None:
             h = trend(x)
             mean = mean + h @ beta
             u = h - k @ inv @ g
             var = var + ((u @ gram_inv) * u).sum(1)
+        mean[flat] = 0.0
         return [b.column("loc"), b.column("vec"), list_column(mean), np.maximum(var, var_floor)]
 
     return map_blocks(

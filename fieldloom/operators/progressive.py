@@ -98,7 +98,7 @@ def _coords(config: RoundConfig) -> Column:
 
 def _flat(df: DataFrame) -> DataFrame:
     """One id per cell: levels share the locations, so pair them."""
-    return df.withColumn("id", F.col("loc") * 1_000_000 + F.col("level"))
+    return df.withColumn("id", F.col("loc") * sl.LEVEL_SPAN + F.col("level"))
 
 
 def choose(state: DataFrame, config: RoundConfig, r: int, n_levels: int | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def choose(state: DataFrame, config: RoundConfig, r: int, n_levels: int | None =
         ids = [i for p in picks.values() for i in p.ids.tolist()]
     else:
         ids = sl.gks(points, config.kernel, k, 20, "random", config.seed + r).ids.tolist()
-    rows = [(i % 1_000_000, i // 1_000_000) for i in ids]
+    rows = [(i % sl.LEVEL_SPAN, i // sl.LEVEL_SPAN) for i in ids]
     return spark.createDataFrame(rows, "level bigint, loc bigint")
 
 

@@ -19,10 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.functions import kernels as kn
 from fieldloom.sources.profiles import block, collect_matrix, list_column, map_blocks, scalar, sum_blocks
 
 ROUND = 9
 POOL = 2048
+MAX_DENSE = 50_000  # points of a covariance that is formed row by row
+LEVEL_SPAN = 1 << 31  # id of a cell = loc * LEVEL_SPAN + level
 
 
 class Picks(NamedTuple):
@@ -37,6 +40,9 @@ class Picks(NamedTuple):
         return spark.createDataFrame(rows, "rank bigint, id bigint, score double")
 
 
+RADIAL = {f.__name__: f for f in (kn.rbf, kn.matern, kn.multiscale)}
+
+
 def linear_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
@@ -56,6 +62,17 @@ class RadialKernel:
         return self.fn(distance_matrix(a, b), m=np, **self.params)
 
 
+def described(kernel: RadialKernel) -> tuple[str, dict[str, float]]:
+    """Name and parameters of a radial covariance, from which ``restored`` makes it again."""
+    if not isinstance(kernel, RadialKernel) or RADIAL.get(kernel.fn.__name__) is not kernel.fn:
+        raise ValueError("only radial covariances of the library can be stored")
+    return kernel.fn.__name__, {k: float(v) for k, v in kernel.params.items()}
+
+
+def restored(name: str, parameters: dict[str, float]) -> RadialKernel:
+    return RadialKernel(RADIAL[name], **parameters)
+
+
 class CholeskyScore:
     """Residual variance of a point given the points picked so far."""
 
@@ -212,12 +229,13 @@ def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, p
     Every point is a Poisson clock ticking at the variance known at the last pass; a tick
     is accepted with probability current/known variance.  Thinning leaves exactly the
     sequential distribution, and one pass serves many picks.  Clocks are functions of the
-    id and the pass, so a retried task reproduces them.
+    id and the pass, so a retried task reproduces them.  Fewer than ``k`` picks mean that no
+    point has residual variance left.
     """
     rng = np.random.default_rng(seed)
     ids, rows, scores = [], [], []
     passes = 0
-    while len(ids) < k and passes < 4 * k + 8:
+    while len(ids) < k:
         bits = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed), F.lit(passes)), 11)
         ticking = (
             _scored(points, scorer).where(F.col("score") > 1e-9)
@@ -307,13 +325,30 @@ def gks(points: DataFrame, kernel: Callable, k: int, oversample: int = 20, mode:
         pivots = random_select(points, scorer, k + oversample, seed)
     else:
         pivots = greedy_select(points, scorer, k + oversample)
-    if len(pivots.ids) <= k:
+    if len(pivots.ids) < k:
+        raise ValueError(f"only {len(pivots.ids)} of {k} points have residual variance")
+    if len(pivots.ids) == k:
         return pivots
     chosen = qdeim(low_rank_modes(points, scorer, k), k)
     coords = points.where(F.col("id").isin(chosen.ids.tolist())).toPandas().set_index("id")["x"]
     return Picks(chosen.ids, np.stack([coords[i] for i in chosen.ids]), chosen.scores)
 
 
+def direct_qr(points: DataFrame, kernel: Callable, k: int) -> Picks:
+    """Column-pivoted QR of the covariance itself: mode rows are rows of K, formed block by
+    block against all points.  K is as wide as there are points, so it is refused beyond
+    ``MAX_DENSE`` of them; :func:`gks` is the way for more."""
+    n = points.count()
+    if n > MAX_DENSE:
+        raise ValueError(f"a covariance of {n} points is too wide for direct QR")
+    known = points.orderBy("id").toPandas()
+    everything = np.stack(known["x"].to_numpy())
+    rows = map_blocks(points, ["id", "x"], "id bigint, x array<double>",
+                      lambda b: [b.column("id"), list_column(kernel(block(b, "x"), everything))])
+    picks = qdeim(rows, k)
+    return Picks(picks.ids, everything[np.searchsorted(known["id"].to_numpy(), picks.ids)], picks.scores)
+
+
 def greedy_error(profiles: DataFrame, k: int, candidates: np.ndarray, kernel: Callable, noise: float) -> list[int]:
     """Oracle placement: add the candidate whose one-step Kriging update lowers the total
     squared error most.

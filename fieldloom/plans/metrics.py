@@ -154,10 +154,6 @@ def m14_radial_profile(spark: SparkSession, sf: str) -> DataFrame:
 _TIME = more("s") + "t AS (SELECT kind AS method, loc % 4 AS k, value/1000 AS sec FROM s)"
 
 
-# kinds of record times the four values of k; far below what a broadcast may hold
-TIMED = 1000
-
-
 def _timing(spark: SparkSession, sf: str) -> DataFrame:
     return event_series(spark, sf).select(
         F.col("kind").alias("method"), (F.col("loc") % 4).alias("k"), (F.col("value") / 1000).alias("sec")
@@ -171,7 +167,8 @@ SELECT method, k, round(med, 6) AS med, round(CASE WHEN med < base THEN train/(b
 def m15_break_even(spark: SparkSession, sf: str) -> DataFrame:
     """Uses needed before training pays off against the slowest method of the same k."""
     t = _timing(spark, sf)
-    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], TIMED).select("method", "k", F.col("q").alias("med"))
+    groups = t.select("method", "k").distinct().count()
+    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], groups).select("method", "k", F.col("q").alias("med"))
     train = t.groupBy("method", "k").agg((F.max("sec") * 10).alias("train"))
     m = med.join(train, ["method", "k"]).withColumn("base", F.max("med").over(Window.partitionBy("k")))
     gain = F.col("base") - F.col("med")
@@ -186,7 +183,8 @@ def m15_break_even(spark: SparkSession, sf: str) -> DataFrame:
  round(sum(sec)*1000/count(*), 4) AS ms_per_item, round(4e-6::DOUBLE*count(*)/sum(sec), 9) AS mb_per_s FROM t GROUP BY method, k""")
 def m16_timing_stats(spark: SparkSession, sf: str) -> DataFrame:
     t = _timing(spark, sf)
-    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], TIMED).select("method", "k", F.round("q", 6).alias("med"))
+    groups = t.select("method", "k").distinct().count()
+    med = exact_quantiles(t, "sec", [0.5], ["method", "k"], groups).select("method", "k", F.round("q", 6).alias("med"))
     n, total = F.count(F.lit(1)), F.sum("sec")
     return t.groupBy("method", "k").agg(
         n.alias("n"), F.round(F.stddev_pop("sec"), 6).alias("sd"),

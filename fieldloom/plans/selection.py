@@ -86,6 +86,12 @@ def n03_gks_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_id(sl.gks(_points(spark, sf), MATERN, 8, 8, "greedy"), spark)
 
 
+@query("n03_direct_qr")
+def n03_direct_qr(spark: SparkSession, sf: str) -> DataFrame:
+    """Pivoted QR of the covariance matrix itself."""
+    return _rank_id(sl.direct_qr(_points(spark, sf), MATERN, 8), spark)
+
+
 @query("n06_random_pivots")
 def n06_random_pivots(spark: SparkSession, sf: str) -> DataFrame:
     """Randomly pivoted Cholesky pivots without a QR stage."""

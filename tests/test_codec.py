@@ -65,3 +65,54 @@ def test_decode_from_bins_alone(spark, tmp_path, dims, eb):
     keep = array_of(gappy, "value", shape)
     here = ~np.isnan(keep)
     assert np.abs(decoded - v)[here].max() <= eb * (1 + 1e-9) and (decoded[~here] == 0).all()
+
+
+def test_model_keeps_its_covariance(spark, tmp_path):
+    from fieldloom.functions import kernels as kn
+    from fieldloom.operators import codecs as cd
+    from fieldloom.operators import selection as sl
+
+    kernel = sl.RadialKernel(kn.matern, nu=2.5, ls=7.0)
+    name, numbers = sl.described(kernel)
+    a, b = np.random.default_rng(1).normal(size=(2, 5, 2))
+    assert np.array_equal(sl.restored(name, numbers)(a, b), kernel(a, b))
+    with pytest.raises(ValueError):
+        sl.described(sl.linear_kernel)
+
+
+def test_direct_qr_matches_dense(spark):
+    from fieldloom.functions import kernels as kn
+    from fieldloom.operators import selection as sl
+
+    x = np.random.default_rng(2).uniform(0, 10, size=(40, 2))
+    kernel = sl.RadialKernel(kn.matern, nu=1.5, ls=2.0)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    left, want = kernel(x, x), []
+    for _ in range(6):  # column-pivoted QR by Gram-Schmidt
+        j = int(np.argmax(np.round((left**2).sum(0), 9)))
+        want.append(j)
+        q = left[:, j] / np.linalg.norm(left[:, j])
+        left = left - np.outer(q, q @ left)
+    assert sl.direct_qr(points, kernel, 6).ids.tolist() == want
+
+
+def test_constant_location_keeps_its_mean(spark):
+    from fieldloom.functions import kernels as kn
+    from fieldloom.operators import predict as pr
+    from fieldloom.operators import selection as sl
+
+    rows = [(k, 0.0, float(k), [0.0, 0.0] if k == 2 else [1.0 + k, -1.0 - k]) for k in range(5)]
+    prof = spark.createDataFrame(rows, "loc long, y double, x double, vec array<double>")
+    kernel = sl.RadialKernel(kn.matern, nu=1.5, ls=3.0)
+    out = pr.kriging(prof, np.array([[0.0, 0.0], [0.0, 4.0]]), np.array([[1.0, -1.0], [5.0, -5.0]]), kernel, 1e-6)
+    got = {r["loc"]: r["pred"] for r in out.collect()}
+    assert got[2] == [0.0, 0.0] and abs(got[3][0]) > 0.1
+
+
+def test_sweep_store_that_cannot_be_read(spark, sf, tmp_path):
+    from fieldloom.__main__ import sweep
+
+    (tmp_path / "rows").mkdir()
+    (tmp_path / "rows" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        sweep(spark, sf, str(tmp_path), ["no_such_runner"])
