@@ -16,7 +16,7 @@ from fieldloom.operators import selection as sl
 from fieldloom.operators.lorenzo import code_near, with_neighbours
 from fieldloom.operators.metrics import quality
 from fieldloom.operators.ratedist import Predictor, sweep
-from fieldloom.operators.sizing import compress_bytes
+from fieldloom.operators.sizing import compress_bytes, lossless_bytes
 from fieldloom.plans.common import r6
 from fieldloom.plans.fitting import field_profiles, location_points, stored_profiles
 from fieldloom.plans.prediction import NOISE, coregional
@@ -35,32 +35,39 @@ def ks(n: int, wanted=(4, 12)) -> list[int]:
     return sorted({min(k, max(1, n // 2)) for k in wanted})
 
 
-def compressed_size(df: DataFrame, column: str, dtype: str) -> float:
-    """Losslessly compressed bytes of an array column, batch by batch."""
-    sizes = map_blocks(df, [column], "b bigint",
-                       lambda b: [np.array([compress_bytes(block(b, column).astype(dtype).tobytes())], "i8")])
-    return float(sizes.agg(F.sum("b")).first()[0] or 0)
+def compressed_size(df: DataFrame, key: str, column: str, dtype: str) -> float:
+    """Losslessly compressed bytes of an array column, in chunks by key: the same however the
+    rows are spread over tasks."""
+    flat = df.select((F.col(key) * F.size(column)).alias("k0"), F.posexplode(column).alias("i", "v"))
+    size = lossless_bytes(flat.select((F.col("k0") + F.col("i")).alias("at"), "v"), "at", "v", dtype)
+    return float(size.first()[0] or 0)
 
 
 def compressed_scalar(df: DataFrame, column: str) -> float:
-    return compressed_size(df.select(F.array(F.col(column).cast("double")).alias("a")), "a", "f4")
+    return float(lossless_bytes(df.select("loc", F.col(column).cast("double").alias("v")), "loc", "v", "float32").first()[0] or 0)
 
 
 def _cells(df: DataFrame, names: list[str]) -> DataFrame:
-    """level, loc, y, x, resid and one column per prediction array."""
-    z = df.select("loc", F.posexplode(F.arrays_zip("vec", *names)).alias("level", "c"))
-    return z.select(
+    """level, loc, y, x, resid and one column per prediction array, absent cells left out."""
+    seen = ["seen"] if "seen" in df.columns else []
+    z = df.select("loc", F.posexplode(F.arrays_zip("vec", *seen, *names)).alias("level", "c"))
+    return z.where("c.seen" if seen else F.lit(True)).select(
         F.col("level").cast("bigint").alias("level"), "loc", F.expr(f"loc div {NX}").alias("y"), (F.col("loc") % NX).alias("x"),
         F.col("c.vec").alias("resid"), *[F.col(f"c.{n}").alias(n) for n in names],
     )
 
 
+def _present(cells: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that the field has: predictions for absent ones are not scored."""
+    return cells.join(residual_field(spark, sf).select("level", "loc"), ["level", "loc"], "left_semi")
+
+
 def _all_ranks(prof: DataFrame, columns: list[str], parts: dict) -> DataFrame:
     """loc, vec and one prediction array per rank, all in one pass: ``parts[name](batch)``."""
-    schema = "loc bigint, vec array<double>, " + ", ".join(f"{n} array<double>" for n in parts)
+    schema = "loc bigint, vec array<double>, seen array<boolean>, " + ", ".join(f"{n} array<double>" for n in parts)
     return cut_lineage(map_blocks(
-        prof, ["loc", "vec", *columns], schema,
-        lambda b: [b.column("loc"), b.column("vec"), *(list_column(f(b)) for f in parts.values())],
+        prof, ["loc", "vec", "seen", *columns], schema,
+        lambda b: [b.column("loc"), b.column("vec"), b.column("seen"), *(list_column(f(b)) for f in parts.values())],
     ))
 
 
@@ -102,7 +109,7 @@ def deim_predictions(spark: SparkSession, sf: str, prof: DataFrame):
         y = pr.readings_at(prof, picks.ids)
         turn = basis.v[:, :k] / np.maximum(basis.s[:k], 1e-300)
         frames[f"k{k}"] = _Rotate(turn @ np.linalg.lstsq(picks.rows, y, rcond=None)[0])
-        model = compressed_size(modes, "x", "f2") + mean + compress_bytes(picks.ids.astype("i4").tobytes())
+        model = compressed_size(modes, "id", "x", "float16") + mean + compress_bytes(picks.ids.astype("i4").tobytes())
         cost[k] = (model, compress_bytes(y.astype("f2").tobytes()))
     return _all_ranks(prof, [], frames), cost
 
@@ -129,14 +136,11 @@ def _plain(merged, cost, method: str) -> DataFrame:
     return _rows(sweep(_cells(merged, names), "resid", preds, BOUNDS))
 
 
-def _hybrid(merged, cost, method: str, active: DataFrame | None = None) -> DataFrame:
-    """Prediction residual coded by the planar Lorenzo codec; with ``active`` only those
-    locations carry data."""
+def _hybrid(merged, cost, method: str) -> DataFrame:
+    """Prediction residual coded by the planar Lorenzo codec."""
     out = None
     for k, (m, s) in cost.items():
         cells = _cells(merged, [f"k{k}"]).withColumn("d", F.col("resid") - F.col(f"k{k}"))
-        if active is not None:
-            cells = rs.gather_active(cells, active)
         coded = with_neighbours(cells, "d")
         p = Predictor(method, k, F.col(f"k{k}"), m, s, code_near(2))
         r = sweep(coded, "resid", [p], BOUNDS)
@@ -153,7 +157,7 @@ def e01_volume_basis_sweep(spark: SparkSession, sf: str) -> DataFrame:
     for k in ks(n):
         modes, picks, coef = cd.fit_volume(prof, nl, k)
         p = Predictor("VOLUME-BASIS", k, F.col("pred"), 2.0 * k * (nl + n) + 4.0 * n, 6.0 * len(picks.ids))
-        r = sweep(cd.decode_volume(modes, coef), "resid", [p], BOUNDS)
+        r = sweep(_present(cd.decode_volume(modes, coef), spark, sf), "resid", [p], BOUNDS)
         out = r if out is None else out.unionAll(r)
     return _rows(out)
 
@@ -198,7 +202,7 @@ def e05_deim_hybrid_masked(spark: SparkSession, sf: str) -> DataFrame:
     prof = stored_profiles(spark, sf)
     mask = _active(spark, sf, prof)
     live = cut_lineage(prof.join(mask.where("is_active").select("loc"), "loc", "left_semi"))
-    return _hybrid(*deim_predictions(spark, sf, live), "DEIM-2D+LORENZO/masked", mask)
+    return _hybrid(*deim_predictions(spark, sf, live), "DEIM-2D+LORENZO/masked")
 
 
 @query("e06_kriging_hybrid_masked")
@@ -206,7 +210,7 @@ def e06_kriging_hybrid_masked(spark: SparkSession, sf: str) -> DataFrame:
     prof = stored_profiles(spark, sf)
     mask = _active(spark, sf, prof)
     live = cut_lineage(prof.join(mask.where("is_active").select("loc"), "loc", "left_semi"))
-    return _hybrid(*kriging_predictions(spark, sf, live), "KRIGING-2D+LORENZO/masked", mask)
+    return _hybrid(*kriging_predictions(spark, sf, live), "KRIGING-2D+LORENZO/masked")
 
 
 @query("e07_deim_hybrid")
@@ -225,7 +229,7 @@ def e09_kronecker_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     n = grid_shape(spark, sf).n_locs
     k_z, k_xy = 8, max(ks(n))
     out, levels, picks = kronecker(spark, sf, k_z, k_xy)
-    cells = _cells(out, ["pred"]).withColumn("d", F.col("resid") - F.col("pred"))
+    cells = _present(_cells(out, ["pred"]), spark, sf).withColumn("d", F.col("resid") - F.col("pred"))
     coded = with_neighbours(cells, "d")
     k = len(levels) * len(picks.ids)
     p = Predictor("KRIGING-3D+LORENZO", k, F.col("pred"), 4.0 * n, 2.0 * k + 4.0 * (len(levels) + len(picks.ids)), code_near(3))

@@ -17,10 +17,10 @@ from fieldloom.sources.grid import NX
 
 
 def profiles(cells: DataFrame, n_levels: int, value: str = "value") -> DataFrame:
-    """loc, y, x, n_obs_levels, mu, sd, vec.
+    """loc, y, x, n_obs_levels, mu, sd, vec, seen.
 
     ``vec`` is centred by the location mean ``mu``; absent levels hold 0, which is the
-    mean.  ``sd`` is the population deviation with the 1e-10 guard set to 1.
+    mean, and are false in ``seen``, so that scores can leave them out.  ``sd`` is the population deviation with the 1e-10 guard set to 1.
     A location has at most one entry per level, so the gathered group is bounded.
     """
     g = cells.groupBy("loc").agg(
@@ -40,6 +40,9 @@ def profiles(cells: DataFrame, n_levels: int, value: str = "value") -> DataFrame
         "loc", F.expr(f"loc div {NX}").alias("y"), (F.col("loc") % NX).alias("x"), "n_obs_levels", "mu",
         F.when(F.col("_sd") < 1e-10, 1.0).otherwise(F.col("_sd")).alias("sd"),
         F.when(F.size("_e") == n_levels, dense).otherwise(gappy).alias("vec"),
+        F.when(F.size("_e") == n_levels, F.array_repeat(F.lit(True), n_levels)).otherwise(
+            F.transform(F.sequence(F.lit(0), F.lit(n_levels - 1)), lambda l: F.map_contains_key("_m", l.cast("bigint")))
+        ).alias("seen"),
     )
 
 
