@@ -59,19 +59,26 @@ SPLIT = r"[^\p{L}\p{N}]+"
 COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|©|\(c\)).*"
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a unit; empty when nothing is left."""
-    lines = F.filter(F.split(F.lower(text), "\n", -1), lambda x: ~x.rlike(COPYRIGHT))
-    words = F.array_remove(F.split(F.array_join(lines, "\n"), SPLIT), "")
-    words = F.filter(words, lambda w: ~w.isin(DROPPED))
+def canonical_lines(text: Column) -> Column:
+    """Canonical form of every line, empty for copyright lines and lines without a word."""
 
-    def same(w: Column) -> Column:
-        out = w
-        for a, b in SPELLINGS.items():
-            out = F.when(w == a, b).otherwise(out)
-        return out
+    def line(x: Column) -> Column:
+        words = F.filter(F.split(x, SPLIT), lambda w: ~w.isin("", *DROPPED))
+        return F.when(x.rlike(COPYRIGHT), "").otherwise(F.array_join(F.transform(words, _same), " "))
 
-    return F.array_join(F.transform(words, same), " ")
+    return F.transform(F.split(F.lower(text), "\n", -1), line)
+
+
+def _same(word: Column) -> Column:
+    out = F.lit(None)
+    for a, b in SPELLINGS.items():
+        out = F.when(word == a, b).otherwise(out)
+    return F.when(word.isin(*SPELLINGS), out).otherwise(word)
+
+
+def _whole(lines: str) -> Column:
+    """Canonical form of a text from those of its lines, since no word goes over a line's end."""
+    return F.array_join(F.array_remove(lines, ""), " ")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
@@ -86,13 +93,14 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``n_units`` counts the distinct canonical units that are this licence.
     """
-    digests = known.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    texts = known.select("license_id", canonical_lines(F.col("text")).alias("lines"))
+    digests = texts.select("license_id", F.sha2(_whole("lines"), 256).alias("digest")).distinct()
     digests = sized_broadcast(digests, digests.count(), 256)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(F.col(id_col).alias("doc_id"), canonical(text).alias("unit"), F.lit(True).alias("whole_text"))
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.split(text, "\n", -1))).alias("line"))
-    lines = lines.select("doc_id", canonical(F.col("line")).alias("unit"), F.lit(False).alias("whole_text"))
-    units = whole.union(lines).where("unit <> ''").select("doc_id", "whole_text", F.sha2("unit", 256).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
+    unit = lambda text, whole: F.struct(text.alias("unit"), F.lit(whole).alias("whole_text"))
+    parts = F.concat(F.transform(F.array_distinct("lines"), lambda x: unit(x, False)), F.array(unit(_whole("lines"), True)))
+    units = rows.select("doc_id", F.inline(parts)).where("unit <> ''").select(
+        "doc_id", "whole_text", F.sha2("unit", 256).alias("digest"))
     found = units.join(digests, "digest").groupBy("doc_id", "license_id", "digest").agg(F.max("whole_text").alias("whole_text"))
     return found.groupBy("doc_id", "license_id").agg(F.count("*").alias("n_units"), F.max("whole_text").alias("whole_text"))
 
