@@ -112,6 +112,23 @@ def sample_with_replacement(df: DataFrame, key: str, extent: int, n: int, seed:
     return draws.join(df, key)
 
 
+def sample_pairs(df: DataFrame, axes: dict[str, int], n: int, seed: int, tries: int = 32) -> DataFrame:
+    """``n`` cells drawn with replacement, uniformly over the existing cells of the box.
+
+    A draw takes its first place that exists among ``tries`` uniform places; only the draws
+    travel to the cells' side of the join.  A draw with no hit would mean a nearly empty box and
+    is an error when it is counted on: fewer than ``n`` rows come back.
+    """
+    places = df.sparkSession.range(n).select(
+        F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try")
+    )
+    for a, extent in axes.items():
+        places = places.withColumn(a, F.floor(uniform(seed, a, F.col("draw"), F.col("_try")) * extent).cast("bigint"))
+    hits = places.join(df, list(axes))
+    first = hits.groupBy("draw").agg(F.min_by(F.struct(*df.columns), "_try").alias("_cell"))
+    return first.select("draw", "_cell.*")
+
+
 def latin_hypercube(df: DataFrame, axes: dict[str, int], n: int, seed: int) -> DataFrame:
     """``n`` stratified draws per axis, shuffled against each other, deduplicated and
     matched to existing cells."""

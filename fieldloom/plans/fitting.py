@@ -205,9 +205,8 @@ def _pooled_objective(theta, xy, y):
 def f11_fit_pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Scale, variance and noise on pooled (snapshot, pixel) pairs; the fitted noise is kept."""
     g = rs.zscore_by_location(grid_field(spark, sf), ["value"]).select("loc", "level", "y", "x", "z_value")
-    n = grid_shape(spark, sf).n_locs
-    per_draw = F.floor(rs.uniform(5, F.col("draw")) * grid_shape(spark, sf).n_levels)
-    pdf = rs.sample_with_replacement(g, "loc", n, SAMPLE, 4).where(F.col("level") == per_draw).toPandas()
+    shape = grid_shape(spark, sf)
+    pdf = rs.sample_pairs(g, {"level": shape.n_levels, "loc": shape.n_locs}, SAMPLE, 4).toPandas()
     xy, y = pdf[["y", "x"]].to_numpy(float), pdf["z_value"].to_numpy()
     fit = dc.fit_by_zoom(spark, partial(_pooled_objective, xy=xy, y=y), [BOX_LS, BOX_VAR_SLICES, BOX_NOISE])
     return _fit_row(spark, ["ls", "var", "noise"], fit)

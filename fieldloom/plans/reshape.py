@@ -165,14 +165,15 @@ def p15_latin_hypercube(spark: SparkSession, sf: str) -> DataFrame:
     return rs.latin_hypercube(grid_field(spark, sf), axes, 200, 3).select("level", "y", "x", "value")
 
 
-@query("p16_pair_sampling", more("g", "sh") + "d AS (SELECT range AS draw, floor(" + _u("'11-' || range")
-       + "*sh.n)::BIGINT AS loc FROM range(0, 300), sh) SELECT draw, loc, level, value FROM g JOIN d USING (loc)")
+@query("p16_pair_sampling", more("g", "sh") + "d AS (SELECT r.range AS draw, t.range AS try, floor(" + _u("'11-level-' || r.range || '-' || t.range")
+       + "*sh.nl)::BIGINT AS level, floor(" + _u("'11-loc-' || r.range || '-' || t.range") + """*sh.n)::BIGINT AS loc
+  FROM range(0, 300) r, range(0, 32) t, sh)
+SELECT draw, loc, level, value FROM g JOIN d USING (level, loc) QUALIFY row_number() OVER (PARTITION BY draw ORDER BY try) = 1""")
 def p16_pair_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    """Locations drawn with replacement, all their snapshots."""
+    """(snapshot, location) pairs drawn with replacement from the existing cells."""
+    shape = grid_shape(spark, sf)
     g = grid_field(spark, sf).select("loc", "level", "value")
-    return rs.sample_with_replacement(g, "loc", grid_shape(spark, sf).n_locs, 300, 11).select(
-        "draw", "loc", "level", "value"
-    )
+    return rs.sample_pairs(g, {"level": shape.n_levels, "loc": shape.n_locs}, 300, 11).select("draw", "loc", "level", "value")
 
 
 @query("p17_float32", ctes("g", "p") + "SELECT level, loc, f_quantity::FLOAT::DOUBLE AS q32, round(value::FLOAT::DOUBLE - value, 6) AS err FROM p")
