@@ -60,8 +60,19 @@ def _only_levels(profiles: DataFrame, levels: np.ndarray) -> DataFrame:
     return profiles.withColumn("vec", picked)
 
 
+def _recentred(profiles: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Profiles centred by the mean of the training levels alone."""
+    shift = sum((F.col("vec")[int(i)] for i in levels), F.lit(0.0)) / len(levels)
+    shifted = profiles.withColumn("_shift", shift)
+    return shifted.withColumns({
+        "mu": F.col("mu") + F.col("_shift"), "vec": F.transform("vec", lambda v: v - F.col("_shift")),
+    }).drop("_shift")
+
+
 def fit_deim(profiles: DataFrame, n_levels: int, n_locs: int, k: int, train: np.ndarray | None = None) -> Model:
-    """SVD basis of the training levels with Q-DEIM sensors."""
+    """SVD basis of the training levels, centred by their mean, with Q-DEIM sensors."""
+    if train is not None:
+        profiles = _recentred(profiles, train)
     rows = profiles if train is None else _only_levels(profiles, train)
     basis = dc.svd_basis(rows, n_levels if train is None else len(train), k)
     turn = basis.v / np.maximum(basis.s, 1e-300)
@@ -94,8 +105,13 @@ def _rank_of(model: Model):
 
 
 def _packed(model: Model, readings: DataFrame) -> DataFrame:
-    """level, blob from (level, rank, v): k readings per level, k being the model's."""
-    r = readings.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("rank", "v")))["v"].alias("r"))
+    """level, blob from (level, rank, v): k readings per level, k being the model's.  A sensor
+    without a reading stands with 0, the mean, so that every other keeps its place."""
+    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", "v")))
+    places = F.sequence(F.lit(0), F.lit(model.k - 1))
+    r = readings.groupBy("level").agg(by_rank.alias("m")).select(
+        "level", F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("r")
+    )
     blob = pack_f32(F.col("r"), F.size("r"), F.lit(model.n_locs))
     return r.select(F.col("level").cast("bigint").alias("level"), blob.alias("blob"))
 

@@ -116,3 +116,25 @@ def test_sweep_store_that_cannot_be_read(spark, sf, tmp_path):
     (tmp_path / "rows" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         sweep(spark, sf, str(tmp_path), ["no_such_runner"])
+
+
+def test_absent_reading_keeps_the_others_in_place(spark):
+    from fieldloom.operators import codecs as cd
+
+    table = spark.createDataFrame([(i, 10.0 * i, 1.0) for i in range(6)], "loc long, mu double, sd double")
+    model = cd.Model("deim", table, np.array([4, 1, 3]), np.zeros((3, 2)), np.eye(3), 2, 6)
+    cells = spark.createDataFrame([(0, 4, 41.0), (0, 1, 12.0), (0, 3, 33.0), (1, 4, 45.0), (1, 3, 36.0)], "level long, loc long, value double")
+    got = {r["level"]: np.frombuffer(r["blob"][8:], "<f4").tolist() for r in cd.encode_cells(model, cells).collect()}
+    assert got == {0: [1.0, 2.0, 3.0], 1: [5.0, 0.0, 6.0]}
+
+
+def test_training_mean_centres_the_basis(spark):
+    from fieldloom.operators import codecs as cd
+
+    v = np.random.default_rng(3).normal(size=(12, 5)) + 20
+    mu = v.mean(1)
+    rows = [(i, 0, i, float(mu[i]), 1.0, (v[i] - mu[i]).tolist()) for i in range(12)]
+    prof = spark.createDataFrame(rows, "loc long, y long, x long, mu double, sd double, vec array<double>")
+    model = cd.fit_deim(prof, 5, 12, 2, np.array([0, 2, 3]))
+    got = {r["loc"]: r["mu"] for r in model.table.collect()}
+    assert np.allclose([got[i] for i in range(12)], v[:, [0, 2, 3]].mean(1))
