@@ -2,8 +2,8 @@
 
 Spark's exact ``percentile`` merges every distinct value of a group into one buffer,
 which a level or a whole field outgrows.  Here a mergeable sketch brackets each
-requested rank, one aggregate counts what lies below the bracket, and only the values
-inside it (a few per ten thousand) are ordered.
+requested rank, one aggregate counts what lies below the bracket and in each of ``BINS``
+equal ranges inside it, and only the values of the range that holds the rank are ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from fieldloom.session import sized_broadcast
 
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
+BINS = 4096  # equal value ranges of a bracket, so that no task orders a whole bracket
 
 
 def exact_quantiles(
@@ -66,19 +67,27 @@ def exact_quantiles(
     ).select(
         *keys, "_n", F.col("_t.p").alias("p"),
         F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")).alias("_v"),
-        (F.col("_v") > F.col("_t.hi")).alias("_above"),
+        (F.col("_v") > F.col("_t.hi")).alias("_above"), F.col("_t.lo").alias("_low"),
+        (F.col("_t.hi") - F.col("_t.lo")).alias("_width"),
     ).where(~F.col("_above"))
-    counted = tagged.groupBy(*keys, "p", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    spread = (F.col("_width") > 0) & (F.col("_width") < float("inf"))
+    place = F.least(F.floor((F.col("_v") - F.col("_low")) / F.col("_width") * BINS), F.lit(BINS - 1))
+    # Rows below the bracket are bin -1, so they open the running count.
+    bin_ = F.when(F.col("_v").isNull(), -1).when(spread, place).otherwise(0).cast("int")
+    counted = tagged.withColumn("_bin", bin_).groupBy(*keys, "p", "_n", "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pos = F.col("p") * (F.col("_n") - 1)
+    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
 
-    # NULL sorts first, so the rows below the bracket open the running count.
-    order = Window.partitionBy(*keys, "p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = counted.withColumn("_end", F.sum("_c").over(order)).withColumn(
+    def running(*parts: str, by: str) -> Window:
+        return Window.partitionBy(*keys, "p", *parts).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    bins = counted.groupBy(*keys, "p", "_n", "_bin").agg(F.sum("_c").alias("_c"))
+    bins = bins.withColumn("_before", F.sum("_c").over(running(by="_bin")) - F.col("_c"))
+    bins = bins.where((F.col("_before") <= hi_rank) & (lo_rank < F.col("_before") + F.col("_c")))
+    ranked = counted.join(bins.select(*keys, "p", "_bin", "_before"), [*keys, "p", "_bin"])
+    ranked = ranked.withColumn("_end", F.col("_before") + F.sum("_c").over(running("_bin", by="_v"))).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
-    pos = F.col("p") * (F.col("_n") - 1)
-    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
