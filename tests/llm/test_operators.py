@@ -303,3 +303,28 @@ def test_empty_tables(spark, empty):
     ]
     assert [r.count() for r in results] == [0] * len(results)
     assert decontaminate.find_leaks(spark.createDataFrame([(1, BASE)], "doc_id long, text string"), bench).count() == 0
+
+
+def test_very_long_text(spark, make):
+    """One text of some megabytes, longer than a block, beside short ones that share parts of it."""
+    long = "\n".join(prose(60) for _ in range(6000))
+    part = long[1_000_000:1_000_900]
+    rows = [(1, "x"), (2, long), (3, part), (4, long + " end"), (5, prose(70))]
+    df = make(rows, clash=False)
+    n = len(brute.words(long))
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(df).collect()}[2] == len(brute.words(long))
+    groups = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert groups == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5}
+    cut = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
+    assert cut[2].n_words == n == cut[2].n_removed and cut[4].n_removed == n and cut[4].kept == "end"
+    spans = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert spans[2].n_removed == 0 and spans[4].n_bytes - spans[4].n_removed == 4
+    assert spans[3].n_removed == spans[3].n_bytes == len(part.encode())
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_bpe.encode(df, path, public_tokenizers.PATTERN, decoded=True)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in coded.where("doc_id IN (2, 3)").collect()} == {2: long, 3: part}
+    scores = {r.doc_id: r for r in ppm.score(df, held_out="doc_id = 4").collect()}
+    assert scores[2].n_tokens == n + 1 and scores[4].n_known == n + 1
+    assert sanitise.find_personal_data(df).where("size(spans) > 0").count() == 0
+    bench = spark.createDataFrame([(0, long[500_000:500_300].strip())], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_leaks(df, bench).collect()} == {2, 4}
