@@ -7,8 +7,8 @@ around it, and neighbouring windows share anchors: a tenth of the places needs c
 
 First pass: every task counts its anchors in a count-min sketch of two rows, saturating at two;
 the sketches of all tasks are merged segment by segment, in streams, into bitmaps of anchors
-estimated to occur twice or more.  The bitmaps' size follows from the text size (about five
-counters per anchor) and is bounded by ``MAX_COUNTERS`` bits a row.  Estimates never fall short.
+estimated to occur twice or more (``sketch``), about five counters per anchor up to a bound.
+Estimates never fall short.
 Second pass: windows whose anchor is estimated repeated are compared exactly, by 128-bit keys.
 Within a block equal windows leave one row, so a passage that all documents share costs a row
 per block, whatever its number.
