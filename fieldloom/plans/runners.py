@@ -11,7 +11,6 @@ from fieldloom.operators import codecs as cd
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import predict as pr
 from fieldloom.operators.predict import check_model
-from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
 from fieldloom.operators.lorenzo import code_near, with_neighbours
 from fieldloom.operators.metrics import quality

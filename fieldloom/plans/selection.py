@@ -13,7 +13,7 @@ from fieldloom.operators import selection as sl
 from fieldloom.operators.metrics import quality
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.plans.common import energetic_locations
-from fieldloom.plans.fitting import field_profiles, location_points, stored_profiles
+from fieldloom.plans.fitting import location_points, stored_profiles
 from fieldloom.plans.kernels import _m
 from fieldloom.plans.quantise import _TOPK, level_sensors
 from fieldloom.plans.registry import ctes, more, query
