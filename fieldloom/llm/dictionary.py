@@ -96,12 +96,12 @@ def binary_array(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
 
 def chunks(docs: DataFrame, tokenize: Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]],
            lower: bool = False, size: int = CHUNK_BYTES, mark_col: str | None = None,
-           figure: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
+           figure: Callable[[Block, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Chunk rows of ``docs`` (doc_id, text).
 
     ``tokenize`` gives byte starts and ends of all tokens of a block, and tokens per text.
     ``marked`` counts each token in the texts where the boolean ``mark_col`` is true, and
-    ``figures`` has what ``figure`` gives for every text.
+    ``figures`` has what ``figure`` gives for every text, from the block and its marks.
     """
     def run(batches: Batches) -> Batches:
         number, chunk = 0, _Chunk()
@@ -113,7 +113,7 @@ def chunks(docs: DataFrame, tokenize: Callable[[Block], tuple[np.ndarray, np.nda
             for block in blocks(batch.column("text"), lower):
                 starts, ends, counts = tokenize(block)
                 mark = marks[at : at + block.n]
-                figures = figure(block) if figure else np.zeros(0)
+                figures = figure(block, mark) if figure else np.zeros(0)
                 chunk.add(block, ids.slice(at, block.n), starts, ends, counts, mark, figures)
                 at += block.n
                 if chunk.size >= size:

@@ -8,10 +8,12 @@ d / 2n is the escape to the next shorter context, where symbols already ruled ou
 ones are excluded from n and d.  Below the empty context all 256 symbols left are equally
 likely.  The score is the log10 probability of the model text.
 
-Counts of symbols in contexts are taken over all training text.  A context becomes a node of the
-trie when it holds at least 1 / ``SHARE`` of the training symbols.  This follows the data at
-every size and proves a bound: at most ``SHARE`` nodes per order.  Codelengths with
-exclusion are worked out once per node and symbol, so scoring is a walk from node to node.
+Counts of symbols in contexts are taken over all training text, and every context met there is
+a node, so the trie grows with the text and is held by no task.  Distinct grams (a symbol with
+its longest context) leave each chunk of documents with their counts, dealt by the ``SHARED`` + 1
+nearest symbols of the context: a context and its shorter ones down to ``SHARED`` + 1 symbols meet in one
+task.  Shorter contexts, at most 256 ** (``SHARED`` + 1) counts, are broadcast.  Codelengths with
+exclusion are worked out once per distinct gram and go back to the chunks that hold it.
 
 Beside it stands a unigram base with add-0.1 smoothing.  Its counts are of unbounded number;
 they come from one shuffle of the distinct words of all chunks and return to the chunks.
@@ -24,6 +26,8 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.dictionary import chunks, pack_codes, unpack_codes
-from fieldloom.llm.shared import Batches, arrow_map, stored
-from fieldloom.llm.text import Block, blocks, gather_spans
+from fieldloom.llm.shared import Batches, stored
+from fieldloom.llm.text import BLOCK_BYTES, Block, gather_spans, mix
 
 ORDER = 6  # at most 6, so that a gram fits in 56 bits
-SHARE = 1 << 18
+SHARED = 2  # contexts up to this length are known to every task
 END = 10  # a gap byte, so no word contains it
 BLANK = 32
 HELD_OUT = "crc32(coalesce(cast(doc_id AS string), '')) % 10 = 0"
@@ -66,38 +70,10 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
     return code | (length.astype(np.int64) << 56)
 
 
-def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(k, context, symbol, n): counts of all contexts of up to ``order`` symbols."""
-
-    def count(batch):
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for block in blocks(batch.column("text"), lower=True):
-            u, m = np.unique(_grams(symbols(block)[0], order), return_counts=True)
-            all_, back = np.unique(np.concatenate([code, u]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([n, m]), minlength=all_.size).astype(np.int64)
-            code = all_
-        yield {"code": code, "n": n}
-
-    full = arrow_map(texts.select("text"), count, {"code": "long", "n": "long"}).groupBy("code").agg(F.sum("n").alias("n"))
-    each = full.select("n", (F.col("code").bitwiseAND(0xFF)).cast("int").alias("symbol"),
-                       F.shiftright(F.col("code").bitwiseAND((1 << 56) - 1), 8).alias("whole"),
-                       F.explode(F.sequence(F.lit(0), F.shiftright("code", 56).cast("int"))).alias("k"))
-    context = F.expr("whole & (shiftleft(1L, 8 * k) - 1)")
-    return each.groupBy("k", context.alias("context"), "symbol").agg(F.sum("n").alias("n"))
-
-
-def trie_counts(texts: DataFrame, order: int = ORDER, share: int = SHARE) -> dict[str, np.ndarray]:
-    """Counts (k, context, symbol, n) of the contexts that are nodes, at most ``share`` per order."""
-    counts = stored(gram_counts(texts, order))
-    total = counts.where("k = 0").agg(F.sum("n")).first()[0] or 0
-    nodes = counts.groupBy("k", "context").agg(F.sum("n").alias("m")).where(F.col("m") * share >= total)
-    # A node's shorter contexts hold as much or more, so they are nodes as well.
-    table = counts.join(nodes.select("k", "context"), ["k", "context"]).toArrow()
-    return {c: table[c].to_numpy() for c in ("k", "context", "symbol", "n")}
-
-
 class Model:
-    """A trie with the log10 probability of every symbol in every node."""
+    """A small trie with the log10 probability of every symbol in every node, in one piece.
+
+    The dense form of what :func:`score` works out by joins; tests hold one to the other."""
 
     def __init__(self, counts: dict[str, np.ndarray], order: int = ORDER):
         self.order = order
@@ -167,13 +143,198 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return block.starts, block.ends, np.diff(block.first)
 
 
+def _model_texts(chunk: pa.RecordBatch | pa.Table, i: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(model texts, first place of each text and the end, number of the first text) of pieces of a
+    chunk of at most ``BLOCK_BYTES`` or one text."""
+    tokens = chunk.column("tokens")[i].values.cast(pa.large_binary())
+    bounds = np.frombuffer(tokens.buffers()[1], np.int64, len(tokens) + 1, tokens.offset * 8) if len(tokens) else np.zeros(1, np.int64)
+    raw = np.frombuffer(tokens.buffers()[2], np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
+    raw = np.append(raw, np.uint8(BLANK))
+    codes = unpack_codes(chunk.column("codes")[i].as_py())
+    counts = chunk.column("counts")[i].values.to_numpy().astype(np.int64)
+    word = np.append(0, np.cumsum(counts))
+    size = np.append(0, np.cumsum(bounds[1:][codes] - bounds[:-1][codes] + 1))[word]
+    size += np.arange(size.size)
+    low = 0
+    while low < counts.size:
+        high = max(low + 1, int(np.searchsorted(size, size[low] + BLOCK_BYTES, side="right")) - 1)
+        some, count = codes[word[low] : word[high]], counts[low:high]
+        lengths, data = gather_spans(raw, bounds[:-1][some], bounds[1:][some] + 1)
+        stops = np.cumsum(lengths)
+        data[stops - 1] = BLANK
+        last = np.cumsum(count)
+        data[stops[last[count > 0] - 1] - 1] = END
+        ends = np.append(0, stops)[last]
+        data = np.insert(data, ends[count == 0], END)
+        yield data, np.append(0, ends + np.cumsum(count == 0)), low
+        low = high
+
+
+def _packed_grams(code: np.ndarray) -> bytes:
+    """Ascending grams as compressed byte planes of their differences."""
+    planes = np.diff(code, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked_grams(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<i8"))
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, back = np.unique(code, return_inverse=True)
+    return u, np.bincount(back, weights=n, minlength=u.size).astype(np.int64)
+
+
+def chunk_grams(chunked: DataFrame, parts: int, order: int) -> DataFrame:
+    """(chunk, part, code, n): packed distinct grams of every chunk with their counts in training
+    texts; part -1 has the counts of contexts up to ``SHARED``."""
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                marks = batch.column("figures")[i].values.to_numpy() > 0
+                code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for data, first, low in _model_texts(batch, i):
+                    train = np.repeat(marks[low : low + first.size - 1], np.diff(first))
+                    u, m = _summed(_grams(data, order), train)
+                    code, n = _summed(np.concatenate([code, u]), np.concatenate([n, m]))
+                chunk = batch.column("chunk")[i].as_py()
+                out = []
+                for k in range(min(SHARED, order) + 1):
+                    has = (n > 0) & (code >> 56 >= k)
+                    out.append((code[has] & _mask(k + 1) | k << 56, n[has]))
+                short = _summed(*(np.concatenate(x) for x in zip(*out)))
+                near = mix((code >> 8 & _mask(SHARED + 1)).astype(np.uint64)) % np.uint64(parts)
+                by = np.argsort(near, kind="stable")
+                border = np.searchsorted(near[by], np.arange(parts + 1, dtype=np.uint64))
+                rows = [(-1, *short)] + [(p, code[by[a:b]], n[by[a:b]]) for p, (a, b) in enumerate(zip(border, border[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+                     pa.array([_packed_grams(r[1]) for r in rows], pa.binary()),
+                     pa.array([zstandard.compress(r[2].astype("<u4").tobytes(), 1) for r in rows], pa.binary())],
+                    names=["chunk", "part", "code", "n"])
+
+    return chunked.select("chunk", "counts", "codes", "tokens", "figures").mapInArrow(
+        count, "chunk long, part long, code binary, n binary")
+
+
+def short_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the symbols in contexts up to ``SHARED``: (code with the context's length on top, n)."""
+
+    def opened(batches: Batches) -> Batches:
+        for batch in batches:
+            for code, n in zip(batch.column("code").to_pylist(), batch.column("n").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked_grams(code)), pa.array(_counts(n))], names=["code", "n"])
+
+    rows = grams.where("part = -1").select("code", "n").mapInArrow(opened, "code long, n long")
+    table = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return table["code"].to_numpy(), table["n"].to_numpy()
+
+
+def _counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<u4").astype(np.int64)
+
+
+def _mask(k: int) -> int:
+    return (1 << (8 * k)) - 1
+
+
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, place) of every wanted value."""
+    at = np.searchsorted(sorted_, wanted)
+    at[at == sorted_.size] = 0
+    return (sorted_[at] == wanted) if sorted_.size else np.zeros(wanted.size, bool), at
+
+
+class _Level:
+    """Contexts of one length with their symbols, and the costs of the next shorter context once the
+    symbols met here are ruled out."""
+
+    def __init__(self, k: int, code: np.ndarray, n: np.ndarray, above: _Level | None, least: int):
+        pairs, n = _summed(code, n)
+        border = np.flatnonzero(np.diff(pairs >> 8, prepend=-1))
+        kinds = np.diff(np.append(border, pairs.size))
+        keep = np.add.reduceat(n, border) >= least if border.size else np.zeros(0, bool)
+        inside = np.repeat(keep, kinds)
+        self.pairs, self.n, self.kinds = pairs[inside], n[inside], kinds[keep]
+        border = np.cumsum(self.kinds) - self.kinds
+        self.contexts = self.pairs[border] >> 8
+        self.total = np.add.reduceat(self.n, border) if border.size else np.zeros(0, np.int64)
+        if above is not None:
+            met = above.n[np.searchsorted(above.pairs, self.pairs & _mask(k))]
+            at = np.searchsorted(above.contexts, self.contexts & _mask(k - 1))
+            left = above.total[at] - (np.add.reduceat(met, border) if border.size else 0)
+            others = above.kinds[at] - self.kinds
+            self.scale = np.log10(np.maximum(2 * left, 1))
+            self.escape = np.where(others > 0, np.log10(np.maximum(others, 1)) - self.scale, 0.0)
+
+
+def _levels(code: np.ndarray, n: np.ndarray, lengths: range, above: _Level | None, least: int) -> list[_Level]:
+    out = []
+    for k in lengths:
+        has = (n > 0) & (code >> 56 >= k)
+        above = _Level(k, code[has] & _mask(k + 1), n[has], above, least)
+        out.append(above)
+    return out
+
+
+def gram_logs(code: np.ndarray, levels: list[_Level]) -> np.ndarray:
+    """log10 probability of every gram by method D with exclusion."""
+    out = np.zeros(code.size)
+    open_ = np.arange(code.size)
+    child = np.full(code.size, -1)  # the context one symbol longer, if it is a node
+    for k in range(len(levels) - 1, -1, -1):
+        level, longer = levels[k], levels[k + 1] if k + 1 < len(levels) else None
+        some = open_[code[open_] >> 56 >= k]
+        node, at = _find(level.contexts, code[some] >> 8 & _mask(k))
+        some, at = some[node], at[node]
+        hit, pair = _find(level.pairs, code[some] & _mask(k + 1))
+        scale = np.log10(2 * level.total[at])
+        escape = np.log10(level.kinds[at]) - scale
+        if longer is not None:
+            deep = child[some] >= 0
+            scale[deep], escape[deep] = longer.scale[child[some[deep]]], longer.escape[child[some[deep]]]
+        met = np.zeros(some.size)
+        met[hit] = np.log10(2 * level.n[pair[hit]] - 1)
+        out[some] += np.where(hit, met - scale, escape)
+        child[some] = at
+        child[some[hit]] = -2  # done
+        open_ = open_[child[open_] != -2]
+    seen = int(levels[0].kinds[0]) if levels[0].kinds.size else 0
+    out[open_] -= np.log10(max(256 - seen, 1))
+    return out
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = HELD_OUT,
-          order: int = ORDER, share: int = SHARE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+          order: int = ORDER, share: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    ``share`` asks for a smaller trie, of the contexts with 1 / ``share`` of the training symbols.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("train", ~F.expr(held_out))
-    model = rows.sparkSession.sparkContext.broadcast(Model(trie_counts(rows.where("train"), order, share), order))
-    chunked = stored(chunks(rows, _words, lower=True, mark_col="train", figure=lambda block: model.value.scores(block)))
+    chunked = stored(chunks(rows, _words, lower=True, mark_col="train", figure=lambda block, mark: mark.astype(float)))
+    grams = stored(chunk_grams(chunked, max(12, chunked.count()), order))
+    code, n = short_counts(grams)
+    total = int(n[code >> 56 == 0].sum())
+    least = 1 if share is None else max(1, -(-total // share))
+    base: list[_Level] = []
+    for k in range(min(SHARED, order) + 1):
+        own = code >> 56 == k
+        base.append(_Level(k, code[own] & _mask(k + 1), n[own], base[-1] if base else None, least))
+    known = rows.sparkSession.sparkContext.broadcast(base)
+
+    def logs(table: pa.Table) -> pa.Table:
+        """Codelengths of all grams whose contexts end in the same symbols, per chunk."""
+        parts = [_unpacked_grams(x) for x in table["code"].to_pylist()]
+        u, m = _summed(np.concatenate(parts), np.concatenate([_counts(x) for x in table["n"].to_pylist()]))
+        levels = known.value + _levels(u, m, range(len(known.value), order + 1), known.value[-1], least)
+        each = gram_logs(u, levels).astype("<f4")
+        packed = [zstandard.compress(each[np.searchsorted(u, p)].tobytes(), 1) for p in parts]
+        return pa.table({"chunk": table["chunk"], "grams": table["code"], "logs": pa.array(packed, pa.binary())})
+
+    priced = grams.where("part >= 0").groupBy("part").applyInArrow(logs, "chunk long, grams binary, logs binary")
 
     same = Window.partitionBy("token")
     words = chunked.select("chunk", F.posexplode(F.arrays_zip("tokens", "marked")).alias("code", "x")).select(
@@ -188,20 +349,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         """Word sums of the documents of one chunk."""
-        code = np.concatenate([unpack_codes(x.as_py()) for x in right["code"]] or [np.zeros(0, "<u4")])
-        back = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in right["c"]), "<i8")
+        words = right.filter(right["code"].is_valid())
+        code = np.concatenate([unpack_codes(x.as_py()) for x in words["code"]] or [np.zeros(0, "<u4")])
+        back = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in words["c"]), "<i8")
         c = np.empty(code.size, np.int64)
         c[code] = back
-        row = left.to_pylist()[0]
-        used, counts = unpack_codes(row["codes"]), np.array(row["counts"], np.int64)
+        used, counts = unpack_codes(left["codes"][0].as_py()), left["counts"][0].values.to_numpy().astype(np.int64)
         text = np.repeat(np.arange(counts.size), counts)
         known = np.bincount(text, weights=(c > 0)[used], minlength=counts.size)
         logs = np.bincount(text, weights=np.log10(c + 0.1)[used], minlength=counts.size)
-        return pa.table({"doc_id": pa.array(row["rows"], pa.int64()), "n": pa.array(counts), "known": pa.array(known.astype(np.int64)),
-                         "logs": pa.array(logs), "score": pa.array(row["figures"], pa.float64())})
-
-    left = chunked.select("chunk", "rows", "counts", "codes", "figures").groupBy("chunk")
-    out = left.cogroup(coded.groupBy("chunk")).applyInArrow(sums, "doc_id long, n long, known long, logs double, score double")
+        priced = right.filter(right["grams"].is_valid())
+        gram = np.concatenate([_unpacked_grams(x.as_py()) for x in priced["grams"]])
+        price = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in priced["logs"]), "<f4")
+        by = np.argsort(gram)
+        gram, price = gram[by], price[by]
+        scores = []
+        for data, first, _ in _model_texts(left, 0):
+            u, back = np.unique(_grams(data, order), return_inverse=True)
+            found, at = _find(gram, u)
+            if not found.all():
+                raise RuntimeError("the grams of a chunk changed between two passes")
+            scores.append(np.add.reduceat(price[at][back].astype(np.float64), first[:-1]))
+        return pa.table({"doc_id": left["rows"][0].values.cast(pa.int64()), "n": pa.array(counts), "known": pa.array(known.astype(np.int64)),
+                         "logs": pa.array(logs), "score": pa.array(np.concatenate(scores))})
+
+    left = chunked.select("chunk", "rows", "counts", "codes", "tokens").groupBy("chunk")
+    right = coded.select("chunk", "code", "c").unionByName(priced, allowMissingColumns=True)
+    out = left.cogroup(right.groupBy("chunk")).applyInArrow(sums, "doc_id long, n long, known long, logs double, score double")
     tokens = F.col("n") + 1
     scale = float(np.log10(n_train + 0.1 * (kinds + 1)))
     return out.select(

@@ -122,6 +122,18 @@ def test_ppm(make):
         assert score == pytest.approx(model.log10(t), rel=1e-5)
 
 
+def test_ppm_keeps_every_context(make):
+    """Contexts met once among 2**18 symbols or more are nodes too, and repeated ids keep their rows."""
+    once = "qzx jkv wqj"
+    rows = [*ROWS, (200, once), (201, once), (None, None), (7, once)] + [(300 + k, prose(9000)) for k in range(12)]
+    got = sorted((r.doc_id or -1, r.score) for r in ppm.score(make(rows), held_out="coalesce(doc_id, 0) IN (13, 201)").collect())
+    model = brute.Ppm([t for i, t in rows if i not in (13, 201)], 6, 1 << 60)
+    few = [(i, s) for i, s in got if i < 300]
+    assert [i for i, _ in few] == sorted(i or -1 for i, _ in rows if (i or -1) < 300)
+    want = sorted((i or -1, model.log10(t)) for i, t in rows if (i or -1) < 300)
+    assert [s for _, s in few] == pytest.approx([s for _, s in want], rel=1e-5)
+
+
 def test_ppm_is_a_distribution():
     import numpy as np
 
