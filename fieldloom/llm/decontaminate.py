@@ -5,9 +5,10 @@ Texts are lower-cased, characters other than letters and digits are dropped, and
 at white space.  A window of a document is as long as an item and placed where one of the item's
 five-word shingles falls on the same offset, cut off at the ends of the text; a window without
 any such shingle has similarity 0 to the item.  Each window gets a 64-bit SimHash of its words.
-Windows are compared with the items of their own length through ``RADIUS`` + 1 blocks of the
-fingerprint: two fingerprints within the radius agree on one whole block, so none within it is
-missed.  The similarity of the remaining pairs is exact: weights of shared over weights of all
+Every window is compared with the items whose shingle placed it, whatever their fingerprints, so no
+match of such a pair is missed.  It is also compared with the items of its own length
+that another item's window happens to fall on, through ``RADIUS`` + 1 blocks of the fingerprint: two
+fingerprints within the radius agree on one whole block.  The similarity of all these pairs is exact: weights of shared over weights of all
 distinct shingles, where a shingle in few items weighs more (``round(1000 ln(1 + N / df))``;
 one in no item counts as in one).  A pair matches at ``PERCENT`` percent.
 
@@ -86,15 +87,17 @@ def _blocks(fp: str) -> Column:
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, first_word, n, window, wid): the windows of item length n placed by shared shingles."""
-    places = items.select("n", F.posexplode("sh").alias("offset", "s")).distinct()
+    """(doc_id, first_word, n, window, by, wid): the windows of item length n placed by shared
+    shingles, and the items whose shingle it is."""
+    places = items.select("n", "item", F.posexplode("sh").alias("offset", "s"))
+    places = places.groupBy("n", "offset", "s").agg(F.sort_array(F.collect_set("item")).alias("by"))
     places = sized_broadcast(places, places.count(), 64)
     rows = docs.select(F.col(id_col).alias("doc_id"), normal_words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     rows = _with_hashes(rows, "w").select("doc_id", "w", F.posexplode(_shingles("wh")).alias("i", "s"))
     found = rows.join(places, "s").withColumn("start", F.col("i") - F.col("offset"))
     first = F.greatest(F.col("start"), F.lit(0))
     until = F.least(F.col("start") + F.col("n"), F.size("w"))
-    cut = found.select("doc_id", first.alias("first_word"), "n", F.slice("w", first + 1, until - first).alias("window"))
+    cut = found.select("doc_id", first.alias("first_word"), "n", F.slice("w", first + 1, until - first).alias("window"), "by")
     return cut.distinct().withColumn("wid", F.xxhash64("n", "window"))
 
 
@@ -110,7 +113,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = items.join(_fingerprints(items, ["item"], "w"), "item").select("item", "n", F.col("fp").alias("item_fp"))
     known = sized_broadcast(known.select("*", _blocks("item_fp")), total * (RADIUS + 1), 64)
     near = prints.select("*", _blocks("fp")).join(known, ["n", "block", "value"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "wid", "item").distinct()
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "wid", "item")
+    near = near.union(found.select("n", "wid", F.explode("by").alias("item"))).distinct()
 
     per_item = items.select("item", F.explode(F.array_distinct("sh")).alias("s"))
     weight = F.round(1000 * F.log1p(F.lit(total) / F.col("df"))).cast("long")

@@ -260,6 +260,21 @@ def test_leaks(spark, make):
     assert all(r.similarity == 1 for r in found if r.doc_id in (1, 2, 8, 9))
 
 
+def test_leaks_edited_at_the_end(spark, make):
+    """Similarity of 0.80 to 0.85 that leaves fingerprints far apart: end words replaced or cut off."""
+    own = random.Random(3)
+    text = lambda n: [f"u{own.randrange(10**9)}" for _ in range(n)]
+    items, rows = [], []
+    for words, lost, replaced in ((40, 4, True), (60, 5, True), (60, 6, True), (60, 9, False), (60, 11, False)):
+        for _ in range(60):
+            item = text(words)
+            rows.append((len(items), " ".join([*text(20), *item[: words - lost], *(text(lost + 20) if replaced else [])])))
+            items.append((len(items), " ".join(item)))
+    found = decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(len(items))}
+    assert all(0.8 <= r.similarity < 0.85 for r in found)
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     from pyspark.sql import functions as F
 
