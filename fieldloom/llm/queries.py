@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, decontaminate, licences, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
+from fieldloom.llm import byte_bpe, conversation_repair, decontaminate, licences, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,14 @@ score AS (
 SELECT doc_id, item_id, count(*) AS n_windows, min(a)::BIGINT AS first_word, round(max(common / (of_window + w - common)), 6) AS similarity
 FROM score JOIN of_item USING (item_id)
 WHERE 100 * common >= {decontaminate.PERCENT} * (of_window + w - common) GROUP BY doc_id, item_id"""
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    done = conversation_repair.repair(damaged, present_col="present")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    columns = ["conv_id", *conversation_repair.REPORT, "repaired_sha256"]
+    whole = done.whole.withColumn("repaired_sha256", F.sha2(lines, 256)).select(columns)
+    digest = conversation_repair.digests(done.chunks).withColumnRenamed("conv_id", "c")
+    return whole.union(done.long.join(digest, F.col("conv_id").eqNullSafe(F.col("c"))).select(columns))

@@ -122,3 +122,70 @@ class Ppm:
             else:
                 out += log10(1 / len(left))
         return out
+
+
+def damaged(rows: list[tuple]) -> list[tuple]:
+    """(conv, turn, role, text) after damage; dropped rows have None for turn, role and text and a mark."""
+    import zlib
+
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        told = [" " if x is None else str(x) for x in (conv, turn)]
+        fate = zlib.crc32(":".join(told).encode()) % 20
+        if fate == 0:
+            out.append((conv, None, None, None, False))
+            continue
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        out += [(conv, turn, "user" if fate == 4 else role, text, True)] * (2 if fate == 3 else 1)
+    return out
+
+
+def repaired(rows: list[tuple]) -> dict:
+    """conv -> (gaps, blank, duplicate, truncated, illegal, cost, audit, lines) of damaged rows."""
+    groups: dict = defaultdict(list)
+    for conv, turn, role, text, present in rows:
+        groups[conv] += [(turn is not None, turn or 0, role.encode(), text.encode(), role, text)] if present else []
+    out = {}
+    step = {"": "su", "s": "u", "u": "a", "a": "u"}
+    for conv, turns in groups.items():
+        turns.sort(key=lambda r: r[:4])
+        seen, faults = set(), []
+        for *_, role, text in turns:
+            w = text.strip(" \t\n\x0b\f\r")
+            faults.append("b" if not w else "d" if (role, text) in seen else "" if w[-1] in ".!?" else "t")
+            seen.add((role, text))
+        # All least (cost, audit) per state, row by row; a state is the last role's initial.
+        best = {"": (0, "", ())}
+
+        def spread(b):
+            for _ in range(4):
+                for q, (c, a, l) in list(b.items()):
+                    r = "assistant" if q == "u" else "user"
+                    new = (c + 3, a + "I", (*l, r + ":"))
+                    if r[0] not in b or new[:2] < b[r[0]][:2]:
+                        b[r[0]] = new
+            return b
+
+        best = spread(best)
+        for (*_, role, text), fault in zip(turns, faults):
+            nxt: dict = {}
+            for q, (c, a, l) in best.items():
+                more = 3 if fault == "t" else 0
+                ways = [(q, c + 4, "D", ())]
+                if fault in ("", "t"):
+                    r = "assistant" if q == "u" else "user"
+                    ways.append((r[0], c + 3 + more, "R", (f"{r}:{text}",)))
+                    if role[:1] and role[:1] in step[q]:
+                        ways.append((role[:1], c + more, "K", (f"{role}:{text}",)))
+                for to, cost, letter, line in ways:
+                    new = (cost, a + letter, l + line)
+                    if to not in nxt or new[:2] < nxt[to][:2]:
+                        nxt[to] = new
+            best = spread(nxt)
+        cost, audit, lines = min(best[q] for q in ("", "a") if q in best)
+        known = [t for k, t, *_ in turns if k]
+        pairs = [(a[4][:1], b[4][:1]) for a, b in zip(turns, turns[1:])]
+        out[conv] = (max(known) - min(known) + 1 - len(set(known)) if known else 0, faults.count("b"), faults.count("d"),
+                     faults.count("t"), sum(x + y not in ("su", "ua", "au") or len(x) != 1 for x, y in pairs), cost, audit, "\n".join(lines))
+    return out
