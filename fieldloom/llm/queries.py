@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import byte_bpe, conversation_repair, decontaminate, licences, merkle, ngram_join, ppm, quality_rules, sanitise, sharding, substring_dedup, suffix_dedup
+from fieldloom.llm import byte_bpe, conversation_repair, decontaminate, licences, merkle, ngram_join, ppm, quality_rules, sanitise, sharding, simhash_trees, substring_dedup, suffix_dedup
 from fieldloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,12 @@ FROM score JOIN of_item USING (item_id)
 WHERE 100 * common >= {decontaminate.PERCENT} * (of_window + w - common) GROUP BY doc_id, item_id"""
 
 
+@query
+def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_trees.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
@@ -236,7 +242,8 @@ hurt AS (
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, txt, copy) k FROM hurt),
 rows_ AS (
   SELECT *, left(role, 1) i, CASE WHEN NOT regexp_matches(txt, '[^ 	
-]') THEN 'b'
+
+]') THEN 'b'
     WHEN row_number() OVER (PARTITION BY conv, role, txt ORDER BY k) > 1 THEN 'd'
     WHEN right(rtrim(txt, {_GAP_CHARS}), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END fault,
     lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY k) || left(role, 1) pair FROM numbered),

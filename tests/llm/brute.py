@@ -235,3 +235,29 @@ def merkle(rows: list[tuple]) -> list[tuple]:
                 now = h("".join([*run[:p], now, *run[p + 1 :]]))
             out.append((r[0], trees[g][0][i], trees[g][-1][0], top[-1][0], h(proof), now, now == top[-1][0]))
     return out
+
+
+def simhash(text: str | None, width: int = 4) -> int:
+    import xxhash
+
+    w = words(lower(text or ""))
+    grams = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def hamming_components(prints: dict[int, int], radius: int = 4) -> dict[int, int]:
+    root = {i: i for i in prints}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in prints}
