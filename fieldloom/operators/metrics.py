@@ -7,9 +7,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.neighbours import inside, point, row_run, with_stencil
+from fieldloom.operators.neighbours import row_run, with_stencil
 from fieldloom.operators.ratedist import psnr
-from fieldloom.session import sized_broadcast
 from fieldloom.sources.grid import NX
 
 WINDOW = 7
@@ -82,41 +81,6 @@ def ssim_windowed(
     return m.groupBy("level").agg(F.avg(s).alias("ssim"), F.count(F.lit(1)).alias("n_windows"))
 
 
-def autocorrelation(
-    df: DataFrame, value: str, max_lag: int, n_levels: int | None = None, nx: int = NX
-) -> DataFrame:
-    """level, dy, dx, ac: spatial autocorrelation of the level-demeaned field, lag 0 = 1.
-
-    Only half of the lags are computed; the other half mirrors them.
-    """
-    means = df.groupBy("level").agg(F.avg(value).alias("_m"))
-    f = df.join(sized_broadcast(means, n_levels), "level").withColumn("_f", F.col(value) - F.col("_m"))
-    lags = [(dy, dx) for dy in range(0, max_lag + 1) for dx in range(-max_lag, max_lag + 1)
-            if dy > 0 or dx >= 0]
-    names = {f"_l{i}": lag for i, lag in enumerate(lags)}
-    s = with_stencil(f.select("level", "loc", "x", "_f"),
-                     {n: point(F.col("_f"), 0, *lag, nx) for n, lag in names.items()})
-    prods = s.groupBy("level").agg(*[
-        F.coalesce(F.sum(F.when(inside(lag[1], nx), F.col("_f") * F.col(n))), F.lit(0.0)).alias(n)
-        for n, lag in names.items()
-    ])
-    zero = next(n for n, lag in names.items() if lag == (0, 0))
-    rows = []
-    for n, (dy, dx) in names.items():
-        for sign in (1, -1) if (dy, dx) != (0, 0) else (1,):
-            rows.append(F.struct(
-                F.lit(sign * dy).cast("bigint").alias("dy"), F.lit(sign * dx).cast("bigint").alias("dx"),
-                (F.col(n) / F.col(zero)).alias("ac"),
-            ))
-    return prods.select("level", F.explode(F.array(*rows)).alias("a")).select("level", "a.*")
-
-
-def radial_profile(ac: DataFrame, by: Sequence[str] = ("level",)) -> DataFrame:
-    """Mean autocorrelation by whole lag distance."""
-    r = F.floor(F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")))
-    return ac.groupBy(*by, r.alias("r")).agg(F.avg("ac").alias("mean_ac"))
-
-
 def residual_summary(df: DataFrame, value: str, by: Sequence[str], sigma_ref: Column) -> DataFrame:
     """RMSE, deviation, population excess kurtosis and counts beyond 2, 3 and 5 sigma."""
     v = F.col(value)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import metrics as mt
 from fieldloom.operators import reshape as rs
+from fieldloom.operators import spectra
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.plans.common import r6
 from fieldloom.plans.registry import ctes, more, query
 from fieldloom.plans.sources import _MASK
-from fieldloom.sources.grid import FIELDS, event_series, grid_field, grid_shape, residual_field
+from fieldloom.sources.grid import FIELDS, NX, event_series, grid_field, grid_shape, residual_field
 
 _Q = """SELECT {by}count(*) AS n, sqrt(avg(resid**2)) AS rmse, avg(abs(resid)) AS mae, max(abs(resid)) AS max_err,
  max(value)-min(value) AS vr, sqrt(sum(resid**2)/sum(value**2)) AS rel_l2 FROM p {grp}"""
@@ -137,7 +138,7 @@ ac AS (SELECT level, dy, dx, s/z AS ac FROM pr JOIN z USING (level))"""
 
 @query("m13_autocorrelation", _AC + "SELECT level, dy, dx, round(ac, 6) + 0.0 AS ac FROM ac")
 def m13_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels).select(
+    return spectra.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels).select(
         "level", "dy", "dx", (F.round("ac", 6) + 0.0).alias("ac")
     )
 
@@ -146,11 +147,43 @@ def m13_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
 e AS (SELECT level, min(r) AS efold FROM r WHERE m < exp(-1) GROUP BY level)
 SELECT level, r, round(m, 6) + 0.0 AS mean_ac, efold FROM r LEFT JOIN e USING (level)""")
 def m14_radial_profile(spark: SparkSession, sf: str) -> DataFrame:
-    prof = mt.radial_profile(mt.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels))
+    prof = spectra.radial_profile(spectra.autocorrelation(residual_field(spark, sf), "resid", 3, grid_shape(spark, sf).n_levels))
     below = F.min(F.when(F.col("mean_ac") < F.exp(F.lit(-1.0)), F.col("r"))).over(Window.partitionBy("level"))
     return prof.select("level", "r", (F.round("mean_ac", 6) + 0.0).alias("mean_ac"), below.alias("efold"))
 
 
+_ALL_LAGS = more("g", "p") + """n AS (SELECT max(l_suppkey) // 10 + 1 AS ny FROM lineitem),
+f AS (SELECT level, y, x, resid - avg(resid) OVER (PARTITION BY level) AS f FROM p),
+z AS (SELECT level, sum(f*f) AS z FROM f GROUP BY level),
+lag AS (SELECT level, dy, dx FROM z, n, unnest(range(1 - ny, ny)) a(dy), unnest(range(-9, 10)) b(dx)),
+s AS (SELECT f1.level, f2.y - f1.y AS dy, f2.x - f1.x AS dx, sum(f1.f*f2.f) AS s FROM f f1 JOIN f f2 USING (level) GROUP BY ALL),
+ac AS (SELECT level, dy, dx, coalesce(s, 0)/z AS ac FROM lag LEFT JOIN s USING (level, dy, dx) JOIN z USING (level)),
+r AS (SELECT level, floor(sqrt((dy*dy+dx*dx)::DOUBLE))::BIGINT AS r, avg(ac) AS m FROM ac GROUP BY ALL)"""
+
+
+def _all_lags(spark: SparkSession, sf: str) -> DataFrame:
+    shape = grid_shape(spark, sf)
+    return spectra.autocorrelation(residual_field(spark, sf), "resid", None, shape.n_levels, ny=shape.ny)
+
+
+@query("m13_all_lags", _ALL_LAGS + "SELECT level, dy, dx, round(ac, 6) + 0.0 AS ac FROM ac")
+def m13_all_lags(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_lags(spark, sf).select("level", "dy", "dx", (F.round("ac", 6) + 0.0).alias("ac"))
+
+
+@query("m14_all_radii", _ALL_LAGS + """, n2 AS (SELECT least(ny // 2, 5) AS r_max FROM n)
+SELECT level, r, round(m, 6) + 0.0 AS mean_ac FROM r, n2 WHERE r < r_max""")
+def m14_all_radii(spark: SparkSession, sf: str) -> DataFrame:
+    """Radii up to half the shorter side of the grid, from all lags."""
+    r_max = min(grid_shape(spark, sf).ny, NX) // 2
+    return spectra.radial_profile(_all_lags(spark, sf), r_max=r_max).select("level", "r", (F.round("mean_ac", 6) + 0.0).alias("mean_ac"))
+
+
+@query("m14_e_folding", _ALL_LAGS + "SELECT level, min(r) FILTER (m < exp(-1)) AS efold FROM r GROUP BY level")
+def m14_e_folding(spark: SparkSession, sf: str) -> DataFrame:
+    return spectra.e_folding(spectra.radial_profile(_all_lags(spark, sf)))
+
+
 _TIME = more("s") + "t AS (SELECT kind AS method, loc % 4 AS k, value/1000 AS sec FROM s)"
 
 

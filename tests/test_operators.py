@@ -8,11 +8,12 @@ from fieldloom.functions import kernels as kn
 from fieldloom.functions import quantisers as qz
 from fieldloom.operators import fronts as fr
 from fieldloom.operators.lorenzo import with_lorenzo
-from fieldloom.operators.metrics import autocorrelation, ssim_windowed
+from fieldloom.operators.metrics import ssim_windowed
 from fieldloom.operators.ordered import previous_in_order
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.operators.search import search_bound
+from fieldloom.operators.spectra import autocorrelation
 
 
 def cube(spark, nl=3, ny=9, seed=1, drop=0.1):
