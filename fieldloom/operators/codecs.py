@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import kernels as kn
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import selection as sl
+from fieldloom.operators.blockproduct import CELLS, block_product
 from fieldloom.operators.predict import check_model, readings_at, solve_spd
 from fieldloom.session import sized_broadcast
 from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
@@ -281,31 +282,15 @@ def _row_map(model: Model) -> Callable:
     return rows
 
 
-def decode_snapshots(model: Model, encoded: DataFrame, levels_per_pass: int = 2000) -> DataFrame:
+def decode_snapshots(model: Model, encoded: DataFrame, cells: int = CELLS) -> DataFrame:
     """level, loc, value of every encoded snapshot, whatever its level number.
 
-    Readings are taken in passes of bounded size; each pass is narrow over the model's
-    location table.
+    Blocks of readings meet tiles of locations in the executors, ``cells`` values at a time, so the
+    number of snapshots and of locations is free.
     """
-    rows = _row_map(model)
     extra = ["mode"] if model.kind == "deim" else ["sd", "y", "x"]
-    numbers = sorted(r["level"] for r in encoded.select("level").distinct().collect())
-    out = None
-    for a in range(0, len(numbers), levels_per_pass):
-        part = numbers[a : a + levels_per_pass]
-        got = encoded.where(F.col("level").between(part[0], part[-1])).select(
-            "level", unpack_f32(F.col("blob"), 2)["payload"].alias("p")
-        ).toPandas().set_index("level")["p"]
-        y = np.stack([got[lv] for lv in part]).astype(float).T
-        check_model(y)
-
-        def run(b, y=y):
-            return [b.column("loc"), list_column(rows(b) @ y + scalar(b, "mu")[:, None])]
-
-        wide = map_blocks(model.table, ["loc", "mu", *extra], "loc bigint, v array<double>", run)
-        number = F.array(*[F.lit(int(lv)).cast("bigint") for lv in part])
-        long = wide.select("loc", F.posexplode("v").alias("i", "value")).select(
-            number[F.col("i")].alias("level"), "loc", "value"
-        )
-        out = long if out is None else out.unionAll(long)
-    return out
+    payload = F.transform(unpack_f32(F.col("blob"), 2)["payload"], lambda v: v.cast("double"))
+    coefs = encoded.select(F.col("level").cast("bigint").alias("item"), payload.alias("c"))
+    long = block_product(model.table, ["loc", "mu", *extra], model.n_locs, _row_map(model), coefs, encoded.count(), 1,
+                         lambda b, v: v + scalar(b, "mu")[:, None, None], 64 + 8 * model.k, cells=cells)
+    return long.select(F.col("item").alias("level"), "loc", "value")

@@ -66,5 +66,5 @@ def load_all() -> None:
 
 AREAS = [
     "ratedist", "sources", "reshape", "quantise", "metrics", "analytics", "kernels", "fitting",
-    "selection", "rounds", "prediction", "runners",
+    "selection", "rounds", "prediction", "codecs", "runners",
 ]

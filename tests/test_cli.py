@@ -23,7 +23,7 @@ def test_trained_model_encodes_new_snapshots(spark, sf, tmp_path):
         model = cd.load_model(spark, path)
         cells = model.table.select("loc", "mu", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (900, 7000)])).alias("level"))
         cells = cells.select("level", "loc", (F.col("mu") + F.col("loc") * 10.0 + F.col("level")).alias("value"))
-        back = cd.decode_snapshots(model, cd.encode_cells(model, cells), levels_per_pass=1)
+        back = cd.decode_snapshots(model, cd.encode_cells(model, cells))
         got = back.where(F.col("loc").isin(model.sensors.tolist())).join(
             cells.withColumnRenamed("value", "truth"), ["level", "loc"]
         ).toPandas()
