@@ -18,6 +18,7 @@ from fieldloom.functions import kernels as kn
 from fieldloom.functions.quantisers import error_bin
 from fieldloom.operators import selection as sl
 from fieldloom.operators.entropy import entropy_of
+from fieldloom.operators.groupselect import gks_by
 from fieldloom.operators.predict import check_model, local_solve, solve_spd
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import psnr
@@ -34,8 +35,8 @@ class RoundConfig:
     """``scope`` is ``level`` (every level its own process) or ``volume`` (one 3-D process).
 
     ``strategy``: ``max_residual`` takes the largest errors; ``rpgks`` selects columns of
-    the covariance over the pool; ``worst_fraction`` does so within the worst share of
-    errors; ``hybrid`` is ``rpgks`` for ``hybrid_rounds`` rounds, then ``worst_fraction``.
+    the covariance over the pool, of each level or of the volume, by a randomly pivoted factor and
+    QR; ``worst_fraction`` does so within the worst share of errors; ``hybrid`` is ``rpgks`` for ``hybrid_rounds`` rounds, then ``worst_fraction``.
     """
 
     accept: float
@@ -130,16 +131,11 @@ def choose(state: DataFrame, config: RoundConfig, r: int, n_levels: int | None =
     elif strategy != "rpgks":
         raise ValueError(f"unknown strategy {config.strategy!r}")
     points = cut_lineage(_flat(pool).select("level", "loc", "id", _coords(config).alias("x")))
-    spark = state.sparkSession
     if by_level:
-        levels = [row["level"] for row in points.select("level").distinct().collect()]
-        scorers = {lv: sl.CholeskyScore(config.kernel) for lv in levels}
-        picks = sl.greedy_select_by(points, "level", scorers, k)
-        ids = [i for p in picks.values() for i in p.ids.tolist()]
+        ids = gks_by(points.select("level", "id", "x"), config.kernel, k, 20, config.seed + r).select("id")
     else:
-        ids = sl.gks(points, config.kernel, k, 20, "random", config.seed + r).ids.tolist()
-    rows = [(i % sl.LEVEL_SPAN, i // sl.LEVEL_SPAN) for i in ids]
-    return spark.createDataFrame(rows, "level bigint, loc bigint")
+        ids = sl.gks(points, config.kernel, k, 20, "random", config.seed + r).to_frame(state.sparkSession).select("id")
+    return ids.select(F.expr(f"id % {sl.LEVEL_SPAN}").alias("level"), F.expr(f"id div {sl.LEVEL_SPAN}").alias("loc"))
 
 
 def _stored(values: np.ndarray, config: RoundConfig) -> np.ndarray:

@@ -24,7 +24,6 @@ from fieldloom.sources.profiles import block, collect_matrix, list_column, map_b
 
 ROUND = 9
 POOL = 2048
-MAX_DENSE = 50_000  # points of a covariance that is formed row by row
 LEVEL_SPAN = 1 << 31  # id of a cell = loc * LEVEL_SPAN + level
 
 
@@ -246,26 +245,31 @@ def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, p
         if ticking.empty:
             break
         x = np.stack(ticking["x"].to_numpy())
-        cand, known = ticking["id"].to_numpy(), ticking["score"].to_numpy()
         horizon = ticking["t"].iloc[-1] if len(ticking) == pool else np.inf
-        queue = [(t, j) for j, t in enumerate(ticking["t"])]
-        heapq.heapify(queue)
-        current, idle = known.copy(), 0
-        while queue and len(ids) < k and idle < 8 * pool:
-            t, j = heapq.heappop(queue)
-            again = t + rng.exponential() / known[j]
-            if again <= horizon:
-                heapq.heappush(queue, (again, j))
-            if rng.random() * known[j] < current[j] and current[j] > 1e-9:
-                scorer.add(x[j])
-                ids.append(int(cand[j])), rows.append(x[j]), scores.append(current[j])
-                current, idle = scorer.score(x), 0
-                current[np.isin(cand, ids)] = 0.0
-            else:
-                idle += 1
+        accept_ticks(ticking["id"].to_numpy(), x, ticking["score"].to_numpy(), ticking["t"], horizon, scorer, k, ids, rows, scores, rng)
     return Picks(np.array(ids, "i8"), np.array(rows), np.array(scores))
 
 
+def accept_ticks(cand, x, known, first, horizon: float, scorer, k: int, ids: list, rows: list, scores: list, rng) -> None:
+    """Picks from a pool of clocks that tick at the variances ``known``, in order of their ticks up to
+    ``horizon``: a tick is accepted with probability current/known variance."""
+    queue = [(t, j) for j, t in enumerate(first)]
+    heapq.heapify(queue)
+    current, idle = known.copy(), 0
+    while queue and len(ids) < k and idle < 8 * len(cand):
+        t, j = heapq.heappop(queue)
+        again = t + rng.exponential() / known[j]
+        if again <= horizon:
+            heapq.heappush(queue, (again, j))
+        if rng.random() * known[j] < current[j] and current[j] > 1e-9:
+            scorer.add(x[j])
+            ids.append(int(cand[j])), rows.append(x[j]), scores.append(current[j])
+            current, idle = scorer.score(x), 0
+            current[np.isin(cand, ids)] = 0.0
+        else:
+            idle += 1
+
+
 def qdeim(modes: DataFrame, k: int, n_sensors: int | None = None) -> Picks:
     """Sensors of a basis: pivoted QR over mode rows ``modes(id, x)``.
 
@@ -334,21 +338,6 @@ def gks(points: DataFrame, kernel: Callable, k: int, oversample: int = 20, mode:
     return Picks(chosen.ids, np.stack([coords[i] for i in chosen.ids]), chosen.scores)
 
 
-def direct_qr(points: DataFrame, kernel: Callable, k: int) -> Picks:
-    """Column-pivoted QR of the covariance itself: mode rows are rows of K, formed block by
-    block against all points.  K is as wide as there are points, so it is refused beyond
-    ``MAX_DENSE`` of them; :func:`gks` is the way for more."""
-    n = points.count()
-    if n > MAX_DENSE:
-        raise ValueError(f"a covariance of {n} points is too wide for direct QR")
-    known = points.orderBy("id").toPandas()
-    everything = np.stack(known["x"].to_numpy())
-    rows = map_blocks(points, ["id", "x"], "id bigint, x array<double>",
-                      lambda b: [b.column("id"), list_column(kernel(block(b, "x"), everything))])
-    picks = qdeim(rows, k)
-    return Picks(picks.ids, everything[np.searchsorted(known["id"].to_numpy(), picks.ids)], picks.scores)
-
-
 def greedy_error(profiles: DataFrame, k: int, candidates: np.ndarray, kernel: Callable, noise: float) -> list[int]:
     """Oracle placement: add the candidate whose one-step Kriging update lowers the total
     squared error most.

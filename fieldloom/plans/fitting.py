@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import kernels as kn
 from fieldloom.operators import decompose as dc
+from fieldloom.operators import kernelproduct as kp
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
 from fieldloom.plans.registry import more, query
@@ -93,11 +94,7 @@ def f04_randomised_basis(spark: SparkSession, sf: str) -> DataFrame:
 @query("f05_operator_spectrum")
 def f05_operator_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     """Leading eigenvalues of the location covariance, which is never formed."""
-    points = cut_lineage(location_points(field_profiles(spark, sf)))
-    scorer = sl.CholeskyScore(sl.RadialKernel(kn.rbf, ls=4.0))
-    r = len(sl.random_select(points, scorer, 40, 42).ids)
-    g = collect_matrix(sum_blocks(points, ["x"], (r, r), lambda b: (lambda f: f.T @ f)(scorer.features(block(b, "x")))), (r, r))
-    lam = np.sort(np.linalg.eigvalsh(g))[::-1][:10]
+    lam, _ = kp.randomised_eigen(location_points(field_profiles(spark, sf)), sl.RadialKernel(kn.rbf, ls=4.0), 10, power=2)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(lam)], "rank bigint, eigenvalue double")
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import kernels as kn
+from fieldloom.operators.kernelproduct import kernel_product
+from fieldloom.operators.selection import RadialKernel
 from fieldloom.plans.common import energetic_locations
 from fieldloom.plans.registry import more, query
-from fieldloom.sources.grid import grid_field, grid_shape, residual_field
+from fieldloom.session import cut_lineage
+from fieldloom.sources.grid import grid_field, grid_shape, residual_field, with_location_mean
 from fieldloom.sources.profiles import block, list_column, map_blocks, profiles
 
 LS, VAR = 3.0, 1.5
@@ -114,6 +117,17 @@ def c10_matvec_sensors(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("loc", F.round("kv", 4).alias("kv"))
 
 
+@query("c10_matvec_locations", more("g", "p") + f"""l AS (SELECT DISTINCT loc, y, x, mu FROM p)
+SELECT a.loc, round(sum({_m(1.5, 'sqrt(((a.y-b.y)**2+(a.x-b.x)**2)::DOUBLE)', '3.0')}*b.mu), 3) + 0.0 AS kv FROM l a, l b GROUP BY a.loc""")
+def c10_matvec_locations(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole covariance of locations times any vector, by pairs of tiles."""
+    at = with_location_mean(grid_field(spark, sf)).select("loc", "y", "x", "mu").distinct()
+    points = cut_lineage(at.select(F.col("loc").alias("id"), F.array(F.col("y").cast("double"), F.col("x").cast("double")).alias("x"),
+                                   F.array("mu").alias("v")))
+    out = kernel_product(points.select("id", "x"), points, RadialKernel(kn.matern, nu=1.5, ls=LS), points.count())
+    return out.select(F.col("id").alias("loc"), (F.round(F.col("y")[0], 3) + 0.0).alias("kv"))
+
+
 @query("c10_matvec_levels", more("g", "p") + f"""SELECT a.level, l.loc, round(sum({_m(2.5, 'abs(a.level - b.level)::DOUBLE', '4.0')}*b.resid), 4) + 0.0 AS kv
 FROM (SELECT range AS level FROM range(0, (SELECT max(level)+1 FROM g))) a, (SELECT DISTINCT loc FROM g) l JOIN p b ON b.loc = l.loc GROUP BY a.level, l.loc""")
 def c10_matvec_levels(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import kernels as kn
 from fieldloom.operators import decompose as dc
+from fieldloom.operators import kernelproduct as kp
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
 from fieldloom.operators.metrics import quality
@@ -86,10 +87,15 @@ def n03_gks_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_id(sl.gks(_points(spark, sf), MATERN, 8, 8, "greedy"), spark)
 
 
-@query("n03_direct_qr")
+_SQUARE = f"""kk AS (SELECT a.loc AS i, b.loc AS j, {_m(2.5, _DIST, "3.0")} AS k FROM l a, l b),
+gr AS (SELECT a.i, b.j, sum(a.k*b.k) AS g FROM kk a JOIN kk b ON a.j = b.i GROUP BY a.i, b.j)"""
+
+
+@query("n03_direct_qr", more("g") + _pivot_sql(f"{_LOCS},\n{_SQUARE}", lambda a, b: f"(SELECT g FROM gr WHERE i = {a}.loc AND j = {b}.loc)",
+                                               "(SELECT g FROM gr WHERE i = a.loc AND j = a.loc)", 8))
 def n03_direct_qr(spark: SparkSession, sf: str) -> DataFrame:
     """Pivoted QR of the covariance matrix itself."""
-    return _rank_id(sl.direct_qr(_points(spark, sf), MATERN, 8), spark)
+    return _rank_id(kp.direct_qr(_points(spark, sf), MATERN, 8), spark)
 
 
 @query("n06_random_pivots")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators.lorenzo import decode_volume_bins, encode_volume, with_lorenzo
-from fieldloom.operators.metrics import autocorrelation, ssim_windowed
+from fieldloom.operators.metrics import ssim_windowed
+from fieldloom.operators.spectra import autocorrelation
 from fieldloom.sources.rawf32 import read_volume
 
 
@@ -82,6 +83,7 @@ def test_model_keeps_its_covariance(spark, tmp_path):
 
 def test_direct_qr_matches_dense(spark):
     from fieldloom.functions import kernels as kn
+    from fieldloom.operators import kernelproduct as kp
     from fieldloom.operators import selection as sl
 
     x = np.random.default_rng(2).uniform(0, 10, size=(40, 2))
@@ -93,7 +95,7 @@ def test_direct_qr_matches_dense(spark):
         want.append(j)
         q = left[:, j] / np.linalg.norm(left[:, j])
         left = left - np.outer(q, q @ left)
-    assert sl.direct_qr(points, kernel, 6).ids.tolist() == want
+    assert kp.direct_qr(points, kernel, 6).ids.tolist() == want
 
 
 def test_constant_location_keeps_its_mean(spark):
