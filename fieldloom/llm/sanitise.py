@@ -1,18 +1,21 @@
 """Personal data and the terms that give it away.
 
 Four kinds of entity are found by pattern: e-mail addresses, IP addresses, payment card numbers
-(Luhn) and international phone numbers.  Around every entity the ``CONTEXT`` words on either side
-are its context.  Over the whole corpus, with documents as the unit, a context term t discloses
-an entity e to the degree
+(Luhn) and international phone numbers.  The ``CONTEXT`` words on either side of an entity, less those
+that belong to an entity, are its context; a term is a word, lower-cased (A-Z).  Over the whole corpus,
+with documents as the unit, a context term t discloses an entity e to the degree
 
-    PMI(e; t) / IC(e) = log(c(e, t) N / (c(e) c(t))) / log(N / c(e)),
+    log(P(e | t) N / c(e)) / log(N / c(e)),   P(e | t) = (c(e, t) + S c(e) / N) / (c(t) + S),
 
-1 when t appears with e only.  A term at or above ``DISCLOSURE`` that keeps this company in at
-least ``SUPPORT`` different texts is generalised wherever it stands in a context of e.
+that is PMI(e; t) / IC(e) with the conditional probability smoothed by ``S`` documents at independence:
+1 at most, for a term that is seen with e only and often; 0 for one that tells nothing.  A term seen
+once, with e, tells all but one bit of it, so in any corpus of more than a hundred documents it is above
+``DISCLOSURE``; a term of many documents is below.  There is no count under which pairs are left out.
+Terms at or above the threshold are generalised wherever they stand in a context of e.
 
-Contexts are joined and counted as rows; only counts of terms under suspicion are taken over the
+Contexts are joined and counted as rows; only counts of terms of some context are taken over the
 full corpus, from the terms' digests where their counted number allows a broadcast and from all
-words otherwise.  Equal texts share one set of context rows with a count.
+words otherwise.  Equal texts (by a 128-bit digest) share one set of context rows with a count.
 
 Null or empty texts hold nothing.  Every input row gives one result row, repeated ids and null
 ids included.  An empty table gives an empty result; other columns are ignored.
@@ -24,7 +27,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import arrow_map, signed, stored
@@ -32,9 +35,8 @@ from fieldloom.llm.text import blocks
 from fieldloom.session import BROADCAST_BYTES, sized_broadcast
 
 CONTEXT = 8
-SUPPORT = 3
-DISCLOSURE = 0.9
-MIN_TERM = 4
+SMOOTHING = 1.0
+DISCLOSURE = 0.85
 KINDS = ["email", "ip", "card", "phone"]
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -42,8 +44,6 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]")
-WORD = re.compile("[^\x20\x09-\x0d]+")
-REACH = 256  # characters on either side in which context words are looked for
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 CONTEXTS = "array<struct<entity:bigint,term:bigint,start:int,end:int>>"
 
@@ -93,22 +93,25 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words, in code points."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ink = np.concatenate([[False], ~((code == 32) | ((code >= 9) & (code <= 13))), [False]])
+    return np.flatnonzero(ink[1:] & ~ink[:-1]), np.flatnonzero(~ink[1:] & ink[:-1])
+
+
 def _context(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """(entity, start, end) of the words next to each entity, without those that touch any."""
+    """(entity, start, end) of the words on either side of each entity, without those that touch any."""
+    starts, ends = _words(text)
+    clear = np.ones(starts.size, bool)
+    for _, a, b in spans:
+        clear[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b)] = False
     out = []
-    for kind, start, end in spans:
-        low, high = max(0, start - REACH), min(len(text), end + REACH)
-        near = [m.span() for m in WORD.finditer(text, low, start)]
-        if low and near and near[0][0] == low:
-            del near[0]  # maybe the rest of a longer word
-        near = near[-CONTEXT - 1 :]
-        after = [m.span() for m in WORD.finditer(text, end, high)]
-        if high < len(text) and after and after[-1][1] == high:
-            del after[-1]
-        near += after[: CONTEXT + 1]
-        entity = f"{kind}:{text[start:end].lower()}"
-        out += [(entity, a, b) for a, b in near
-                if b - a >= MIN_TERM and not any(a <= y and x <= b for _, x, y in spans)]
+    for kind, a, b in spans:
+        before, after = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))
+        near = [*range(max(0, before - CONTEXT), before), *range(after, min(starts.size, after + CONTEXT))]
+        entity = f"{kind}:{text[a:b].lower()}"
+        out += [(entity, int(starts[k]), int(ends[k])) for k in near if clear[k]]
     return out
 
 
@@ -117,8 +120,13 @@ def _digests(strings: list[str]) -> np.ndarray:
     return signed(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
+def text_digest(text_col: str) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, spans, contexts) of every row; entities and terms of contexts as digests."""
+    """(doc_id, digest, spans, contexts) of every row; entities and terms of contexts as 64-bit digests."""
 
     def run(batch):
         texts = batch.column("text").to_pylist()
@@ -134,8 +142,8 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                "contexts": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), context)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("digest", F.xxhash64("text"))
-    return arrow_map(rows, run, {"doc_id": "long", "digest": "long", "spans": SPAN, "contexts": CONTEXTS})
+    rows = rows.withColumn("digest", text_digest("text"))
+    return arrow_map(rows, run, {"doc_id": "long", "digest": "binary", "spans": SPAN, "contexts": CONTEXTS})
 
 
 def _spans(lists: list) -> pa.Array:
@@ -148,7 +156,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "tex
     few = terms.count() * 8 <= BROADCAST_BYTES
     wanted = None
     if few:
-        found = np.sort(np.array([r[0] for r in terms.select("term").collect()], np.int64))
+        found = np.sort(terms.select("term").toArrow().column("term").to_numpy())
         wanted = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batch):
@@ -177,14 +185,18 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text")
     texts = found.where(F.size("contexts") > 0).groupBy("digest").agg(F.count("*").alias("m"), F.first("contexts").alias("x"))
     near = stored(texts.select("digest", "m", F.inline("x")))
     once = near.select("digest", "m", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.sum("m").alias("c"), F.count("*").alias("texts"))
-    pairs = stored(pairs.where(F.col("texts") >= SUPPORT))
+    pairs = stored(once.groupBy("entity", "term").agg(F.sum("m").alias("c")))
     counts = document_frequencies(docs, pairs.select("term").distinct(), text_col)
     whole = near.select("digest", "m", "entity").distinct().groupBy("entity").agg(F.sum("m").alias("ce"))
+    scored = pairs.join(counts, "term").join(whole, "entity")
     n = F.lit(float(found.count()))
-    share = F.log(F.col("c") * n / (F.col("ce") * F.col("ct"))) / F.log(n / F.col("ce"))
-    scored = pairs.join(counts, "term").join(whole, "entity").where(F.col("ce") < n)
-    return scored.where(share >= DISCLOSURE).select("entity", "term"), near
+    return scored.where(disclosure(n) >= DISCLOSURE).select("entity", "term"), near
+
+
+def disclosure(n: Column) -> Column:
+    """Degree to which a term discloses an entity, from the counts c, ce, ct; 0 where every document has it."""
+    given = (F.col("c") + SMOOTHING * F.col("ce") / n) / (F.col("ct") + SMOOTHING)
+    return F.when(F.col("ce") < n, F.log(given * n / F.col("ce")) / F.log(n / F.col("ce"))).otherwise(0.0)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +215,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = find_personal_data(docs, id_col, text_col).select("digest", F.concat("spans", "terms").alias("_spans"))
     spans = stored(spans.where(F.size("_spans") > 0).dropDuplicates(["digest"]))
     spans = sized_broadcast(spans.withColumnRenamed("digest", "_digest"), spans.count(), 512)
-    joined = docs.withColumn("_digest", F.xxhash64(text_col)).join(spans, "_digest", "left").drop("_digest")
+    joined = docs.withColumn("_digest", text_digest(text_col)).join(spans, "_digest", "left").drop("_digest")
 
     def run(batch):
         texts = [_masked(t, s) if s else t for t, s in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist())]

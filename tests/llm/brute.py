@@ -261,3 +261,34 @@ def hamming_components(prints: dict[int, int], radius: int = 4) -> dict[int, int
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in prints}
+
+
+def leaks(docs: list[tuple], items: list[tuple], percent: int = 80) -> dict[tuple, tuple]:
+    """(doc_id, item_id) -> (windows, first word, best similarity) by comparing every placed window."""
+    from math import floor, log
+
+    def normal(text):
+        return words(re.sub(r"[^\w \t\n\x0b\f\r]|_", "", (text or "").lower()))
+
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    lists = {i: normal(t) for i, t in items}
+    lists = {i: w for i, w in lists.items() if len(w) >= 5}
+    df = Counter(s for w in lists.values() for s in set(grams(w)))
+    weight = lambda s: floor(1000 * log(1 + len(lists) / df.get(s, 1)) + 0.5)
+    out: dict = {}
+    for d, t in docs:
+        w = normal(t)
+        at = defaultdict(list)
+        for i, s in enumerate(grams(w)):
+            at[s].append(i)
+        for k, iw in lists.items():
+            mine = set(grams(iw))
+            spans = {(max(i - o, 0), min(i - o + len(iw), len(w))) for o, s in enumerate(grams(iw)) for i in at[s]}
+            for a, b in spans:
+                has = set(grams(w[a:b]))
+                common = sum(map(weight, has & mine))
+                union = sum(map(weight, has | mine))
+                if 100 * common >= percent * union:
+                    n, first, best = out.get((d, k), (0, a, 0.0))
+                    out[d, k] = (n + 1, min(first, a), max(best, common / union))
+    return out

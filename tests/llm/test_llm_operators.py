@@ -181,21 +181,60 @@ def test_personal_data_spans(make):
     assert got == sorted((i or -1, base(t or "")) for i, t in rows)
 
 
+def plain_terms(rows):
+    """Spans of disclosing terms by the formula, with dictionaries of documents."""
+    from math import log
+
+    full = [(i, t or "") for i, t in rows]
+    spans = [[(k, a, b) for k, a, b in sanitise.find_entities(t)] for _, t in full]
+    near = []
+    for (_, t), found in zip(full, spans):
+        words = [m.span() for m in brute.WORD.finditer(t)]
+        mine = []
+        for k, a, b in found:
+            left = [w for w in words if w[1] <= a][-sanitise.CONTEXT :]
+            right = [w for w in words if w[0] >= b][: sanitise.CONTEXT]
+            mine += [(f"{k}:{t[a:b].lower()}", brute.lower(t[x:y]), x, y) for x, y in left + right
+                     if not any(x < d and c < y for _, c, d in found)]
+        near.append(mine)
+    n, ce, ct, c = len(full), Counter(), Counter(), Counter()
+    for (_, t), mine in zip(full, near):
+        ct.update(set(brute.words(brute.lower(t))))
+        ce.update({e for e, *_ in mine})
+        c.update({(e, w) for e, w, _, _ in mine})
+    out = []
+    for (i, _), mine in zip(full, near):
+        told = set()
+        for e, w, x, y in mine:
+            given = (c[e, w] + sanitise.SMOOTHING * ce[e] / n) / (ct[w] + sanitise.SMOOTHING)
+            if ce[e] < n and log(given * n / ce[e]) / log(n / ce[e]) >= sanitise.DISCLOSURE:
+                told.add((x, y))
+        out.append((i or -1, sorted(told)))
+    return sorted(out)
+
+
 def test_disclosing_terms(make):
+    """All rows against the formula: entities in one text, in two, in equal copies, long words, several in a row."""
+    long = "q" * 700
     rows = personal_rows()
+    rows += [(400, f"only {long} here 10.9.8.7 {'z' * 300} the of"), (401, "the of 10.9.8.7 wexil"), (402, f"twin plorv {PHONE} {MAIL} quam the"),
+             (403, f"twin plorv {PHONE} {MAIL} quam the"), (404, f"x{MAIL}y,{IP} edge"), (405, MAIL)]
+    rows += [(200 + k, prose(30)) for k in range(200)]
+    found = sanitise.find_personal_data(make(rows)).collect()
+    got = sorted((r.doc_id or -1, [(s.start, s.end) for s in r.terms]) for r in found)
+    assert got == plain_terms(rows)
     texts = dict(rows)
-    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.terms]
-             for r in sanitise.find_personal_data(make(rows)).collect()}
-    assert {w for k in range(6) for w in found[20 + k]} == {"zorblax", "nadirium", "agent", "with", "today"}
-    assert all(not found[40 + k] for k in range(40))
+    words = {r.doc_id: {texts[r.doc_id][s.start : s.end] for s in r.terms} for r in found}
+    assert {"zorblax", "nadirium"} <= words[20] and long in words[400] and "wexil" in words[401] and "plorv" in words[402]
+    assert not any(words[200 + k] for k in range(200)) and "of" not in words[401]
 
 
 def test_sanitise(make):
-    df = make(personal_rows())
+    df = make(personal_rows() + [(300 + k, prose(40)) for k in range(100)])
     out = sanitise.sanitise(df)
     assert out.columns == df.columns
     text = {r.doc_id: r.text for r in out.where("doc_id IN (4, 5, 20)").collect()}
-    assert text[4] == "card [CARD] and 4111111111111112 not" and text[5] == "call [PHONE]."
+    assert "[CARD]" in text[4] and CARD not in text[4] and "[PHONE]." in text[5]
     assert MAIL not in text[20] and "zorblax" not in text[20] and "[TERM]" in text[20]
 
 
@@ -261,34 +300,56 @@ def test_leaks(spark, make):
 
 
 def test_leaks_edited_at_the_end(spark, make):
-    """Similarity of 0.80 to 0.85 that leaves fingerprints far apart: end words replaced or cut off."""
+    """Similarity of 0.80 to 0.85: end words replaced or cut off.  Fingerprints miss one in a thousand at most."""
     own = random.Random(3)
     text = lambda n: [f"u{own.randrange(10**9)}" for _ in range(n)]
     items, rows = [], []
     for words, lost, replaced in ((40, 4, True), (60, 5, True), (60, 6, True), (60, 9, False), (60, 11, False)):
-        for _ in range(60):
+        for _ in range(120):
             item = text(words)
             rows.append((len(items), " ".join([*text(20), *item[: words - lost], *(text(lost + 20) if replaced else [])])))
             items.append((len(items), " ".join(item)))
     found = decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(len(items))}
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert all(a == b for a, b in pairs) and len(pairs) >= 0.99 * len(items)
     assert all(0.8 <= r.similarity < 0.85 for r in found)
 
 
+def test_leaks_of_templated_items(spark, make):
+    """Items of one template: every shared shingle places a window, and only those near enough match."""
+    own = random.Random(8)
+    frame = [f"t{k}" for k in range(40)]
+    items, rows = [], []
+    for k in range(60):
+        w = list(frame)
+        for at in [39] if k % 2 else own.sample(range(40), 1 + k % 6):
+            w[at] = f"v{own.randrange(12)}"
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join([*(f"d{own.randrange(10**6)}" for _ in range(15)), *w[: 40 - k % 4], "tail", "end"])))
+    found = decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.first_word, r.similarity) for r in decontaminate.leaked_items(found).collect()}
+    want = brute.leaks(rows, items)
+    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want) and len(want) > 200
+    assert all(got[k] == (want[k][0], want[k][1], pytest.approx(want[k][2], abs=1e-6)) for k in got)
+
+
 def test_hamming_blocks_find_all_within_radius(spark):
     from pyspark.sql import functions as F
 
+    signed = lambda x: x - (1 << 64) * (x >> 63)
+    halves = lambda x: [signed(x & (2**64 - 1)), signed(x >> 64)]
     pairs = []
     for _ in range(200):
-        a = rng.getrandbits(64)
+        a = rng.getrandbits(decontaminate.BITS)
         b = a
-        for bit in rng.sample(range(64), decontaminate.RADIUS):
+        for bit in rng.sample(range(decontaminate.BITS), decontaminate.RADIUS):
             b ^= 1 << bit
-        pairs.append((a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)))
-    df = spark.createDataFrame(pairs, "a long, b long").withColumn("id", F.monotonically_increasing_id())
+        pairs.append((halves(a), halves(b)))
+    df = spark.createDataFrame(pairs, "a array<long>, b array<long>").withColumn("id", F.monotonically_increasing_id())
     left = df.select("id", decontaminate._blocks("a"))
     right = df.select("id", decontaminate._blocks("b"))
     assert left.join(right, ["id", "block", "value"]).select("id").distinct().count() == 200
+    assert {r[0] for r in df.select(decontaminate._distance("a", "b")).collect()} == {decontaminate.RADIUS}
 
 
 def test_sharding(make):
