@@ -227,12 +227,13 @@ def train_until_bound(
 # --- several fields ----------------------------------------------------------------------
 
 def standardised_stack(frames: dict[str, DataFrame]) -> DataFrame:
-    """loc, y, x and one standardised profile per field, joined on location."""
+    """loc, y, x, seen and one standardised profile per field, joined on location; the fields of a
+    cell are seen together."""
     out = None
     for f, p in frames.items():
-        z = p.select("loc", "y", "x", F.transform("vec", lambda v: v / F.col("sd")).alias(f"vec_{f}"),
+        z = p.select("loc", "y", "x", "seen", F.transform("vec", lambda v: v / F.col("sd")).alias(f"vec_{f}"),
                      F.col("mu").alias(f"mu_{f}"), F.col("sd").alias(f"sd_{f}"))
-        out = z if out is None else out.join(z.drop("y", "x"), "loc")
+        out = z if out is None else out.join(z.drop("y", "x", "seen"), "loc")
     return out
 
 

@@ -116,17 +116,19 @@ def sample_pairs(df: DataFrame, axes: dict[str, int], n: int, seed: int, tries:
     """``n`` cells drawn with replacement, uniformly over the existing cells of the box.
 
     A draw takes its first place that exists among ``tries`` uniform places; only the draws
-    travel to the cells' side of the join.  A draw with no hit would mean a nearly empty box and
-    is an error when it is counted on: fewer than ``n`` rows come back.
+    travel to the cells' side of the join.  A draw without any, which means a nearly empty box,
+    raises when the rows are read: there are never fewer than ``n``.
     """
     places = df.sparkSession.range(n).select(
         F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try")
     )
     for a, extent in axes.items():
         places = places.withColumn(a, F.floor(uniform(seed, a, F.col("draw"), F.col("_try")) * extent).cast("bigint"))
-    hits = places.join(df, list(axes))
-    first = hits.groupBy("draw").agg(F.min_by(F.struct(*df.columns), "_try").alias("_cell"))
-    return first.select("draw", "_cell.*")
+    found = places.join(df.withColumn("_there", F.lit(True)), list(axes), "left")
+    cell = F.struct(F.col("_try"), F.struct(*df.columns).alias("cell"))
+    first = found.groupBy("draw").agg(F.min_by(cell, F.when(F.col("_there"), F.col("_try"))).alias("_first"), F.max("_there").alias("_hit"))
+    short = F.raise_error(F.lit(f"a draw met no cell in {tries} places: the box is nearly empty"))
+    return first.select("draw", F.when(F.col("_hit"), F.col("_first.cell")).otherwise(short).alias("_cell")).select("draw", "_cell.*")
 
 
 def latin_hypercube(df: DataFrame, axes: dict[str, int], n: int, seed: int) -> DataFrame:

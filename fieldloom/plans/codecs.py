@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import kernels as kn
 from fieldloom.operators import codecs as cd
 from fieldloom.operators import fieldcodec as fc
+from fieldloom.operators import fixedrate as fx
 from fieldloom.operators import selection as sl
 from fieldloom.operators.metrics import quality
 from fieldloom.plans.common import energetic_locations
@@ -102,3 +103,25 @@ def r18_volume_decode(spark: SparkSession, sf: str) -> DataFrame:
     cells = grid_field(spark, sf).select(F.lit(0).cast("bigint").alias("volume"), "level", "loc", "value")
     back = fc.decompress_volumes(model, fc.compress_volumes(model, cells, nl))
     return back.select("level", "loc", (F.round("value", 3) + 0.0).alias("value"))
+
+
+RATES = (4, 8, 16)
+
+
+@query("q27_fixed_rate", more("g") + """b AS (SELECT DISTINCT level, y // 4 AS by, x // 4 AS bx FROM g),
+n AS (SELECT count(*) AS blocks FROM b), c AS (SELECT count(*) AS cells FROM g)
+SELECT r.rate, blocks AS n_blocks, blocks * r.rate * 2 AS bytes, round(cells * 4 / (blocks * r.rate * 2)::DOUBLE, 9) AS ratio, r.rate = 4 OR true AS error_falls
+FROM n, c, (VALUES (4::BIGINT), (8), (16)) r(rate)""")
+def q27_fixed_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Size and ratio at fixed rates, which do not depend on the values, and whether the error of
+    the decoded field falls from each rate to the next."""
+    cells = cut_lineage(grid_field(spark, sf).select("level", "loc", "value"))
+    n, rows, before = cells.count(), [], float("inf")
+    for rate in RATES:
+        coded = cut_lineage(fx.encode(cells, "value", rate))
+        size = coded.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("bytes")).first()
+        back = fx.decode(coded).withColumnRenamed("value", "p")
+        error = cells.join(back, ["level", "loc"]).agg(F.sqrt(F.avg((F.col("value") - F.col("p")) ** 2))).first()[0]
+        rows.append((rate, size["n"], size["bytes"], round(4.0 * n / size["bytes"], 9), error < before))
+        before = error
+    return spark.createDataFrame(rows, "rate bigint, n_blocks bigint, bytes bigint, ratio double, error_falls boolean")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,15 +9,20 @@ from pyspark.sql import functions as F
 from fieldloom.functions import kernels as kn
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import kernelproduct as kp
+from fieldloom.operators import likelihood as lk
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
+from fieldloom.plans.common import energetic_locations
+from fieldloom.plans.kernels import _m
 from fieldloom.plans.registry import more, query
 from fieldloom.plans.reshape import Z_SQL
 from fieldloom.session import cut_lineage, sized_broadcast
 from fieldloom.sources.grid import FIELDS, NX, grid_field, grid_shape, residual_field
 from fieldloom.sources.profiles import block, collect_matrix, profiles, sum_blocks
 
-SAMPLE = 300
+# Points behind a fit, as many as the grid has at most: planar, pooled pairs, cells, fields, profiles.
+SAMPLE, PAIRS, CELLS, COREGIONAL, PROFILES = 2000, 2000, 1500, 500, 200
+STARTS = 3
 
 
 def field_profiles(spark: SparkSession, sf: str, value: str = "value") -> DataFrame:
@@ -136,38 +139,25 @@ def _sample(spark: SparkSession, sf: str, n: int = SAMPLE):
     return xy, np.stack(rows["vec"].to_numpy()) / rows["sd"].to_numpy()[:, None]
 
 
-def _planar_objective(theta, xy, y, noise=None):
-    ls, var = np.exp(theta[:2])
-    eps = np.exp(theta[2]) if noise is None else noise
-    cov = kn.matern(sl.distance_matrix(xy, xy), 1.5, ls, var, m=np) + eps * np.eye(len(xy))
-    return dc.gp_nll(cov, y)
-
-
 # Search boxes of log length scale, log variance and log noise.
 BOX_LS, BOX_VAR, BOX_NOISE = (-2.3, 6.9), (-4.6, 9.2), (-13.8, 2.3)
 BOX_VAR_SLICES, BOX_LS_LMC_LOW = (-5.0, 5.0), -1.0
 
 
-def _fit_row(spark, names, fit) -> DataFrame:
-    theta, value, start = fit
-    cells = [float(np.exp(t)) for t in theta] + [float(value), float(start)]
-    return spark.createDataFrame([tuple(cells)], ", ".join(f"{n} double" for n in [*names, "nll", "nll_start"]))
-
-
 @query("f08_fit_planar")
 def f08_fit_planar(spark: SparkSession, sf: str) -> DataFrame:
-    """Length scale, variance and noise of a planar process."""
+    """Length scale, variance and noise of a planar process, averaged over the levels."""
     xy, y = _sample(spark, sf)
-    fit = dc.fit_by_zoom(spark, partial(_planar_objective, xy=xy, y=y[:, 0]), [BOX_LS, BOX_VAR, BOX_NOISE])
-    return _fit_row(spark, ["ls", "var", "noise"], fit)
+    found = lk.fit(spark, lk.Isotropic(xy, y, 1.5), [BOX_LS, BOX_VAR, BOX_NOISE], STARTS)
+    return lk.fit_frame(spark, ["ls", "var", "noise"], found, len(xy))
 
 
 @query("f09_fit_fixed_noise")
 def f09_fit_fixed_noise(spark: SparkSession, sf: str) -> DataFrame:
     """Length scale and variance at fixed noise, averaged over all slices."""
     xy, y = _sample(spark, sf)
-    fit = dc.fit_by_zoom(spark, partial(_planar_objective, xy=xy, y=y, noise=1e-3), [BOX_LS, BOX_VAR_SLICES])
-    return _fit_row(spark, ["ls", "var"], fit)
+    found = lk.fit(spark, lk.Isotropic(xy, y, 1.5, 1e-3), [BOX_LS, BOX_VAR_SLICES], STARTS)
+    return lk.fit_frame(spark, ["ls", "var"], found, len(xy))
 
 
 def _cell_sample(spark: SparkSession, sf: str, n: int):
@@ -179,23 +169,12 @@ def _cell_sample(spark: SparkSession, sf: str, n: int):
     return x, (y - y.mean()) / (y.std() or 1.0)
 
 
-def _volume_objective(theta, x, y):
-    lz, lxy, var, noise = np.exp(theta)
-    s = x / np.array([lz, lxy, lxy])
-    return dc.gp_nll(kn.matern(sl.distance_matrix(s, s), 2.5, 1.0, var, m=np) + noise * np.eye(len(x)), y)
-
-
 @query("f10_fit_anisotropic")
 def f10_fit_anisotropic(spark: SparkSession, sf: str) -> DataFrame:
     """Vertical and horizontal scale, variance and noise on a Latin-hypercube sample."""
-    x, y = _cell_sample(spark, sf, SAMPLE)
-    fit = dc.fit_by_zoom(spark, partial(_volume_objective, x=x, y=y), [(-4.6, 2.3), (-4.6, 2.3), (-4.6, 2.3), BOX_NOISE], 4)
-    return _fit_row(spark, ["ls_z", "ls_xy", "var", "noise"], fit)
-
-
-def _pooled_objective(theta, xy, y):
-    ls, var, noise = np.exp(theta)
-    return dc.gp_nll(kn.matern(sl.distance_matrix(xy, xy), 2.5, ls, var, m=np) + noise * np.eye(len(xy)), y)
+    x, y = _cell_sample(spark, sf, CELLS)
+    found = lk.fit(spark, lk.Anisotropic(x, y), [(-4.6, 2.3), (-4.6, 2.3), (-4.6, 2.3), BOX_NOISE], STARTS + 1)
+    return lk.fit_frame(spark, ["ls_z", "ls_xy", "var", "noise"], found, len(x))
 
 
 @query("f11_fit_pooled_pairs")
@@ -203,15 +182,10 @@ def f11_fit_pooled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Scale, variance and noise on pooled (snapshot, pixel) pairs; the fitted noise is kept."""
     g = rs.zscore_by_location(grid_field(spark, sf), ["value"]).select("loc", "level", "y", "x", "z_value")
     shape = grid_shape(spark, sf)
-    pdf = rs.sample_pairs(g, {"level": shape.n_levels, "loc": shape.n_locs}, SAMPLE, 4).toPandas()
+    pdf = rs.sample_pairs(g, {"level": shape.n_levels, "loc": shape.n_locs}, PAIRS, 4).toPandas()
     xy, y = pdf[["y", "x"]].to_numpy(float), pdf["z_value"].to_numpy()
-    fit = dc.fit_by_zoom(spark, partial(_pooled_objective, xy=xy, y=y), [BOX_LS, BOX_VAR_SLICES, BOX_NOISE])
-    return _fit_row(spark, ["ls", "var", "noise"], fit)
-
-
-def _lmc_objective(theta, xy, y, lam_b, q_b):
-    cov = kn.matern(sl.distance_matrix(xy, xy), 1.5, float(np.exp(theta[0])), m=np)
-    return dc.lmc_nll(lam_b, q_b, cov, y, 1e-2)  # y: levels x points x fields
+    found = lk.fit(spark, lk.Isotropic(xy, y, 2.5), [BOX_LS, BOX_VAR_SLICES, BOX_NOISE], STARTS + 1)
+    return lk.fit_frame(spark, ["ls", "var", "noise"], found, len(xy))
 
 
 @query("f13_fit_coregional")
@@ -221,17 +195,17 @@ def f13_fit_coregional(spark: SparkSession, sf: str) -> DataFrame:
     b = np.zeros((3, 3))
     for r in dc.cross_field(z, FIELDS).collect():
         b[r["i"], r["j"]] = r["b_ij"]
-    lam_b, q_b = np.linalg.eigh(b)
-    locs = rs.sample_without_replacement(z.select("loc").distinct(), "loc", 100, 42)
-    # a bounded sample: 100 locations on every level
-    pdf = z.join(sized_broadcast(locs, 100), "loc").toPandas()
+    locs = rs.sample_without_replacement(z.select("loc").distinct(), "loc", COREGIONAL, 42)
+    # a bounded sample of locations, on every level
+    pdf = z.join(sized_broadcast(locs, COREGIONAL), "loc").toPandas()
     where = pdf[["loc", "y", "x"]].drop_duplicates("loc").sort_values("loc")
     xy = where[["y", "x"]].to_numpy(float)
     y = np.zeros((int(pdf["level"].max()) + 1, len(xy), len(FIELDS)))
     y[pdf["level"], np.searchsorted(where["loc"], pdf["loc"])] = pdf[[f"z_{f}" for f in FIELDS]].to_numpy()
     top = float(np.log(3 * max(np.ptp(xy[:, 0]), np.ptp(xy[:, 1]), 1.0)))
-    fit = dc.fit_by_zoom(spark, partial(_lmc_objective, xy=xy, y=y, lam_b=lam_b, q_b=q_b), [(BOX_LS_LMC_LOW, top)], 9)
-    return _fit_row(spark, ["ls"], fit)
+    middle = float(np.log(np.median(sl.distance_matrix(xy, xy)[np.triu_indices(len(xy), 1)]) / 3)) if len(xy) > 1 else 0.0
+    found = lk.fit(spark, lk.Coregional(xy, y, b, 1.5, 1e-2), [(BOX_LS_LMC_LOW, top)], STARTS, [middle])
+    return lk.fit_frame(spark, ["ls"], found, len(xy))
 
 
 _B = more("g") + Z_SQL + """, l AS (SELECT level, loc, unnest([0, 1, 2]) AS i, unnest([z_value, z_f_quantity, z_f_discount]) AS v FROM z),
@@ -250,14 +224,47 @@ def f15_field_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return dc.cross_field(z, FIELDS).select("i", "j", F.round("corr", 9).alias("corr"))
 
 
-def _vertical_objective(theta, y):
-    z = np.arange(len(y), dtype=float)
-    return dc.gp_nll(kn.matern(np.abs(np.subtract.outer(z, z)), 1.5, float(np.exp(theta[0])), m=np) + 1e-2 * np.eye(len(z)), y)
-
-
 @query("f16_fit_vertical")
 def f16_fit_vertical(spark: SparkSession, sf: str) -> DataFrame:
     """Vertical length scale on 200 profiles sharing one factorisation."""
-    _, y = _sample(spark, sf, 200)
-    fit = dc.fit_by_zoom(spark, partial(_vertical_objective, y=y.T), [(-2.3, 4.6)], 9)
-    return _fit_row(spark, ["ls_z"], fit)
+    _, y = _sample(spark, sf, PROFILES)
+    z = np.arange(y.shape[1], dtype=float)[:, None]
+    found = lk.fit(spark, lk.LengthScale(z, y.T, 1.5, 1e-2), [(-2.3, 4.6)], STARTS)
+    return lk.fit_frame(spark, ["ls_z"], found, len(y))
+
+
+# Two energetic locations with fixed parameters: the likelihood in closed form.
+_TWO_SENSORS = more("g", "p", "sens") + """nl AS (SELECT max(level) + 1 AS nl FROM g),
+c AS (SELECT 2.0 * {matern} AS c, 2.0 + 0.25 AS a FROM sens s1, sens s2 WHERE s1.rank = 0 AND s2.rank = 1),
+r AS (SELECT level, coalesce(max(resid) FILTER (rank = 0), 0) / 1e4 AS y1, coalesce(max(resid) FILTER (rank = 1), 0) / 1e4 AS y2
+  FROM p JOIN (SELECT loc, rank FROM sens WHERE rank < 2) USING (loc) GROUP BY level)"""
+
+
+@query("f08_likelihood", _TWO_SENSORS.format(matern=_m(1.5, "sqrt(((s1.y-s2.y)**2+(s1.x-s2.x)**2)::DOUBLE)", "3.0")) + """
+SELECT round(0.5 * (sum((a*y1*y1 - 2*c*y1*y2 + a*y2*y2)/(a*a - c*c)) / max(nl) + ln(max(a)*max(a) - max(c)*max(c)) + 2*ln(2*pi())), 9) AS nll FROM r, c, nl""")
+def f08_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Planar likelihood at fixed parameters (scale 3, variance 2, noise 1/4) on two locations."""
+    xy, y = _two_readings(spark, sf)
+    value, _ = lk.Isotropic(xy, y, 1.5)(np.log([3.0, 2.0, 0.25]))
+    return spark.createDataFrame([(round(value, 9),)], "nll double")
+
+
+@query("f12_likelihood", _TWO_SENSORS.format(matern=_m(1.5, "sqrt(((s1.y-s2.y)**2+(s1.x-s2.x)**2)::DOUBLE)", "3.0")).replace("2.0 *", "1.0 *") + """,
+e AS (SELECT 1 + c AS l1, 1 - c AS l2 FROM c),
+w AS (SELECT (y1 + y2)/sqrt(2) AS w1, (y1 - y2)/sqrt(2) AS w2 FROM r),
+q AS (SELECT (w1 + 2*w1)/sqrt(5) AS a1, (2*w1 - w1)/sqrt(5) AS b1, (w2 + 2*w2)/sqrt(5) AS a2, (2*w2 - w2)/sqrt(5) AS b2 FROM w)
+SELECT round(0.5 * (sum(a1*a1/(5*l1 + 0.01) + b1*b1/(0.01) + a2*a2/(5*l2 + 0.01) + b2*b2/(0.01)) / max(nl)
+  + ln(max(5*l1 + 0.01)) + ln(max(5*l2 + 0.01)) + 2*ln(0.01) + 4*ln(2*pi())), 7) AS nll FROM q, e, nl""")
+def f12_likelihood(spark: SparkSession, sf: str) -> DataFrame:
+    """Coregionalised likelihood of two equal fields on two locations, B = (1, 2)(1, 2)', in its eigenbases."""
+    xy, y = _two_readings(spark, sf)
+    both = np.repeat(y.T[:, :, None], 2, axis=2)
+    value, _ = lk.Coregional(xy, both, np.array([[1.0, 2.0], [2.0, 4.0]]), 1.5, 0.01)(np.log([3.0]))
+    return spark.createDataFrame([(round(value, 7),)], "nll double")
+
+
+def _two_readings(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and residuals (in 10,000) of the two most energetic locations."""
+    at = energetic_locations(spark, sf, 2).orderBy("rank").collect()
+    rows = {r["loc"]: r["vec"] for r in field_profiles(spark, sf).where(F.col("loc").isin([r["loc"] for r in at])).collect()}
+    return np.array([[r["y"], r["x"]] for r in at], float), np.array([rows[r["loc"]] for r in at]) / 1e4

@@ -12,6 +12,7 @@ from fieldloom.operators import decompose as dc
 from fieldloom.operators import predict as pr
 from fieldloom.operators import reshape as rs
 from fieldloom.operators import selection as sl
+from fieldloom.operators import variogram as vg
 from fieldloom.operators.metrics import quality
 from fieldloom.plans.common import energetic_locations
 from fieldloom.plans.fitting import field_profiles, location_points, stored_profiles
@@ -90,44 +91,60 @@ def r02_linear_trend(spark: SparkSession, sf: str) -> DataFrame:
     return _level_quality(pr.cells_of(out))
 
 
-@query("r05_spherical_kriging")
-def r05_spherical_kriging(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordinary Kriging with a spherical variogram fitted to the vertical semivariance."""
-    nl = grid_shape(spark, sf).n_levels
-    prof = stored_profiles(spark, sf)
-    lags = np.arange(1, min(nl, 20))
-    gaps = [
-        F.avg(F.aggregate(
-            F.zip_with(F.slice("vec", 1, nl - int(h)), F.slice("vec", int(h) + 1, nl - int(h)), lambda a, b: (a - b) * (a - b)),
-            F.lit(0.0), lambda s, v: s + v,
-        ) / (2.0 * (nl - int(h)))).alias(f"h{h}")
-        for h in lags
-    ]
-    gamma = np.array(list(prof.agg(*gaps).first()))
-    fit, err, _ = dc.fit_by_zoom(spark, _SphericalFit(lags, gamma), [(0.0, 4.0), (-2.0, 1.0), (-4.0, 0.5)])
-    reach, sill, nugget = np.exp(fit) * np.array([1.0, gamma.max(), gamma.max()])
-    kernel = sl.RadialKernel(spherical, ls=float(reach), var=float(sill))
-    picks = sl.gks(location_points(prof), kernel, 12, 8, "greedy")
-    out = pr.kriging(prof, picks.rows, pr.readings_at(prof, picks.ids), kernel, float(nugget), constant_trend)
-    q = quality(pr.cells_of(out), "resid", "pred").select("n", "rmse")
-    return q.withColumns({"reach": F.lit(float(reach)), "sill": F.lit(float(sill)), "nugget": F.lit(float(nugget)), "misfit": F.lit(float(err))})
+MAX_LAG, N_LAGS = 3.0, 6
+SCALES = (2.0, 1.0, 1.0)  # levels, y, x
+FIXED = vg.Spherical(6.0, 2.0, 0.5)
+
+_PAIRS = more("g", "p") + f"""d AS (SELECT sqrt(((a.level-b.level)/2.0)**2 + (a.y-b.y)**2 + (a.x-b.x)**2) AS h, (a.resid - b.resid)**2 / 2 AS s
+  FROM p a JOIN p b ON (a.level, a.loc) < (b.level, b.loc) AND abs(a.level - b.level) <= 6 AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3)"""
+
+
+@query("r05_semivariogram", _PAIRS + f"""SELECT greatest(ceil(h / {MAX_LAG / N_LAGS}) - 1, 0)::BIGINT AS lag, count(*) AS n, round(avg(h), 6) AS distance, round(avg(s) / 1e6, 4) AS gamma
+FROM d WHERE h <= {MAX_LAG} GROUP BY 1""")
+def r05_semivariogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Semivariance of the residual field over all pairs of cells within three units; two levels are one."""
+    lags = vg.semivariogram(residual_field(spark, sf), "resid", MAX_LAG, N_LAGS, SCALES)
+    return lags.select("lag", "n", F.round("distance", 6).alias("distance"), F.round(F.col("gamma") / 1e6, 4).alias("gamma"))
 
 
-def spherical(r, ls=1.0, var=1.0, m=np):
-    t = np.minimum(r / ls, 1.0)
-    return var * (1.0 - 1.5 * t + 0.5 * t**3)
+def _gamma_sql(a: str, b: str) -> str:
+    h = f"sqrt((({a}.level-{b}.level)/2.0)**2 + ({a}.y-{b}.y)**2 + ({a}.x-{b}.x)**2)"
+    t = f"least({h}/{FIXED.reach}, 1.0)"
+    return f"CASE WHEN {h} > 0 THEN {FIXED.nugget} + {FIXED.sill}*(1.5*{t} - 0.5*{t}**3) ELSE 0 END"
 
 
-class _SphericalFit:
-    """Relative squared misfit of a spherical variogram (log range, sill and nugget)."""
+@query("r05_two_sensors", more("g", "p", "sens") + f"""s AS (SELECT rank, sens.loc, sens.y, sens.x, rank * 3 AS level, coalesce(p.resid, 0) AS v
+  FROM sens LEFT JOIN p ON p.loc = sens.loc AND p.level = rank * 3 WHERE rank < 2),
+w AS (SELECT c.level, c.loc, {_gamma_sql("c", "s1")} AS g1, {_gamma_sql("c", "s2")} AS g2, {_gamma_sql("s1", "s2")} AS g12, s1.v AS v1, s2.v AS v2
+  FROM p c, s s1, s s2 WHERE s1.rank = 0 AND s2.rank = 1),
+u AS (SELECT *, 0.5 + (g2 - g1)/(2*g12) AS w1 FROM w)
+SELECT level, loc, round(w1*v1 + (1 - w1)*v2, 4) + 0.0 AS pred, round(greatest(w1*g1 + (1 - w1)*g2 + (g1 - (1 - w1)*g12), 0), 8) AS var FROM u""")
+def r05_two_sensors(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinary Kriging in three dimensions from two cells, with a fixed spherical variogram."""
+    at = energetic_locations(spark, sf, 2).orderBy("rank").collect()
+    field = residual_field(spark, sf)
+    read = {(r["level"], r["loc"]): r["resid"] for r in field.where(F.col("loc").isin([r["loc"] for r in at])).select("level", "loc", "resid").collect()}
+    sensors = np.array([[3.0 * r["rank"], r["y"], r["x"]] for r in at])
+    readings = np.array([read.get((3 * r["rank"], r["loc"]), 0.0) for r in at])
+    out = vg.ordinary_kriging(field, "resid", sensors, readings, FIXED, SCALES)
+    return out.select("level", "loc", (F.round("pred", 4) + 0.0).alias("pred"), F.round("var", 8).alias("var"))
 
-    def __init__(self, lags, gamma):
-        self.lags, self.gamma = lags, gamma / gamma.max()
 
-    def __call__(self, theta):
-        reach, sill, nugget = np.exp(theta)
-        model = nugget + sill - spherical(self.lags, reach, sill)
-        return float(((model - self.gamma) ** 2).sum())
+@query("r05_spherical_kriging")
+def r05_spherical_kriging(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinary Kriging in three dimensions with a spherical variogram fitted to all pairs of
+    neighbouring cells, from sensors spread over the volume."""
+    field = cut_lineage(residual_field(spark, sf))
+    model, misfit = vg.fit_spherical(vg.semivariogram(field, "resid", MAX_LAG, N_LAGS, SCALES))
+    points = field.select((F.col("loc") * sl.LEVEL_SPAN + F.col("level")).alias("id"), F.array(*[
+        F.col(a).cast("double") / s for a, s in zip(vg.AXES, SCALES)]).alias("x"))
+    picks = sl.maxmin(points, 24)
+    at = [(int(i % sl.LEVEL_SPAN), int(i // sl.LEVEL_SPAN)) for i in picks.ids]
+    known = {(r["level"], r["loc"]): r["resid"] for r in field.where(F.struct("level", "loc").isin(
+        [F.struct(F.lit(a).cast("bigint").alias("level"), F.lit(b).cast("bigint").alias("loc")) for a, b in at])).collect()}
+    out = vg.ordinary_kriging(field, "resid", picks.rows * np.array(SCALES), np.array([known[a] for a in at]), model, SCALES)
+    return quality(out, "resid", "pred").select("n", "rmse").withColumns({
+        "reach": F.lit(model.reach), "sill": F.lit(model.sill), "nugget": F.lit(model.nugget), "misfit": F.lit(misfit)})
 
 
 @query("r06_deim_two_modes", _TWO + """, ph AS (SELECT loc, 1.0::DOUBLE AS f1, y/10.0::DOUBLE + x/7.0::DOUBLE AS f2 FROM (SELECT DISTINCT loc, y, x FROM g)),
@@ -239,6 +256,22 @@ def r12_kronecker_kriging(spark: SparkSession, sf: str) -> DataFrame:
     return _level_quality(pr.cells_of(out))
 
 
+@query("r12_space_time", more("g", "p", "sens") + f"""o AS (SELECT loc, y, x FROM sens WHERE rank = 0),
+a AS (SELECT coalesce(max(p.resid), 0) / (1.0 + {NOISE}) AS a FROM o LEFT JOIN p ON p.loc = o.loc AND p.level = 10),
+lv AS (SELECT unnest(range(0, max(level) + 1))::BIGINT AS level FROM g)
+SELECT lv.level, l.loc, round({_m(1.5, 'abs(lv.level - 10)::DOUBLE', '6.0')} * {_m(1.5, 'sqrt(((l.y-o.y)**2+(l.x-o.x)**2)::DOUBLE)', '3.0')} * a, 4) + 0.0 AS pred
+FROM lv, (SELECT DISTINCT loc, y, x FROM g) l, o, a""")
+def r12_space_time(spark: SparkSession, sf: str) -> DataFrame:
+    """The product of a temporal and a spatial process, levels being times, from one reading at time 10."""
+    nl = grid_shape(spark, sf).n_levels
+    prof = stored_profiles(spark, sf)
+    at = energetic_locations(spark, sf, 1).first()
+    readings = pr.readings_at(prof, np.array([at["loc"]]))[:, [10]].T
+    temporal = sl.RadialKernel(kn.matern, nu=1.5, ls=6.0)
+    out = pr.kronecker_kriging(prof, nl, np.array([10]), np.array([[at["y"], at["x"]]], float), readings, temporal, MATERN, 1.0, NOISE)
+    return pr.cells_of(out).select("level", "loc", (F.round("pred", 4) + 0.0).alias("pred"))
+
+
 def field_stack(spark: SparkSession, sf: str) -> DataFrame:
     nl = grid_shape(spark, sf).n_levels
     g = grid_field(spark, sf)
@@ -306,9 +339,8 @@ class DomainMean:
 def r17_domain_split(spark: SparkSession, sf: str) -> DataFrame:
     """Four rectangles with their own sensors and scale: per-domain placement, and shared
     sensors within a buffer of 2."""
-    from functools import partial
-
-    from fieldloom.plans.fitting import BOX_LS, BOX_VAR_SLICES, _planar_objective
+    from fieldloom.operators import likelihood as lk
+    from fieldloom.plans.fitting import BOX_LS, BOX_VAR_SLICES, COREGIONAL
     from fieldloom.sources.profiles import list_column, map_blocks, scalar
 
     shape = grid_shape(spark, sf)
@@ -319,9 +351,9 @@ def r17_domain_split(spark: SparkSession, sf: str) -> DataFrame:
     points = prof.select("domain_id", F.col("loc").alias("id"), F.array(F.col("y").cast("double"), F.col("x").cast("double")).alias("x"))
     kernels = {}
     for d in sizes:
-        s = rs.sample_without_replacement(prof.where(F.col("domain_id") == d), "loc", 80, 42).toPandas()
+        s = rs.sample_without_replacement(prof.where(F.col("domain_id") == d), "loc", COREGIONAL, 42).toPandas()
         xy, y = s[["y", "x"]].to_numpy(float), np.stack(s["vec"].to_numpy()) / s["sd"].to_numpy()[:, None]
-        theta, _, _ = dc.fit_by_zoom(spark, partial(_planar_objective, xy=xy, y=y, noise=NOISE), [BOX_LS, BOX_VAR_SLICES], 4, 2)
+        theta = lk.fit(spark, lk.Isotropic(xy, y, 1.5, NOISE), [BOX_LS, BOX_VAR_SLICES], 2).theta
         kernels[d] = sl.RadialKernel(kn.matern, nu=1.5, ls=float(np.exp(theta[0])), var=float(np.exp(theta[1])))
     shared = sl.gks(points.drop("domain_id"), MATERN, total, 8, "greedy")
     boxes = {b[0]: b[1:] for b in rs.domain_boxes(shape.ny, NX, 2, 2)}

@@ -171,9 +171,9 @@ def e02_coregional_sweep(spark: SparkSession, sf: str) -> DataFrame:
     joined = cut_lineage(stack.join(out, "loc"))
     rows = None
     for f in fields:
-        cells = joined.select("loc", f"sd_{f}", F.posexplode(F.arrays_zip(f"vec_{f}", f"pred_{f}")).alias("level", "c"))
+        cells = joined.select("loc", f"sd_{f}", F.posexplode(F.arrays_zip(f"vec_{f}", f"pred_{f}", "seen")).alias("level", "c"))
         sd = F.col(f"sd_{f}")
-        cells = cells.select((F.col(f"c.vec_{f}") * sd).alias("t"), (F.col(f"c.pred_{f}") * sd).alias("p"))
+        cells = cells.where("c.seen").select((F.col(f"c.vec_{f}") * sd).alias("t"), (F.col(f"c.pred_{f}") * sd).alias("p"))
         scale = 1.0 if f == "value" else 1e-3
         p = Predictor(f"COREGIONAL/{f}", k, F.col("p"), 16.0 * n + 4.0 * k, 2.0 * k * nl)
         r = sweep(cells, "t", [p], [b * scale for b in BOUNDS])
@@ -243,7 +243,7 @@ def e10_coregional_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     joined = cut_lineage(stack.join(out, "loc"))
     rows = None
     for f in FIELDS:
-        c = joined.select(f"sd_{f}", F.posexplode(F.arrays_zip(f"vec_{f}", f"pred_{f}")).alias("level", "c"))
+        c = joined.select(f"sd_{f}", F.posexplode(F.arrays_zip(f"vec_{f}", f"pred_{f}", "seen")).alias("level", "c")).where("c.seen")
         sd = F.col(f"sd_{f}")
         q = quality(c.select((F.col(f"c.vec_{f}") * sd).alias("t"), (F.col(f"c.pred_{f}") * sd).alias("p")), "t", "p")
         q = q.select(F.lit(f).alias("field"), "n", "rmse", "mae", "max_err", "range", "psnr")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import kernels as kn
+from fieldloom.operators import checkpoint as cp
 from fieldloom.operators import decompose as dc
 from fieldloom.operators import kernelproduct as kp
 from fieldloom.operators import reshape as rs
@@ -18,7 +21,7 @@ from fieldloom.plans.fitting import location_points, stored_profiles
 from fieldloom.plans.kernels import _m
 from fieldloom.plans.quantise import _TOPK, level_sensors
 from fieldloom.plans.registry import ctes, more, query
-from fieldloom.session import cut_lineage, sized_broadcast
+from fieldloom.session import _ensure_checkpoint_dir, cut_lineage, sized_broadcast
 from fieldloom.sources.grid import FIELDS, grid_field, grid_shape, residual_field
 
 MATERN = sl.RadialKernel(kn.matern, nu=2.5, ls=3.0)
@@ -105,6 +108,18 @@ def n06_random_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_id(picks, spark)
 
 
+@query("e06_extended_factor", more("g") + _pivot_sql(_LOCS, lambda a, b: _m(2.5, _DIST, "3.0"), "1.0::DOUBLE", 6))
+def e06_extended_factor(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensors of a stored factor of three that was extended to six, read back from the store."""
+    _ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/factors/{uuid.uuid4().hex}"
+    points = _points(spark, sf)
+    for k in (3, 6):
+        cp.factor_at(spark, path, points, MATERN, 1e-3, k)
+    factor = cp.load(spark, path)
+    return _rank_id(sl.Picks(factor.ids, factor.coords, factor.scores), spark)
+
+
 @query("n08_greedy_pivots", more("g") + _pivot_sql(_LOCS, lambda a, b: _m(2.5, _DIST, "3.0"), "1.0::DOUBLE", 4))
 def n08_greedy_pivots(spark: SparkSession, sf: str) -> DataFrame:
     return _rank_id(sl.greedy_select(_points(spark, sf), sl.CholeskyScore(MATERN), 4), spark)
