@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct pre-tokens.
 
 Documents are split into pre-tokens and coded per chunk; distinct pre-tokens of all chunks meet
-in one shuffle ordered by content, where each is encoded once; the ids return to their chunks
-and are laid out by position.  Decoding looks ids up in the token-byte table, which is as large
+in one shuffle ordered by content, where each is encoded once by ranked merges over arrays of words
+(``bpe_merge``); the ids return to their chunks and are laid out by position.  Decoding looks ids up in the token-byte table, which is as large
 as the vocabulary file (a fixed size), so that table and the ranks travel as broadcasts.
 
 Null or empty texts give no ids and decode to no bytes.  Rows keep their ids, null and repeated
@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.dictionary import chunks, pack_codes, token_rows, unpack_codes
+from fieldloom.llm.bpe_merge import encoded, merges_of
+from fieldloom.llm.dictionary import CHUNK_BYTES, chunks, pack_codes, token_rows, unpack_codes
 from fieldloom.llm.shared import Batches
 from fieldloom.llm.text import Block, gather_spans
 
@@ -107,32 +108,31 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.frombuffer(b"".join(by_id), np.uint8)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers.
 
     With ``decoded`` also what ``decode`` makes of the ids, in the same tasks.
     """
     spark = docs.sparkSession
     loaded = load_ranks(path)
-    ranks = spark.sparkContext.broadcast(loaded)
+    merges = spark.sparkContext.broadcast(merges_of(loaded))
     table = spark.sparkContext.broadcast(token_bytes(loaded)) if decoded else None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunked = chunks(rows, pretokens)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(12, -(-size // (2 * CHUNK_BYTES)))  # a task of the last step holds a few chunks
 
     def encode_distinct(batches: Batches) -> Batches:
-        import tiktoken
-
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        last, ids = None, np.zeros(0, "<u4")
+        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, "<u4"))
         for batch in batches:
-            lengths, parts = np.empty(batch.num_rows, np.int64), []
-            for i, token in enumerate(batch.column("token").to_pylist()):
-                if token != last:
-                    last, ids = token, np.array(coder._encode_single_piece(token), "<u4")
-                lengths[i] = ids.size
-                parts.append(ids)
-            flat = np.concatenate(parts)
+            tokens = batch.column("token").to_pylist()
+            new = [t for k, t in enumerate(tokens) if t != (tokens[k - 1] if k else last[0])]  # equal tokens are neighbours
+            known = dict(zip(new, encoded(merges.value, new)))
+            known.setdefault(*last)
+            parts = [known[t] for t in tokens]
+            last = (tokens[-1], parts[-1]) if tokens else last
+            lengths = np.array([p.size for p in parts], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *parts]).astype("<u4")
             chunk = batch.column("chunk").to_numpy()
             code = batch.column("code").to_numpy().astype(np.int64)
             order = np.argsort(chunk, kind="stable")
@@ -171,8 +171,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             out["decoded"] = pa.array([_decoded(x, *table.value) for x in lists], pa.binary())
         return pa.table(out)
 
-    left = chunked.select("chunk", "rows", "counts", "codes").groupBy("chunk")
-    return left.cogroup(coded.groupBy("chunk")).applyInArrow(
+    left = chunked.select("chunk", "rows", "counts", "codes").repartition(parts, "chunk").groupBy("chunk")
+    return left.cogroup(coded.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
         lay_out, "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 

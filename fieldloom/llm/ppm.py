@@ -373,9 +373,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pa.table({"doc_id": left["rows"][0].values.cast(pa.int64()), "n": pa.array(counts), "known": pa.array(known.astype(np.int64)),
                          "logs": pa.array(logs), "score": pa.array(np.concatenate(scores))})
 
-    left = chunked.select("chunk", "rows", "counts", "codes", "tokens").groupBy("chunk")
+    parts = max(12, chunked.count())  # a task of the last step holds a chunk or a few
+    left = chunked.select("chunk", "rows", "counts", "codes", "tokens").repartition(parts, "chunk").groupBy("chunk")
     right = coded.select("chunk", "code", "c").unionByName(priced, allowMissingColumns=True)
-    out = left.cogroup(right.groupBy("chunk")).applyInArrow(sums, "doc_id long, n long, known long, logs double, score double")
+    out = left.cogroup(right.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(sums, "doc_id long, n long, known long, logs double, score double")
     tokens = F.col("n") + 1
     scale = float(np.log10(n_train + 0.1 * (kinds + 1)))
     return out.select(

@@ -19,7 +19,10 @@ task, which
 Equal texts take part once, under their smallest id; the other copies are removed from
 ``WINDOW`` bytes on.  Within a block equal contexts leave the row of the smallest document, so a
 string that all documents share costs a row per block.  A task holds the rows of one gram at a
-time beside a bounded batch.
+time beside a bounded batch; a gram that a sixteenth of the documents shows to have more than ``HOT``
+different contexts (a phrase with varied surroundings) is not gathered: its windows, by 128-bit
+digests, are reduced to the smallest document before any shuffle.  Which grams these are changes
+how the work is dealt out, never the result.
 
 Null or empty texts have no bytes.  A null id counts as larger than every id; rows with one id
 never remove each other's bytes.  Every input row gives one result row.  An empty table gives an
@@ -46,6 +49,8 @@ BLOCK = 1 << 20  # bytes of text that a task looks at together, more only for on
 PIECE = 4 << 20  # windows of one pass over a long text
 ROWS = 1 << 15  # rows that a task sorts together, more only for one gram
 BYTES_PER_ANCHOR = 15  # of text, about; sets the size of the sketch
+HOT = 1 << 17  # contexts of one gram that may meet in one task
+PROBED = 16  # one of so many documents tells which grams are hot
 LAST_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -87,9 +92,43 @@ def _repeated_grams(texts: DataFrame, counters: int):
     return sketch.merged(arrow_map(texts.select("text"), count, sketch.CELLS), counters)
 
 
-def _context_rows(texts: DataFrame, maps) -> DataFrame:
+def _led_contexts(block: Block, maps, doc: np.ndarray):
+    """(first, last, place, gram, text, gone): anchors estimated repeated; ``gone`` where an equal context of
+    the block has a smaller document."""
+    first, last, place, gram = _anchors(block)
+    hit = sketch.maybe_twice(maps.value, gram)
+    first, last, place, gram = first[hit], last[hit], place[hit], gram[hit]
+    text = np.searchsorted(block.bounds, first, side="right") - 1
+    inside = block.hashes(first, last + WINDOW, 1)
+    order = np.lexsort((doc[text], inside, gram))
+    new = np.append(True, (gram[order][1:] != gram[order][:-1]) | (inside[order][1:] != inside[order][:-1]))[: order.size]
+    lead = doc[text[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if order.size else order
+    gone = np.zeros(order.size, bool)
+    gone[order] = doc[text[order]] > lead
+    return first, last, place, gram, text, gone
+
+
+def _hot_grams(texts: DataFrame, maps, hot: int) -> np.ndarray:
+    """Ascending grams with more than about ``hot`` contexts, from one of ``PROBED`` documents."""
+
+    def count(batch):
+        at = 0
+        for block in blocks(batch.column("text"), size=BLOCK):
+            doc = batch.column("doc").slice(at, block.n).to_numpy()
+            at += block.n
+            *_, gram, _, gone = _led_contexts(block, maps, doc)
+            u, n = np.unique(gram[~gone], return_counts=True)
+            yield {"gram": signed(u), "n": n}
+
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(PROBED)) == 0).select("doc", "text")
+    counts = arrow_map(some, count, {"gram": "long", "n": "long"}).groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * PROBED > hot).select("gram").toArrow()  # at most a row for each ``hot`` contexts
+    return np.sort(found.column("gram").to_numpy().view(np.uint64))
+
+
+def _context_rows(texts: DataFrame, maps, hot: np.ndarray) -> DataFrame:
     """(gram, doc, digest, start, left, context); rows without a context carry byte runs already
-    known to be removed, in ``runs``."""
+    known to be removed, in ``runs``, or one window of a hot gram, under its digest (gram, other)."""
 
     def probe(batch):
         at = 0
@@ -97,33 +136,57 @@ def _context_rows(texts: DataFrame, maps) -> DataFrame:
             doc = batch.column("doc").slice(at, block.n).to_numpy()
             digest = batch.column("digest").slice(at, block.n).to_numpy()
             at += block.n
-            first, last, place, gram = _anchors(block)
-            hit = sketch.maybe_twice(maps.value, gram)
-            first, last, place, gram = first[hit], last[hit], place[hit], gram[hit]
-            text = np.searchsorted(block.bounds, first, side="right") - 1
-            inside = block.hashes(first, last + WINDOW, 1)
-            order = np.lexsort((doc[text], inside, gram))
-            new = np.append(True, (gram[order][1:] != gram[order][:-1]) | (inside[order][1:] != inside[order][:-1]))[: order.size]
-            lead = doc[text[order]][np.flatnonzero(new)][np.cumsum(new) - 1] if order.size else order
-            gone = np.zeros(order.size, bool)
-            gone[order] = doc[text[order]] > lead
-            stay = ~gone
+            first, last, place, gram, text, gone = _led_contexts(block, maps, doc)
             start = first - block.bounds[text]
             held, runs = _packed_runs(text[gone], start[gone], (start + last - first + WINDOW)[gone])
+            spread = np.isin(gram, hot) & ~gone
+            stay = ~gone & ~spread
             lengths, data = gather_spans(block.data, first[stay], last[stay] + WINDOW)
             n, m = int(stay.sum()), held.size
+            none = np.zeros(m, np.int64)
             yield {"gram": signed(np.concatenate([gram[stay], mix(digest[held].view(np.uint64))])),
+                   "other": pa.nulls(n + m, pa.int64()),
                    "doc": np.concatenate([doc[text[stay]], doc[held]]),
                    "digest": np.concatenate([digest[text[stay]], digest[held]]),
-                   "start": np.append(start[stay], np.zeros(m, np.int64)).astype(np.int32),
-                   "left": np.append((place - first)[stay], np.zeros(m, np.int64)).astype(np.int32),
+                   "start": np.append(start[stay], none).astype(np.int32),
+                   "left": np.append((place - first)[stay], none).astype(np.int32),
                    "context": pa.concat_arrays([binary_array(lengths, data), pa.nulls(m, pa.binary())]),
                    "runs": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())])}
+            if spread.any():
+                yield _windows(block, first[spread], last[spread], doc, digest)
 
-    return arrow_map(texts, probe, {"gram": "long", "doc": "long", "digest": "long", "start": "int", "left": "int",
+    return arrow_map(texts, probe, {"gram": "long", "other": "long", "doc": "long", "digest": "long", "start": "int", "left": "int",
                                     "context": "binary", "runs": "binary"})
 
 
+def _windows(block: Block, first: np.ndarray, last: np.ndarray, doc: np.ndarray, digest: np.ndarray) -> dict:
+    """One row per window of the given anchors; windows of one block that are equal leave all their rows."""
+    count = last - first + 1
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    at = np.unique(at)
+    text = np.searchsorted(block.bounds, at, side="right") - 1
+    n = at.size
+    return {"gram": signed(block.hashes(at, at + WINDOW)), "other": signed(block.hashes(at, at + WINDOW, 1)), "doc": doc[text],
+            "digest": digest[text], "start": (at - block.bounds[text]).astype(np.int32), "left": np.zeros(n, np.int32),
+            "context": pa.nulls(n, pa.binary()), "runs": pa.nulls(n, pa.binary())}
+
+
+def _hot_runs(windows: DataFrame) -> DataFrame:
+    """(digest, runs) of windows (gram, other) that a smaller document has too."""
+    least = windows.groupBy("gram", "other").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    gone = windows.join(least.select("gram", "other", "low"), ["gram", "other"]).where("doc > low")
+    lists = gone.groupBy("digest", F.expr("start DIV 65536").alias("part")).agg(F.collect_set("start").alias("starts"))
+
+    def pack(batch):
+        out = []
+        for starts in batch.column("starts"):
+            a = np.sort(starts.values.to_numpy()).astype(np.int64)
+            out += _packed_runs(np.zeros(a.size, np.int64), a, a + WINDOW)[1]
+        yield {"digest": batch.column("digest"), "runs": pa.array(out, pa.binary())}
+
+    return arrow_map(lists, pack, {"digest": "long", "runs": "binary"})
+
+
 def _packed_runs(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Per distinct key the union of its byte runs, as (start, end) pairs of 32-bit integers."""
     if key.size == 0:
@@ -200,6 +263,53 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, lcp
 
 
+def _multikey(group: np.ndarray, lengths: np.ndarray, starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): strings of ascending groups ordered by their first ``SHALLOW`` bytes.
+
+    Multikey quicksort with all ranges partitioned at once: a step compares one byte of every string of
+    every open range with its range's pivot and deals the range into less, equal and greater; the
+    equal part goes on at the next byte, the others at the same.  An end counts as -1.
+    ``shared`` is the number of bytes in common with the string before in its group, and
+    ``SHALLOW`` + 1 where all compared bytes and the ends agree.
+    """
+    n = group.size
+    order = np.arange(n)
+    shared = np.zeros(n, np.int64)
+    new = np.append(True, group[1:] != group[:-1])[:n]  # borders of final ranges
+    where = np.arange(n)  # places of open ranges, side by side
+    rank = np.cumsum(new) - 1  # open range of every place in ``where``
+    depth = np.zeros(rank[-1] + 1 if n else 0, np.int64)
+    while where.size:
+        at = order[where]
+        d = depth[rank]
+        byte = np.where(d < lengths[at], data[starts[at] + np.minimum(d, SHALLOW - 1)].astype(np.int16), -1)
+        begin = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+        size = np.diff(np.append(begin, where.size))
+        pivot = byte[begin + size // 2][rank]
+        side = np.sign(byte - pivot).astype(np.int64)
+        by = np.argsort(rank * 3 + side + 1, kind="stable")
+        order[where] = at[by]
+        byte, side, key = byte[by], side[by], (rank * 3 + side + 1)[by]
+        first = np.append(True, key[1:] != key[:-1])
+        part = np.cumsum(first) - 1
+        head = np.flatnonzero(first)
+        count = np.diff(np.append(head, where.size))
+        into = depth[rank[head]]
+        inner = head[~np.append(True, rank[head][1:] != rank[head][:-1])]  # not the first part of their range
+        shared[where[inner]] = depth[rank[inner]]
+        equal = side[head] == 0
+        ended = equal & ((byte[head] < 0) | (into + 1 >= SHALLOW))
+        rest = np.repeat(ended & (count > 1), count)
+        rest[head] = False
+        shared[where[rest]] = SHALLOW + 1
+        go = ~ended & (count > 1)
+        stay = np.repeat(go, count)
+        depth = (into + equal)[go]
+        rank = (np.cumsum(go) - 1)[part[stay]]
+        where = where[stay]
+    return order, shared
+
+
 def sort_suffixes(group: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of strings, ordered within ascending groups, by a shallow and a deep sort.
 
@@ -208,20 +318,11 @@ def sort_suffixes(group: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> t
     n = group.size
     starts = np.cumsum(lengths) - lengths
     padded = np.concatenate([data, np.zeros(SHALLOW, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(SHALLOW):
-        byte = np.where(k < lengths, padded[starts + k], 0).astype(np.uint64)
-        key = (key << np.uint64(8)) | byte
-    short = np.minimum(lengths, SHALLOW)  # an end sorts before a zero byte
-    order = np.lexsort((short, key, group))
-    g, k, s = group[order], key[order], short[order]
+    order, shared = _multikey(group, lengths, starts, padded)
+    g, s = group[order], np.minimum(lengths[order], SHALLOW)
     tie = np.zeros(n, bool)
-    tie[1:] = (g[1:] == g[:-1]) & (k[1:] == k[:-1]) & (s[1:] == s[:-1])
-    lcp = np.zeros(n, np.int64)
-    if n > 1:
-        differ = k[1:] ^ k[:-1]
-        top = sum((differ >> np.uint64(56 - 8 * k) == 0).astype(np.int64) for k in range(SHALLOW))
-        lcp[1:] = np.where(g[1:] == g[:-1], np.minimum(top, np.minimum(s[1:], s[:-1])), 0)
+    tie[1:] = (g[1:] == g[:-1]) & (shared[1:] > np.maximum(s[1:], s[:-1]))
+    lcp = np.where(tie, s, shared)
     head = np.flatnonzero(~tie & np.append(tie[1:], False))
     stop = np.flatnonzero(tie & ~np.append(tie[1:], False)) + 1
     raw = data.tobytes()
@@ -323,12 +424,19 @@ def _sorted_groups(batches: Batches) -> Batches:
         yield from flush(pa.Table.from_batches(held))
 
 
-def repeated_bytes(rows: DataFrame) -> DataFrame:
+def repeated_bytes(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(digest, runs): byte runs to remove of every text; ``rows`` are (doc, digest, text), texts once."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     maps = _repeated_grams(rows, sketch.counters_for(size / BYTES_PER_ANCHOR))
-    found = _context_rows(rows.select("doc", "digest", "text"), maps).repartition("gram").sortWithinPartitions("gram")
-    parts = found.mapInArrow(_sorted_groups, "digest long, runs binary")
+    grams = _hot_grams(rows, maps, hot)
+    found = _context_rows(rows.select("doc", "digest", "text"), maps, grams)
+    if grams.size:
+        found = stored(found)
+    columns = ["gram", "doc", "digest", "start", "left", "context", "runs"]
+    cold = found.where("other IS NULL").select(*columns) if grams.size else found.select(*columns)
+    parts = cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups, "digest long, runs binary")
+    if grams.size:
+        parts = parts.unionByName(_hot_runs(found.where("other IS NOT NULL").select("gram", "other", "doc", "digest", "start")))
     lists = parts.groupBy("digest").agg(F.collect_list("runs").alias("runs"))
 
     def union(batch):
@@ -341,14 +449,14 @@ def repeated_bytes(rows: DataFrame) -> DataFrame:
     return arrow_map(lists, union, {"digest": "long", "runs": "binary"})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` are the remaining bytes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("digest", F.xxhash64("text"))
     copies = stored(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc").alias("keeper")).where("n > 1"))
     copies = sized_broadcast(copies.select("digest", "keeper"), copies.count(), 32)
     rows = rows.join(copies, "digest", "left").withColumn("copied", F.coalesce(F.col("doc") > F.col("keeper"), F.lit(False)))
-    runs = stored(repeated_bytes(rows.where("NOT copied")))
+    runs = stored(repeated_bytes(rows.where("NOT copied"), hot))
     size = runs.agg(F.sum(F.length("runs") + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         runs = F.broadcast(runs)

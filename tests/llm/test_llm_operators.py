@@ -90,13 +90,66 @@ def test_blind_trie_order():
             assert lcp[k] == same
 
 
+def test_shallow_and_deep_sort():
+    """Groups of strings with long common prefixes, ends at every depth and zero bytes, against plain sorting."""
+    import numpy as np
+
+    own = random.Random(4)
+    for _ in range(200):
+        groups = [[bytes(own.choice([0, 97, 98]) for _ in range(own.choice([0, 1, 7, 8, 9, 14]))) for _ in range(own.randint(1, 9))]
+                  for _ in range(own.randint(1, 6))]
+        groups[0] += [b"same prefix here" + bytes([own.randrange(3)]) * own.randint(0, 3) for _ in range(6)]
+        flat = [s for g in groups for s in g]
+        which = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        order, lcp = suffix_dedup.sort_suffixes(which, np.array([len(s) for s in flat]), np.frombuffer(b"".join(flat), np.uint8))
+        assert [(which[i], flat[i]) for i in order] == [(k, s) for k, g in enumerate(groups) for s in sorted(g)]
+        for k in range(1, len(flat)):
+            a, b = flat[order[k - 1]], flat[order[k]]
+            if which[order[k - 1]] == which[order[k]]:
+                assert lcp[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+def test_suffix_dedup_of_hot_grams(make):
+    """A phrase in all texts with varied surroundings, some of which repeat: by windows, without gathering it."""
+    own = random.Random(6)
+    word = lambda n: "".join(own.choice("abcdefgh") for _ in range(n))
+    phrase = "this phrase stands in every text "
+    around = [word(40) for _ in range(15)]
+    rows = [(k, f"{own.choice(around)} {phrase}{own.choice(around)} {word(10)} {phrase} {phrase}{word(60)}") for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)] + [(None, rows[3][1] + "x"), (5, word(30) + rows[7][1])]
+    rows = [(i, t) for i, t in rows if i is not None or t]
+    plain = {i: t for i, t in rows if i not in (5, None)}
+    want = brute.kept_bytes(list(plain.items()))
+    for hot in (4, suffix_dedup.HOT):
+        cut = suffix_dedup.remove_repeats(make(list(plain.items())), hot=hot)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut.collect()}
+        assert got == want
+    odd = [sorted(((r.doc_id or -1, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(make(rows), hot=h).collect()))
+           for h in (4, suffix_dedup.HOT)]
+    assert odd[0] == odd[1] and len(odd[0]) == len(rows)
+
+
+def test_merges_equal_the_library():
+    from fieldloom.llm.bpe_merge import encoded, merges_of
+
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzéß 中\n\t!?0123"
+    words = ["".join(own.choice(letters) for _ in range(own.randint(1, 14))).encode() for _ in range(20_000)]
+    words += [b"a" * k for k in range(1, 700, 7)] + [bytes(own.randrange(256) for _ in range(own.randint(1, 400))) for _ in range(200)]
+    words += [b"", " ".join(VOCAB).encode()]
+    got = encoded(merges_of(ranks), words)
+    assert [g.tolist() for g in got] == [coder._encode_single_piece(w) if w else [] for w in words]
+
+
 def test_byte_bpe(make):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = byte_bpe.load_ranks(path)
     coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     letters = "'’ab strevldm  \n\t\r\x0b\x1c\x85 éß中0९½!?#_-​\U0001F600́S"
     rows = ROWS + [(1000 + k, "".join(rng.choice(letters) for _ in range(40))) for k in range(200)] + [(None, "null id")]
-    coded = byte_bpe.encode(make(rows), path, public_tokenizers.PATTERN)
+    coded = byte_bpe.encode(make(rows), path)
     for doc_id, ids, decoded in byte_bpe.decode(coded, path).collect():
         text = dict(rows)[doc_id] or ""
         want = coder.encode_ordinary(text)
@@ -369,13 +422,38 @@ def test_sharding(make):
 
 
 def test_licences(spark, make):
-    mit = licences.KNOWN["MIT"][2]
+    mit, bsd = licences.KNOWN["MIT"][2], licences.KNOWN["BSD-3-Clause"][0]
+    wrapped = mit.replace(", ", ",\n")
     rows = [(1, f"Copyright (c) 2001 A. Nobody\n{mit.lower()}"), (2, f"{prose(9)}\nReleased under the mit licence\n{prose(9)}"),
             (3, "Licenced under the Apache License - Version 2.0"), (4, None), (5, ""), (6, "Copyright 2000"), (None, mit),
-            (7, prose(80)), (2, "Released under the MIT License."), (8, mit + " and more")]
+            (7, prose(80)), (2, "Released under the MIT License."), (8, mit + " and more"),
+            (9, f"The MIT License (MIT)\n\nCopyright (c) 1999 B\n\n{wrapped}\n"), (10, f"# {prose(12)}\n{prose(30)}\n{wrapped}\n{bsd}\n{prose(9)}"),
+            (11, "MIT License"), (12, f"ISC License\n\n© 2020 C\n{licences.KNOWN['ISC'][0]}"), (13, f"{mit}\n{mit}\n{prose(5)}"),
+            (14, "Permission is hereby granted, free of\nnothing"), (15, f"x {mit}")]
     got = licences.scan(make(rows), licences.known_licences(spark)).collect()
     assert {(r.doc_id, r.license_id, r.whole_text) for r in got} == {
-        (1, "MIT", True), (2, "MIT", True), (3, "Apache-2.0", True), (None, "MIT", True)}
+        (1, "MIT", True), (2, "MIT", True), (3, "Apache-2.0", True), (None, "MIT", True), (9, "MIT", True), (10, "MIT", False),
+        (10, "BSD-3-Clause", False), (12, "ISC", True), (13, "MIT", False)}
+    assert all(r.n_units == 1 for r in got)
+
+
+def test_licences_of_a_folder(spark, make, tmp_path):
+    """Full texts read from files, one of them long, found whole, wrapped otherwise, and inside a larger text."""
+    long = "\n".join(f"{k}. {prose(40)}" for k in range(300))
+    (tmp_path / "Long-1.0.txt").write_text(f"Long License\nCopyright 1990 Some Body\n\n{long}\n")
+    (tmp_path / "Short").write_text("Do what you like with it.\n")
+    known = licences.read_licences(spark, str(tmp_path))
+    assert {r.license_id for r in known.collect()} == {"Long-1.0", "Short"}
+    again = " ".join(long.split()).replace(". ", ".\n")
+    rows = [(1, f"Long License\n{again}"), (2, f"{prose(500)}\nlong LICENSE\n{long}\n{prose(9)}"), (3, long[:-40]), (4, "do what you like\nwith it")]
+    got = {(r.doc_id, r.license_id, r.whole_text) for r in licences.scan(make(rows), known).collect()}
+    assert got == {(1, "Long-1.0", True), (2, "Long-1.0", False), (4, "Short", True)}
+
+
+def test_licences_in_a_very_long_text(spark, make):
+    rows = [(1, "\n".join([*(prose(12) for _ in range(40_000)), licences.KNOWN["Zlib"][0], prose(5)]))]
+    got = licences.scan(make(rows, clash=False), licences.known_licences(spark)).collect()
+    assert [(r.doc_id, r.license_id, r.n_units, r.whole_text) for r in got] == [(1, "Zlib", 1, False)]
 
 
 def test_empty_tables(spark, empty):
@@ -384,7 +462,7 @@ def test_empty_tables(spark, empty):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     results = [
         ngram_join.jaccard_components(empty), substring_dedup.remove_repeats(empty), suffix_dedup.remove_repeats(empty),
-        byte_bpe.encode(empty, path, public_tokenizers.PATTERN), ppm.score(empty), sanitise.find_personal_data(empty),
+        byte_bpe.encode(empty, path), ppm.score(empty), sanitise.find_personal_data(empty),
         sanitise.sanitise(empty), quality_rules.apply_rules(empty), quality_rules.clean(empty), sharding.place(empty),
         licences.scan(empty, licences.known_licences(spark)), decontaminate.find_leaks(empty, full),
         decontaminate.find_leaks(empty, bench),
@@ -409,7 +487,7 @@ def test_very_long_text(spark, make):
     assert spans[2].n_removed == 0 and spans[4].n_bytes - spans[4].n_removed == 4
     assert spans[3].n_removed == spans[3].n_bytes == len(part.encode())
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(df, path, public_tokenizers.PATTERN, decoded=True)
+    coded = byte_bpe.encode(df, path, decoded=True)
     assert {r.doc_id: bytes(r.decoded).decode() for r in coded.where("doc_id IN (2, 3)").collect()} == {2: long, 3: part}
     scores = {r.doc_id: r for r in ppm.score(df, held_out="doc_id = 4").collect()}
     assert scores[2].n_tokens == n + 1 and scores[4].n_known == n + 1
