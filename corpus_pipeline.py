@@ -64,7 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256); ids as little-endian unsigned 32-bit
     integers."""
-    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, decoded=True)
+    coded = byte_bpe.encode(docs, public_tokenizers.path(VOCABULARY), decoded=True)
     return coded.select("doc_id", F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), "ids",
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
