@@ -278,3 +278,57 @@ SELECT a.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT bla
        coalesce(best.a, '') audit, sha256(coalesce(best.t[2 :], '')) repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a
 LEFT JOIN told ON told.conv IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv IS NOT DISTINCT FROM a.conv_id"""
+
+
+_INK = r"[^ \t\n\x0B\f\r]+"
+
+# All windows of every text, counted by their words.
+ORACLES["op8_substring_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_INK}') w FROM documents),
+pos AS (SELECT r, unnest(range(1, len(w) + 1)) i FROM d),
+win AS (SELECT r, i, md5(array_to_string(w[i : i + {substring_dedup.WIDTH - 1}], ' ')) k FROM pos JOIN d USING (r) WHERE i + {substring_dedup.WIDTH - 1} <= len(w)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (
+  SELECT pos.r, pos.i, max(CASE WHEN rep.i IS NULL THEN 0 ELSE 1 END) OVER (
+    PARTITION BY pos.r ORDER BY pos.i ROWS BETWEEN {substring_dedup.WIDTH - 1} PRECEDING AND CURRENT ROW) gone
+  FROM pos LEFT JOIN rep ON rep.r = pos.r AND rep.i = pos.i),
+kept AS (SELECT r, list(i ORDER BY i) FILTER (gone = 0) l, sum(gone) g FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(g, 0)::BIGINT n_removed,
+       sha256(coalesce(array_to_string(list_transform(l, lambda i: w[i]), ' '), '')) kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+# All byte strings of every text, as pairs of hexadecimal digits, with the smallest document of each;
+# what they cover as runs, and the rest as the pieces between.
+ORACLES["op6_suffix_array_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n FROM documents),
+win AS (
+  SELECT r, doc_id, i, md5(substr(h, 2 * i + 1, {2 * suffix_dedup.WINDOW})) k
+  FROM (SELECT r, doc_id, h, unnest(range(0, n - {suffix_dedup.WINDOW - 1})) i FROM d WHERE n >= {suffix_dedup.WINDOW})),
+least AS (SELECT k, min(doc_id) low FROM win GROUP BY k HAVING count(*) > 1),
+rep AS (SELECT r, i FROM win JOIN least USING (k) WHERE low < doc_id),
+cut AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {suffix_dedup.WINDOW} THEN 0 ELSE 1 END first FROM rep),
+runs AS (
+  SELECT r, min(i) a, max(i) + {suffix_dedup.WINDOW} b FROM (SELECT *, sum(first) OVER (PARTITION BY r ORDER BY i) g FROM cut) GROUP BY r, g),
+pieces AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) done FROM runs),
+kept AS (
+  SELECT r, sum(b - a) g, count(*) f, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) k, max(b) e
+  FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT n_bytes, coalesce(g, 0)::BIGINT n_removed, coalesce(f, 0)::BIGINT n_spans,
+       sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(e, 0) + 1))) kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+# All pairs of documents that share a shingle, exact set sizes, and reachability over links.
+ORACLES["op10_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_INK}') w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {ngram_join.WIDTH - 1}], ' ') s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {ngram_join.WIDTH - 2}))) i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {ngram_join.PERCENT} * (p.n + q.n - c)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x, y FROM edge UNION SELECT reach.x, edge.y FROM reach JOIN edge ON edge.x = reach.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) m FROM reach GROUP BY x) r ON r.x = d.doc_id"""
