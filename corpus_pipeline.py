@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 last return the columns of ``documents``.  ``run`` writes every stage as Parquet below the shared
 checkpoint folder and rereads it, so a lost executor never costs an earlier stage.
 
-Repeated ids: the near-duplicate stage keeps one row of each id, and of each group of linked
-documents the one with the smallest id.  Rows with a null id link with nothing and are kept there.
+Of each group of linked documents the one with the smallest id stays.  Rows are judged one by one by
+a key: their id where it is theirs alone, else a digest of id and text above all ids.  So a row with a null
+id is a copy or a leak like any other, several clean texts under one id all stay, and only rows
+that agree in id and text count as one.
 """
 
 from __future__ import annotations
@@ -25,10 +27,29 @@ from fieldloom.sources.tables import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the given ids; rows with a null id stay."""
-    ids = stored(ids.where("doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(sized_broadcast(ids, ids.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, which depends on the row's own content and on its id alone, and ``_again`` where
+    the id is null or met more than once."""
+    own, digest = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(digest).alias("low"), F.max(digest).alias("high"))
+    odd = stored(ids.where("doc_id IS NULL OR n > 1").select(F.col("doc_id").alias("_odd"), F.expr("doc_id IS NULL OR low <> high").alias("_mixed")))
+    count = odd.count()
+    if not count:
+        return docs.withColumns({"_key": own, "_again": F.lit(False)})
+    content = F.shiftrightunsigned(F.xxhash64(F.coalesce(own, F.lit(-1)), F.coalesce("text", F.lit(""))), 3) + F.lit(1 << 61)
+    tagged = docs.join(sized_broadcast(odd, count, 24), F.col("doc_id").eqNullSafe(F.col("_odd")), "left")
+    key = F.when(F.col("_mixed"), content).otherwise(own)
+    return tagged.withColumns({"_key": key, "_again": F.col("_mixed").isNotNull()}).drop("_odd", "_mixed")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("_key").alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keyed`` without the rows of the given keys."""
+    keys = stored(keys.select(F.col("doc_id").alias("_key")).distinct())
+    return keyed.join(sized_broadcast(keys, keys.count(), 16), "_key", "left_anti")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -42,18 +63,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
-    classes = stored(ngram_join.jaccard_components(docs))
-    left = _without(docs, classes.where("component_id <> doc_id"))
-    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(left, repeated).unionByName(once)
+    keyed = _keyed(docs)
+    classes = stored(ngram_join.jaccard_components(_by_key(keyed)))
+    left = _without(keyed, classes.where("component_id <> doc_id"))
+    if not keyed.where("_again").isEmpty():
+        left = left.where("NOT _again").unionByName(left.where("_again").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
-    return _without(docs, decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.find_leaks(_by_key(keyed), table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
