@@ -65,7 +65,8 @@ def residual_bins(
     )
     coded = F.col("q")
     for i in range(width):
-        coded = coded - error_bin(F.col(f"near_{i}"), F.col("abs_bound")) * F.col(f"sign_{i}")
+        sign = F.col(f"sign_{i}")  # 0 beyond a predictor's own neighbours, which then cost nothing
+        coded = coded - F.when(sign != 0, error_bin(F.col(f"near_{i}"), F.col("abs_bound")) * sign).otherwise(F.lit(0).cast("bigint"))
     quantised = quantised.withColumn("bin", coded)
     v, r = F.col("v"), F.col("recon")
     return quantised.groupBy("method", "k", "abs_bound", "bin").agg(

@@ -314,12 +314,16 @@ def k01_result_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+FIELD_RANK = 2048  # a bound of the factor, far above the numerical rank of a field of this scale
+
+
 @query("s15_random_field")
 def s15_random_field(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaussian random field over the locations with drift: low-rank factor times normals."""
+    """Gaussian random field over the locations with drift: a factor grown until no location has
+    variance left (``missing_var`` tells), times normals."""
     points = cut_lineage(location_points(field_profiles(spark, sf)))
     scorer = sl.CholeskyScore(sl.RadialKernel(kn.rbf, ls=3.0))
-    picks = sl.random_select(points, scorer, min(64, grid_shape(spark, sf).n_locs), 0)
+    picks = sl.random_select(points, scorer, min(FIELD_RANK, grid_shape(spark, sf).n_locs), 0)
     z = np.random.default_rng(0).standard_normal(len(picks.ids))
     field = map_blocks(points, ["id", "x"], "loc bigint, draw double, missing_var double", lambda b: [
         b.column("id"), scorer.features(block(b, "x")) @ z + 0.15 * block(b, "x")[:, 1], scorer.score(block(b, "x"))

@@ -25,6 +25,7 @@ from fieldloom.session import _ensure_checkpoint_dir, cut_lineage, sized_broadca
 from fieldloom.sources.grid import FIELDS, grid_field, grid_shape, residual_field
 
 MATERN = sl.RadialKernel(kn.matern, nu=2.5, ls=3.0)
+CANDIDATES = 500  # of the oracle placement, as many as the grid has at most
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +146,7 @@ def n09_farthest_points(spark: SparkSession, sf: str) -> DataFrame:
 def n10_greedy_error(spark: SparkSession, sf: str) -> DataFrame:
     """Oracle placement over a bounded candidate sample."""
     prof = stored_profiles(spark, sf)
-    cand = rs.sample_without_replacement(prof.select("loc", "y", "x"), "loc", 60, 1).toPandas().to_numpy()
+    cand = rs.sample_without_replacement(prof.select("loc", "y", "x"), "loc", CANDIDATES, 1).toPandas().to_numpy()
     ids = sl.greedy_error(prof, 6, cand, sl.RadialKernel(kn.matern, nu=1.5, ls=2.0), 1e-2)
     return spark.createDataFrame([(i, int(v)) for i, v in enumerate(ids)], "rank bigint, loc bigint")
 
