@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -45,24 +46,75 @@ def matern_slope(r: np.ndarray, nu: float, ls: float) -> tuple[np.ndarray, np.nd
     raise ValueError(f"Matern smoothness must be 0.5, 1.5 or 2.5, got {nu}")
 
 
-def nll_and_gradient(cov: np.ndarray, slopes: Sequence[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Negative log likelihood, averaged over the columns of ``y``, and its derivatives along ``slopes``."""
-    y = y.reshape(len(cov), -1)
+def _inverse_lower(low: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangle, by halves."""
+    n = len(low)
+    if n <= 64:
+        return np.tril(np.linalg.inv(low))
+    h = n // 2
+    out = np.zeros_like(low)
+    out[:h, :h], out[h:, h:] = _inverse_lower(low[:h, :h]), _inverse_lower(low[h:, h:])
+    out[h:, :h] = -out[h:, h:] @ (low[h:, :h] @ out[:h, :h])
+    return out
+
+
+def _solve_lower(low: np.ndarray, y: np.ndarray, rows: int = 128) -> np.ndarray:
+    """``low^-1 y``, block of rows by block of rows."""
+    out = np.empty_like(y)
+    for i in range(0, len(low), rows):
+        at = slice(i, i + rows)
+        out[at] = np.linalg.solve(low[at, at], y[at] - low[at, :i] @ out[:i])
+    return out
+
+
+Slopes = Callable[[], Sequence[np.ndarray]]
+Gradient = Callable[[], np.ndarray]
+
+
+def nll_at(cov: np.ndarray, slopes: Slopes, y: np.ndarray) -> tuple[float, Gradient]:
+    """Negative log likelihood, averaged over the columns of ``y``, and what gives its derivatives along
+    ``slopes()`` from the same factorisation; a search asks for those at accepted points only."""
+    y = np.asarray(y, float).reshape(len(cov), -1)
     try:
         low = np.linalg.cholesky(cov)
     except np.linalg.LinAlgError:
-        return FAILED, np.zeros(len(slopes))
+        return FAILED, lambda: np.zeros(len(slopes()))
     n, m = y.shape
-    root = np.linalg.solve(low, np.eye(n))
-    inv = root.T @ root
-    a = inv @ y
-    value = 0.5 * ((y * a).sum() / m + 2 * np.log(np.diag(low)).sum() + n * np.log(2 * np.pi))
-    spread = inv - (a @ a.T) / m
-    return float(value), np.array([0.5 * (spread * s).sum() for s in slopes])
+    white = _solve_lower(low, y)
+    value = 0.5 * ((white * white).sum() / m + 2 * np.log(np.diag(low)).sum() + n * np.log(2 * np.pi))
+
+    def gradient() -> np.ndarray:
+        root = _inverse_lower(low)
+        a = root.T @ white
+        spread = root.T @ root - (a @ a.T) / m
+        return np.array([0.5 * np.vdot(spread, s) for s in slopes()])
+
+    return float(value), gradient
+
+
+class Stationary:
+    """Base of the covariances over coordinates ``x``: value and gradient in one call, or one after the other."""
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        value, gradient = self.at(theta)
+        return value, gradient()
+
+    @property
+    def scale(self) -> float:
+        return float(len(self.x))
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        return _distances(self.x, self.x)
+
+
+def _with_noise(cov: np.ndarray, noise: float) -> np.ndarray:
+    cov[np.diag_indices(len(cov))] += noise
+    return cov
 
 
 @dataclass(frozen=True)
-class Isotropic:
+class Isotropic(Stationary):
     """Length scale, variance and, unless it is given, noise (all log) of a process over coordinates ``x``."""
 
     x: np.ndarray
@@ -70,35 +122,44 @@ class Isotropic:
     nu: float
     noise: float | None = None
 
-    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    def at(self, theta: np.ndarray) -> tuple[float, Gradient]:
         ls, var = np.exp(theta[:2])
         noise = self.noise if self.noise is not None else float(np.exp(theta[2]))
-        k, slope = matern_slope(_distances(self.x, self.x), self.nu, ls)
-        eye = np.eye(len(self.x))
-        slopes = [var * slope, var * k] + ([noise * eye] if self.noise is None else [])
-        return nll_and_gradient(var * k + noise * eye, slopes, self.y)
+        k, slope = matern_slope(self.apart, self.nu, ls)
+
+        def slopes() -> list[np.ndarray]:
+            return [var * slope, var * k] + ([noise * np.eye(len(self.x))] if self.noise is None else [])
+
+        return nll_at(_with_noise(var * k, noise), slopes, self.y)
 
 
 @dataclass(frozen=True)
-class Anisotropic:
+class Anisotropic(Stationary):
     """Vertical and horizontal length scale, variance and noise (all log); the first axis is vertical."""
 
     x: np.ndarray
     y: np.ndarray
 
-    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    @cached_property
+    def squares(self) -> tuple[np.ndarray, np.ndarray]:
+        return _distances(self.x[:, :1], self.x[:, :1]) ** 2, _distances(self.x[:, 1:], self.x[:, 1:]) ** 2
+
+    def at(self, theta: np.ndarray) -> tuple[float, Gradient]:
         lz, lxy, var, noise = np.exp(theta)
-        dz = (_distances(self.x[:, :1], self.x[:, :1]) / lz) ** 2
-        dh = (_distances(self.x[:, 1:], self.x[:, 1:]) / lxy) ** 2
+        dz, dh = (d / scale**2 for d, scale in zip(self.squares, (lz, lxy)))
         s = np.sqrt(5 * (dz + dh))
         e = np.exp(-s)
-        k, common = (1 + s + s * s / 3) * e, 5.0 / 3.0 * (1 + s) * e
-        eye = np.eye(len(self.x))
-        return nll_and_gradient(var * k + noise * eye, [var * common * dz, var * common * dh, var * k, noise * eye], self.y)
+        k = (1 + s + s * s / 3) * e
+
+        def slopes() -> list[np.ndarray]:
+            common = 5.0 / 3.0 * var * (1 + s) * e
+            return [common * dz, common * dh, var * k, noise * np.eye(len(self.x))]
+
+        return nll_at(_with_noise(var * k, noise), slopes, self.y)
 
 
 @dataclass(frozen=True)
-class LengthScale:
+class LengthScale(Stationary):
     """Length scale (log) of a unit-variance process with known noise."""
 
     x: np.ndarray
@@ -106,9 +167,9 @@ class LengthScale:
     nu: float
     noise: float
 
-    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        k, slope = matern_slope(_distances(self.x, self.x), self.nu, float(np.exp(theta[0])))
-        return nll_and_gradient(k + self.noise * np.eye(len(self.x)), [slope], self.y)
+    def at(self, theta: np.ndarray) -> tuple[float, Gradient]:
+        k, slope = matern_slope(self.apart, self.nu, float(np.exp(theta[0])))
+        return nll_at(_with_noise(k.copy(), self.noise), lambda: [slope], self.y)
 
 
 @dataclass(frozen=True)
@@ -137,41 +198,71 @@ class Coregional:
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact distances, zero on the diagonal."""
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+    total = np.zeros((len(a), len(b)))
+    for one, other in zip(a.T, b.T):
+        total += (one[:, None] - other[None, :]) ** 2
+    return np.sqrt(total)
 
 
 def minimise(objective: Objective, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200,
              tol: float = 1e-7) -> tuple[np.ndarray, float, int]:
-    """(optimum, value, evaluations): quasi-Newton steps on the free parameters, projected to the box."""
+    """(optimum, value, evaluations): quasi-Newton steps on the free parameters, projected to the box.
+
+    An objective with ``at(theta)`` gives the value first and the gradient on request, which only accepted
+    points need; one with ``scale`` is searched in ``scale * asinh(f / scale)``, which has the same optima
+    but grows no faster than the logarithm where a misfit explodes.  The curvature is that of the
+    free parameters alone.  A step is cut to the minimum of a parabola; the search ends where no step
+    promises a change that the value's last digits can show.
+    """
+    scale = getattr(objective, "scale", None)
+
+    def at(theta: np.ndarray) -> tuple[float, Gradient]:
+        if hasattr(objective, "at"):
+            return objective.at(theta)
+        value, gradient = objective(theta)
+        return value, lambda: gradient
+
+    def bent(f: float) -> tuple[float, float]:
+        """Value searched, and its derivative by ``f``."""
+        return (scale * float(np.arcsinh(f / scale)), 1.0 / float(np.hypot(1.0, f / scale))) if scale else (f, 1.0)
+
     x = np.clip(np.asarray(start, float), low, high)
-    f, g = objective(x)
-    h, calls = np.eye(len(x)), 1
+    f, gradient = at(x)
+    v, by = bent(f)
+    g = by * gradient()
+    h, fresh, calls = np.eye(len(x)), True, 1
     for _ in range(rounds):
         free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
-        if not free.any() or np.abs(g[free]).max() < tol * max(1.0, abs(f)):
+        if not free.any() or np.abs(g[free]).max() < by * tol * max(1.0, abs(f)):
             break
+        digits = 1e-13 * max(1.0, abs(v))
         step = np.zeros(len(x))
-        step[free] = -h[np.ix_(free, free)] @ g[free]
-        if step @ g >= 0:
-            h, step = np.eye(len(x)), np.where(free, -g, 0.0)
+        step[free] = -np.linalg.solve(h[np.ix_(free, free)], g[free])
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))  # at most two log units a step
+        if g @ (np.clip(x + step, low, high) - x) >= -digits:  # the box takes the descent away: along the gradient
+            h, fresh, step = np.eye(len(x)), True, np.where(free, -g, 0.0)
+            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
         t = 1.0
         while True:
             to = np.clip(x + t * step, low, high)
-            fn, gn = objective(to)
+            fall = g @ (to - x)
+            if fall >= -digits:
+                return x, f, calls
+            fn, gradient = at(to)
+            vn, by = bent(fn)
             calls += 1
-            if fn <= f + 1e-4 * (g @ (to - x)) and fn < FAILED:
+            if vn <= v + 1e-4 * fall and fn < FAILED:
                 break
-            t *= 0.5
-            if t < 1e-12:
-                return x, f, calls
+            t *= 0.5 if fn >= FAILED else float(np.clip(-0.5 * fall / (vn - v - fall), 0.1, 0.5))
+        gn = by * gradient()
         s, y = to - x, gn - g
-        small = f - fn <= 1e-13 * max(1.0, abs(f))
-        x, f, g = to, fn, gn
+        small = v - vn <= digits
+        x, f, v, g = to, fn, vn, gn
         if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
-            rho = 1.0 / (s @ y)
-            left = np.eye(len(x)) - rho * np.outer(s, y)
-            h = left @ h @ left.T + rho * np.outer(s, s)
+            if fresh:
+                h, fresh = np.eye(len(x)) * (y @ y) / (s @ y), False
+            hs = h @ s
+            h = h + np.outer(y, y) / (s @ y) - np.outer(hs, hs) / (s @ hs)
         if small:
             break
     return x, f, calls
@@ -184,17 +275,18 @@ def fit(spark: SparkSession, objective: Objective, bounds: Sequence[tuple[float,
     begin = np.clip((low + high) / 2 if first is None else np.asarray(first, float), low, high)
     drawn = np.random.default_rng(seed).uniform(low, high, size=(max(0, starts - 1), len(low)))
     names = [f"p{i}" for i in range(len(low))]
-    frame = pd.DataFrame(np.vstack([begin[None], drawn]), columns=names).assign(run=range(starts))
+    begins = np.vstack([begin[None], drawn])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for row in part.itertuples(index=False):
-                at = np.array(row[: len(low)])
-                theta, value, calls = minimise(objective, at, low, high)
-                yield pd.DataFrame([[row.run, *theta, value, objective(at)[0], calls]], columns=["run", *names, "nll", "nll_start", "calls"])
+            for i in part["id"]:
+                first_value = objective.at(begins[i])[0] if hasattr(objective, "at") else objective(begins[i])[0]
+                theta, value, calls = minimise(objective, begins[i], low, high)
+                yield pd.DataFrame([[i, *theta, value, first_value, calls]], columns=["run", *names, "nll", "nll_start", "calls"])
 
     kinds = ", ".join(f"{n} double" for n in names)
-    rows = spark.createDataFrame(frame, f"{kinds}, run bigint").repartition(starts, "run")
+    # a range of as many slices as starts: one start a task
+    rows = spark.range(0, starts, 1, starts)
     runs = rows.mapInPandas(run, f"run bigint, {kinds}, nll double, nll_start double, calls bigint").orderBy("run").toPandas()
     best = runs.iloc[int(np.argmin(runs["nll"].to_numpy()))]
     return Fit(best[names].to_numpy(float), float(best["nll"]), float(runs["nll_start"].iloc[0]), runs)

@@ -119,3 +119,43 @@ def test_spherical_fit_recovers_its_parameters(spark):
     lags = spark.createDataFrame([(k, 100 + k, float(x), float(g)) for k, (x, g) in enumerate(zip(h, true(h)))], "lag long, n long, distance double, gamma double")
     got, misfit = vg.fit_spherical(lags)
     assert misfit < 1e-6 and got.reach == pytest.approx(3.3, rel=1e-3) and got.sill == pytest.approx(2.1, rel=1e-3)
+
+
+def test_every_start_has_a_task_of_its_own(spark):
+    def where(theta):
+        from pyspark import TaskContext
+
+        return float(TaskContext.get().partitionId()), np.zeros(len(theta))
+
+    found = lk.fit(spark, where, [(-1.0, 1.0)], 4)
+    assert sorted(found.runs["nll"]) == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_rejected_steps_need_no_gradient():
+    asked = []
+
+    class Steep:
+        def at(self, theta):
+            value = float(np.cosh(3 * theta[0]) + (theta[1] - 0.5) ** 2)
+            asked.append(False)
+
+            def gradient():
+                asked[-1] = True
+                return np.array([3 * np.sinh(3 * theta[0]), 2 * (theta[1] - 0.5)])
+
+            return value, gradient
+
+    at, _, calls = lk.minimise(Steep(), np.array([1.5, -1.0]), np.array([-2.0, -2.0]), np.array([2.0, 2.0]))
+    assert np.allclose(at, [0.0, 0.5], atol=1e-5) and calls == len(asked) and not all(asked)
+
+
+@pytest.mark.parametrize("begin", [[2.3, 5.0, -10.5], [2.3, 0.0, -5.75], [6.0, -4.0, -13.0]])
+def test_a_search_leaves_an_exploding_misfit_in_few_evaluations(begin):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, size=(150, 2)).astype(float)  # places repeat, their values do not
+    fn = lk.Isotropic(x, rng.normal(size=150), 2.5)
+    low, high = np.array([-2.3, -5.0, -13.8]), np.array([6.9, 5.0, 2.3])
+    at, value, calls = lk.minimise(fn, np.array(begin), low, high)
+    g = fn(at)[1]
+    held = ((at <= low) & (g > 0)) | ((at >= high) & (g < 0))
+    assert calls <= 100 and np.abs(np.where(held, 0.0, g)).max() < 1e-3 * abs(value)
