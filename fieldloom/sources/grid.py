@@ -81,9 +81,10 @@ def with_location_mean(cells: DataFrame, value: str = "value") -> DataFrame:
     """Add ``mu`` (mean over levels at a location) and ``resid = value - mu``.
 
     A location holds at most one cell per level, so the window partitions stay small
-    however the raw rows are distributed.
+    however the raw rows are distributed.  The sum runs in level order: locations of equal
+    values have equal means, to the last digit, and so have repeated runs.
     """
-    here = Window.partitionBy("loc")
+    here = Window.partitionBy("loc").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return cells.withColumn("mu", F.avg(value).over(here)).withColumn(
         "resid", F.col(value) - F.col("mu")
     )

@@ -14,6 +14,7 @@ from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.operators.search import search_bound
 from fieldloom.operators.spectra import autocorrelation
+from fieldloom.sources.grid import with_location_mean
 
 
 def cube(spark, nl=3, ny=9, seed=1, drop=0.1):
@@ -143,3 +144,11 @@ def test_bound_search_reaches_ratio(spark):
     _, _, df = cube(spark, nl=4, ny=30)
     got = search_bound(df, "value", Predictor("zero", 0, F.lit(0.0)), 5.0, 1e-3, 10.0).first()
     assert got["cr"] == pytest.approx(5.0, rel=0.1)
+
+
+def test_equal_locations_have_equal_residuals(spark):
+    values = [0.1, 0.2, 0.3]
+    rows = [(i, 0, v) for i, v in enumerate(values)] + [(i, 1, v) for i, v in reversed(list(enumerate(values)))]
+    cells = spark.createDataFrame(rows, "level bigint, loc bigint, value double").coalesce(1)
+    got = {(r["loc"], r["level"]): r["resid"] for r in with_location_mean(cells).collect()}
+    assert [got[0, i] for i in range(3)] == [got[1, i] for i in range(3)]
