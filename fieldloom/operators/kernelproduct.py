@@ -30,17 +30,44 @@ def _tile(count: int) -> object:
     return F.pmod(F.xxhash64("id"), F.lit(max(1, count))).alias("tile")
 
 
-def kernel_product(points: DataFrame, vectors: DataFrame, kernel: Kernel, n: int, left: int = LEFT, right: int = RIGHT) -> DataFrame:
+BANDS = 4  # bands of the first coordinate within the reach of a covariance
+
+
+def _in_bands(rows: DataFrame, size: int, side: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with band and tile, band and tiles of every band): bands of the first coordinate, cut into tiles of about ``size`` rows."""
+    rows = rows.withColumn("band", F.floor(F.col("x")[0] / side).cast("bigint"))
+    counts = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias("tiles"))
+    part = F.pmod(F.xxhash64("id"), F.col("tiles"))
+    return rows.join(counts, "band").withColumn("tile", F.struct("band", part.alias("part"))).drop("tiles"), counts
+
+
+def kernel_product(points: DataFrame, vectors: DataFrame, kernel: Kernel, n: int, left: int = LEFT, right: int = RIGHT,
+                   reach: float = float("inf")) -> DataFrame:
     """id, y: ``sum_j K(i, j) v_j`` of every point, for ``points(id, x)`` and ``vectors(id, x, v)``.
 
     ``vectors`` carries the coordinates of its points, which need not be those of ``points``; ``n`` bounds
-    the number of either.
+    the number of either.  Where the covariance is zero from the distance ``reach`` on, tiles are bands of the first
+    coordinate and meet only those within it, so the work grows with the points and not with their square.
     """
+    if np.isfinite(reach):
+        side = reach / BANDS
+        rows, counts = _in_bands(points, left, side)
+        lefts = rows.select(F.xxhash64("tile").alias("tile"), "id", "x").groupBy("tile").agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+        near = F.explode(F.sequence(F.col("tile.band") - BANDS - 1, F.col("tile.band") + BANDS + 1)).alias("band")
+        rights = _in_bands(vectors, right, side)[0].groupBy("tile").agg(F.collect_list(F.struct("x", "v")).alias("columns"))
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("part")
+        sent = rights.select("columns", near).join(counts, "band").select("columns", "band", part)
+        sent = sent.select("columns", F.xxhash64(F.struct("band", "part")).alias("tile"))
+        return _summed(sent.join(lefts.hint("merge"), "tile").select("tile", "rows", "columns"), kernel)
     lefts = points.groupBy(_tile(-(-n // left))).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
     rights = vectors.groupBy(_tile(-(-n // right)).alias("other")).agg(F.collect_list(F.struct("x", "v")).alias("columns"))
     last = max(1, -(-n // left)) - 1
     sent = rights.select("columns", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")).alias("tile"))
-    pairs = sent.join(lefts.hint("merge"), "tile").select("tile", "rows", "columns")
+    return _summed(sent.join(lefts.hint("merge"), "tile").select("tile", "rows", "columns"), kernel)
+
+
+def _summed(pairs: DataFrame, kernel: Kernel) -> DataFrame:
+    """id, y: sums over all pairs (tile, rows, columns) of one product each."""
 
     def run(batches: Batches) -> Batches:
         tile, ids, total = None, None, None
@@ -102,7 +129,7 @@ def _orthonormal(y: DataFrame, width: int) -> DataFrame:
 
 def _applied(points: DataFrame, q: DataFrame, kernel: Kernel, n: int, left: int, right: int) -> DataFrame:
     """id, x, v: ``K q``."""
-    y = kernel_product(points, q, kernel, n, left, right)
+    y = kernel_product(points, q, kernel, n, left, right, getattr(kernel, "reach", float("inf")))
     return cut_lineage(points.join(y, "id").select("id", "x", F.col("y").alias("v")))
 
 
@@ -140,8 +167,9 @@ def direct_qr(points: DataFrame, kernel: Kernel, k: int, pool: int = 64, left: i
     """
     points = cut_lineage(points.select("id", "x"))
     n = points.count()
+    reach = getattr(kernel, "reach", float("inf"))
     ones = points.withColumn("v", F.array(F.lit(1.0)))
-    norms = kernel_product(points, ones, lambda a, b: kernel(a, b) ** 2, n, left, right)
+    norms = kernel_product(points, ones, lambda a, b: kernel(a, b) ** 2, n, left, right, reach)
     state = cut_lineage(points.join(norms, "id").select("id", "x", F.col("y")[0].alias("res"), F.array().cast("array<double>").alias("l")))
     ids: list[int] = []
     rows: list[np.ndarray] = []
@@ -156,7 +184,7 @@ def direct_qr(points: DataFrame, kernel: Kernel, k: int, pool: int = 64, left: i
         cand, x = top["id"].to_numpy(), np.stack(top["x"].to_numpy())
         columns = map_blocks(points, ["id", "x"], "id bigint, x array<double>, v array<double>",
                              lambda b, x=x: [b.column("id"), b.column("x"), list_column(kernel(block(b, "x"), x))])
-        products = cut_lineage(kernel_product(points, columns, kernel, n, left, right))
+        products = cut_lineage(kernel_product(points, columns, kernel, n, left, right, reach))
         mine = products.where(F.col("id").isin(cand.tolist())).toPandas().set_index("id")["y"]
         g = np.stack([mine[i] for i in cand])
         factor = np.stack(top["l"].to_numpy()).astype(float).reshape(len(cand), -1)

@@ -60,6 +60,18 @@ class RadialKernel:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.fn(distance_matrix(a, b), m=np, **self.params)
 
+    @property
+    def reach(self) -> float:
+        """Distance from which on the covariance is zero in floating point (``exp(-746)`` is)."""
+        ls, nu = self.params.get("ls", 1.0), self.params.get("nu")
+        if self.fn is kn.rbf:
+            return ls * float(np.sqrt(2 * 746.0))
+        if self.fn is kn.matern:
+            return ls * 746.0 / float(np.sqrt(2 * nu))
+        if self.fn is kn.multiscale:
+            return max(ls, self.params.get("ls_local", 0.2)) * 746.0 / float(np.sqrt(5.0))
+        return float("inf")
+
 
 def described(kernel: RadialKernel) -> tuple[str, dict[str, float]]:
     """Name and parameters of a radial covariance, from which ``restored`` makes it again."""

@@ -68,3 +68,41 @@ def test_draws_do_not_depend_on_partitioning():
     assert np.array_equal(z[500:600], kp.normals(ids[500:600], 3, 4))
     assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01
     assert abs(np.corrcoef(z.T)[0, 1]) < 0.03
+
+
+class _Counted:
+    """A covariance that is zero from 6 on and remembers how many entries were asked for."""
+
+    reach = 6.0
+
+    def __init__(self, counter):
+        self.counter = counter
+
+    def __call__(self, a, b):
+        self.counter.add(len(a) * len(b))
+        return np.maximum(1 - sl.distance_matrix(a, b) / self.reach, 0.0) ** 2
+
+
+def test_product_within_a_reach_leaves_far_tiles_out(spark):
+    import pyspark.cloudpickle as cloudpickle
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    entries = []
+    for length in (200, 400):
+        x = np.array([(y, c) for y in range(length) for c in range(5)], float)
+        v = np.random.default_rng(1).normal(size=(len(x), 3))
+        vectors = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, v))], "id long, x array<double>, v array<double>")
+        kernel = _Counted(spark.sparkContext.accumulator(0))
+        got = kp.kernel_product(vectors.select("id", "x"), vectors, kernel, len(x), 3, 4, kernel.reach).orderBy("id").collect()
+        dense = np.maximum(1 - sl.distance_matrix(x, x) / 6.0, 0.0) ** 2
+        assert [r["id"] for r in got] == list(range(len(x))) and np.allclose([r["y"] for r in got], dense @ v)
+        entries.append(kernel.counter.value)
+    assert entries[1] < 2.2 * entries[0]
+
+
+def test_a_covariance_is_zero_from_its_reach_on():
+    for kernel in (sl.RadialKernel(kn.rbf, ls=3.0), sl.RadialKernel(kn.matern, nu=0.5, ls=2.0), sl.RadialKernel(kn.matern, nu=1.5, ls=3.0),
+                   sl.RadialKernel(kn.matern, nu=2.5, ls=0.7), sl.RadialKernel(kn.multiscale, ls=2.0)):
+        at = np.array([[0.0, 0.0]])
+        assert kernel(at, np.array([[kernel.reach, 0.0]]))[0, 0] == 0.0 < kernel(at, np.array([[kernel.reach * 0.5, 0.0]]))[0, 0]
