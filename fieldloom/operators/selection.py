@@ -105,10 +105,17 @@ class CholeskyScore:
         f = self.features(x)
         return np.maximum(self.prior(x) - (f * f).sum(1), 0.0)
 
-    def add(self, row: np.ndarray) -> None:
+    def _pivot(self, x: np.ndarray, f: np.ndarray) -> float:
+        return np.sqrt(max(self.prior(x)[0] + self.noise - f @ f, 1e-300))
+
+    def column(self, x: np.ndarray, row: np.ndarray, factor: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Next column of ``factor`` (the features of ``x``) for the pick ``row`` with features ``f``."""
+        return (self.scale * self.kernel(x, row[None])[:, 0] - factor @ f) / self._pivot(row[None], f)
+
+    def add(self, row: np.ndarray, f: np.ndarray | None = None) -> None:
         x = row[None]
-        f = self.features(x)[0]
-        pivot = np.sqrt(max(self.prior(x)[0] + self.noise - f @ f, 1e-300))
+        f = self.features(x)[0] if f is None else f
+        pivot = self._pivot(x, f)
         k = len(f)
         grown = np.zeros((k + 1, k + 1))
         grown[:k, :k] = self.inv
@@ -268,15 +275,22 @@ def accept_ticks(cand, x, known, first, horizon: float, scorer, k: int, ids: lis
     queue = [(t, j) for j, t in enumerate(first)]
     heapq.heapify(queue)
     current, idle = known.copy(), 0
+    # the pool's part of the factor, a column more with every pick
+    done = len(scorer.inv)
+    factor = np.zeros((len(x), done + k - len(ids)), order="F")
+    factor[:, :done] = scorer.features(x)
+    left = np.maximum(scorer.prior(x) - (factor * factor).sum(1), 0.0)
     while queue and len(ids) < k and idle < 8 * len(cand):
         t, j = heapq.heappop(queue)
         again = t + rng.exponential() / known[j]
         if again <= horizon:
             heapq.heappush(queue, (again, j))
         if rng.random() * known[j] < current[j] and current[j] > 1e-9:
-            scorer.add(x[j])
+            scorer.add(x[j], factor[j, :done])
             ids.append(int(cand[j])), rows.append(x[j]), scores.append(current[j])
-            current, idle = scorer.score(x), 0
+            factor[:, done] = scorer.column(x, x[j], factor[:, :done], factor[j, :done])
+            left = np.maximum(left - factor[:, done] ** 2, 0.0)
+            current, idle, done = left.copy(), 0, done + 1
             current[np.isin(cand, ids)] = 0.0
         else:
             idle += 1

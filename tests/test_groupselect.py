@@ -98,3 +98,20 @@ def test_rounds_use_it(spark):
     assert len({(r["level"], r["loc"]) for r in chosen}) == 15
     out = pg.run_rounds(cells, "value", config)
     assert [r["n_sensed"] for r in out.records] == [15, 15]
+
+
+def test_a_pool_is_scored_by_the_new_column_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 12, size=(120, 2))
+    scorer, whole = sl.CholeskyScore(sl.RadialKernel(kn.matern, nu=1.5, ls=2.0)), []
+    known = scorer.score(x)
+    plain = sl.CholeskyScore.score
+    monkeypatch.setattr(sl.CholeskyScore, "score", lambda self, at: whole.append(len(at)) or plain(self, at))
+    ids, rows, scores = [], [], []
+    sl.accept_ticks(np.arange(120), x, known, rng.exponential(size=120) / known, np.inf, scorer, 40, ids, rows, scores, rng)
+    assert len(ids) == 40 and not whole
+    fresh = sl.CholeskyScore(scorer.kernel)
+    for row, score in zip(rows, scores):
+        assert score == pytest.approx(plain(fresh, row[None])[0], abs=1e-9)
+        fresh.add(row)
+    assert np.allclose(fresh.inv, scorer.inv)
