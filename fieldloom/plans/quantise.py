@@ -341,7 +341,7 @@ SELECT method, ab AS abs_bound, count(*) AS n, round(max(abs(value-rec)), 6) AS
 def q24_codec_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Bins written, then decoded from the bins alone and compared with the field."""
     shape = grid_shape(spark, sf)
-    cells = grid_field(spark, sf).select("level", "loc", "value")
+    cells = cut_lineage(grid_field(spark, sf).select("level", "loc", "value"))  # read by every round trip
     out = None
     for dims in (1, 2, 3):
         for ab in (100.0, 3200.0):

@@ -140,3 +140,18 @@ def test_training_mean_centres_the_basis(spark):
     model = cd.fit_deim(prof, 5, 12, 2, np.array([0, 2, 3]))
     got = {r["loc"]: r["mu"] for r in model.table.collect()}
     assert np.allclose([got[i] for i in range(12)], v[:, [0, 2, 3]].mean(1))
+
+
+def test_round_trips_read_the_field_once(spark, monkeypatch):
+    from fieldloom.plans import quantise
+
+    plans = []
+
+    def stop(cells, *rest):
+        plans.append(cells._jdf.queryExecution().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(quantise, "encode_volume", stop)
+    with pytest.raises(StopIteration):
+        quantise.q24_codec_round_trip(spark, "/root/testdata/sf0.001")
+    assert "parquet" not in plans[0].lower()
