@@ -164,7 +164,8 @@ def decode(model: Model, encoded: DataFrame) -> DataFrame:
 
     def from_sensors(b):
         x = np.column_stack([scalar(b, "y"), scalar(b, "x")]).astype(float)
-        return [*(b.column(c) for c in columns), list_column((kernel(x, coords) @ alpha) * scalar(b, "sd")[:, None])]
+        pred = sl.in_slices(lambda rows: kernel(rows, coords) @ alpha, x, len(coords))
+        return [*(b.column(c) for c in columns), list_column(pred * scalar(b, "sd")[:, None])]
 
     return map_blocks(model.table, [*columns, "sd", "y", "x"], schema, from_sensors)
 

@@ -17,7 +17,7 @@ from fieldloom.operators.selection import distance_matrix
 from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 
 MAX_MODEL_BYTES = 256 << 20
-MAX_SENSORS = 5000
+MAX_SENSORS = 8192  # half a gigabyte of covariance
 BRUTE_FORCE = 2048
 FLAT = 1e-10  # deviation under which a location counts as constant
 

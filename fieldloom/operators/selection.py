@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import kernels as kn
+from fieldloom.session import cut_lineage
 from fieldloom.sources.profiles import block, collect_matrix, list_column, map_blocks, scalar, sum_blocks
 
 ROUND = 9
 POOL = 2048
+WIDE = 256  # columns of a factor from which on the scores of a pass are written
+VALUES = 1 << 21  # of a covariance block in a task
 LEVEL_SPAN = 1 << 31  # id of a cell = loc * LEVEL_SPAN + level
 
 
@@ -105,6 +108,26 @@ class CholeskyScore:
         f = self.features(x)
         return np.maximum(self.prior(x) - (f * f).sum(1), 0.0)
 
+    @property
+    def width(self) -> int:
+        """Covariances that a score of a point takes."""
+        return len(self.inv)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        """What the kernel takes, for points as they come."""
+        return x
+
+    def step(self, since: int) -> Callable[[np.ndarray], np.ndarray]:
+        """Columns of the factor from pick ``since`` on, as a function of points."""
+        if since == len(self.inv):
+            return lambda x: np.zeros((len(x), 0))
+        kernel, picked, turn = self.kernel, self.picked, self.scale * self.inv[since:].T
+        return lambda x: kernel(x, picked) @ turn
+
+    def variance(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Variance before any pick, as a function of points."""
+        return CholeskyScore(self.kernel, self.noise, self.scale).prior
+
     def _pivot(self, x: np.ndarray, f: np.ndarray) -> float:
         return np.sqrt(max(self.prior(x)[0] + self.noise - f @ f, 1e-300))
 
@@ -124,6 +147,75 @@ class CholeskyScore:
         self.inv = grown
         self.picked = x if self.picked is None else np.vstack([self.picked, x])
 
+    def extend(self, rows: np.ndarray, low: np.ndarray) -> None:
+        """As :func:`add` for several picks, given their rows ``low`` of the triangular factor."""
+        k, m = len(self.inv), len(rows)
+        grown = np.zeros((k + m, k + m))
+        grown[:k, :k] = self.inv
+        grown[k:, k:] = np.tril(np.linalg.inv(low[:, k:]))
+        grown[k:, :k] = -grown[k:, k:] @ (low[:, :k] @ self.inv)
+        self.inv = grown
+        self.picked = rows if self.picked is None else np.vstack([self.picked, rows])
+
+
+class ModeScore(CholeskyScore):
+    """Pivoted QR over the mode rows ``features(x) @ turn`` of a covariance factor, for points that
+    are given by their coordinates: a mode row is as long as there are sensors and is worked out
+    where it is needed."""
+
+    def __init__(self, factor: CholeskyScore, turn: np.ndarray):
+        super().__init__(linear_kernel)
+        self.of, self.pivots = factor.kernel, factor.picked
+        self.turn = factor.scale * (factor.inv.T @ turn)
+
+    @property
+    def width(self) -> int:
+        return len(self.pivots)
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return self.of(x, self.pivots) @ self.turn
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return super().score(self.rows(x))
+
+    def step(self, since: int) -> Callable[[np.ndarray], np.ndarray]:
+        if since == len(self.inv):
+            return lambda x: np.zeros((len(x), 0))
+        of, pivots, turn = self.of, self.pivots, self.turn @ (self.picked.T @ self.inv[since:].T)
+        return lambda x: of(x, pivots) @ turn
+
+    def variance(self) -> Callable[[np.ndarray], np.ndarray]:
+        of, pivots, turn = self.of, self.pivots, self.turn
+        return lambda x: ((of(x, pivots) @ turn) ** 2).sum(1)
+
+
+class Pool:
+    """Residual variances ``left`` of a bounded number of points; a pick adds one column to their
+    part of the factor instead of scoring them anew."""
+
+    def __init__(self, scorer: CholeskyScore, x: np.ndarray, room: int):
+        self.scorer, self.x, self.done = scorer, scorer.rows(x), len(scorer.inv)
+        self.factor = np.zeros((len(x), self.done + room), order="F")
+        self.factor[:, : self.done] = scorer.features(self.x)
+        self.left = np.maximum(scorer.prior(self.x) - (self.factor * self.factor).sum(1), 0.0)
+        self.taken, self.pivots = [], []
+
+    def take(self, j: int) -> None:
+        before, f = self.factor[:, : self.done], self.factor[j, : self.done]
+        self.pivots.append(self.scorer._pivot(self.x[j][None], f))
+        self.factor[:, self.done] = self.scorer.column(self.x, self.x[j], before, f)
+        self.left = np.maximum(self.left - self.factor[:, self.done] ** 2, 0.0)
+        self.taken.append(j)
+        self.done += 1
+
+    def close(self) -> None:
+        """The picks become the scorer's."""
+        if self.taken:
+            low = np.tril(self.factor[self.taken, : self.done], self.done - len(self.taken))
+            at = np.arange(len(self.taken))
+            low[at, self.done - len(self.taken) + at] = self.pivots
+            self.scorer.extend(self.x[self.taken], low)
+
 
 class CoregionalScore:
     """Variance summed over the latent fields of a coregionalisation, each weighted by
@@ -155,6 +247,12 @@ class DistanceScore:
         self.picked = row[None] if self.picked is None else np.vstack([self.picked, row[None]])
 
 
+def in_slices(fn: Callable[[np.ndarray], np.ndarray], x: np.ndarray, width: int) -> np.ndarray:
+    """``fn`` of the rows of ``x``, at most ``VALUES`` covariances at a time."""
+    step = max(1, VALUES // max(width, 1))
+    return np.concatenate([fn(x[low : low + step]) for low in range(0, len(x), step)])
+
+
 def _scored(points: DataFrame, scorer) -> DataFrame:
     """points(id, x array<double>) with the current score: one narrow pass."""
     return map_blocks(
@@ -163,13 +261,43 @@ def _scored(points: DataFrame, scorer) -> DataFrame:
     )
 
 
+class _Passes:
+    """Scores of all points, pass by pass.
+
+    Those of a wide factor are written, so that the next pass takes and ships only the columns of the
+    picks since then."""
+
+    def __init__(self, points: DataFrame, scorer):
+        self.points, self.scorer, self.known, self.since = points, scorer, None, 0
+
+    def scored(self) -> DataFrame:
+        scorer = self.scorer
+        width = scorer.width if isinstance(scorer, CholeskyScore) else 0
+        if width <= WIDE:
+            return _scored(self.points, scorer)
+        first, columns = self.known is None, scorer.step(self.since)
+        variance = scorer.variance() if first else None
+
+        def left(b):
+            x = block(b, "x")
+            before = in_slices(variance, x, width) if first else scalar(b, "left")
+            return [b.column("id"), b.column("x"),
+                    np.maximum(before - in_slices(lambda rows: (columns(rows) ** 2).sum(1), x, width), 0.0)]
+
+        rows, names = (self.points, ["id", "x"]) if first else (self.known, ["id", "x", "left"])
+        self.known = cut_lineage(map_blocks(rows, names, "id bigint, x array<double>, left double", left))
+        self.since = len(scorer.inv)
+        return self.known.select("id", "x", F.round("left", ROUND).alias("score"))
+
+
 def greedy_select(points: DataFrame, scorer, k: int, pool: int = POOL) -> Picks:
     """``k`` picks by largest score, ties to the lowest id."""
     pool = max(pool, 4)
     ids, rows, scores = [], [], []
+    passes = _Passes(points, scorer)
     while len(ids) < k:
         got = (
-            _scored(points, scorer).where(~F.col("id").isin(ids) if ids else F.lit(True))
+            passes.scored().where(~F.col("id").isin(ids) if ids else F.lit(True))
             .orderBy(F.desc("score"), "id").limit(pool).toPandas()
         )
         if got.empty:
@@ -226,18 +354,22 @@ def _pick_from(cand, x, outside, scorer, k, ids, rows, scores) -> bool:
     """Greedy picks from one pool, as far as it is conclusive; False when nothing with a
     positive score is left."""
     free = ~np.isin(cand, ids)
-    first = True
+    first, more = True, True
+    pool = Pool(scorer, x, min(k - len(ids), len(x))) if isinstance(scorer, CholeskyScore) else None
     while len(ids) < k and free.any():
-        s = np.where(free, np.round(scorer.score(x), ROUND), -np.inf)
+        s = np.where(free, np.round(pool.left if pool else scorer.score(x), ROUND), -np.inf)
         j = int(np.lexsort((cand, -s))[0])
         if not first and s[j] <= outside:
             break
         if s[j] <= 0:
-            return False
-        scorer.add(x[j])
+            more = False
+            break
+        pool.take(j) if pool else scorer.add(x[j])
         ids.append(int(cand[j])), rows.append(x[j]), scores.append(s[j])
         free[j], first = False, False
-    return True
+    if pool:
+        pool.close()
+    return more
 
 
 def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, pool: int = POOL) -> Picks:
@@ -252,11 +384,11 @@ def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, p
     """
     rng = np.random.default_rng(seed)
     ids, rows, scores = [], [], []
-    passes = 0
+    passes, known = 0, _Passes(points, scorer)
     while len(ids) < k:
         bits = F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(seed), F.lit(passes)), 11)
         ticking = (
-            _scored(points, scorer).where(F.col("score") > 1e-9)
+            known.scored().where(F.col("score") > 1e-9)
             .withColumn("t", -F.log((bits + 0.5) / float(2**53)) / F.col("score"))
             .orderBy("t", "id").limit(pool).toPandas()
         )
@@ -275,25 +407,21 @@ def accept_ticks(cand, x, known, first, horizon: float, scorer, k: int, ids: lis
     queue = [(t, j) for j, t in enumerate(first)]
     heapq.heapify(queue)
     current, idle = known.copy(), 0
-    # the pool's part of the factor, a column more with every pick
-    done = len(scorer.inv)
-    factor = np.zeros((len(x), done + k - len(ids)), order="F")
-    factor[:, :done] = scorer.features(x)
-    left = np.maximum(scorer.prior(x) - (factor * factor).sum(1), 0.0)
+    pool, earlier = Pool(scorer, x, min(k - len(ids), len(x))), np.isin(cand, ids)
     while queue and len(ids) < k and idle < 8 * len(cand):
         t, j = heapq.heappop(queue)
         again = t + rng.exponential() / known[j]
         if again <= horizon:
             heapq.heappush(queue, (again, j))
         if rng.random() * known[j] < current[j] and current[j] > 1e-9:
-            scorer.add(x[j], factor[j, :done])
+            pool.take(j)
             ids.append(int(cand[j])), rows.append(x[j]), scores.append(current[j])
-            factor[:, done] = scorer.column(x, x[j], factor[:, :done], factor[j, :done])
-            left = np.maximum(left - factor[:, done] ** 2, 0.0)
-            current, idle, done = left.copy(), 0, done + 1
-            current[np.isin(cand, ids)] = 0.0
+            current, idle = pool.left.copy(), 0
+            current[pool.taken] = 0.0
+            current[earlier] = 0.0
         else:
             idle += 1
+    pool.close()
 
 
 def qdeim(modes: DataFrame, k: int, n_sensors: int | None = None) -> Picks:
@@ -329,21 +457,29 @@ def maxmin(points: DataFrame, k: int) -> Picks:
     return greedy_select(points, DistanceScore(), k)
 
 
-def low_rank_modes(points: DataFrame, scorer: CholeskyScore, k: int, power: int = 0) -> DataFrame:
-    """Leading left singular vectors of the low-rank factor ``F`` behind ``scorer``
-    (``K ~ F F^T``) as mode rows: Gram matrix of F, small eigenproblem, narrow rotation."""
-    r = scorer.inv.shape[0]
-    g = collect_matrix(
-        sum_blocks(points, ["x"], (r, r), lambda b: (lambda f: f.T @ f)(scorer.features(block(b, "x")))), (r, r)
-    )
-    lam, v = np.linalg.eigh(g)
+def low_rank_turn(points: DataFrame, scorer: CholeskyScore, k: int, power: int = 0) -> np.ndarray:
+    """Turn of the low-rank factor ``F`` behind ``scorer`` (``K ~ F F^T``) to its leading left singular
+    vectors: Gram matrix of F and a small eigenproblem.
+
+    Columns of F fade with the distance from their pivots as the covariance does. Products below the
+    square of the machine precision are left out of what the tasks send, so the matrix has as many
+    entries as there are neighbouring pivots.
+    """
+    r, features = scorer.inv.shape[0], scorer.step(0)
+    least = float(scorer.prior(scorer.picked[:1])[0]) * np.finfo(float).eps ** 2
+
+    def products(b):
+        x, total = block(b, "x"), np.zeros((r, r))
+        for low in range(0, len(x), max(1, VALUES // r)):
+            f = features(x[low : low + max(1, VALUES // r)])
+            total += f.T @ f
+        return np.triu(total)
+
+    upper = collect_matrix(sum_blocks(points, ["x"], (r, r), products, least), (r, r))
+    lam, v = np.linalg.eigh(upper + np.triu(upper, 1).T)
     top = np.argsort(lam)[::-1][:k]
     keep = top[lam[top] > lam.max() * 1e-12]
-    turn = v[:, keep] / np.sqrt(lam[keep]) ** (1 - power)
-    return map_blocks(
-        points, ["id", "x"], "id bigint, x array<double>",
-        lambda b: [b.column("id"), list_column(scorer.features(block(b, "x")) @ turn)],
-    )
+    return v[:, keep] / np.sqrt(lam[keep]) ** (1 - power)
 
 
 def gks(points: DataFrame, kernel: Callable, k: int, oversample: int = 20, mode: str = "random", seed: int = 0) -> Picks:
@@ -359,9 +495,7 @@ def gks(points: DataFrame, kernel: Callable, k: int, oversample: int = 20, mode:
         raise ValueError(f"only {len(pivots.ids)} of {k} points have residual variance")
     if len(pivots.ids) == k:
         return pivots
-    chosen = qdeim(low_rank_modes(points, scorer, k), k)
-    coords = points.where(F.col("id").isin(chosen.ids.tolist())).toPandas().set_index("id")["x"]
-    return Picks(chosen.ids, np.stack([coords[i] for i in chosen.ids]), chosen.scores)
+    return greedy_select(points, ModeScore(scorer, low_rank_turn(points, scorer, k)), k)
 
 
 def greedy_error(profiles: DataFrame, k: int, candidates: np.ndarray, kernel: Callable, noise: float) -> list[int]:

@@ -100,11 +100,12 @@ def add_block_column(
 
 def sum_blocks(
     df: DataFrame, columns: Sequence[str], shape: tuple[int, int],
-    fn: Callable[[pa.RecordBatch], np.ndarray],
+    fn: Callable[[pa.RecordBatch], np.ndarray], least: float | None = None,
 ) -> DataFrame:
     """Element-wise sum over all rows of small matrices ``fn(batch)``: ``i, j, v``.
 
-    Each task adds up its own batches first and ships one matrix.
+    Each task adds up its own batches first and ships one matrix, with ``least`` only its entries of a
+    larger magnitude.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,11 @@ def sum_blocks(
         for b in batches:
             if b.num_rows:
                 total += fn(b)
-        i, j = np.indices(shape)
+        if least is not None:
+            i, j = np.nonzero(np.abs(total) > least)
+            total = total[i, j]
+        else:
+            i, j = np.indices(shape)
         yield pa.RecordBatch.from_arrays(
             [pa.array(i.ravel().astype("i8")), pa.array(j.ravel().astype("i8")), pa.array(total.ravel())],
             names=["i", "j", "v"],

@@ -11,6 +11,7 @@ from fieldloom.operators import decompose as dc
 from fieldloom.operators import predict as pr
 from fieldloom.operators import progressive as pg
 from fieldloom.operators import selection as sl
+from fieldloom.sources.profiles import collect_matrix
 
 K = sl.RadialKernel(kn.matern, nu=2.5, ls=2.0)
 
@@ -235,3 +236,43 @@ def test_nearest_is_exact(clustered, monkeypatch):
     full = np.sort(sl.distance_matrix(x, sensors), 1)[:, :7]
     assert np.allclose(np.sort(dist, 1), full)
     assert np.allclose(np.take_along_axis(sl.distance_matrix(x, sensors), near, 1), dist)
+
+
+def strip(spark, n):
+    xy = np.column_stack([np.arange(n) // 4, np.arange(n) % 4]).astype(float)
+    rows = [(i, r.tolist()) for i, r in enumerate(xy)]
+    return xy, spark.createDataFrame(rows, "id long, x array<double>").repartition(4).cache()
+
+
+@pytest.mark.parametrize("wide", [0, 1000])
+def test_subset_from_coordinates_equals_mode_rows(spark, monkeypatch, wide):
+    """Pools of a column subset hold coordinates; the picks are those of QR over the mode rows."""
+    monkeypatch.setattr(sl, "WIDE", wide)
+    xy, df = strip(spark, 200)
+    scorer = sl.CholeskyScore(K)
+    pivots = sl.random_select(df, scorer, 16, 5)
+    low = np.linalg.cholesky(K(pivots.rows, pivots.rows))
+    f = np.linalg.solve(low, K(pivots.rows, xy)).T
+    u, _, _ = np.linalg.svd(f, full_matrices=False)
+    want = dense_pivots(u[:, :10] @ u[:, :10].T, 10)
+    got = sl.greedy_select(df, sl.ModeScore(scorer, sl.low_rank_turn(df, scorer, 10)), 10, 64)
+    assert got.ids.tolist() == want
+    assert np.array_equal(got.rows, xy[want])
+
+
+def test_factor_products_of_far_pivots_stay_in_the_tasks(spark, monkeypatch):
+    """What the driver gets of the factor's Gram matrix grows with the pivots, not with their square."""
+    sent = []
+
+    def counted(ijv, shape):
+        sent.append((ijv.count(), shape[0]))
+        return collect_matrix(ijv, shape)
+
+    monkeypatch.setattr(sl, "collect_matrix", counted)
+    for n in (400, 800):
+        _, df = strip(spark, n)
+        scorer = sl.CholeskyScore(sl.RadialKernel(kn.matern, nu=1.5, ls=0.5))
+        sl.random_select(df, scorer, n // 16, 1)
+        sl.low_rank_turn(df, scorer, n // 20)
+    (few, r), (more, r2) = sent
+    assert r2 == 2 * r and more < 2.6 * few and more < r2 * r2 / 4
