@@ -63,11 +63,14 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
     it, and the context's length on top."""
     after = np.append(0, np.maximum.accumulate(np.where(data == END, np.arange(1, data.size + 1), 0))[:-1])
     length = np.minimum(np.arange(data.size) - after + 1, order)  # the end before the text counts
-    code = data.astype(np.int64)
-    padded = np.concatenate([np.full(order, END, np.uint8), data]).astype(np.int64)
-    for k in range(1, order + 1):
-        code |= np.where(length >= k, padded[order - k : order - k + data.size] << (8 * k), 0)
-    return code | (length.astype(np.int64) << 56)
+    one = np.concatenate([np.full(ORDER, END, np.uint8), data]).astype(np.int64)
+    two = one[1:] | one[:-1] << 8
+    four = two[2:] | two[:-2] << 16
+    code = four[3:] | two[1:-4] << 32 | one[: data.size] << 48
+    known = np.arange(order + 1)
+    code &= ((1 << (8 * (known + 1))) - 1)[length]
+    code |= (known << 56)[length]
+    return code
 
 
 class Model:
@@ -181,9 +184,43 @@ def _unpacked_grams(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view("<i8"))
 
 
+def _tally(code: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and how many of each are marked; the mark is sorted along as a low bit, as no
+    places are wanted back."""
+    both = np.sort(code << 1 | marked)
+    own = both >> 1
+    border = np.flatnonzero(np.diff(own, prepend=-1))
+    upto = np.append(0, np.cumsum(both & 1))
+    return own[border], upto[np.append(border[1:], both.size)] - upto[border]
+
+
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, back = np.unique(code, return_inverse=True)
-    return u, np.bincount(back, weights=n, minlength=u.size).astype(np.int64)
+    """Distinct codes and their sums; a stable sort merges codes that come in ascending runs."""
+    by = np.argsort(code, kind="stable")
+    code = code[by]
+    border = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[border], np.add.reduceat(n[by], border).astype(np.int64) if border.size else np.zeros(0, np.int64)
+
+
+def _short(code: np.ndarray, n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of symbols in contexts up to ``longest``, the context's length on top of the code."""
+    met = np.zeros(256, bool)
+    for k in range(longest + 1):
+        met[code >> (8 * k) & 0xFF] = True
+    byte = np.flatnonzero(met)
+    rank, out = np.cumsum(met) - 1, []
+    for k in range(longest + 1):
+        has = (n > 0) & (code >> 56 >= k)
+        at = np.zeros(int(has.sum()), np.int64)
+        for j in range(k, -1, -1):
+            at = at * byte.size + rank[code[has] >> (8 * j) & 0xFF]
+        tally = np.bincount(at, weights=n[has])
+        cell = np.flatnonzero(tally)
+        short = np.full(cell.size, k << 56)
+        for j in range(k + 1):
+            short |= byte[cell // byte.size**j % byte.size] << (8 * j)
+        out.append((short, tally[cell].astype(np.int64)))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 def chunk_grams(chunked: DataFrame, parts: int, order: int) -> DataFrame:
@@ -194,20 +231,15 @@ def chunk_grams(chunked: DataFrame, parts: int, order: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 marks = batch.column("figures")[i].values.to_numpy() > 0
-                code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for data, first, low in _model_texts(batch, i):
-                    train = np.repeat(marks[low : low + first.size - 1], np.diff(first))
-                    u, m = _summed(_grams(data, order), train)
-                    code, n = _summed(np.concatenate([code, u]), np.concatenate([n, m]))
+                pieces = [_tally(_grams(data, order), np.repeat(marks[low : low + first.size - 1], np.diff(first)))
+                          for data, first, low in _model_texts(batch, i)]
+                code, n = _summed(*(np.concatenate(x) for x in zip(*pieces)))
                 chunk = batch.column("chunk")[i].as_py()
-                out = []
-                for k in range(min(SHARED, order) + 1):
-                    has = (n > 0) & (code >> 56 >= k)
-                    out.append((code[has] & _mask(k + 1) | k << 56, n[has]))
-                short = _summed(*(np.concatenate(x) for x in zip(*out)))
+                short = _short(code, n, min(SHARED, order))
                 near = mix((code >> 8 & _mask(SHARED + 1)).astype(np.uint64)) % np.uint64(parts)
+                near = near.astype(np.min_scalar_type(parts))
                 by = np.argsort(near, kind="stable")
-                border = np.searchsorted(near[by], np.arange(parts + 1, dtype=np.uint64))
+                border = np.searchsorted(near[by], np.arange(parts + 1, dtype=near.dtype))
                 rows = [(-1, *short)] + [(p, code[by[a:b]], n[by[a:b]]) for p, (a, b) in enumerate(zip(border, border[1:])) if a < b]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
@@ -361,15 +393,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         priced = right.filter(right["grams"].is_valid())
         gram = np.concatenate([_unpacked_grams(x.as_py()) for x in priced["grams"]])
         price = np.frombuffer(b"".join(zstandard.decompress(x.as_py()) for x in priced["logs"]), "<f4")
-        by = np.argsort(gram)
+        by = np.argsort(gram, kind="stable")  # the parts are ascending runs
         gram, price = gram[by], price[by]
         scores = []
         for data, first, _ in _model_texts(left, 0):
-            u, back = np.unique(_grams(data, order), return_inverse=True)
-            found, at = _find(gram, u)
+            own = _grams(data, order)
+            by = np.argsort(own)
+            own = own[by]
+            border = np.flatnonzero(np.diff(own, prepend=-1))
+            found, at = _find(gram, own[border])
             if not found.all():
                 raise RuntimeError("the grams of a chunk changed between two passes")
-            scores.append(np.add.reduceat(price[at][back].astype(np.float64), first[:-1]))
+            each = np.empty(own.size)
+            each[by] = np.repeat(price[at], np.diff(np.append(border, own.size)))
+            scores.append(np.add.reduceat(each, first[:-1]))
         return pa.table({"doc_id": left["rows"][0].values.cast(pa.int64()), "n": pa.array(counts), "known": pa.array(known.astype(np.int64)),
                          "logs": pa.array(logs), "score": pa.array(np.concatenate(scores))})
 

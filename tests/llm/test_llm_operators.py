@@ -494,3 +494,26 @@ def test_very_long_text(spark, make):
     assert sanitise.find_personal_data(df).where("size(spans) > 0").count() == 0
     bench = spark.createDataFrame([(0, long[500_000:500_300].strip())], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.find_leaks(df, bench).collect()} == {2, 4}
+
+
+def test_ppm_counts_without_places():
+    """Grams, their counts in marked texts and those of short contexts, against plain dictionaries."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = rng.choice(np.frombuffer(b"ab \xc3\n", np.uint8), 900)
+    data[-1] = ppm.END
+    marked, code = rng.random(900) < 0.6, ppm._grams(data, 6)
+    grams, short, start = Counter(), Counter(), 0
+    for i, c in enumerate(code):
+        k = min(i - start + 1, 6)
+        context = bytes([ppm.END] * 6 + data.tolist())[i + 6 - k : i + 7][::-1]
+        assert int(c) == int.from_bytes(context, "little") | k << 56
+        grams[int(c)] += int(marked[i])
+        for j in range(min(k, 2) + 1):
+            short[int.from_bytes(context[: j + 1], "little") | j << 56] += int(marked[i])
+        start = i + 1 if data[i] == ppm.END else start
+    u, n = ppm._tally(code, marked)
+    assert dict(zip(u.tolist(), n.tolist())) == dict(grams) and (np.diff(u) > 0).all()
+    u, n = ppm._short(u, n, 2)
+    assert dict(zip(u.tolist(), n.tolist())) == {k: v for k, v in short.items() if v} and (np.diff(u) > 0).all()
