@@ -39,13 +39,15 @@ def semivariogram(cells: DataFrame, value: str, max_lag: float, n_lags: int, sca
         batch = group.combine_chunks().to_batches()[0]
         own = scalar(batch, "own").astype(bool)
         x, v = block(batch, "x"), scalar(batch, "v")
+        axes, reach = np.ascontiguousarray(x.T), side * side * (1 + 1e-9)  # the exact bound is on the root
         mine, n, d_sum, g_sum = np.flatnonzero(own), np.zeros(n_lags, np.int64), np.zeros(n_lags), np.zeros(n_lags)
         for low in range(0, mine.size, ROWS):
             part = mine[low : low + ROWS]
-            d = np.sqrt(((x[part][:, None] - x[None]) ** 2).sum(-1))
-            use = (d <= side) & (~own[None, :] | (np.arange(len(x))[None, :] > part[:, None]))
-            i, j = np.nonzero(use)
-            far = d[i, j]
+            square = sum((axis[part][:, None] - axis[None]) ** 2 for axis in axes)
+            i, j = np.nonzero(square <= reach)
+            far = np.sqrt(square[i, j])
+            use = (far <= side) & (~own[j] | (j > part[i]))
+            i, j, far = i[use], j[use], far[use]
             bin_ = np.clip(np.ceil(far / width).astype(int) - 1, 0, n_lags - 1)
             n += np.bincount(bin_, minlength=n_lags)
             d_sum += np.bincount(bin_, weights=far, minlength=n_lags)
