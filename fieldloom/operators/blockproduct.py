@@ -4,7 +4,8 @@ Every decoder ends in ``features(location) @ coefficients(item)`` for all locati
 (snapshots or volumes).  Locations are gathered into tiles, items into blocks, and each (tile, block)
 pair is one product inside an executor: nothing passes through the driver.  Blocks are sent
 to the tiles, or, where the location table is of a checked small size, tiles are broadcast to
-the blocks; either way a pair makes at most ``CELLS`` values at a time.
+the blocks; either way a pair makes at most ``CELLS`` values at a time, and pairs are dealt to tasks by
+their number, ``PAIRS`` to a task.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from fieldloom.sources.profiles import block
 
 TILE = 1024
 CELLS = 1 << 20
+PAIRS = 4
 
 Finish = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
 
@@ -41,17 +43,20 @@ def blocks_of(coefs: DataFrame, n_items: int, size: int) -> DataFrame:
 def block_product(
     table: DataFrame, columns: Sequence[str], n_locs: int, features: Callable[[pa.RecordBatch], np.ndarray],
     coefs: DataFrame, n_items: int, parts: int = 1, finish: Finish | None = None, row_bytes: int = 1024,
-    tile: int = TILE, cells: int = CELLS,
+    tile: int = TILE, cells: int = CELLS, names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """item, part, loc, value.
+    """item, part, loc, value; with ``names`` item, loc and one column per part.
 
     ``coefs`` has (item bigint, c array<double>), where ``c`` holds ``parts`` runs of as many numbers as
     ``features`` gives columns.  ``finish`` turns a product of (locations, parts, items) into values, given
     the tile's rows.
     """
-    blocks = blocks_of(coefs, n_items, max(1, cells // (tile * parts)))
-    last = max(0, n_locs - 1) // tile
+    size = max(1, cells // (tile * parts))
+    blocks = blocks_of(coefs, n_items, size)
+    last, count = max(0, n_locs - 1) // tile, max(1, -(-n_items // size))
     sent = blocks.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(last)).cast("array<bigint>")))
+    tasks = -(-(last + 1) * count // PAIRS)
+    sent = sent.repartitionById(tasks, ((F.col("tile") * count + F.col("block")) % tasks).cast("int"))
     pairs = sent.join(sized_broadcast(tiles_of(table, columns, tile), n_locs, row_bytes), "tile").select("cells", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +72,14 @@ def block_product(
                     value = np.einsum("mr,lpr->mpl", left, right, optimize=True)
                     value = finish(rows, value) if finish else value
                     m, p, n = value.shape
+                    if names:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.tile(part.column("item").to_numpy(), m)), pa.array(np.repeat(loc, n)),
+                             *(pa.array(value[:, i].ravel()) for i in range(p))], ["item", "loc", *names])
+                        continue
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.tile(part.column("item").to_numpy(), m * p)), pa.array(np.tile(np.repeat(np.arange(p), n), m)),
                          pa.array(np.repeat(loc, p * n)), pa.array(value.ravel())], ["item", "part", "loc", "value"])
 
-    return pairs.mapInArrow(run, "item bigint, part bigint, loc bigint, value double")
+    wide = names and ", ".join(["item bigint", "loc bigint", *(f"`{c}` double" for c in names)])
+    return pairs.mapInArrow(run, wide or "item bigint, part bigint, loc bigint, value double")

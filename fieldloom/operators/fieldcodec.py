@@ -194,9 +194,9 @@ def decompress_fields(model: FieldsModel, blobs: DataFrame, tile: int = 1024) ->
 
     blobs = cut_lineage(blobs)
     coefs = _solved(blobs, "level", 3, solve)
-    long = block_product(model.table, ["loc", "y", "x", "mu", "sd"], model.n_locs, features, coefs, blobs.count(), d, finish, 48 + 16 * d, tile)
-    wide = [F.max(F.when(F.col("part") == i, F.col("value"))).alias(f) for i, f in enumerate(model.fields)]
-    return long.groupBy("item", "loc").agg(*wide).withColumnRenamed("item", "level")
+    back = block_product(model.table, ["loc", "y", "x", "mu", "sd"], model.n_locs, features, coefs, blobs.count(), d, finish, 48 + 16 * d, tile,
+                         names=model.fields)
+    return back.withColumnRenamed("item", "level")
 
 
 def save_fields(model: FieldsModel, path: str) -> None:

@@ -124,3 +124,15 @@ def test_snapshots_beyond_one_block(spark, monkeypatch, kind):
     got = back.toPandas().pivot(index="loc", columns="level", values="value").to_numpy()
     assert got.shape == (NY * NX, 3 * NL)
     assert np.allclose(got, np.tile(want + mu[:, None], 3))
+
+
+def test_decoded_fields_come_as_columns_from_dealt_pairs(spark):
+    """Pairs of tiles and blocks are dealt evenly to tasks, and what they yield is not grouped again."""
+    v = fields(2)
+    df = cells(spark, v, ["a", "b"])
+    model, _ = fc.train_fields({n: profiles(df, NL, n) for n in ("a", "b")}, NL, NY * NX, cap=3)
+    back = fc.decompress_fields(model, fc.compress_fields(model, df), tile=5)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+    dealt = back.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(dealt) == 3 and {r["count"] for r in dealt} == {4 * 5 * NL}
