@@ -112,7 +112,7 @@ def pick_from_pool(level: int, turn: int, state: dict, cand: np.ndarray, x: np.n
     full = len(cand) == rule.pool
     going = bool(len(cand))
     if going and rule.mode == "greedy":
-        going = _pick_from(cand, x, score[-1] if full else -np.inf, scorer, k, ids, rows, scores) and full
+        going = _pick_from(cand, x, score[-1] if full else -np.inf, scorer, k, ids, rows, scores)[0] and full
     elif going:
         before = len(ids)
         accept_ticks(cand, x, score, key, key[-1] if full else np.inf, scorer, k, ids, rows, scores, np.random.default_rng([rule.seed, level, turn]))

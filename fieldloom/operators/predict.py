@@ -19,6 +19,7 @@ from fieldloom.sources.profiles import block, list_column, map_blocks, scalar
 MAX_MODEL_BYTES = 256 << 20
 MAX_SENSORS = 8192  # half a gigabyte of covariance
 BRUTE_FORCE = 2048
+SHARED = 1 << 21  # values of a batch of rows that may share their systems
 FLAT = 1e-10  # deviation under which a location counts as constant
 
 
@@ -165,6 +166,34 @@ def local_solve(
     return mean, np.maximum(var, 0.0)
 
 
+def local_mean(
+    x: np.ndarray, sensors: np.ndarray, readings: np.ndarray, kernel, noise: float, n_local: int
+) -> np.ndarray:
+    """Mean of :func:`local_solve`: rows that have the same nearest sensors share one solved system."""
+    n_local = min(n_local, len(sensors))
+    fn, p = kernel.fn, kernel.params
+    ridge = (noise + 1e-6) * np.eye(n_local)
+    mean = np.empty(len(x))
+    order = np.lexsort(x.T[::-1])
+    # few sensors are all compared with every row, so that more rows make more that share
+    batch = max(500, min(SHARED // len(sensors), SHARED // n_local**2)) if len(sensors) <= BRUTE_FORCE else 500
+    for a in range(0, len(x), batch):
+        rows = order[a : a + batch]
+        near, dist = nearest(x[rows], sensors, n_local)
+        by = np.argsort(near, axis=1)
+        near, dist = np.take_along_axis(near, by, 1), np.take_along_axis(dist, by, 1)
+        if len(sensors) < 63:
+            _, first, at = np.unique((1 << near).sum(1), return_index=True, return_inverse=True)
+            sets = near[first]
+        else:
+            sets, at = np.unique(near, axis=0, return_inverse=True)
+        s = sensors[sets]
+        gap = np.sqrt(((s[:, :, None] - s[:, None]) ** 2).sum(-1))
+        alpha = np.linalg.solve(fn(gap, m=np, **p) + ridge, readings[sets][:, :, None])[:, :, 0]
+        mean[rows] = (fn(dist, m=np, **p) * alpha[at.ravel()]).sum(1)
+    return mean
+
+
 def local_kriging(
     cells: DataFrame, coords: list[str], value: str, sensors: np.ndarray, readings: np.ndarray,
     kernel: Callable, noise: float, n_local: int,

@@ -19,7 +19,7 @@ from fieldloom.functions.quantisers import error_bin
 from fieldloom.operators import selection as sl
 from fieldloom.operators.entropy import entropy_of
 from fieldloom.operators.groupselect import gks_by
-from fieldloom.operators.predict import check_model, local_solve, solve_spd
+from fieldloom.operators.predict import check_model, local_mean, solve_spd
 from fieldloom.operators.quantiles import exact_quantiles
 from fieldloom.operators.ratedist import psnr
 from fieldloom.operators.sizing import sensor_bits
@@ -173,7 +173,7 @@ class _Process:
             hit = slice(None) if g is None else np.flatnonzero(level == g)
             part = x[hit]
             if len(part):
-                out[hit] = local_solve(part, s, alpha, self.kernel, self.noise, self.local)[0] if local else self.kernel(part, s) @ alpha
+                out[hit] = local_mean(part, s, alpha, self.kernel, self.noise, self.local) if local else self.kernel(part, s) @ alpha
         return out
 
 

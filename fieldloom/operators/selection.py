@@ -27,6 +27,7 @@ ROUND = 9
 POOL = 2048
 WIDE = 256  # columns of a factor from which on the scores of a pass are written
 VALUES = 1 << 21  # of a covariance block in a task
+SLACK = 1e-8  # by which rounding may lift a score, beside the largest
 LEVEL_SPAN = 1 << 31  # id of a cell = loc * LEVEL_SPAN + level
 
 
@@ -265,16 +266,29 @@ class _Passes:
     """Scores of all points, pass by pass.
 
     Those of a wide factor are written, so that the next pass takes and ships only the columns of the
-    picks since then."""
+    picks since then.  Others are written by a second pass that tells what score is ``wanted``: variances
+    never rise, so later passes work out those points alone that were not below it.  What is wanted is
+    told by points from everywhere (``some``), as a pool has but the surroundings of a pick."""
 
     def __init__(self, points: DataFrame, scorer):
         self.points, self.scorer, self.known, self.since = points, scorer, None, 0
+        self.least, self.some, self.written = -np.inf, None, -np.inf
 
-    def scored(self) -> DataFrame:
+    def scored(self, wanted: float | None = None) -> DataFrame:
+        """Points with their scores, all of those that score ``least`` or more."""
         scorer = self.scorer
         width = scorer.width if isinstance(scorer, CholeskyScore) else 0
         if width <= WIDE:
-            return _scored(self.points, scorer)
+            self.least = -np.inf
+            if wanted is None or (wanted <= 0 and self.known is not None):
+                return _scored(self.points, scorer)
+            if self.known is None or wanted < self.written / 4:
+                self.known = cut_lineage(_scored(self.points, scorer))
+                self.some = self.known.orderBy(F.xxhash64("id"), "id").limit(POOL).select("id", "x").toPandas()
+                self.written = self.reached([])
+                return self.known
+            self.least = wanted
+            return _scored(self.known.where(F.col("score") >= wanted), scorer)
         first, columns = self.known is None, scorer.step(self.since)
         variance = scorer.variance() if first else None
 
@@ -289,23 +303,31 @@ class _Passes:
         self.since = len(scorer.inv)
         return self.known.select("id", "x", F.round("left", ROUND).alias("score"))
 
+    def reached(self, ids: list[int]) -> float:
+        """A score that a point beside ``ids`` has."""
+        free = [] if self.some is None else self.some["x"][~self.some["id"].isin(ids)]
+        return float(np.round(self.scorer.score(np.stack(free)), ROUND).max()) if len(free) else -np.inf
+
 
 def greedy_select(points: DataFrame, scorer, k: int, pool: int = POOL) -> Picks:
     """``k`` picks by largest score, ties to the lowest id."""
     pool = max(pool, 4)
     ids, rows, scores = [], [], []
-    passes = _Passes(points, scorer)
+    passes, wanted = _Passes(points, scorer), None
     while len(ids) < k:
         got = (
-            passes.scored().where(~F.col("id").isin(ids) if ids else F.lit(True))
+            passes.scored(wanted).where(~F.col("id").isin(ids) if ids else F.lit(True))
             .orderBy(F.desc("score"), "id").limit(pool).toPandas()
         )
         if got.empty:
             break
         cand, x = got["id"].to_numpy(), np.stack(got["x"].to_numpy())
-        outside = got["score"].iloc[-1] if len(got) == pool else -np.inf
-        if not _pick_from(cand, x, outside, scorer, k, ids, rows, scores):
+        outside = max(passes.least, got["score"].iloc[-1] if len(got) == pool else -np.inf)
+        more, best = _pick_from(cand, x, outside, scorer, k, ids, rows, scores)
+        if not more:
             break
+        if isinstance(scorer, CholeskyScore):
+            wanted = max(best, passes.reached(ids)) - SLACK * (1.0 + scores[0])
     return Picks(np.array(ids, "i8"), np.array(rows), np.array(scores))
 
 
@@ -350,15 +372,16 @@ def greedy_select_by(points: DataFrame, group: str, scorers: dict, k: int, pool:
     return {g: Picks(np.array(i, "i8"), np.array(r), np.array(s)) for g, (i, r, s) in out.items()}
 
 
-def _pick_from(cand, x, outside, scorer, k, ids, rows, scores) -> bool:
+def _pick_from(cand, x, outside, scorer, k, ids, rows, scores) -> tuple[bool, float]:
     """Greedy picks from one pool, as far as it is conclusive; False when nothing with a
-    positive score is left."""
+    positive score is left.  With the best score left in the pool, as far as it is known."""
     free = ~np.isin(cand, ids)
-    first, more = True, True
+    first, more, best = True, True, -np.inf
     pool = Pool(scorer, x, min(k - len(ids), len(x))) if isinstance(scorer, CholeskyScore) else None
     while len(ids) < k and free.any():
         s = np.where(free, np.round(pool.left if pool else scorer.score(x), ROUND), -np.inf)
         j = int(np.lexsort((cand, -s))[0])
+        best = float(s[j])
         if not first and s[j] <= outside:
             break
         if s[j] <= 0:
@@ -366,10 +389,10 @@ def _pick_from(cand, x, outside, scorer, k, ids, rows, scores) -> bool:
             break
         pool.take(j) if pool else scorer.add(x[j])
         ids.append(int(cand[j])), rows.append(x[j]), scores.append(s[j])
-        free[j], first = False, False
+        free[j], first, best = False, False, -np.inf
     if pool:
         pool.close()
-    return more
+    return more, best
 
 
 def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, pool: int = POOL) -> Picks:

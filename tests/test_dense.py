@@ -50,6 +50,17 @@ def test_greedy_pivots_any_pool(field, pool):
     assert got == dense_pivots(K(xy, xy), 15)
 
 
+def test_later_passes_score_what_may_still_win(spark, monkeypatch):
+    """From the third pass on, points that were already below the best score left are not scored again."""
+    x = np.random.default_rng(4).normal(size=(300, 12)) * np.exp(-np.arange(300) / 30)[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    sizes, scored = [], sl._scored
+    monkeypatch.setattr(sl, "_scored", lambda p, scorer: (sizes.append(p.count()), scored(p, scorer))[1])
+    got = sl.greedy_select(df, sl.CholeskyScore(sl.linear_kernel), 8, 4)
+    assert got.ids.tolist() == dense_pivots(x @ x.T, 8)
+    assert sizes[:2] == [300, 300] and len(sizes) > 2 and max(sizes[2:]) < 100
+
+
 def test_grouped_greedy(field):
     _, xy, df = field
     g = (xy[:, 0] >= 6).astype(int)
@@ -238,6 +249,21 @@ def test_nearest_is_exact(clustered, monkeypatch):
     assert np.allclose(np.take_along_axis(sl.distance_matrix(x, sensors), near, 1), dist)
 
 
+@pytest.mark.parametrize("count", [24, 70])
+def test_rows_of_equal_neighbours_share_a_system(count, monkeypatch):
+    """Few sensors have few sets of neighbours: a system is solved for a set, not for a row."""
+    rng = np.random.default_rng(3)
+    sensors, readings = rng.uniform(0, 1, (count, 3)), rng.normal(size=count)
+    x = rng.uniform(0, 1, (4000, 3))
+    kernel = sl.RadialKernel(kn.matern, nu=2.5, ls=0.3)
+    want, _ = pr.local_solve(x, sensors, readings, kernel, 1e-3, count - 4)
+    solved, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: (solved.append(len(a)), solve(a, b))[1])
+    got = pr.local_mean(x, sensors, readings, kernel, 1e-3, count - 4)
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    assert sum(solved) < len(x) / 4
+
+
 def strip(spark, n):
     xy = np.column_stack([np.arange(n) // 4, np.arange(n) % 4]).astype(float)
     rows = [(i, r.tolist()) for i, r in enumerate(xy)]
