@@ -118,6 +118,10 @@ class CholeskyScore:
         """What the kernel takes, for points as they come."""
         return x
 
+    def random_picks(self, points: DataFrame, k: int, seed: int) -> Picks | None:
+        """All picks of :func:`random_select`, where the scorer has a way of its own for them."""
+        return None
+
     def step(self, since: int) -> Callable[[np.ndarray], np.ndarray]:
         """Columns of the factor from pick ``since`` on, as a function of points."""
         if since == len(self.inv):
@@ -403,8 +407,12 @@ def random_select(points: DataFrame, scorer: CholeskyScore, k: int, seed: int, p
     is accepted with probability current/known variance.  Thinning leaves exactly the
     sequential distribution, and one pass serves many picks.  Clocks are functions of the
     id and the pass, so a retried task reproduces them.  Fewer than ``k`` picks mean that no
-    point has residual variance left.
+    point has residual variance left.  The driver keeps the factor's pivot block; a rank that grows
+    with the points takes ``slabselect.SlabScore``.
     """
+    own = scorer.random_picks(points, k, seed)
+    if own is not None:
+        return own
     rng = np.random.default_rng(seed)
     ids, rows, scores = [], [], []
     passes, known = 0, _Passes(points, scorer)

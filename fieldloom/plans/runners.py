@@ -16,6 +16,7 @@ from fieldloom.operators.lorenzo import code_near, with_neighbours
 from fieldloom.operators.metrics import quality
 from fieldloom.operators.ratedist import Predictor, sweep
 from fieldloom.operators.sizing import compress_bytes, lossless_bytes
+from fieldloom.operators.slabselect import SlabScore
 from fieldloom.plans.common import r6
 from fieldloom.plans.fitting import field_profiles, location_points, stored_profiles
 from fieldloom.plans.prediction import NOISE, coregional
@@ -314,18 +315,18 @@ def k01_result_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-FIELD_RANK = 2048  # a bound of the factor, far above the numerical rank of a field of this scale
-
-
 @query("s15_random_field")
 def s15_random_field(spark: SparkSession, sf: str) -> DataFrame:
     """Gaussian random field over the locations with drift: a factor grown until no location has
     variance left (``missing_var`` tells), times normals."""
     points = cut_lineage(location_points(field_profiles(spark, sf)))
-    scorer = sl.CholeskyScore(sl.RadialKernel(kn.rbf, ls=3.0))
-    picks = sl.random_select(points, scorer, min(FIELD_RANK, grid_shape(spark, sf).n_locs), 0)
+    scorer = SlabScore(sl.RadialKernel(kn.rbf, ls=3.0))
+    picks = sl.random_select(points, scorer, grid_shape(spark, sf).n_locs, 0)
     z = np.random.default_rng(0).standard_normal(len(picks.ids))
-    field = map_blocks(points, ["id", "x"], "loc bigint, draw double, missing_var double", lambda b: [
-        b.column("id"), scorer.features(block(b, "x")) @ z + 0.15 * block(b, "x")[:, 1], scorer.score(block(b, "x"))
-    ])
-    return field
+
+    def drawn(b):
+        x = block(b, "x")
+        draw, left = scorer.draw(x, z)
+        return [b.column("id"), draw + 0.15 * x[:, 1], left]
+
+    return map_blocks(scorer.deal(points), ["id", "x"], "loc bigint, draw double, missing_var double", drawn)
